@@ -2,7 +2,7 @@
 
 * ``fit_table``      - fitted state as a checkpointed table with a measured size
 * ``lookup``         - join to a fitted table: broadcast below a checked size, otherwise
-                       heavy keys broadcast and the rest shuffled
+                       shuffled with heavy keys salted
 * ``running_total``  - cumulative sums over sorted distinct keys without a one-task window
 * ``rank_cutoffs``   - hash values at given ranks per group, so that splits and samples are
                        a map-side comparison and never shuffle or sort the wide rows
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from mirrortab.functions import hash_bucket
 
@@ -31,8 +31,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 #: Largest sorted run one window task may hold.
 WINDOW_ROWS = 1_000_000
 
-#: A key with more than ``1 / HOT_KEYS`` of all rows is heavy; so at most HOT_KEYS are.
+#: Keys that may be spread in a shuffled lookup, from this many rows on, over this many salts.
 HOT_KEYS = 1_000
+HOT_ROWS = 1_000_000
+SALTS = 256
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -69,13 +71,15 @@ class FitTable:
 
 def measure(df: DataFrame) -> FitTable:
     """Measure a table that is already materialised (checkpointed or read from storage)."""
-    text = [
-        F.coalesce(F.sum(F.octet_length(F.col(f"`{f.name}`"))), F.lit(0))
-        for f in df.schema.fields
-        if isinstance(f.dataType, StringType)
-    ]
-    row = df.agg(F.count(F.lit(1)), reduce(lambda a, b: a + b, text, F.lit(0))).first()
-    return FitTable(df, int(row[0]), int(row[0]) * 16 * len(df.columns) + int(row[1]))
+    parts = [F.lit(16 * len(df.columns)).cast("bigint")]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, StringType):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, ArrayType):
+            parts.append(F.greatest(F.size(c), F.lit(0)) * 40)
+    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, parts)), F.lit(0))).first()
+    return FitTable(df, int(row[0]), int(row[1]))
 
 
 def fit_table(df: DataFrame) -> FitTable:
@@ -87,32 +91,31 @@ def sized_broadcast(df: DataFrame, table: FitTable) -> DataFrame:
     return F.broadcast(df) if table.broadcastable else df
 
 
-def lookup(
-    fact: DataFrame,
-    table: FitTable,
-    on: Sequence[str],
-    how: str = "left",
-    weight: str | None = None,
-) -> DataFrame:
+def lookup(fact: DataFrame, table: FitTable, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join rows to a fitted table on equal keys.
 
-    Small tables are broadcast.  A larger one is shuffled, except for the keys whose
-    ``weight`` (their row count at fit time) makes them heavy: there are at most
-    ``HOT_KEYS`` of those, so they are broadcast and their rows never meet in one task.
+    Small tables are broadcast.  A larger one is shuffled, and rows of heavy keys are spread:
+    the ``HOT_KEYS`` most frequent keys (any other key has under ``1 / HOT_KEYS`` of the
+    rows) get a salt, and their table rows one copy per salt.  The salt comes from the row
+    and its input partition, so a retried task repeats it.
     """
     on = list(on)
-    dim = table.df.drop(weight) if weight else table.df
     if table.broadcastable:
-        return fact.join(F.broadcast(dim), on, how)
-    if weight is None:
-        return fact.join(dim, on, how)
-    total = table.df.agg(F.sum(weight)).first()[0] or 0
-    heavy = F.col(weight) > F.lit(total / HOT_KEYS)
-    hot = table.df.where(heavy).drop(weight)
-    cold = table.df.where(~heavy).drop(weight)
-    hot_rows = fact.join(F.broadcast(hot), on, "inner")
-    cold_rows = fact.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how)
-    return hot_rows.unionByName(cold_rows)
+        return fact.join(F.broadcast(table.df), on, how)
+    heavy = checkpointed(
+        fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        .orderBy(F.desc("_n")).limit(HOT_KEYS).where(F.col("_n") > HOT_ROWS)
+        .select(*on, F.lit(SALTS).alias("_salts"))
+    )
+    spread = F.coalesce(F.col("_salts"), F.lit(1))
+    mixed = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns], F.spark_partition_id())
+    salted_fact = fact.withColumn("_mix", mixed).join(F.broadcast(heavy), on, "left").withColumn(
+        "_salt", F.pmod("_mix", spread).cast("int")
+    ).drop("_mix", "_salts")
+    salted_table = table.df.join(F.broadcast(heavy), on, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), spread - 1))
+    ).drop("_salts")
+    return salted_fact.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 
 def running_total(

@@ -27,7 +27,8 @@ class Bins:
 
 
 def fit_bins(
-    df: DataFrame, cols: Sequence[str], n_bins: int = 10, strategy: str = "uniform", iterations: int = 300
+    df: DataFrame, cols: Sequence[str], n_bins: int = 10, strategy: str = "uniform", iterations: int = 300,
+    tolerance: float = KMEANS_TOLERANCE,
 ) -> Bins:
     """Fit edges for all columns together; only edges (columns x bins) reach the driver."""
     if strategy not in ("uniform", "quantile", "kmeans"):
@@ -60,7 +61,7 @@ def fit_bins(
         for r in exact_quantiles(filled, live, grid).orderBy("column", "i").collect():
             found[r["column"]].append(r["value"])
         return Bins({c: _merged(e) for c, e in found.items()}, fills, constant)
-    return Bins(_kmeans_edges(filled, uniform, stats, iterations), fills, constant)
+    return Bins(_kmeans_edges(filled, uniform, stats, iterations, tolerance), fills, constant)
 
 
 def _equal_width(lo: float, hi: float, n_bins: int) -> list[float]:
@@ -76,7 +77,7 @@ def _merged(edges: list[float]) -> list[float]:
     return kept
 
 
-def _kmeans_edges(filled, uniform, stats, iterations: int) -> dict[str, list[float]]:
+def _kmeans_edges(filled, uniform, stats, iterations: int, tolerance: float) -> dict[str, list[float]]:
     """Lloyd steps on ``(value, count)`` pairs of all columns; centres start at bin middles.
 
     Each step is one combined aggregation to ``columns x bins`` rows; those centres are all
@@ -107,7 +108,7 @@ def _kmeans_edges(filled, uniform, stats, iterations: int) -> dict[str, list[flo
             moved[c] += (centres[c][k] - r["mean"]) ** 2
             centres[c][k] = r["mean"]
         for c, shift in moved.items():
-            if shift <= KMEANS_TOLERANCE * stats[c]["var"]:
+            if shift <= tolerance * stats[c]["var"]:
                 moving.discard(c)
     edges = {}
     for c, e in uniform.items():

@@ -29,10 +29,10 @@ class Dictionary:
     def cardinality(self, column: str) -> int:
         return self.sizes.get(column, (0, 0))[0]
 
-    def column(self, column: str, value: str, code: str, weight: str = "_n") -> FitTable:
+    def column(self, column: str, value: str, code: str) -> FitTable:
         rows, size = self.sizes.get(column, (0, 0))
         part = self.df.where(F.col("column") == column).select(
-            F.col("value").alias(value), F.col("code").alias(code), F.col("n").alias(weight)
+            F.col("value").alias(value), F.col("code").alias(code)
         )
         return FitTable(part, rows, rows * 48 + size)
 
@@ -79,7 +79,7 @@ def encode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], unknown:
     rows = df
     for i, c in enumerate(cols):
         keyed = rows.withColumn(f"_v{i}", dictionary.text(c))
-        rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_v{i}"], "left", "_n").drop(f"_v{i}")
+        rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_v{i}"]).drop(f"_v{i}")
     codes = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
     if unknown is not None:
         codes = {c: F.coalesce(e, F.lit(unknown)) for c, e in codes.items()}
@@ -97,7 +97,7 @@ def decode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], keep_miss
         top = max(dictionary.cardinality(c) - 1, 0)
         code = F.greatest(F.lit(0), F.least(F.rint(F.col(f"`{c}`").cast("double")), F.lit(top))).cast("int")
         keyed = rows.withColumn(f"_c{i}", code)
-        rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_c{i}"], "left", "_n").drop(f"_c{i}")
+        rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_c{i}"]).drop(f"_c{i}")
     values = {}
     for i, c in enumerate(cols):
         v = F.col(f"_v{i}")

@@ -71,4 +71,4 @@ def filter_unseen_labels(train: DataFrame, test: DataFrame, label: str, out: str
 
     known = fit_dictionary(train.where(F.col(label).isNotNull()).select(label), [label])
     keyed = test.where(F.col(label).isNotNull()).withColumn("_v", F.col(label).cast("string"))
-    return lookup(keyed, known.column(label, "_v", out), ["_v"], "inner", "_n").drop("_v")
+    return lookup(keyed, known.column(label, "_v", out), ["_v"], "inner").drop("_v")

@@ -37,8 +37,12 @@ def text_to_row(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     is not mentioned is ``placeholder`` and the text ``None`` is null."""
     pieces = F.transform(F.split(F.col(text), ","), lambda f: F.split(F.trim(f), " is "))
     work = df.withColumn("_pieces", pieces)
+
+    def says(column: str):
+        return lambda p: (p[0] == column) & (F.size(p) > 1)
+
     for c in columns:
-        hit = F.filter(F.col("_pieces"), lambda p, c=c: (p[0] == c) & (F.size(p) > 1))
+        hit = F.filter(F.col("_pieces"), says(c))
         value = F.coalesce(F.get(F.get(hit, F.lit(0)), F.lit(1)), F.lit(PLACEHOLDER))
         work = work.withColumn(c, F.when(value != "None", value))
     return work.drop("_pieces")
@@ -95,13 +99,13 @@ def clean_generated_category(df: DataFrame, raw: str, categories: DataFrame, key
     lengths = [r[0] for r in known.df.select(F.length("_low")).distinct().collect()]
     rows = df.withColumn("_token", cut_generated_value(F.col(raw)))
     low = F.lower("_token")
-    starts = [
-        F.when(
-            F.length(low) >= n,
-            F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i, n=n: F.substr(low, i, F.lit(n))),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths) if n > 0
-    ]
+
+    def substrings(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1)))
+        found = F.transform(starts, lambda i: F.substr(low, i, F.lit(n)))
+        return F.when(F.length(low) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    starts = [substrings(n) for n in sorted(lengths) if n > 0]
     if not starts:
         return rows.withColumn(out, F.col("_token")).drop("_token")
     pieces = rows.select(key, low.alias("_low_token"), F.explode(F.array_distinct(F.flatten(F.array(*starts)))).alias("_low"))

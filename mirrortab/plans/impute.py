@@ -2,28 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.functions import metric, uniform01
+from mirrortab.functions import uniform01
 from mirrortab.operators.clean import PLACEHOLDER
-from mirrortab.operators.core import FitTable, lookup
-from mirrortab.operators.encode import encode
+from mirrortab.operators.core import FitTable, fit_table, lookup
+from mirrortab.operators.encode import argmax_code, encode
 from mirrortab.operators.rowtext import text_to_row
 from mirrortab.plans.kdb import NEVER_SEEN, KdbModel, decode_rows
 
 
-def _log_p(rows: DataFrame, model: KdbModel, column: str, out: str) -> DataFrame:
-    """Add log P(column | parents) for the codes on the row; 0 if one of them is null."""
-    keyed = rows.withColumn("config", model.config(column)).withColumn("value", F.col(column))
-    n_rows, _ = model.groups.get(column, (0, 0))
-    dim = FitTable(model.table(column).df.select("config", "value", "p"), n_rows, n_rows * 96)
-    found = lookup(keyed, dim, ["config", "value"], "left")
-    known = F.col("value").isNotNull() & ~F.exists(F.col("config"), lambda x: x.isNull())
-    score = F.when(known, F.log(F.coalesce(F.col("p"), F.lit(NEVER_SEEN)))).otherwise(F.lit(0.0))
-    return found.withColumn(out, score).drop("config", "value", "p")
+def _scores_by(cells: DataFrame, key: Column, candidate: Column, card: int) -> DataFrame:
+    """``(_key, _scores)``: log-probabilities of all candidate codes under each key."""
+    packed = cells.select(key.alias("_key"), F.struct(candidate.alias("c"), F.log("p").alias("s")).alias("e"))
+    by_code = F.map_from_entries(F.collect_list("e"))  # at most one entry per candidate
+    dense = F.transform(
+        F.sequence(F.lit(0), F.lit(card - 1)),
+        lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(math.log(NEVER_SEEN))),
+    )
+    return packed.groupBy("_key").agg(by_code.alias("_m")).select("_key", dense.alias("_scores"))
+
+
+def _add_term(rows: DataFrame, model: KdbModel, column: str, child: str) -> DataFrame:
+    """Add the term of ``child``'s table to the candidate scores of ``column``.
+
+    The table is regrouped so that one row holds the scores of all candidates: the lookup is
+    one to one, rows are neither multiplied nor shuffled, and a row whose other cells are
+    not all known finds nothing and adds nothing.
+    """
+    card = model.cards[column]
+    cells = model.cpt.df.where(F.col("feature") == child)
+    if child == column:
+        table = _scores_by(cells, F.col("config"), F.col("value"), card)
+        key = model.config(column)
+    else:
+        names = [model.target, *model.parents[child]]
+        at = names.index(column)
+        others = [c for i, c in enumerate(names) if i != at]
+        kept = F.array(*[F.element_at("config", i + 1) for i in range(len(names)) if i != at], F.col("value"))
+        table = _scores_by(cells, kept, F.element_at("config", at + 1), card)
+        key = F.array(*[F.col(f"`{c}`").cast("int") for c in [*others, child]])
+    bound = model.groups.get(child, (0, 0))[0]
+    sized = FitTable(table, bound, bound * card * 8)
+    if not sized.broadcastable:
+        sized = fit_table(table)
+        sized = FitTable(sized.df, sized.rows, sized.rows * card * 8)
+    found = lookup(rows.withColumn("_key", key), sized, ["_key"], "left")
+    summed = F.zip_with("_total", "_scores", lambda a, b: a + b)
+    return found.withColumn("_total", F.coalesce(summed, F.col("_total"))).drop("_key", "_scores")
 
 
 def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None = None) -> DataFrame:
@@ -40,25 +69,21 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
         card = model.cards[column]
         if card == 0:
             continue
-        whole = rows.where(F.col(column).isNotNull())
-        open_rows = rows.where(F.col(column).isNull()).drop(column).withColumn(
-            column, F.explode(F.sequence(F.lit(0), F.lit(card - 1)))
-        )
         children = [c for c in model.order if column == model.target or column in model.parents[c]]
-        scored = open_rows.withColumn("_score", F.lit(0.0))
+        scored = rows.withColumn("_total", F.array_repeat(F.lit(0.0), card))
         for c in [column, *children]:
-            scored = _log_p(scored, model, c, "_s").withColumn("_score", F.col("_score") + F.col("_s")).drop("_s")
-        score = metric(F.col("_score"))
-        if seed is not None:
-            u = uniform01(seed, F.concat_ws("#", F.col(key).cast("string"), F.col(column).cast("string")), column)
-            score = F.col("_score") - F.log(-F.log(u + F.lit(2.0**-53)))
-        best = F.struct(score.alias("s"), (-F.col(column)).alias("c"))
-        # candidates of a row are neighbours, so they combine before the shuffle
-        others = [c for c in columns if c != column]
-        filled = scored.groupBy(key).agg(
-            *[F.first(c).alias(c) for c in others], F.max_by(F.col(column), best).alias(column)
+            scored = _add_term(scored, model, column, c)
+        if seed is None:
+            final = F.transform("_total", lambda s: F.round(s, 9))
+        else:
+            noise = lambda i: -F.log(-F.log(uniform01(seed, F.concat_ws("#", F.col(key).cast("string"), i.cast("string")), column) + F.lit(2.0**-53)))
+            final = F.transform("_total", lambda s, i: s + noise(i))
+        rows = scored.withColumn("_total", final).select(
+            *[
+                F.coalesce(F.col(c), argmax_code(F.col("_total"))).alias(c) if c == column else F.col(c)
+                for c in [key, *columns]
+            ]
         )
-        rows = whole.unionByName(filled.select(*whole.columns))
     return rows
 
 

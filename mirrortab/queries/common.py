@@ -99,15 +99,15 @@ def divergence_sql(real: str, synth: str, numeric: list[str], categorical: list[
     p = prefix
     sides = f"SELECT 'real' AS side, * FROM {real} UNION ALL BY NAME SELECT 'synth' AS side, * FROM {synth}"
     stats = [
-        f"SELECT '{c}' AS \"column\", min({c}) AS lo0, max({c}) AS hi0, least({n_bins}, greatest(3, count(DISTINCT {c}))) AS bins FROM {p}both"
+        f"SELECT '{c}' AS \"column\", min({c}) AS lo0, max({c}) AS hi0, least({n_bins}, greatest(3, count(DISTINCT {c}))) AS bins FROM {p}pair_rows"
         for c in numeric
     ]
     cells = [
         f"SELECT side, '{c}' AS \"column\", CAST({bin_sql(c, 's.lo', 's.hi', 's.bins')} AS VARCHAR) AS value, s.bins AS width "
-        f"FROM {p}both, {p}edges s WHERE s.\"column\" = '{c}' AND {c} IS NOT NULL"
+        f"FROM {p}pair_rows, {p}edges s WHERE s.\"column\" = '{c}' AND {c} IS NOT NULL"
         for c in numeric
     ] + [
-        f"SELECT side, '{c}' AS \"column\", coalesce(CAST({c} AS VARCHAR), 'Missing') AS value, NULL AS width FROM {p}both"
+        f"SELECT side, '{c}' AS \"column\", coalesce(CAST({c} AS VARCHAR), 'Missing') AS value, NULL AS width FROM {p}pair_rows"
         for c in categorical
     ]
     edges = (
@@ -118,7 +118,7 @@ def divergence_sql(real: str, synth: str, numeric: list[str], categorical: list[
         else ""
     )
     return f"""
-{p}both AS ({sides}),
+{p}pair_rows AS ({sides}),
 {edges}
 {p}cells AS ({' UNION ALL '.join(cells)}),
 {p}counts AS (SELECT "column", value, max(width) AS width, count(*) FILTER (side = 'real') AS real_n,

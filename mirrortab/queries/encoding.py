@@ -64,7 +64,7 @@ SELECT {key}, len(list_filter(bs, lambda b: b <= {column}))::INTEGER AS {column}
 @query("discretize_kmeans", _kmeans_sql("o_totalprice", "orders", "o_orderkey"))
 def discretize_kmeans(spark, sf):
     rows = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
-    return discretize(rows, fit_bins(rows, ["o_totalprice"], 5, "kmeans", iterations=_LLOYD_STEPS))
+    return discretize(rows, fit_bins(rows, ["o_totalprice"], 5, "kmeans", iterations=_LLOYD_STEPS, tolerance=0.0))
 
 
 @query("label_encode", f"""
@@ -190,8 +190,8 @@ def standardize(spark, sf):
 @query("quantile_transform", """
 WITH n AS (SELECT least(1000, greatest(count(*), 10)) AS k, count(*) AS rows FROM customer),
 s AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) - 1 AS pos FROM customer),
-g AS (SELECT i, i / (k - 1)::DOUBLE AS ref, i / (k - 1)::DOUBLE * (rows - 1) AS at FROM n, range(n.k) t(i)),
-q AS (SELECT i, ref, a.x + (b.x - a.x) * (at - floor(at)) AS v FROM g JOIN s a ON a.pos = floor(at) JOIN s b ON b.pos = ceil(at)),
+g AS (SELECT i, i / (k - 1)::DOUBLE AS ref, i / (k - 1)::DOUBLE * (rows - 1) AS pt FROM n, range(n.k) t(i)),
+q AS (SELECT i, ref, a.x + (b.x - a.x) * (pt - floor(pt)) AS v FROM g JOIN s a ON a.pos = floor(pt) JOIN s b ON b.pos = ceil(pt)),
 h AS (SELECT q.i, q.v, q.ref, lead(v) OVER (ORDER BY i) AS v2, lead(ref) OVER (ORDER BY i) AS ref2 FROM q),
 z AS (SELECT c_custkey, c_acctbal AS x, (SELECT max(i) FROM q WHERE v <= c_acctbal) AS hi_i, (SELECT count(*) FROM q WHERE v < c_acctbal) AS lo_i FROM customer)
 SELECT c_custkey, round(CASE

@@ -241,7 +241,8 @@ def stream_label_drift(spark, sf):
     static = read_table(spark, sf, "events")
     reference = divergence.label_distribution(static, "event_type")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    counts = window_label_counts(stream, "ts", "event_type")
+    stamped = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = window_label_counts(stamped, "ts", "event_type")
     context = spark.sparkContext
     checkpointed(reference)  # makes sure that a shared checkpoint folder is set
     base = f"{context.getCheckpointDir()}/drift-{context._jvm.java.util.UUID.randomUUID()}"
@@ -256,4 +257,5 @@ def stream_label_drift(spark, sf):
     run.awaitTermination()
     batches = spark.read.parquet(f"{base}/out")
     last = batches.agg(F.max("batch")).first()[0]  # complete mode: the last batch holds all
-    return label_drift(batches.where(F.col("batch") == last).drop("batch"), reference)
+    drift = label_drift(batches.where(F.col("batch") == last).drop("batch"), reference)
+    return drift.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

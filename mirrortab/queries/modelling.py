@@ -248,18 +248,14 @@ SELECT {keys}, {out}, yy AS {LINE_TARGET} FROM h"""
 
 
 def _with_gaps(spark, sf):
-    """Binned lineitem with keys and gaps, and the same rows whole."""
+    """Binned lineitem whole, and the same rows with a key ``k`` and gaps."""
     from mirrortab.operators.discretize import discretize, fit_bins
 
-    rows = lineitem(spark, sf).select(*LINE_KEY, *_ALL)
+    key = F.concat_ws("-", *LINE_KEY, F.date_format("l_shipdate", "yyyyMMdd")).alias("k")
+    rows = lineitem(spark, sf).select(key, "l_linenumber", *_ALL)
     whole = discretize(rows, fit_bins(rows, LINE_NUMERIC))
     gaps = whole.withColumns({c: F.when(~F.expr(cond), F.col(c)) for c, cond in _GAPS.items()})
-    return whole.select(*_ALL), gaps
-
-
-def _keyed(gaps):
-    """One key column instead of four."""
-    return gaps.withColumn("k", F.concat_ws("-", *LINE_KEY)).drop(*LINE_KEY)
+    return whole.select(*_ALL), gaps.drop("l_linenumber")
 
 
 def _unkeyed(df):
@@ -272,21 +268,21 @@ def _unkeyed(df):
 def impute_conditional(spark, sf):
     whole, gaps = _with_gaps(spark, sf)
     model = kdb.fit_kdb(whole, LINE_TARGET, 0)
-    return _unkeyed(imp.impute(model, _keyed(gaps), "k"))
+    return _unkeyed(imp.impute(model, gaps, "k"))
 
 
 @query("impute_conditional_k2")
 def impute_conditional_k2(spark, sf):
     whole, gaps = _with_gaps(spark, sf)
     model = kdb.fit_kdb(whole, LINE_TARGET, 2)
-    return _unkeyed(imp.impute(model, _keyed(gaps), "k"))
+    return _unkeyed(imp.impute(model, gaps, "k"))
 
 
 @query("complete_partial_row")
 def complete_partial_row(spark, sf):
     whole, gaps = _with_gaps(spark, sf)
     model = kdb.fit_kdb(whole, LINE_TARGET, 1)
-    prompts = rowtext.partial_row_prompt(_keyed(gaps), _ALL, "k").select("k", "prompt")
+    prompts = rowtext.partial_row_prompt(gaps, _ALL, "k").select("k", "prompt")
     return _unkeyed(imp.complete_partial_rows(model, prompts, "prompt", "k"))
 
 

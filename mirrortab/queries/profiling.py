@@ -36,10 +36,10 @@ _TARGETS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_dis
 @query("infer_task", " UNION ALL ".join(
     f"SELECT '{c}' AS target, CASE WHEN {number} AND count(DISTINCT {c}) > 10 THEN 'regression' "
     f"WHEN count(DISTINCT {c}) = 2 THEN 'binary_classification' ELSE 'multiclass_classification' END AS task, "
-    f"CASE WHEN {number} AND count(DISTINCT {c}) > 10 THEN NULL ELSE count(DISTINCT {c}) END AS n_classes FROM lineitem"
+    f"CASE WHEN {number} AND count(DISTINCT {c}) > 10 THEN 0 ELSE count(DISTINCT {c}) END AS n_classes FROM lineitem"
     for c, number in zip(_TARGETS, ["false", "false", "true", "true", "true"])))
 def infer_task(spark, sf):
-    return profile.infer_task(lineitem(spark, sf), _TARGETS)
+    return profile.infer_task(lineitem(spark, sf), _TARGETS).fillna({"n_classes": 0})
 
 
 @query("infer_task_ratio", " UNION ALL ".join(
@@ -65,7 +65,7 @@ def _schema_sql() -> str:
         stats = (
             "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS mean_value, NULL::DOUBLE AS std_value"
             if kind == "text"
-            else f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 6) AS mean_value, round(stddev_samp({c}), 6) AS std_value"
+            else f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 9) AS mean_value, round(stddev_samp({c}), 9) AS std_value"
         )
         rows.append(
             f"SELECT '{c}' AS \"column\", {u} AS n_unique, CASE WHEN {share} THEN 'categorical' ELSE 'continuous' END AS kind_low_share, "
