@@ -25,7 +25,7 @@ def clean_decoded_text(text: Column) -> Column:
 
 def format_float(value: Column, precision: int) -> Column:
     """Fixed-point text without trailing zeros."""
-    fixed = F.format_string(f"%.{precision}f", value)
+    fixed = F.when(value.isNotNull(), F.format_string(f"%.{precision}f", value))
     if precision == 0:
         return fixed
     return F.regexp_replace(fixed, r"\.?0+$", "")

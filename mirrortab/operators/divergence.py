@@ -52,7 +52,7 @@ def label_tv_distance(train: DataFrame, test: DataFrame, label: str) -> DataFram
     )
     totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
     gaps = counts.crossJoin(F.broadcast(totals)).select(
-        F.abs(F.col("a") / F.col("na") - F.col("b") / F.col("nb")).alias("gap")
+        F.abs(F.try_divide("a", "na") - F.try_divide("b", "nb")).alias("gap")
     )
     return gaps.agg(metric(F.sum("gap") / 2).alias("tv"))
 
@@ -167,8 +167,8 @@ def divergence_by_column(
     norm = F.lit(1.0) + eps * width
     joined = counts.join(F.broadcast(totals), "column").select(  # one row per column
         "column",
-        ((F.col("real_n") / F.col("_nr") + eps) / norm).alias("p"),
-        ((F.col("synth_n") / F.col("_ns") + eps) / norm).alias("q"),
+        ((F.try_divide("real_n", "_nr") + eps) / norm).alias("p"),
+        ((F.try_divide("synth_n", "_ns") + eps) / norm).alias("q"),
     )
     p, q = F.col("p"), F.col("q")
     m = (p + q) * 0.5

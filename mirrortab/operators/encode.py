@@ -57,8 +57,11 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str], missing_first: bool = Fal
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
     first = (F.col("value") != MISSING).cast("int") if missing_first else F.lit(0)
-    number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double")) if numeric else F.lit(None)
-    keyed = counts.select("*", first.alias("_first"), number.cast("double").alias("_number"))
+    number = F.lit(0.0)
+    if numeric:
+        as_number = F.coalesce(F.col("value").try_cast("double"), F.lit(float("inf")))  # Missing last
+        number = F.when(F.col("column").isin(numeric), as_number).otherwise(number)
+    keyed = counts.select("*", first.alias("_first"), number.alias("_number"))
     coded = running_total(keyed, ["column"], ["_first", "_number", "value"], "_one", "_code")
     table = checkpointed(
         coded.select("column", "value", (F.col("_code") - 1).cast("int").alias("code"), "n")

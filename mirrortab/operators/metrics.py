@@ -74,7 +74,7 @@ def roc_auc(predictions: DataFrame, label: str, score: str) -> DataFrame:
     below = F.col("cum") - F.col("neg")
     won = F.sum(F.col("pos").cast("double") * (below + F.col("neg") * 0.5))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return run.agg(metric(F.when(pairs > 0, won / pairs)).alias("auc"))
+    return run.agg(metric(F.try_divide(won, pairs)).alias("auc"))
 
 
 def regression_metrics(predictions: DataFrame, label: str, predicted: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +83,7 @@ def regression_metrics(predictions: DataFrame, label: str, predicted: str, keep:
     residual = F.sum((y - p) * (y - p))
     spread = F.var_pop(y) * F.count(y)
     summed = predictions.groupBy(*keep).agg(
-        metric(F.lit(1.0) - residual / spread, 6).alias("r2"),
+        metric(F.lit(1.0) - F.try_divide(residual, spread), 6).alias("r2"),
         metric(F.avg(F.abs(y - p)), 6).alias("mae"),
         metric(F.sqrt(F.avg((y - p) * (y - p))), 6).alias("rmse"),
     )

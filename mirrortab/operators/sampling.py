@@ -26,14 +26,13 @@ MIN_SPREAD = 256
 
 def intervals(table: FitTable | DataFrame, group: Sequence[str], order: Sequence[str | Column], weight: str) -> DataFrame:
     """Add ``lo`` and ``hi``: each row's half-open share of its group's [0, 1)."""
-    run = running_total(table, group, order, weight)
+    run = running_total(table, group, order, weight).where(F.col(weight) > 0)
     last = F.col("cum") == F.col("total")
     if isinstance(run.schema[weight].dataType, FractionalType):
         last = F.col("cum") >= F.col("total") * (1 - 1e-12)  # sums may differ in the last bits
     return (
         run.withColumn("lo", (F.col("cum") - F.col(weight)) / F.col("total"))
         .withColumn("hi", F.when(last, F.lit(1.0)).otherwise(F.col("cum") / F.col("total")))
-        .where(F.col(weight) > 0)
         .drop("cum", "total")
     )
 
