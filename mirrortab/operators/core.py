@@ -118,6 +118,12 @@ def lookup(fact: DataFrame, table: FitTable, on: Sequence[str], how: str = "left
     return salted_fact.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a table that has one row by construction (a total, a template)."""
+    key = "_scalar_key"
+    return df.withColumn(key, F.lit(0)).join(F.broadcast(one_row.withColumn(key, F.lit(0))), key).drop(key)
+
+
 def running_total(
     table: FitTable | DataFrame,
     group: Sequence[str],
@@ -166,36 +172,42 @@ def running_total(
     )
 
 
+def hash_histogram(rows: DataFrame, group: Sequence[str], hashed: str) -> DataFrame:
+    """``(group..., _bucket, _n)``: rows per leading digits of the hash, combined map-side.
+
+    Also the cheapest source of the group sizes: their counts are sums over its rows.
+    """
+    bucketed = rows.withColumn("_bucket", hash_bucket(hashed))
+    return checkpointed(bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+
+
 def rank_cutoffs(
-    rows: DataFrame, group: Sequence[str], hashed: str, targets: DataFrame
+    rows: DataFrame, group: Sequence[str], hashed: str, targets: DataFrame, histogram: DataFrame | None = None
 ) -> DataFrame:
     """Hash value at each wanted 1-based rank of the hash order within a group.
 
     ``rows`` holds the group columns and the unique row hash; ``targets`` holds the group
     columns, ``cut`` (an id) and ``rank``.  Returns ``group..., cut, cut_hash``.
 
-    The hash order is uniform, so a histogram on its leading digits (combined map-side)
-    tells which bucket holds each rank; only rows of those buckets are ranked exactly.  A
-    group with a third of all rows is therefore spread over ``HASH_BUCKETS`` buckets and
-    only one of them per wanted rank is sorted.
+    The hash order is uniform, so the histogram on its leading digits tells which bucket
+    holds each rank; only rows of those buckets are ranked exactly.  A group with a third of
+    all rows is therefore spread over ``HASH_BUCKETS`` buckets and only one of them per
+    wanted rank is sorted.
     """
     group = list(group)
-    bucketed = rows.withColumn("_bucket", hash_bucket(hashed))
-    hist = bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    hist = hash_histogram(rows, group, hashed) if histogram is None else histogram
     # At most HASH_BUCKETS rows per group, so the window per group is bounded.
     run = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     hist = hist.withColumn("_cum", F.sum("_n").over(run)).withColumn("_before", F.col("_cum") - F.col("_n"))
     wanted = targets.where(F.col("rank") >= 1)
-    if group:
-        paired = hist.join(wanted, group, "inner")
-    else:
-        paired = hist.crossJoin(F.broadcast(wanted))  # a handful of target ranks
-    boundary = paired.where((F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_cum")))
+    boundary = hist.join(wanted, group, "inner").where(
+        (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_cum"))
+    )
     boundary_table = fit_table(boundary.select(*group, "cut", "rank", "_bucket", "_before"))
     buckets = boundary_table.df.select(*group, "_bucket", "_before").distinct()
-    candidates = bucketed.join(
+    candidates = rows.withColumn("_bucket", hash_bucket(hashed)).join(
         sized_broadcast(buckets, boundary_table), [*group, "_bucket"], "inner"
     )
     inside = Window.partitionBy(*group, "_bucket").orderBy(hashed)

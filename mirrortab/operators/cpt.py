@@ -8,7 +8,7 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.operators.core import FitTable, fit_table, lookup
+from mirrortab.operators.core import fit_table, lookup, with_scalars
 
 CELL_LIMIT = 100_000_000
 
@@ -25,8 +25,8 @@ def cpt(df: DataFrame, child: str, parents: Sequence[str], n: str | None = None)
     count = F.sum(n) if n else F.count(F.lit(1))
     counts = df.groupBy(*parents, child).agg(count.alias("n"))
     if not parents:
-        total = counts.agg(F.sum("n").alias("_total"))  # one row
-        return counts.crossJoin(F.broadcast(total)).select(child, "n", (F.col("n") / F.col("_total")).alias("p"))
+        total = counts.agg(F.sum("n").alias("_total"))
+        return with_scalars(counts, total).select(child, "n", (F.col("n") / F.col("_total")).alias("p"))
     totals = counts.groupBy(*parents).agg(F.sum("n").alias("_total"))
     return counts.join(totals, parents).select(*parents, child, "n", (F.col("n") / F.col("_total")).alias("p"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mirrortab.functions import metric, try_double
 from mirrortab.operators.clean import is_numeric, missing_text
-from mirrortab.operators.core import unpivot
+from mirrortab.operators.core import unpivot, with_scalars
 
 PROBABILITY_FLOOR = 1e-12  # fixed value, added to every probability before the logarithm
 MIN_BINS = 3
@@ -19,8 +19,8 @@ MIN_BINS = 3
 def label_distribution(df: DataFrame, label: str) -> DataFrame:
     """``(label, n, p)``."""
     counts = df.groupBy(F.col(f"`{label}`").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))  # one row
-    return counts.crossJoin(F.broadcast(total)).select("label", "n", (F.col("n") / F.col("_total")).alias("p"))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    return with_scalars(counts, total).select("label", "n", (F.col("n") / F.col("_total")).alias("p"))
 
 
 def empirical_probabilities(df: DataFrame, cols: Sequence[str], smoothing: float = 1e-8) -> DataFrame:
@@ -50,8 +50,8 @@ def label_tv_distance(train: DataFrame, test: DataFrame, label: str) -> DataFram
         F.sum(F.when(F.col("side") == "train", 1).otherwise(0)).alias("a"),
         F.sum(F.when(F.col("side") == "test", 1).otherwise(0)).alias("b"),
     )
-    totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))  # one row
-    gaps = counts.crossJoin(F.broadcast(totals)).select(
+    totals = counts.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gaps = with_scalars(counts, totals).select(
         F.abs(F.try_divide("a", "na") - F.try_divide("b", "nb")).alias("gap")
     )
     return gaps.agg(metric(F.sum("gap") / 2).alias("tv"))

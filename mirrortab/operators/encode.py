@@ -9,9 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.operators.clean import MISSING, is_numeric, missing_text, unified_missing
-from mirrortab.operators.core import (
-    FitTable, checkpointed, fit_table, lookup, measure, running_total, unpivot,
-)
+from mirrortab.operators.core import FitTable, checkpointed, lookup, running_total, unpivot
 
 
 @dataclass(frozen=True)
@@ -41,6 +39,14 @@ class Dictionary:
         return unified_missing(c) if self.missing_first else missing_text(c)
 
 
+def column_sizes(table: DataFrame) -> dict[str, tuple[int, int]]:
+    """Rows and text bytes per column of a long ``(column, value, ...)`` table."""
+    sized = table.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes")
+    )
+    return {r["column"]: (r["rows"], r["bytes"]) for r in sized.collect()}
+
+
 def fit_dictionary(df: DataFrame, cols: Sequence[str], missing_first: bool = False) -> Dictionary:
     """Codes of all columns in one pass: combined counts, then a running count per column.
 
@@ -62,16 +68,13 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str], missing_first: bool = Fal
         as_number = F.coalesce(F.col("value").try_cast("double"), F.lit(float("inf")))  # Missing last
         number = F.when(F.col("column").isin(numeric), as_number).otherwise(number)
     keyed = counts.select("*", first.alias("_first"), number.alias("_number"))
-    coded = running_total(keyed, ["column"], ["_first", "_number", "value"], "_one", "_code")
+    keyed = checkpointed(keyed)
+    sizes = column_sizes(keyed)
+    whole = FitTable(keyed, sum(r for r, _ in sizes.values()), 0)
+    coded = running_total(whole, ["column"], ["_first", "_number", "value"], "_one", "_code")
     table = checkpointed(
         coded.select("column", "value", (F.col("_code") - 1).cast("int").alias("code"), "n")
     )
-    sizes = {
-        r["column"]: (r["rows"], r["bytes"])
-        for r in table.groupBy("column").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes")
-        ).collect()
-    }
     types = {c: df.schema[c].dataType.simpleString() for c in cols}
     return Dictionary(table, sizes, types, missing_first)
 

@@ -25,8 +25,8 @@ def compact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return checkpointed(df.groupBy(*named).agg(F.count(F.lit(1)).alias("n")))
 
 
-def _entropy_sums(counted: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """``(column, s_xy, s_x, s_y, total)`` with s = sum of n log2 n."""
+def entropy_sums(counted: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """``(column, s_xy, s_x, s_y, total)`` with s = sum of n log2 n; one row per feature."""
     joint = checkpointed(
         unpivot(counted.withColumn("_y", F.col(f"`{label}`").cast("string")), features, ["_y", "n"])
         .groupBy("column", "value", "_y")
@@ -37,18 +37,22 @@ def _entropy_sums(counted: DataFrame, features: Sequence[str], label: str) -> Da
         .groupBy("column").agg(F.sum(xlog2(F.col("n"))).alias(name))
     )
     xy = joint.groupBy("column").agg(F.sum(xlog2(F.col("n"))).alias("s_xy"), F.sum("n").alias("total"))
-    return xy.join(by(["value"], "s_x"), "column").join(by(["_y"], "s_y"), "column")
+    return checkpointed(xy.join(by(["value"], "s_x"), "column").join(by(["_y"], "s_y"), "column"))
 
 
-def mutual_information(counted: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def mutual_information(
+    counted: DataFrame, features: Sequence[str], label: str, sums: DataFrame | None = None
+) -> DataFrame:
     """``(column, mi)`` in bits between each feature and the label."""
-    sums = _entropy_sums(counted, features, label)
+    sums = entropy_sums(counted, features, label) if sums is None else sums
     n = F.col("total")
     mi = F.log2(n) + (F.col("s_xy") - F.col("s_x") - F.col("s_y")) / n
     return sums.select("column", metric(mi).alias("mi"))
 
 
-def conditional_mutual_information(counted: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def conditional_mutual_information(
+    counted: DataFrame, features: Sequence[str], label: str, sums: DataFrame | None = None
+) -> DataFrame:
     """``(a, b, cmi)`` in bits given the label, for every feature pair with a < b by name."""
     names = sorted(features)
     text = lambda c: F.col(f"`{c}`").cast("string")
@@ -64,7 +68,7 @@ def conditional_mutual_information(counted: DataFrame, features: Sequence[str],
         long.groupBy("a", "b", "va", "vb", "_y").agg(F.sum("n").alias("n"))
         .groupBy("a", "b").agg(F.sum(xlog2(F.col("n"))).alias("s_xzy"))
     )
-    sums = checkpointed(_entropy_sums(counted, features, label))  # one row per feature
+    sums = entropy_sums(counted, features, label) if sums is None else sums
     left = sums.select(F.col("column").alias("a"), F.col("s_xy").alias("s_ay"), "s_y", "total")
     right = sums.select(F.col("column").alias("b"), F.col("s_xy").alias("s_by"))
     joined = triple.join(F.broadcast(left), "a").join(F.broadcast(right), "b")

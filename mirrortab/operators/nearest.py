@@ -32,9 +32,9 @@ from mirrortab.operators.divergence import sides
 from mirrortab.operators.encode import encode, fit_dictionary
 from mirrortab.operators.scalers import fit_moments, standardize
 
-MAX_PIVOTS = 4096
+MAX_PIVOTS = 65_536
 BLOCK_ROWS = 4096
-_STEP = 256
+_CELLS = 4_000_000  # distances a task holds at a time
 _SLACK = 1e-9
 
 
@@ -69,6 +69,10 @@ def _matrix(column: pd.Series, dtype) -> np.ndarray:
     return np.array(rows, dtype=dtype).reshape(len(rows), width)
 
 
+def _step(width: int) -> int:
+    return max(1, _CELLS // max(width, 1))
+
+
 def _distances(a_num, a_cat, b_num, b_cat) -> np.ndarray:
     """Distance matrix, from differences so that near rows keep their precision."""
     square = np.zeros((len(a_num), len(b_num)))
@@ -91,8 +95,9 @@ def _to_pivots(points: DataFrame, pivots, extra: str) -> DataFrame:
                 continue
             num, cat = _matrix(pdf["nums"], float), _matrix(pdf["cats"], np.int32)
             cell, near = [], []
-            for at in range(0, len(pdf), _STEP):
-                d = _distances(num[at : at + _STEP], cat[at : at + _STEP], p_num, p_cat)
+            step = _step(len(p_num))
+            for at in range(0, len(pdf), step):
+                d = _distances(num[at : at + step], cat[at : at + step], p_num, p_cat)
                 best = d.argmin(axis=1)
                 cell.append(best)
                 near.append(d[np.arange(len(d)), best])
@@ -117,8 +122,9 @@ def _visits(open_rows: DataFrame, pivots, cells: dict[int, tuple[float, float]],
                 continue
             num, cat = _matrix(pdf["nums"], float), _matrix(pdf["cats"], np.int32)
             own, best = pdf["cell"].to_numpy(), pdf["best"].to_numpy()
-            for at in range(0, len(pdf), _STEP):
-                rows = slice(at, at + _STEP)
+            step = _step(len(p_num))
+            for at in range(0, len(pdf), step):
+                rows = slice(at, at + step)
                 d = _distances(num[rows], cat[rows], p_num, p_cat)
                 near = d[np.arange(len(d)), own[rows]]
                 between = _distances(p_num[own[rows]], p_cat[own[rows]], p_num, p_cat)
@@ -140,9 +146,10 @@ def _block_minimum(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"sid": pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
     a_num, a_cat = _matrix(left["nums"], float), _matrix(left["cats"], np.int32)
     b_num, b_cat = _matrix(right["nums"], float), _matrix(right["cats"], np.int32)
+    step = _step(len(right))
     found = [
-        _distances(a_num[at : at + _STEP], a_cat[at : at + _STEP], b_num, b_cat).min(axis=1)
-        for at in range(0, len(left), _STEP)
+        _distances(a_num[at : at + step], a_cat[at : at + step], b_num, b_cat).min(axis=1)
+        for at in range(0, len(left), step)
     ]
     return pd.DataFrame({"sid": left["sid"].to_numpy(), "d": np.concatenate(found)})
 

@@ -15,6 +15,7 @@ from pyspark.sql.types import (
 )
 
 from mirrortab.operators.clean import is_numeric
+from mirrortab.operators.core import with_scalars
 from mirrortab.operators.divergence import label_tv_distance
 
 # Thresholds of the inference rules.
@@ -165,7 +166,7 @@ def check_compatibility(
     features = profile.where(F.col("role") == "feature").agg(
         F.sum(F.when(F.col("kind") == "numeric", 0).otherwise(1)).alias("not_numeric")
     )
-    one = task.limit(1).crossJoin(features)  # one row each
+    one = with_scalars(task.limit(1), features)
     checks = []
     for model, need in requirements.items():
         message = F.lit("ok")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.operators.core import fit_table, sized_broadcast, unpivot
+from mirrortab.operators.core import fit_table, sized_broadcast, unpivot, with_scalars
 
 
 def missing_classes(real: DataFrame, synth: DataFrame, label: str) -> DataFrame:
@@ -50,8 +50,8 @@ def category_coverage_repair(
     seen = lambda df: unpivot(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
     absent = seen(real).join(seen(synth).drop("_n"), ["column", "value"], "left_anti").drop("_n")
     row = F.struct(*[F.col(f"`{c}`") for c in synth.columns])
-    template = synth.agg(F.max_by(row, F.col(key)).alias("_row"))  # one row
-    patched = absent.crossJoin(F.broadcast(template)).select(
+    template = synth.agg(F.max_by(row, F.col(key)).alias("_row"))
+    patched = with_scalars(absent, template).select(
         *[
             (
                 F.when(F.col("column") == c, F.col("value").cast(synth.schema[c].dataType)).otherwise(F.col(f"_row.`{c}`"))

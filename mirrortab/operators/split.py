@@ -10,12 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.functions import row_hash
 from mirrortab.operators.core import (
-    FitTable, fit_table, lookup, measure, rank_cutoffs, running_total,
+    checkpointed, fit_table, hash_histogram, lookup, rank_cutoffs, running_total, with_scalars,
 )
 
 COPY_BLOCK = 100_000
@@ -47,11 +47,14 @@ def split_counts(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
     The total is ``ceil(rows * test_size)``.  If a class has a single row the split is not
     stratified and ``n_test`` is null.
     """
-    counts = df.groupBy(F.col(f"`{label}`").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return _quota(df.groupBy(F.col(f"`{label}`").alias("label")).agg(F.count(F.lit(1)).alias("n")), test_size)
+
+
+def _quota(counts: DataFrame, test_size: float) -> DataFrame:
     summed = counts.agg(F.sum("n").alias("_total"), F.min("n").alias("_least"))
     target = F.ceil(F.col("_total") * F.lit(test_size))
     share = F.col("n") * target / F.col("_total")
-    rows = counts.crossJoin(F.broadcast(summed)).select(  # one row of totals
+    rows = with_scalars(counts, summed).select(
         "label", "n", "_least", target.alias("_target"),
         F.floor(share).alias("_base"), F.round(share - F.floor(share), 9).alias("_rest"),
     )
@@ -60,7 +63,7 @@ def split_counts(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
         ["_all"], [F.desc("_rest"), F.col("label")], "_one", "_pos",
     )
     base = ranked.agg(F.sum("_base").alias("_given"))
-    return ranked.crossJoin(F.broadcast(base)).select(  # one row
+    return with_scalars(ranked, base).select(
         "label", "n",
         F.when(
             F.col("_least") >= 2,
@@ -69,18 +72,35 @@ def split_counts(df: DataFrame, label: str, test_size: float = 0.2) -> DataFrame
     )
 
 
-def _part_of(df: DataFrame, group: Sequence[str], hashed: Column, targets: DataFrame, out: str) -> DataFrame:
-    """Add ``out``: how many of its group's cutoffs lie below the row's hash."""
-    group = list(group)
-    keyed = df.withColumn("_hash", hashed)
-    cuts = rank_cutoffs(keyed.select(*group, "_hash"), group, "_hash", targets)
-    packed = fit_table(cuts.groupBy(*group).agg(F.sort_array(F.collect_list("cut_hash")).alias("_cuts")))
-    if group:
-        joined = lookup(keyed, packed, group, "left")
-    else:
-        joined = keyed.join(F.broadcast(packed.df), F.lit(True), "left")  # a single row
-    below = F.size(F.filter(F.coalesce(F.col("_cuts"), F.array().cast("array<string>")), lambda c: c < F.col("_hash")))
-    return joined.withColumn(out, below).drop("_hash", "_cuts")
+class _Ranked:
+    """Rows with their hash and group, and the hash histogram that also gives the sizes."""
+
+    def __init__(self, df: DataFrame, group: Column, seed: int, key: Sequence[str]) -> None:
+        self.columns = df.columns
+        self.rows = df.withColumn("_group", group).withColumn("_hash", row_hash(seed, *key))
+        self.narrow = self.rows.select("_group", "_hash")
+        self.histogram = hash_histogram(self.narrow, ["_group"], "_hash")
+
+    def sizes(self) -> DataFrame:
+        return self.histogram.groupBy(F.col("_group").alias("label")).agg(F.sum("_n").alias("n"))
+
+    def total(self) -> int:
+        return int(self.histogram.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+
+    def parts(self, targets: DataFrame, out: str) -> DataFrame:
+        """Add ``out``: how many of the cutoffs at ``(_group, cut, rank)`` lie below the row.
+
+        A cutoff at rank 0 lies below every row of its group.
+        """
+        cuts = rank_cutoffs(self.narrow, ["_group"], "_hash", targets, self.histogram)
+        at_zero = targets.where(F.col("rank") < 1).select("_group", "cut", F.lit("").alias("cut_hash"))
+        packed = fit_table(
+            cuts.unionByName(at_zero).groupBy("_group").agg(F.sort_array(F.collect_list("cut_hash")).alias("_cuts"))
+        )
+        joined = lookup(self.rows, packed, ["_group"])
+        none = F.array().cast("array<string>")
+        below = F.size(F.filter(F.coalesce(F.col("_cuts"), none), lambda c: c < F.col("_hash")))
+        return joined.select(*[F.col(f"`{c}`") for c in self.columns], below.alias(out))
 
 
 def stratified_split(
@@ -88,56 +108,44 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` = ``train`` or ``test``; falls back to an unstratified split when a
     class has a single row.  ``key`` must be unique (see ``with_row_identity``)."""
-    counts = fit_table(split_counts(df, label, test_size))
-    total = counts.df.agg(F.sum("n").alias("n"), F.sum("n_test").alias("t"), F.min("n").alias("least")).first()
+    ranked = _Ranked(df, F.col(f"`{label}`"), seed, key)
+    quota = checkpointed(_quota(ranked.sizes(), test_size))
+    total = quota.agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
     if total["n"] is None:
         return df.withColumn(out, F.lit("train"))
-    group: list[str] = []
-    work = df
     if total["least"] >= 2:
-        group = ["_label"]
-        work = df.withColumn("_label", F.col(f"`{label}`"))
-        targets = counts.df.select(F.col("label").alias("_label"), F.lit(0).alias("cut"), F.col("n_test").alias("rank"))
-        flagged = _part_of(work, group, row_hash(seed, *key), targets, "_part")
-        # classes without a test row have no cutoff: all their rows are train rows
-        quota = FitTable(counts.df.select(F.col("label").alias("_label"), "n_test"), counts.rows, counts.bytes)
-        flagged = lookup(flagged, quota, group, "left")
-        is_test = (F.col("_part") == 0) & (F.coalesce(F.col("n_test"), F.lit(0)) > 0)
-        return flagged.withColumn(out, F.when(is_test, "test").otherwise("train")).drop("_label", "_part", "n_test")
-    test_rows = math.ceil(total["n"] * test_size)
-    targets = df.sparkSession.createDataFrame([(0, test_rows)], "cut int, rank long")
-    flagged = _part_of(work, group, row_hash(seed, *key), targets, "_part")
-    return flagged.withColumn(out, F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
+        targets = quota.select(F.col("label").alias("_group"), F.lit(0).alias("cut"), F.col("n_test").alias("rank"))
+    else:
+        ranked = _Ranked(df, F.lit(0), seed, key)
+        targets = _targets(df, [math.ceil(total["n"] * test_size)])
+    parted = ranked.parts(targets, "_part")
+    return parted.withColumn(out, F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
+
+
+def _targets(df: DataFrame, ranks: Sequence[int]) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [(0, i, r) for i, r in enumerate(ranks)], "_group int, cut int, rank bigint"
+    )
 
 
 def stratified_kfold(
     df: DataFrame, label: str, key: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold"
 ) -> DataFrame:
     """Add ``fold`` in ``0..k-1``; within each class the folds differ by at most one row."""
-    counts = df.groupBy(F.col(f"`{label}`").alias("_label")).agg(F.count(F.lit(1)).alias("n"))
-    targets = counts.select(
-        "_label", "n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("cut")
-    ).select("_label", "cut", F.floor(F.col("n") * F.col("cut") / k).alias("rank"))
-    work = df.withColumn("_label", F.col(f"`{label}`"))
-    # a class smaller than k has cutoffs at rank 0, which every row lies above
-    empty = fit_table(targets.where(F.col("rank") < 1).groupBy("_label").agg(F.count(F.lit(1)).cast("int").alias("_empty")))
-    parted = _part_of(work, ["_label"], row_hash(seed, *key), targets, out)
-    return (
-        lookup(parted, empty, ["_label"], "left")
-        .withColumn(out, F.col(out) + F.coalesce(F.col("_empty"), F.lit(0)))
-        .drop("_label", "_empty")
-    )
+    if k < 2:
+        return df.withColumn(out, F.lit(0))
+    ranked = _Ranked(df, F.col(f"`{label}`"), seed, key)
+    targets = ranked.sizes().select(
+        F.col("label").alias("_group"), "n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("cut")
+    ).select("_group", "cut", F.floor(F.col("n") * F.col("cut") / k).alias("rank"))
+    return ranked.parts(targets, out)
 
 
 def partition_disjoint(df: DataFrame, key: Sequence[str], parts: int, seed: int = 42, out: str = "part") -> DataFrame:
     """Shuffle rows into disjoint parts of equal size; the last takes the remainder."""
-    size = df.count() // parts
-    if size == 0:
-        return df.withColumn(out, F.lit(parts - 1))
-    targets = df.sparkSession.createDataFrame(
-        [(i, i * size) for i in range(1, parts)] or [(0, 0)], "cut int, rank long"
-    )
-    return _part_of(df, [], row_hash(seed, *key), targets, out)
+    ranked = _Ranked(df, F.lit(0), seed, key)
+    size = ranked.total() // parts
+    return ranked.parts(_targets(df, [i * size for i in range(1, parts)]), out)
 
 
 def sample_rows(
@@ -146,13 +154,8 @@ def sample_rows(
     """Exactly ``n`` rows, or ``int(rows * fraction)``, without replacement."""
     if (n is None) == (fraction is None):
         raise ValueError("give either n or fraction")
-    if n is None:
-        n = int(df.count() * fraction)
-    if n <= 0:
-        return df.limit(0)
-    targets = df.sparkSession.createDataFrame([(0, n)], "cut int, rank long")
-    hashed = df.withColumn("_hash", row_hash(seed, *key))
-    cut = rank_cutoffs(hashed.select("_hash"), [], "_hash", targets)
-    last = cut.first()
-    kept = df if last is None else hashed.where(F.col("_hash") <= last["cut_hash"]).drop("_hash")
-    return kept
+    ranked = _Ranked(df, F.lit(0), seed, key)
+    total = ranked.total()
+    n = int(total * fraction) if n is None else min(n, total)
+    parted = ranked.parts(_targets(df, [n]), "_part")
+    return parted.where(F.col("_part") == 0).drop("_part")

@@ -50,7 +50,7 @@ def _add_term(rows: DataFrame, model: KdbModel, column: str, child: str) -> Data
     if not sized.broadcastable:
         sized = fit_table(table)
         sized = FitTable(sized.df, sized.rows, sized.rows * card * 8)
-    found = lookup(rows.withColumn("_key", key), sized, ["_key"], "left")
+    found = lookup(rows.withColumn("_key", F.when(F.col("_total").isNotNull(), key)), sized, ["_key"], "left")
     summed = F.zip_with("_total", "_scores", lambda a, b: a + b)
     return found.withColumn("_total", F.coalesce(summed, F.col("_total"))).drop("_key", "_scores")
 
@@ -70,7 +70,9 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
         if card == 0:
             continue
         children = [c for c in model.order if column == model.target or column in model.parents[c]]
-        scored = rows.withColumn("_total", F.array_repeat(F.lit(0.0), card))
+        # rows that have the cell carry no scores, so nothing is computed for them
+        zeros = F.array(*[F.lit(0.0)] * card) if card <= 64 else F.array_repeat(F.lit(0.0), card)
+        scored = rows.withColumn("_total", F.when(F.col(column).isNull(), zeros))
         for c in [column, *children]:
             scored = _add_term(scored, model, column, c)
         if seed is None:

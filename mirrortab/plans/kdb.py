@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from mirrortab.functions import uniform01
 from mirrortab.operators.core import FitTable, checkpointed, fit_table, lookup, measure
 from mirrortab.operators.cpt import conditional_counts
-from mirrortab.operators.encode import Dictionary, decode, encode, fit_dictionary
+from mirrortab.operators.encode import Dictionary, column_sizes, decode, encode, fit_dictionary
 from mirrortab.operators.information import (
-    compact, conditional_mutual_information, feature_parents, kdb_edges, mi_ranking, mutual_information,
+    compact, conditional_mutual_information, entropy_sums, feature_parents, kdb_edges, mi_ranking, mutual_information,
 )
 from mirrortab.operators.sampling import interval_lookup, intervals, resample_by_weight
 
@@ -75,12 +75,7 @@ def _group_sizes(cpt: DataFrame) -> dict[str, tuple[int, int]]:
 def load_kdb(spark: SparkSession, path: str) -> KdbModel:
     names = spark.read.parquet(f"{path}/columns").orderBy("pos").collect()
     table = spark.read.parquet(f"{path}/dictionary")
-    sizes = {
-        r["column"]: (r["rows"], r["bytes"])
-        for r in table.groupBy("column").agg(
-            F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes")
-        ).collect()
-    }
+    sizes = column_sizes(table)
     features, target = [r["column"] for r in names[:-1]], names[-1]["column"]
     cpt = measure(spark.read.parquet(f"{path}/cpt"))
     return KdbModel(
@@ -103,11 +98,12 @@ def fit_kdb(df: DataFrame, target: str | None = None, k: int = 2, edges: Sequenc
     dictionary = fit_dictionary(df, columns)
     counted = compact(encode(df.select(*columns), dictionary, columns), columns)
     rows = int(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    ranking = checkpointed(mi_ranking(mutual_information(counted, features, target)))
+    sums = entropy_sums(counted, features, target)
+    ranking = mi_ranking(mutual_information(counted, features, target, sums))
     order = [r["column"] for r in ranking.orderBy("rank").collect()]
     if edges is None:
         if k > 0:
-            cmi = conditional_mutual_information(counted, features, target)
+            cmi = conditional_mutual_information(counted, features, target, sums)
             edges = [(r["parent"], r["child"]) for r in kdb_edges(ranking, cmi, target, k).collect()]
         else:
             edges = [(target, c) for c in features]

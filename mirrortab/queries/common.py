@@ -24,7 +24,7 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
 def lineitem_split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Train and test rows of the supervised lineitem table."""
     rows = lineitem(spark, sf).select(*LINE_KEY, *LINE_FEATURES, LINE_TARGET)
-    marked = stratified_split(rows, LINE_TARGET, LINE_KEY)
+    marked = checkpointed(stratified_split(rows, LINE_TARGET, LINE_KEY))
     part = lambda p: marked.where(F.col("split") == p).select(*LINE_FEATURES, LINE_TARGET)
     return part("train"), part("test")
 

@@ -25,7 +25,7 @@ _ORDERS_SPLIT = split_sql("orders", "o_orderstatus", ["o_orderkey"])
 
 
 def _orders_split(spark, sf):
-    marked = stratified_split(read_table(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"])
+    marked = checkpointed(stratified_split(read_table(spark, sf, "orders"), "o_orderstatus", ["o_orderkey"]))
     return marked.where(F.col("split") == "train"), marked.where(F.col("split") == "test")
 
 
@@ -76,7 +76,7 @@ d AS (SELECT s.c_custkey, min(sqrt(((s.c_acctbal - r.c_acctbal) / sa) ** 2 + ((s
 SELECT 'dcr_mean' AS metric, round(avg(d), 6) AS value FROM d
 UNION ALL SELECT 'dcr_p5', round(quantile_cont(d, 0.05), 6) FROM d""")
 def dcr(spark, sf):
-    marked = stratified_split(read_table(spark, sf, "customer"), "c_mktsegment", ["c_custkey"])
+    marked = checkpointed(stratified_split(read_table(spark, sf, "customer"), "c_mktsegment", ["c_custkey"]))
     part = lambda p: marked.where(F.col("split") == p)
     return nearest.dcr(part("train"), part("test"), ["c_acctbal", "c_nationkey", "c_mktsegment"])
 
@@ -192,14 +192,14 @@ def tstr_report(spark, sf):
 
 @query("tstr_report_binary")
 def tstr_report_binary(spark, sf):
-    marked = stratified_split(_labelled(spark, sf), "quality", ["doc_id"])
+    marked = checkpointed(stratified_split(_labelled(spark, sf), "quality", ["doc_id"]))
     part = lambda p: marked.where(F.col("split") == p).select("n_chars", "n_words", "lang", "quality")
     return utility.tstr_report(part("train"), part("test"), "quality", ["LR", "MLP", "GBT"], max_iter=30)
 
 
 @query("utility_regression")
 def utility_regression(spark, sf):
-    marked = stratified_split(lineitem(spark, sf), LINE_TARGET, LINE_KEY)
+    marked = checkpointed(stratified_split(lineitem(spark, sf), LINE_TARGET, LINE_KEY))
     part = lambda p: marked.where(F.col("split") == p).select("l_quantity", "l_discount", "l_linestatus", "l_extendedprice")
     return utility.utility_regression(part("train"), part("test"), "l_extendedprice", trees=5)
 
