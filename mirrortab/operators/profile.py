@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import warnings
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ByteType, DataType, DateType, DoubleType, FloatType, IntegerType, IntegralType, LongType,
-    NumericType, ShortType, StringType, TimestampNTZType, TimestampType, BooleanType,
+    BooleanType, DataType, DateType, DoubleType, FloatType, IntegralType, NumericType, StringType,
+    TimestampNTZType, TimestampType,
 )
 
 from mirrortab.operators.clean import is_numeric

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.operators.core import fit_table, sized_broadcast, unpivot, with_scalars
+from mirrortab.operators.core import fit_table, lookup, sized_broadcast, unpivot, with_scalars
+from mirrortab.operators.encode import fit_dictionary
 
 
 def missing_classes(real: DataFrame, synth: DataFrame, label: str) -> DataFrame:
@@ -66,9 +67,6 @@ def category_coverage_repair(
 
 def filter_unseen_labels(train: DataFrame, test: DataFrame, label: str, out: str = "label_code") -> DataFrame:
     """Test rows whose label occurs in train, with the train's label code added."""
-    from mirrortab.operators.core import lookup
-    from mirrortab.operators.encode import fit_dictionary
-
     known = fit_dictionary(train.where(F.col(label).isNotNull()).select(label), [label])
     keyed = test.where(F.col(label).isNotNull()).withColumn("_v", F.col(label).cast("string"))
     return lookup(keyed, known.column(label, "_v", out), ["_v"], "inner").drop("_v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mirrortab.functions import first_number, format_cell, row_hash
 from mirrortab.operators.clean import PLACEHOLDER
-from mirrortab.operators.core import FitTable, fit_table
+from mirrortab.operators.core import fit_table
 
 LONGEST_BARE_VALUE = 30  # fixed value: a value without any delimiter is cut to this length
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.operators.clean import (
-    drop_all_null_columns, fill_with, is_numeric, medians, null_tokens_to_null, numeric_columns, text_columns,
+    drop_all_null_columns, fill_with, medians, null_tokens_to_null, numeric_columns, text_columns,
 )
 from mirrortab.operators.discretize import discretize, fit_bins
 from mirrortab.operators.encode import encode, fit_dictionary

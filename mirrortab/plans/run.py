@@ -18,7 +18,8 @@ from mirrortab.plans.kdb import fit_kdb, load_kdb, sample_conditional, sample_kd
 from mirrortab.plans.marginal import fit_marginal, sample_marginal
 from mirrortab.plans.utility import tstr_report
 from mirrortab.sources.runs import DatasetRegistry, RunPaths, new_run_id, register_dataset
-from mirrortab.sources.tables import write_report, write_split
+from mirrortab.sources.state import load_marginal, save_marginal
+from mirrortab.sources.tables import read_split, write_report, write_split
 
 
 class Synthesizer(Protocol):
@@ -79,6 +80,13 @@ class MarginalSynthesizer:
             raise RuntimeError("fit before sample")
         return sample_marginal(self.model, spark, n, seed)
 
+    def save(self, path: str) -> None:
+        save_marginal(SparkSession.active(), self.model, path)
+
+    def load(self, spark: SparkSession, path: str) -> "MarginalSynthesizer":
+        self.model = load_marginal(spark, path)
+        return self
+
 
 SYNTHESIZERS: dict[str, type] = {"kdb": KdbSynthesizer, "marginal": MarginalSynthesizer}
 
@@ -166,6 +174,23 @@ def run_train_test(
     return reduce(DataFrame.unionByName, reports), generator
 
 
+def evaluate_run(
+    spark: SparkSession, paths: RunPaths, name: str, run_id: str, target: str, key: Sequence[str],
+    evaluations: Mapping[str, Evaluation] | Sequence[str] = ("fidelity",),
+    options: Mapping[str, Mapping[str, object]] | None = None,
+) -> DataFrame:
+    """Evaluate the stored synthetic rows of a run against its stored split."""
+    train, held_out = (read_split(spark, paths.split, part).drop(*key) for part in ("train", "test"))
+    synth = spark.read.parquet(paths.synthetic(name, run_id))
+    chosen = evaluations if isinstance(evaluations, Mapping) else {e: EVALUATIONS[e] for e in evaluations}
+    reports = []
+    for title, evaluation in chosen.items():
+        report = evaluation(train, held_out, synth, target, **dict((options or {}).get(title, {})))
+        write_report(report, paths.report(name, run_id, title, new_run_id("eval")))
+        reports.append(report.select(F.lit(title).alias("evaluation"), "group", "metric", "value"))
+    return reduce(DataFrame.unionByName, reports)
+
+
 def compare_models(reports: Mapping[str, DataFrame]) -> DataFrame:
     """Long reports ``(group, metric, value)`` of several generators side by side."""
     long = reduce(

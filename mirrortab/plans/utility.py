@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.functions import metric
+from mirrortab.operators.clean import numeric_columns
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.encode import encode, fit_dictionary
 from mirrortab.operators.metrics import classification_metrics, regression_metrics, roc_auc
 from mirrortab.operators.privacy import noisy_vote_aggregate
+from mirrortab.operators.profile import infer_task_ratio
 from mirrortab.operators.split import partition_disjoint
 
 CLASSIFIERS = ("LR", "MLP", "RF", "GBT")
@@ -53,7 +55,7 @@ def _features(synth: DataFrame, real: DataFrame, target: str) -> tuple[DataFrame
     """Numbers as they are, categories coded by one dictionary; classes from both tables."""
     features = [c for c in real.columns if c != target]
     both = synth.select(*features, target).unionByName(real.select(*features, target))
-    text = [c for c in features if c not in _numeric(real, features)]
+    text = [c for c in features if c not in numeric_columns(real, features)]
     dictionary = fit_dictionary(both, [*text, target])
     to_codes = lambda df: encode(df.select(*features, target), dictionary, [*text, target]).withColumn(
         "label", F.col(target).cast("double")
@@ -61,12 +63,6 @@ def _features(synth: DataFrame, real: DataFrame, target: str) -> tuple[DataFrame
     return to_codes(synth), to_codes(real), features, dictionary.cardinality(target)
 
 
-def _numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    from mirrortab.operators.clean import numeric_columns
-
-    return numeric_columns(df, cols)
-
-
 def tstr_report(
     synth: DataFrame, real_test: DataFrame, target: str, classifiers: Sequence[str] = CLASSIFIERS,
     trees: int = 100, max_depth: int = DEEPEST_TREE, max_iter: int = 100,
@@ -112,7 +108,7 @@ def utility_regression(
     Categories are one-hot with the values of both tables.
     """
     features = [c for c in real_test.columns if c != target]
-    numeric = _numeric(real_test, features)
+    numeric = numeric_columns(real_test, features)
     text = [c for c in features if c not in numeric]
     both = synth.select(*features).unionByName(real_test.select(*features))
     dictionary = fit_dictionary(both, text) if text else None
@@ -133,6 +129,21 @@ def utility_regression(
     return reduce(DataFrame.unionByName, reports)
 
 
+def utility_check(
+    synth: DataFrame, real_test: DataFrame, target: str, model: str = "lr", task: str | None = None
+) -> DataFrame:
+    """``(model, metric, value)`` of one model; the task follows from the label when not given.
+
+    Text labels and labels with fewer than 20 values are classes, others numbers.
+    """
+    if task is None:
+        task = infer_task_ratio(real_test, [target]).first()["task_by_count"]
+    if task == "regression":
+        return utility_regression(synth, real_test, target, [model if model == "rf" else "lr"])
+    name = {"rf": "RF", "mlp": "MLP"}.get(model, "LR")
+    return tstr_report(synth, real_test, target, [name])
+
+
 def detection_score(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_iter: int = 50) -> DataFrame:
     """``(metric, value)`` of a classifier telling real (1) from synthetic (0) rows.
 
@@ -142,7 +153,7 @@ def detection_score(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_
     cols = list(cols)
     side = lambda df, y: df.select(*cols, F.lit(y).alias("side"))
     both = side(real, 1.0).unionByName(side(synth, 0.0))
-    text = [c for c in cols if c not in _numeric(real, cols)]
+    text = [c for c in cols if c not in numeric_columns(real, cols)]
     coded = encode(both, fit_dictionary(both, text), text) if text else both
     stages = []
     if text:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrortab.functions import row_hash
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.discretize import discretize, fit_bins
 from mirrortab.operators.split import stratified_split

@@ -1,7 +1,5 @@
 """Divergences, nearest records, discrepancy, utility, privacy, comparison, drift."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from mirrortab.operators import divergence, metrics, mmd, nearest, privacy
@@ -81,7 +79,17 @@ def dcr(spark, sf):
     return nearest.dcr(part("train"), part("test"), ["c_acctbal", "c_nationkey", "c_mktsegment"])
 
 
-@query("dcr_lineitem")
+_PTS = ", ".join(LINE_FEATURES)
+_SCALED = " + ".join(f"((s.{c} - r.{c}) / s_{c}) ** 2" for c in LINE_NUMERIC)
+
+
+@query("dcr_lineitem", f"""
+WITH {LINE_SPLIT_SQL}, {_PARTS},
+m AS (SELECT {', '.join(f'stddev_pop({c}) AS s_{c}' for c in LINE_NUMERIC)} FROM _train),
+r AS (SELECT DISTINCT {_PTS} FROM _train), s AS (SELECT {_PTS}, count(*) AS n FROM _test GROUP BY ALL),
+d AS (SELECT s.*, (SELECT min(sqrt({_SCALED} + 2 * (s.l_linestatus <> r.l_linestatus)::INTEGER)) FROM r, m) AS d FROM s),
+x AS (SELECT d FROM d, range(n))
+SELECT 'dcr_mean' AS metric, round(avg(d), 6) AS value FROM x UNION ALL SELECT 'dcr_p5', round(quantile_cont(d, 0.05), 6) FROM x""")
 def dcr_lineitem(spark, sf):
     train, test = lineitem_split(spark, sf)
     return nearest.dcr(train, test, LINE_FEATURES)

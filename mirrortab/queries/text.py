@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from mirrortab.functions import clean_decoded_text, slug
 from mirrortab.operators import rowtext
 from mirrortab.queries import query
-from mirrortab.queries.common import hash_sql
 from mirrortab.sources.tables import read_table
 
 _COLS = ["o_orderpriority", "o_totalprice", "o_orderstatus", "o_custkey"]
