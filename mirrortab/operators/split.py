@@ -19,6 +19,7 @@ from mirrortab.operators.core import (
 )
 
 COPY_BLOCK = 100_000
+INLINE_CUTS = 16
 
 
 def with_row_identity(df: DataFrame, key: str = "row_key") -> DataFrame:
@@ -87,10 +88,11 @@ class _Ranked:
     def total(self) -> int:
         return int(self.histogram.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
 
-    def parts(self, targets: DataFrame, out: str) -> DataFrame:
+    def parts(self, targets: DataFrame, cuts_per_group: int, out: str) -> DataFrame:
         """Add ``out``: how many of the cutoffs at ``(_group, cut, rank)`` lie below the row.
 
-        A cutoff at rank 0 lies below every row of its group.
+        A cutoff at rank 0 lies below every row of its group.  A few cutoffs are compared
+        one by one, inside generated code.
         """
         cuts = rank_cutoffs(self.narrow, ["_group"], "_hash", targets, self.histogram)
         at_zero = targets.where(F.col("rank") < 1).select("_group", "cut", F.lit("").alias("cut_hash"))
@@ -98,8 +100,14 @@ class _Ranked:
             cuts.unionByName(at_zero).groupBy("_group").agg(F.sort_array(F.collect_list("cut_hash")).alias("_cuts"))
         )
         joined = lookup(self.rows, packed, ["_group"])
-        none = F.array().cast("array<string>")
-        below = F.size(F.filter(F.coalesce(F.col("_cuts"), none), lambda c: c < F.col("_hash")))
+        if cuts_per_group <= INLINE_CUTS:
+            below = F.lit(0)
+            for i in range(cuts_per_group):
+                above = F.col("_hash") > F.get("_cuts", F.lit(i))
+                below = below + F.coalesce(above.cast("int"), F.lit(0))
+        else:
+            none = F.array().cast("array<string>")
+            below = F.size(F.filter(F.coalesce(F.col("_cuts"), none), lambda c: c < F.col("_hash")))
         return joined.select(*[F.col(f"`{c}`") for c in self.columns], below.alias(out))
 
 
@@ -118,7 +126,7 @@ def stratified_split(
     else:
         ranked = _Ranked(df, F.lit(0), seed, key)
         targets = _targets(df, [math.ceil(total["n"] * test_size)])
-    parted = ranked.parts(targets, "_part")
+    parted = ranked.parts(targets, 1, "_part")
     return parted.withColumn(out, F.when(F.col("_part") == 0, "test").otherwise("train")).drop("_part")
 
 
@@ -138,14 +146,14 @@ def stratified_kfold(
     targets = ranked.sizes().select(
         F.col("label").alias("_group"), "n", F.explode(F.sequence(F.lit(1), F.lit(k - 1))).alias("cut")
     ).select("_group", "cut", F.floor(F.col("n") * F.col("cut") / k).alias("rank"))
-    return ranked.parts(targets, out)
+    return ranked.parts(targets, k - 1, out)
 
 
 def partition_disjoint(df: DataFrame, key: Sequence[str], parts: int, seed: int = 42, out: str = "part") -> DataFrame:
     """Shuffle rows into disjoint parts of equal size; the last takes the remainder."""
     ranked = _Ranked(df, F.lit(0), seed, key)
     size = ranked.total() // parts
-    return ranked.parts(_targets(df, [i * size for i in range(1, parts)]), out)
+    return ranked.parts(_targets(df, [i * size for i in range(1, parts)]), parts - 1, out)
 
 
 def sample_rows(
@@ -157,5 +165,5 @@ def sample_rows(
     ranked = _Ranked(df, F.lit(0), seed, key)
     total = ranked.total()
     n = int(total * fraction) if n is None else min(n, total)
-    parted = ranked.parts(_targets(df, [n]), "_part")
+    parted = ranked.parts(_targets(df, [n]), 1, "_part")
     return parted.where(F.col("_part") == 0).drop("_part")
