@@ -224,15 +224,9 @@ def rank_cutoffs(
 
 def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type: str = "string") -> DataFrame:
     """Long form ``(keep..., column, value)``: one pass over the rows for all columns."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(as_type).alias("value"))
-            for c in cols
-        ]
-    )
-    return df.select(*keep, F.explode(cells).alias("_cell")).select(
-        *keep, F.col("_cell.column").alias("column"), F.col("_cell.value").alias("value")
-    )
+    cells = [F.col(f"`{c}`").cast(as_type).alias(c) for c in cols]
+    narrow = df.select(*keep, *cells)
+    return narrow.unpivot(list(keep), [F.col(f"`{c}`") for c in cols], "column", "value")
 
 
 def value_counts(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mirrortab.functions import first_number, format_cell, row_hash
 from mirrortab.operators.clean import PLACEHOLDER
-from mirrortab.operators.core import fit_table
+from mirrortab.operators.core import fit_table, lookup
 
 LONGEST_BARE_VALUE = 30  # fixed value: a value without any delimiter is cut to this length
 
@@ -85,19 +85,22 @@ def clean_generated_number(raw: Column) -> Column:
     return F.coalesce(first_number(token), token)
 
 
-def clean_generated_category(df: DataFrame, raw: str, categories: DataFrame, key: str, out: str = "value") -> DataFrame:
+def clean_generated_category(df: DataFrame, raw: str, categories: DataFrame, out: str = "value") -> DataFrame:
     """Generated text matched to a known category without regard to case.
 
     An equal category wins, else the first (in sorted order) that the value contains, else
-    the value itself.  Containment is an equi-join too: a category is contained exactly when
-    it equals one of the value's substrings of a length that some category has.
+    the value itself.  Distinct values are matched once, then looked up.  Containment is an
+    equi-join too: a category is contained exactly when it equals one of the value's
+    substrings of a length that some category has.
     """
     known = fit_table(
         categories.select(F.col(categories.columns[0]).cast("string").alias("_cat"))
-        .where(F.col("_cat").isNotNull()).groupBy(F.lower("_cat").alias("_low")).agg(F.min("_cat").alias("_cat"))
+        .where(F.length("_cat") > 0).groupBy(F.lower("_cat").alias("_low")).agg(F.min("_cat").alias("_cat"))
     )
     lengths = [r[0] for r in known.df.select(F.length("_low")).distinct().collect()]
     rows = df.withColumn("_token", cut_generated_value(F.col(raw)))
+    if not lengths:
+        return rows.withColumn(out, F.col("_token")).drop("_token")
     low = F.lower("_token")
 
     def substrings(n: int) -> Column:
@@ -105,15 +108,11 @@ def clean_generated_category(df: DataFrame, raw: str, categories: DataFrame, key
         found = F.transform(starts, lambda i: F.substr(low, i, F.lit(n)))
         return F.when(F.length(low) >= n, found).otherwise(F.array().cast("array<string>"))
 
-    starts = [substrings(n) for n in sorted(lengths) if n > 0]
-    if not starts:
-        return rows.withColumn(out, F.col("_token")).drop("_token")
-    pieces = rows.select(key, low.alias("_low_token"), F.explode(F.array_distinct(F.flatten(F.array(*starts)))).alias("_low"))
-    dim = F.broadcast(known.df) if known.broadcastable else known.df
-    hits = pieces.join(dim, "_low").groupBy(key).agg(
-        F.min(F.when(F.col("_low") == F.col("_low_token"), F.col("_cat"))).alias("_equal"),
-        F.min("_cat").alias("_inside"),
+    tokens = rows.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    every = F.flatten(F.array(*[substrings(n) for n in sorted(lengths)]))
+    pieces = tokens.select("_token", F.explode(F.array_distinct(every)).alias("_low"))
+    hits = lookup(pieces, known, ["_low"], "inner").groupBy("_token").agg(
+        F.min(F.when(F.col("_low") == low, F.col("_cat"))).alias("_equal"), F.min("_cat").alias("_inside")
     )
-    return rows.join(hits, key, "left").withColumn(
-        out, F.coalesce("_equal", "_inside", "_token")
-    ).drop("_token", "_equal", "_inside")
+    matched = fit_table(hits.select("_token", F.coalesce("_equal", "_inside").alias("_match")))
+    return lookup(rows, matched, ["_token"]).withColumn(out, F.coalesce("_match", "_token")).drop("_token", "_match")

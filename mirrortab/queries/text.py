@@ -88,7 +88,7 @@ def clean_generated_value(spark, sf):
         .otherwise(F.concat(F.lit("  x-"), F.col("o_custkey").cast("string"), F.lit(" units")))
     )
     rows = orders.select("o_orderkey", raw.alias("raw"))
-    matched = rowtext.clean_generated_category(rows, "raw", orders.select("o_orderpriority"), "o_orderkey", "category")
+    matched = rowtext.clean_generated_category(rows, "raw", orders.select("o_orderpriority"), "category")
     return matched.select("o_orderkey", "category", rowtext.clean_generated_number(F.col("raw")).alias("number"))
 
 

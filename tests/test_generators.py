@@ -234,7 +234,7 @@ def test_generated_values_are_cleaned(spark):
     number = [r[0] for r in df.orderBy("k").select(rowtext.clean_generated_number(F.col("r"))).collect()]
     assert number[2:4] == ["12", "-3"] and number[0] == "Private"
     cats = spark.createDataFrame([("Private",), ("Priv",), ("Self",), (None,)], "c string")
-    got = [r["value"] for r in rowtext.clean_generated_category(df, "r", cats, "k").orderBy("k").collect()]
+    got = [r["value"] for r in rowtext.clean_generated_category(df, "r", cats).orderBy("k").collect()]
     assert got[:2] == ["Private", "Private"] and got[3] == "-3"
     inside = spark.createDataFrame([(1, "MyPrivateJob")], "k int, r string")
-    assert rowtext.clean_generated_category(inside, "r", cats, "k").first()["value"] == "Priv"
+    assert rowtext.clean_generated_category(inside, "r", cats).first()["value"] == "Priv"

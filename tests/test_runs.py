@@ -141,3 +141,47 @@ def test_label_drift_of_a_stream(spark, tmp_path):
     reference = label_distribution(df, "label")
     got = {r["window_start"].day: (r["n"], r["tv"]) for r in label_drift(spark.read.parquet(sink), reference).collect()}
     assert got == {1: (2, 0.25), 2: (2, 0.25)}
+
+
+def test_fitted_state_round_trips(spark, tmp_path):
+    from mirrortab.operators import encode as enc
+    from mirrortab.operators.discretize import discretize, fit_bins
+    from mirrortab.operators.scalers import fit_moments
+    from mirrortab.plans.marginal import fit_marginal, sample_marginal
+    from mirrortab.sources import state
+
+    df = spark.createDataFrame([(float(i), None if i == 3 else i % 4, "ab"[i % 2], 7) for i in range(60)], "x double, n int, t string, k int")
+    dictionary = enc.fit_dictionary(df, ["t", "n"])
+    state.save_dictionary(dictionary, f"{tmp_path}/d")
+    again = state.load_dictionary(spark, f"{tmp_path}/d")
+    assert again.sizes == dictionary.sizes and again.types == dictionary.types
+    coded = lambda d: sorted(map(tuple, enc.encode(df, d, ["t", "n"]).collect()))
+    assert coded(again) == coded(dictionary)
+    bins = fit_bins(df, ["x", "n", "k"], 5)
+    state.save_bins(spark, bins, f"{tmp_path}/b")
+    loaded = state.load_bins(spark, f"{tmp_path}/b")
+    assert loaded == bins and discretize(df, loaded).first() == discretize(df, bins).first()
+    moments = fit_moments(df, ["x", "n"])
+    state.save_moments(spark, moments, f"{tmp_path}/m")
+    assert state.load_moments(spark, f"{tmp_path}/m") == moments
+    model = fit_marginal(df.select("x", "t"))
+    state.save_marginal(spark, model, f"{tmp_path}/g")
+    rows = lambda m: sorted(map(tuple, sample_marginal(m, spark, 50).collect()))
+    assert rows(state.load_marginal(spark, f"{tmp_path}/g")) == rows(model)
+
+
+def test_stored_run_is_evaluated_again(spark, tmp_path):
+    root = str(tmp_path / "store")
+    first, _ = run.run_train_test(_small(spark, 40), "y", ["id"], "kdb", ["fidelity"], dataset="again", root=root)
+    version = os.listdir(f"{root}/datasets/again")[0]
+    run_id = os.listdir(f"{root}/models")[0].split("_", 2)[2]
+    second = run.evaluate_run(spark, runs.RunPaths(root, "again", version), "kdb", run_id, "y", ["id"])
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+
+
+def test_single_model_check_picks_the_task(spark):
+    df = _separable(spark, 120)
+    classes = {r["metric"]: r["value"] for r in utility.utility_check(df, df, "y").collect()}
+    assert classes["accuracy"] == 1.0
+    numbers = spark.createDataFrame([(float(i), 2.0 * i) for i in range(60)], "x double, y double")
+    assert {r["metric"]: r["value"] for r in utility.utility_check(numbers, numbers, "y").collect()}["r2"] > 0.999
