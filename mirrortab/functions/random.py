@@ -28,8 +28,8 @@ def row_hash(seed: int | str, *keys: Column | str) -> Column:
 
 
 def hash_bucket(hashed: Column | str) -> Column:
-    """Leading hex digits of a :func:`row_hash` as an integer; keeps the hash order."""
-    return F.conv(F.substring(_col(hashed), 1, HASH_BUCKET_HEX_DIGITS), 16, 10).cast("int")
+    """Leading hex digits of a :func:`row_hash`; as text they keep the hash order."""
+    return F.substring(_col(hashed), 1, HASH_BUCKET_HEX_DIGITS)
 
 
 def uniform01(seed: int | str, key: Column | str, stream: str = "") -> Column:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from mirrortab.operators.core import fit_table, lookup, with_scalars
 
-CELL_LIMIT = 100_000_000
-
 
 def cross_table(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
     """Observed combinations with their count ``n`` or summed weight ``w``."""
@@ -32,10 +30,12 @@ def cpt(df: DataFrame, child: str, parents: Sequence[str], n: str | None = None)
 
 
 def dense_cells(df: DataFrame, cards: Mapping[str, int]) -> DataFrame:
-    """Every combination of codes ``0..card-1``: a numbered range split into digits."""
+    """Every combination of codes ``0..card-1``: a numbered range split into digits.
+
+    The dense form is as large as the product of the cardinalities; ``cpt`` and
+    ``conditional_counts`` keep to the combinations that occur.
+    """
     cells = prod(cards.values())
-    if cells > CELL_LIMIT:
-        raise ValueError(f"{cells} cells: keep the table in observed form")
     rest = F.col("id")
     digits = {}
     for c, card in reversed(list(cards.items())):

@@ -147,7 +147,7 @@ def infer_schema(df: DataFrame) -> DataFrame:
         named(is_text | (n <= LOW_CARDINALITY)).alias("kind_low_count"),
         F.when(is_text, "categorical").when(is_int, "discrete").otherwise("continuous").alias("kind_by_type"),
         F.col("min").alias("min_value"), F.col("max").alias("max_value"),
-        F.round("avg", 9).alias("mean_value"), F.round("std", 9).alias("std_value"),
+        F.round("avg", 7).alias("mean_value"), F.round("std", 7).alias("std_value"),
     )
 
 

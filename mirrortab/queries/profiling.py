@@ -65,7 +65,7 @@ def _schema_sql() -> str:
         stats = (
             "NULL::DOUBLE AS min_value, NULL::DOUBLE AS max_value, NULL::DOUBLE AS mean_value, NULL::DOUBLE AS std_value"
             if kind == "text"
-            else f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 9) AS mean_value, round(stddev_samp({c}), 9) AS std_value"
+            else f"min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, round(avg({c}), 7) AS mean_value, round(stddev_samp({c}), 7) AS std_value"
         )
         rows.append(
             f"SELECT '{c}' AS \"column\", {u} AS n_unique, CASE WHEN {share} THEN 'categorical' ELSE 'continuous' END AS kind_low_share, "
