@@ -14,8 +14,8 @@ from mirrortab.plans import kdb, marginal
 from mirrortab.plans.run import run_train_test
 from mirrortab.queries import query
 from mirrortab.queries.common import (
-    LINE_FEATURES, LINE_KEY, LINE_NUMERIC, LINE_TARGET, binned_sql, lineitem, lineitem_binned, metric_sql, uniform_sql,
-    unpivot_sql,
+    LINE_FEATURES, LINE_KEY, LINE_NUMERIC, LINE_TARGET, bin_sql, binned_sql, divergence_sql, lineitem, lineitem_binned,
+    metric_sql, report_sql, split_sql, uniform_sql, unpivot_sql,
 )
 from mirrortab.sources.runs import new_run_id
 from mirrortab.sources.tables import read_table
@@ -68,8 +68,11 @@ cpt AS (SELECT *, (sum(n) OVER w - n) / sum(n) OVER g::DOUBLE AS lo, sum(n) OVER
         FROM cells WINDOW w AS (PARTITION BY feature, config ORDER BY value), g AS (PARTITION BY feature, config))"""
 
 
-def _sample_sql(k: int, fixed_label: str | None = None) -> str:
-    """Forward sampling, unrolled over the features in MI order, in long form."""
+def _sample_sql(k: int, fixed_label: str | None = None, base: str | None = None) -> str:
+    """Forward sampling, unrolled over the features in MI order, in long form.
+
+    ``base`` are CTEs ending in ``binned``.
+    """
     label_u = uniform_sql("id", LINE_TARGET)
     label = (
         f"SELECT id, (SELECT min({LINE_TARGET}) FROM coded JOIN binned USING (rid) WHERE binned.{LINE_TARGET} = '{fixed_label}') AS v FROM ids"
@@ -90,15 +93,14 @@ s{r} AS (SELECT k.id, k.feature, coalesce(c.value, floor(k.u * (SELECT count(DIS
          FROM k{r} k LEFT JOIN cpt c ON c.feature = k.feature AND c.config = k.config AND k.u >= c.lo AND k.u < c.hi)""")
     values = ", ".join(f"max(v) FILTER (feature = '{c}') AS {c}" for c in LINE_FEATURES)
     everything = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(len(LINE_FEATURES)))
-    decode = ", ".join(f"(SELECT any_value(binned.{c}) FROM coded JOIN binned USING (rid) WHERE coded.{c} = w.{c}) AS {c}" for c in _ALL)
     maps = ", ".join(
         f"d_{c} AS (SELECT coded.{c} AS code, any_value(binned.{c}) AS value FROM coded JOIN binned USING (rid) GROUP BY 1)" for c in _ALL
     )
     picks = ", ".join(f"d_{c}.value AS {c}" for c in _ALL)
     joins = " ".join(f"JOIN d_{c} ON d_{c}.code = w.{c}" for c in _ALL)
     return f"""
-WITH {binned_sql()}, {_codes_sql()}, {_information_sql()}, {_edges_sql(k)}, {_cpt_sql()},
-ids AS (SELECT range AS id FROM range((SELECT count(*) FROM lineitem))),
+WITH {base or binned_sql()}, {_codes_sql()}, {_information_sql()}, {_edges_sql(k)}, {_cpt_sql()},
+ids AS (SELECT range AS id FROM range((SELECT count(*) FROM coded))),
 label AS ({label}), {', '.join(steps)},
 w AS (SELECT l.id, l.v AS {LINE_TARGET}, x.* EXCLUDE (id) FROM label l JOIN (SELECT id, {values} FROM ({everything}) GROUP BY 1) x ON x.id = l.id),
 {maps}
@@ -171,7 +173,12 @@ def sample_conditional_feature(spark, sf):
     return kdb.sample_conditional(model, spark, model.rows, {"l_linestatus": "F"})
 
 
-@query("synthesize_kdb")
+_NAMES = ", ".join(_ALL)
+
+
+@query("synthesize_kdb", f"""
+WITH real_rows AS (WITH {binned_sql()} SELECT {_NAMES} FROM binned), synth_rows AS (SELECT {_NAMES} FROM ({_sample_sql(2)})),
+{divergence_sql('real_rows', 'synth_rows', LINE_NUMERIC, ['l_linestatus', LINE_TARGET])} {report_sql('', 5)}""")
 def synthesize_kdb(spark, sf):
     real = checkpointed(lineitem_binned(spark, sf))
     model = kdb.fit_kdb(real, LINE_TARGET, 2)
@@ -425,7 +432,30 @@ def category_coverage_repair(spark, sf):
 
 # ---------------------------------------------------------------- whole run
 
-@query("synthesis_run")
+def _run_sql() -> str:
+    """Split, fit on train, sample, and compare the sample with train."""
+    stats = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in LINE_NUMERIC)
+    bins = ", ".join(f"{bin_sql(c, f'lo_{c}', f'hi_{c}')} AS {c}" for c in LINE_NUMERIC)
+    base = f"""
+_m AS (SELECT {stats} FROM lineitem),
+lines AS (SELECT {', '.join(LINE_KEY)}, {bins}, l_linestatus, l_returnflag FROM lineitem, _m),
+{split_sql('lines', LINE_TARGET, LINE_KEY)},
+binned AS (SELECT row_number() OVER () AS rid, {_NAMES} FROM marked WHERE split = 'train')"""
+    points = ", ".join(LINE_FEATURES)
+    square = " + ".join(f"((s.{c} - r.{c}) / s_{c}) ** 2" for c in LINE_NUMERIC)
+    return f"""
+WITH real_rows AS (WITH {base} SELECT {_NAMES} FROM binned), synth_rows AS (SELECT {_NAMES} FROM ({_sample_sql(2, base=base)})),
+{divergence_sql('real_rows', 'synth_rows', LINE_NUMERIC, ['l_linestatus', LINE_TARGET])},
+spread AS (SELECT {', '.join(f'stddev_pop({c}) AS s_{c}' for c in LINE_NUMERIC)} FROM real_rows),
+r AS (SELECT DISTINCT {points} FROM real_rows), s AS (SELECT {points}, count(*) AS n FROM synth_rows GROUP BY ALL),
+near AS (SELECT s.n, (SELECT min(sqrt({square} + 2 * (s.l_linestatus <> r.l_linestatus)::INTEGER)) FROM r, spread) AS d FROM s),
+x AS (SELECT d FROM near, range(n)),
+report AS ({report_sql('', 5)} UNION ALL SELECT 'summary', 'dcr_mean', round(avg(d), 6) FROM x
+           UNION ALL SELECT 'summary', 'dcr_p5', round(quantile_cont(d, 0.05), 6) FROM x)
+SELECT 'fidelity' AS evaluation, * FROM report"""
+
+
+@query("synthesis_run", _run_sql())
 def synthesis_run(spark, sf):
     rows = lineitem(spark, sf).select(*LINE_KEY, *_ALL)
     binned = discretize(rows, fit_bins(rows, LINE_NUMERIC))
