@@ -242,11 +242,11 @@ bw AS (
   SELECT DISTINCT item, least({WINDOW}, len(w)) AS n, array_to_string(w[i : i + least({WINDOW}, len(w)) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)
 ),
-at AS (
+places AS (
   SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))
 ),
-hit AS (SELECT doc_id, item, i, n FROM at JOIN bw USING (n, g)),
+hit AS (SELECT doc_id, item, i, n FROM places JOIN bw USING (n, g)),
 covered AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit
   FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id
