@@ -6,6 +6,6 @@ from mirrortab.llm import common
 
 
 def load_all() -> tuple[dict, dict]:
-    from mirrortab.llm import bpe, decontaminate, licenses, pii, quality, sharding  # noqa: F401
+    from mirrortab.llm import bpe, decontaminate, licenses, pii, quality, sharding, toxicity  # noqa: F401
 
     return dict(common.QUERIES), dict(common.SQL)
