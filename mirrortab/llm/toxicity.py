@@ -165,18 +165,16 @@ class _Lists:
 
 
 def fit_weights(rows, size: int, fairness: float = FAIRNESS, steps: int = STEPS) -> tuple[np.ndarray, float]:
-    """Minimise log loss + ``fairness`` x mean squared change of the margin + squared weights (Adam)."""
+    """Minimise log loss (either mark weighs half) + ``fairness`` x mean squared change of the margin + squared weights (Adam)."""
     y = np.array([r[0] for r in rows], float)
     x = _Lists([bytes(r[1]) for r in rows])
     origin = [i for i, r in enumerate(rows) for _ in r[2]]
     swapped = _Lists([bytes(s) for r in rows for s in r[2]])
-    w, b = np.zeros(size + 1), 0.0
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    b = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    w[size] = b
+    balance = np.where(y > 0, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max(len(y) - y.sum(), 1)))
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         margin = x.times(w[:size]) + w[size]
-        error = 1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y
+        error = balance * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y)
         grad = np.append(x.back(error, size), error.sum()) / len(y)
         grad[:size] += 2 * SHRINK * w[:size]
         if origin:
