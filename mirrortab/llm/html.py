@@ -192,6 +192,12 @@ LABELLED = (
     (25, 0, 45, 0, 60, 0, 0, 0, 0, 1),
     (7, 0, 3, 1, 60, 0, 0, 0, 0, 1),  # a heading before text
     (5, 0, 60, 0, 45, 0, 0, 0, 0, 1),
+    (3, 0, 8, 0, 70, 0, 0, 0, 0, 1),
+    (3, 0, 2, 1, 60, 0, 0, 0, 0, 1),
+    (2, 0, 60, 0, 30, 0, 0, 0, 0, 1),
+    (3, 0, 0, 0, 60, 0, 0, 0, 0, 1),
+    (2, 0, 70, 0, 0, 0, 0, 0, 0, 1),
+    (1, 0, 45, 0, 45, 0, 0, 0, 0, 1),
     (11, 0, 55, 0, 25, 0, 0, 0, 0, 1),  # a short paragraph between others
     (40, 0, 50, 0, 6, 0, 0, 0, 0, 1),
     (18, 0.1, 35, 0, 9, 0, 0, 0, 0, 1),
