@@ -199,7 +199,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, text: str =
     found = "struct<n_words:bigint,n_base:bigint,first_word:bigint,last_word:bigint,base_labels:string,labels:string,score:double," \
         "spans:array<struct<label:string,first:bigint,end:bigint,covered:double>>>"
     schema = T.StructType([T.StructField(str(i), f.dataType) for i, f in enumerate(kept.schema.fields)])
-    schema = schema.add("found", found)
+    schema = schema.add("found", T.DataType.fromDDL(found))
 
     def run(frames):
         key = (templates, tuple(phrases.items()))
