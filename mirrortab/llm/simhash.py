@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +34,12 @@ from mirrortab.llm.packed import SENT, Members, gathered, part_bits, repeated_ha
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a block.
 BLOCK = 2_048
+#: Blocks that one task computes.
+BLOCKS_OF_TASK = 4
+#: Copies of a component's smallest key that its rows are dealt over when they look it up.
+SALTS = 32
 #: Bits by which the shortened values exceed the number of values: one in 2 ** SPARE meets by chance.
-SPARE = 5
+SPARE = 8
 
 
 def fingerprint(text: str | None) -> int:
@@ -101,7 +105,9 @@ def linked(fps: DataFrame, count: int) -> DataFrame:
     width = min(64, total.bit_length() + SPARE)
     bits = part_bits(total)
     blocks = -(-max(1, count) // BLOCK)
-    placed = fps.select(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(blocks)).alias("block"), "fp")
+    placed = fps.select(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(blocks)).alias("block"), "fp").repartition(
+        -(-blocks // BLOCKS_OF_TASK), "block"
+    )
 
     def balls(key, group):
         own = group.column("fp").to_numpy().view(np.uint64)
@@ -122,45 +128,49 @@ def linked(fps: DataFrame, count: int) -> DataFrame:
 
     answers = repeated_hashes(placed.groupBy("block").applyInArrow(balls, SENT))
     met = placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meetings, "value bigint, fp bigint")
-    met = stored(met, "simhash-meetings")
-    least = met.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("value", "b")
-    return met.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    # a value has 2,081 fingerprints around it at most, so this window's groups are bounded
+    least = F.min("fp").over(Window.partitionBy("value"))
+    return met.withColumn("b", least).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def clustered(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, fp, root`` of every row: ``root`` names the component."""
-    rows = stored(fingerprints(docs), "simhash")
-    fps = stored(rows.select("fp").distinct(), "simhash-distinct")
-    roots = components(linked(fps, fps.count()))
-    return rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root")
-    )
+def clustered(rows: DataFrame, key) -> DataFrame:
+    """``fp, least``: the smallest ``key`` in the component of every fingerprint of ``rows``.
+
+    Keys are reduced by fingerprint before components are joined; the fingerprints of a large
+    component meet copies of its smallest key, so that it needs no task of its own.
+    """
+    own = stored(rows.groupBy("fp").agg(F.min(key).alias("own")), "simhash-own")
+    roots = components(linked(own.select("fp"), own.count()))
+    roots = stored(roots.withColumnRenamed("node", "fp").join(own, "fp"), "simhash-roots")
+    least = roots.groupBy("root").agg(F.min("own").alias("least"))
+    copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = roots.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(copies, ["root", "salt"])
+    return own.join(known.select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "own").alias("least"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
-    rows = stored(clustered(docs), "simhash-clusters")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    rows = stored(fingerprints(docs), "simhash")
+    return rows.join(clustered(rows, F.col("doc_id")), "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the smallest id, then the smallest text hash.
 
-    Nothing but the kept keys meets the texts, in one join.  Only if several rows share a kept key
-    (repeated rows) are those compared with each other.
+    Rows without an id come last.  Nothing but the kept keys meets the texts, in one join.  Only if
+    several rows share a kept key (repeated rows) are those compared with each other.
     """
-    rows = stored(clustered(docs).select("doc_id", "text_hash", "root"), "simhash-clusters")
+    rows = stored(fingerprints(docs), "simhash")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
-    kept = stored(rows.groupBy("root").agg(F.min(key).alias("k")).select("k.*"), "simhash-kept")
+    kept = stored(clustered(rows, key).select("least.*").distinct(), "simhash-kept")
     named = "_".join(["kept", *sorted(docs.columns)])
     keyed = docs.withColumn(named, F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed[named] == kept["text_hash"])
-    out = keyed.join(kept, same, "left_semi")
-    ties = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows["text_hash"] == kept["text_hash"]), "left_semi")
-    if ties.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+    is_kept = lambda df, hashed: df["doc_id"].eqNullSafe(kept["doc_id"]) & (df[hashed] == kept["text_hash"])
+    out = keyed.join(kept, is_kept(keyed, named), "left_semi")
+    ties = rows.join(kept, is_kept(rows, "text_hash"), "left_semi").groupBy("doc_id", "text_hash").count()
+    if ties.where("count > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", named])
     return out.drop(named)
 
