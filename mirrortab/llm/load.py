@@ -6,6 +6,6 @@ from mirrortab.llm import common
 
 
 def load_all() -> tuple[dict, dict]:
-    from mirrortab.llm import bpe, decontaminate, html, licenses, pii, quality, sharding, simhash, toxicity  # noqa: F401
+    from mirrortab.llm import bpe, decontaminate, html, licenses, pii, quality, repeats, sharding, simhash, toxicity  # noqa: F401
 
     return dict(common.QUERIES), dict(common.SQL)
