@@ -1,11 +1,15 @@
-"""All queries of this subpackage."""
+"""All queries of this subpackage, and the pipeline."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from mirrortab.llm import common
 
 
 def load_all() -> tuple[dict, dict]:
     from mirrortab.llm import bpe, decontaminate, html, licenses, pii, quality, repeats, sharding, simhash, toxicity  # noqa: F401
 
-    return dict(common.QUERIES), dict(common.SQL)
+    queries, sql = {**common.QUERIES, "pipeline": corpus_pipeline.run}, dict(common.SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return queries, sql

@@ -175,7 +175,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     classes = mixed.groupBy("anchor", "whole").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")
     )
-    of_class = mixed.join(classes, ["anchor", "whole"]).select(
+    # stored, so that the join below is one that Spark can split where a run is very common
+    of_class = mixed.join(stored(classes, "repeat-classes"), ["anchor", "whole"]).select(
         "k1", "k2", "first", "last", (F.col("n") > 1).alias("full"),
         (F.col("one") == F.struct("k1", "k2", "first")).alias("goes"),
     )

@@ -151,7 +151,8 @@ def clustered(rows: DataFrame, key) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     rows = stored(fingerprints(docs), "simhash")
-    return rows.join(clustered(rows, F.col("doc_id")), "fp").select(
+    # stored, so that the join is one that Spark can split at a fingerprint of very many rows
+    return rows.join(stored(clustered(rows, F.col("doc_id")), "simhash-components"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
