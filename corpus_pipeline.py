@@ -51,8 +51,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``ids``, ``n_tokens`` and ``decoded``."""
     ship(spark)
-    path = bpe.default_path()
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.encode(docs, bpe.default_path(), decoded="decoded")
     return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 

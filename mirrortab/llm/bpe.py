@@ -137,7 +137,7 @@ class Model:
     def compatible(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
             known = self.pairs[left, right] = self._border_stays(left, right, 1 << 60)
         return known
@@ -253,24 +253,29 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with a column of token ids (a column of that name is replaced)."""
+def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with a column of token ids and, if it is named, a column of what they decode to.
+
+    Columns of those names are replaced.  Both are made in one pass, by one model in a worker.
+    """
     shared = vocabulary(docs.sparkSession, path)
-    kept = docs.drop(ids)
+    new = [(ids, T.ArrayType(T.IntegerType())), *([(decoded, T.StringType())] if decoded else [])]
+    kept = docs.drop(*[name for name, _ in new])
     where, columns = kept.columns.index(text), kept.columns
-    numbered = T.StructType(
-        [T.StructField(str(i), f.dataType) for i, f in enumerate(kept.schema.fields)]
-        + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    )
+    kinds = [f.dataType for f in kept.schema.fields] + [kind for _, kind in new]
+    numbered = T.StructType([T.StructField(str(i), kind) for i, kind in enumerate(kinds)])
 
     def run(frames):
         model = model_of(shared)
         for batch in frames:
             for part in slices(batch, where):
-                found = pa.array([model.encode(t) for t in part.column(where).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, found], numbered.names)
+                found = [model.encode(t.as_py()) for t in part.column(where)]
+                made = [pa.array(found, pa.list_(pa.int32()))]
+                if decoded:
+                    made.append(pa.array([model.decode(x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], numbered.names)
 
-    return kept.mapInArrow(run, numbered).toDF(*columns, ids)
+    return kept.mapInArrow(run, numbered).toDF(*columns, *[name for name, _ in new])
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -292,7 +297,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
     return kept.mapInArrow(run, numbered).toDF(*columns, decoded)
 
 
-def slices(batch: pa.RecordBatch, where: int, limit: int = 8_000_000):
+def slices(batch: pa.RecordBatch, where: int, limit: int = 4_000_000):
     """Parts of a batch whose texts hold about ``limit`` bytes at most (one row at least)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(where)), 0).to_pylist()
     start = held = 0
