@@ -13,15 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrortab.llm import bpe, decontaminate, pii, simhash, toxicity
-from mirrortab.llm.common import stored, table
+from mirrortab.llm.common import bounded_batches, stored, table
 from mirrortab.sources.session import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def prepare(spark: SparkSession) -> None:
+    ship(spark)
+    bounded_batches(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the classifier learns from those of ``docs`` that have labels."""
-    ship(spark)
+    prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     score = "_".join(["score", *sorted(docs.columns)])  # a name no column has
     return toxicity.scored(docs, model, to=score).where(F.col(f"`{score}`") < 0.5).drop(score)
@@ -29,19 +34,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
-    ship(spark)
+    prepare(spark)
     return simhash.near_deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too much of the benchmark go."""
-    ship(spark)
+    prepare(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; a column ``n_chars`` follows the text."""
-    ship(spark)
+    prepare(spark)
     done = pii.pseudonymised(docs, pii.EXAMPLE_KEY)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -50,7 +55,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ``ids``, ``n_tokens`` and ``decoded``."""
-    ship(spark)
+    prepare(spark)
     coded = bpe.encode(docs, bpe.default_path(), decoded="decoded")
     return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 

@@ -116,6 +116,11 @@ class Model:
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered, so that an idle worker holds the model only."""
+        self.young, self.old = {}, {}
+        self.pairs.clear()
+
     def _border_stays(self, left: int, right: int, limit: int) -> bool:
         """No merge across the border has a rank below that of the merge it would have to precede.
 
@@ -274,6 +279,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
                 if decoded:
                     made.append(pa.array([model.decode(x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], numbered.names)
+        model.forget()
 
     return kept.mapInArrow(run, numbered).toDF(*columns, *[name for name, _ in new])
 
@@ -337,6 +343,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)], schema.names
             )
+        model.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 

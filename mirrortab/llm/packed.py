@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Hashes of a part, on average.
-PART_HASHES = 4_000_000
+PART_HASHES = 2_000_000
 
 SENT = "part int, block bigint, hashes binary, twice binary"
 ANSWERED = "block bigint, hashes binary"
@@ -57,20 +57,18 @@ def sent(block: int, hashes: np.ndarray, width: int, bits: int) -> pa.Table:
     ``twice`` marks hashes that the block itself holds more than once.
     """
     hashes.sort()
-    first = np.ones(len(hashes), bool)
-    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
-    at = np.flatnonzero(first)
-    distinct = hashes[at]
-    again = np.diff(at, append=len(hashes)) > 1
-    edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist()
-    edges.append(len(distinct))
+    edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(width - bits)).tolist()
+    edges.append(len(hashes))
     rows: dict[str, list] = {"part": [], "block": [], "hashes": [], "twice": []}
     for part, (a, b) in enumerate(zip(edges, edges[1:])):
         if b > a:
+            some = hashes[a:b]
+            at = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+            again = np.diff(at, append=b - a) > 1
             rows["part"].append(part)
             rows["block"].append(block)
-            rows["hashes"].append(packed(distinct[a:b]))
-            rows["twice"].append(np.packbits(again[a:b]).tobytes() if again[a:b].any() else b"")
+            rows["hashes"].append(packed(some[at]))
+            rows["twice"].append(np.packbits(again).tobytes() if again.any() else b"")
     return pa.table([
         pa.array(rows["part"], pa.int32()), pa.array(rows["block"], pa.int64()),
         pa.array(rows["hashes"], pa.binary()), pa.array(rows["twice"], pa.binary()),

@@ -111,7 +111,10 @@ def linked(fps: DataFrame, count: int) -> DataFrame:
 
     def balls(key, group):
         own = group.column("fp").to_numpy().view(np.uint64)
-        return sent(key[0].as_py(), shortened((own[:, None] ^ MASKS).ravel(), width), width, bits)
+        values = np.empty((len(own), len(MASKS)), np.uint64)
+        for at in range(0, len(own), 128):
+            values[at : at + 128] = shortened(own[at : at + 128, None] ^ MASKS, width)
+        return sent(key[0].as_py(), values.ravel(), width, bits)
 
     def meetings(own, answers):
         fps_, met = own.column("fp").to_numpy().view(np.uint64), gathered(answers)
