@@ -61,8 +61,9 @@ def metric(value: Column, decimals: int = METRIC_DECIMALS) -> Column:
 
 
 def try_double(c: Column | str) -> Column:
-    """Numeric coercion: a value that does not parse becomes null."""
-    return (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    """Numeric coercion: a value that does not parse, and NaN, becomes null."""
+    number = (F.col(c) if isinstance(c, str) else c).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def xlog2(n: Column) -> Column:

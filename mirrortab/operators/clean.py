@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, BooleanType, NumericType, StringType
+from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType
 
 from mirrortab.functions import try_double
 from mirrortab.operators.core import exact_quantiles
@@ -34,12 +34,14 @@ def text_columns(df: DataFrame, cols: Sequence[str] | None = None) -> list[str]:
 
 
 def null_tokens_to_null(df: DataFrame, tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """Replace null tokens in string columns by null."""
+    """Replace null tokens in string columns, and NaN in float columns, by null."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, StringType):
             c = F.when(~c.isin(list(tokens)), c)
+        elif isinstance(f.dataType, (DoubleType, FloatType)):
+            c = F.when(~F.isnan(c), c)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -114,5 +116,7 @@ def align_columns(df: DataFrame, real_columns: Sequence[str]) -> DataFrame:
 
 
 def round_clip(c: Column, cardinality: int) -> Column:
-    """Nearest code (half to even) inside ``0 .. cardinality-1``."""
-    return F.greatest(F.lit(0), F.least(F.rint(c), F.lit(cardinality - 1))).cast("int")
+    """Nearest code (half to even) inside ``0 .. cardinality-1``; null and NaN give null."""
+    number = c.cast("double")
+    inside = F.greatest(F.lit(0), F.least(F.rint(number), F.lit(cardinality - 1))).cast("int")
+    return F.when(number.isNotNull() & ~F.isnan(number), inside)

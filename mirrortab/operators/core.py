@@ -102,18 +102,20 @@ def lookup(fact: DataFrame, table: FitTable, on: Sequence[str], how: str = "left
     on = list(on)
     if table.broadcastable:
         return fact.join(F.broadcast(table.df), on, how)
+    known = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in on])
     heavy = checkpointed(
-        fact.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        fact.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         .orderBy(F.desc("_n")).limit(HOT_KEYS).where(F.col("_n") > HOT_ROWS)
         .select(*on, F.lit(SALTS).alias("_salts"))
     )
     spread = F.coalesce(F.col("_salts"), F.lit(1))
     mixed = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns], F.spark_partition_id())
     salted_fact = fact.withColumn("_mix", mixed).join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt", F.pmod("_mix", spread).cast("int")
+        # rows without a key find nothing wherever they go, so they go everywhere
+        "_salt", F.when(known, F.pmod("_mix", spread)).otherwise(F.col("_mix")).cast("bigint")
     ).drop("_mix", "_salts")
     salted_table = table.df.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), spread - 1))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (spread - 1).cast("bigint")))
     ).drop("_salts")
     return salted_fact.join(salted_table, [*on, "_salt"], how).drop("_salt")
 

@@ -97,5 +97,5 @@ def conditional_counts(
         )
         for c, ps in parents.items()
     ]
-    long = counted.select("n", F.explode(F.array(*cells)).alias("_c")).select("n", "_c.*")
+    long = counted.select(F.col("_n").alias("n"), F.explode(F.array(*cells)).alias("_c")).select("n", "_c.*")
     return long.groupBy("feature", "config", "value").agg(F.sum("n").alias("n"))

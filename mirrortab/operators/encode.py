@@ -93,7 +93,7 @@ def encode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], unknown:
 
 
 def decode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], keep_missing: bool = False) -> DataFrame:
-    """Codes back to values of the original type; codes are rounded and clipped first.
+    """Codes back to values of the original type; codes are rounded and clipped first, no code gives no value.
 
     ``Missing`` turns back into null unless ``keep_missing``.
     """
@@ -101,7 +101,9 @@ def decode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], keep_miss
     rows = df
     for i, c in enumerate(cols):
         top = max(dictionary.cardinality(c) - 1, 0)
-        code = F.greatest(F.lit(0), F.least(F.rint(F.col(f"`{c}`").cast("double")), F.lit(top))).cast("int")
+        number = F.col(f"`{c}`").cast("double")
+        inside = F.greatest(F.lit(0), F.least(F.rint(number), F.lit(top))).cast("int")
+        code = F.when(number.isNotNull() & ~F.isnan(number), inside)
         keyed = rows.withColumn(f"_c{i}", code)
         rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_c{i}"]).drop(f"_c{i}")
     values = {}

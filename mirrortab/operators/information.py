@@ -16,21 +16,21 @@ from mirrortab.operators.core import checkpointed, unpivot
 
 
 def compact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct rows of discrete columns with their count ``n``, checkpointed.
+    """Distinct rows of discrete columns with their count ``_n``, checkpointed.
 
     One shuffle with map-side combining; every later statistic reads this table, which for
     discretised data is bounded by the combinations that occur, not by the rows.
     """
     named = [F.col(f"`{c}`") for c in cols]
-    return checkpointed(df.groupBy(*named).agg(F.count(F.lit(1)).alias("n")))
+    return checkpointed(df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")))
 
 
 def entropy_sums(counted: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """``(column, s_xy, s_x, s_y, total)`` with s = sum of n log2 n; one row per feature."""
     joint = checkpointed(
-        unpivot(counted.withColumn("_y", F.col(f"`{label}`").cast("string")), features, ["_y", "n"])
+        unpivot(counted.withColumn("_y", F.col(f"`{label}`").cast("string")), features, ["_y", "_n"])
         .groupBy("column", "value", "_y")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
     by = lambda keys, name: (
         joint.groupBy("column", *keys).agg(F.sum("n").alias("n"))
@@ -63,7 +63,7 @@ def conditional_mutual_information(
     ]
     if not pairs:
         return counted.sparkSession.createDataFrame([], "a string, b string, cmi double")
-    long = counted.select(text(label).alias("_y"), "n", F.explode(F.array(*pairs)).alias("_p")).select("_y", "n", "_p.*")
+    long = counted.select(text(label).alias("_y"), F.col("_n").alias("n"), F.explode(F.array(*pairs)).alias("_p")).select("_y", "n", "_p.*")
     triple = (
         long.groupBy("a", "b", "va", "vb", "_y").agg(F.sum("n").alias("n"))
         .groupBy("a", "b").agg(F.sum(xlog2(F.col("n"))).alias("s_xzy"))

@@ -50,8 +50,10 @@ def mixed_points(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> tupl
         both = both.withColumns({c: try_double(f"`{c}`") for c in numeric})
         gaps = both.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(c) for c in numeric]).first()
         fills = medians(real, [c for c in numeric if gaps[c]])
+        # a column without any real number has no scale and no fill: it says nothing about distance
+        numeric = [c for c in numeric if not gaps[c] or fills.get(c) is not None]
         both = both.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in fills.items() if v is not None})
-        moments = fit_moments(both.where(F.col("side") == "real"), numeric)
+        moments = fit_moments(both.where(F.col("side") == "real"), numeric) if numeric else {}
         both = both.withColumns({c: standardize(F.col(f"`{c}`"), moments[c]) for c in numeric})
     nums = F.array(*[F.col(f"`{c}`") for c in numeric]).cast("array<double>")
     cats = F.array(*[F.col(f"`{c}`") for c in categorical]).cast("array<int>")

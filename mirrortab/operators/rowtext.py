@@ -11,7 +11,6 @@ from mirrortab.functions import first_number, format_cell, row_hash
 from mirrortab.operators.clean import PLACEHOLDER
 from mirrortab.operators.core import fit_table, lookup
 
-LONGEST_BARE_VALUE = 30  # fixed value: a value without any delimiter is cut to this length
 
 
 def _sentences(df: DataFrame, cols: Sequence[str], key: str, seed: int | None, float_precision: int | None) -> Column:
@@ -35,7 +34,7 @@ def row_to_text(
 def text_to_row(df: DataFrame, text: str, columns: Sequence[str]) -> DataFrame:
     """Parse sentences: the first value of a column wins, others are ignored, a column that
     is not mentioned is ``placeholder`` and the text ``None`` is null."""
-    pieces = F.transform(F.split(F.col(text), ","), lambda f: F.split(F.trim(f), " is "))
+    pieces = F.transform(F.split(F.col(text), ","), lambda f: F.split(stripped(f), " is "))
     work = df.withColumn("_pieces", pieces)
 
     def says(column: str):
@@ -66,16 +65,22 @@ def partial_row_prompt(
     return df.withColumn(out, F.concat(head, tail))
 
 
-def cut_generated_value(raw: Column) -> Column:
+def stripped(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def cut_generated_value(raw: Column, longest: int | None = None) -> Column:
     """First token of a generated value, without trailing punctuation.
 
-    Cuts at ``;``, else at the first of comma, dot, line feed, blank that occurs.
+    Cuts at ``;``, else at the first of comma, dot, line feed, blank that occurs (fixed
+    delimiters).  ``longest`` limits a value without any delimiter; by default it stays whole.
     """
-    text = F.trim(raw)
+    text = stripped(raw)
     cut = F.when(F.contains(text, F.lit(";")), F.split_part(text, F.lit(";"), F.lit(1)))
     for mark in (",", ".", "\n", " "):
         cut = cut.when(F.contains(text, F.lit(mark)), F.split_part(text, F.lit(mark), F.lit(1)))
-    token = F.trim(cut.otherwise(F.substring(text, 1, LONGEST_BARE_VALUE)))
+    token = stripped(cut.otherwise(text if longest is None else F.substring(text, 1, longest)))
     return F.regexp_replace(token, r"[^\p{L}\p{N}.\-]+$", "")
 
 

@@ -21,6 +21,8 @@ from mirrortab.operators.core import (
 )
 
 INTERVALS_PER_BUCKET = 16
+#: Copies of one candidate that a task lays out at a time.
+COPY_BLOCK = 100_000
 MIN_SPREAD = 256
 
 
@@ -56,14 +58,15 @@ def interval_lookup(
     bucket = lambda x: F.floor(x * F.lit(float(buckets)))
     first, last = bucket(F.col("lo")), F.least(bucket(F.col("hi")), F.lit(buckets - 1))
     dim = table.df.withColumn("_bucket", F.explode(F.sequence(first, last)))
+    dim = dim.withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
     for g in group:
         dim = dim.withColumnRenamed(g, f"_g_{g}")
     keyed = draws.withColumn("_ub", bucket(F.col(u)))
-    on = (F.col("_ub") == F.col("_bucket")) & (F.col(u) >= F.col("lo")) & (F.col(u) < F.col("hi"))
+    on = (F.col("_ub") == F.col("_bucket")) & (F.col(u) >= F.col("_lo")) & (F.col(u) < F.col("_hi"))
     for g in group:
         on &= F.col(g) == F.col(f"_g_{g}")
     joined = keyed.join(F.broadcast(dim) if small else dim, on, "left")
-    return joined.drop("_ub", "_bucket", "lo", "hi", *[f"_g_{g}" for g in group])
+    return joined.drop("_ub", "_bucket", "_lo", "_hi", *[f"_g_{g}" for g in group])
 
 
 def ids(spark: SparkSession, n: int) -> DataFrame:
@@ -157,9 +160,12 @@ def resample_by_weight(candidates: FitTable, n: int, weight: str, order: Sequenc
     scale = F.lit(float(n)) / F.col("total")
     upto = F.floor(F.col("cum") * scale + 0.5)
     before = F.floor((F.col("cum") - F.col(weight)) * scale + 0.5)
-    return (
-        run.withColumn("_copies", (upto - before).cast("int"))
-        .where(F.col("_copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_all", "cum", "total", "_copies")
+    # a heavy candidate's copies are laid out in blocks, so that they are not one task's work
+    start = F.sequence(F.lit(1).cast("bigint"), F.col("_copies"), F.lit(COPY_BLOCK).cast("bigint"))
+    blocks = run.withColumn("_copies", (upto - before).cast("bigint")).where(F.col("_copies") > 0).withColumn(
+        "_first", F.explode(start)
+    ).repartition(*order, "_first")
+    last = F.least(F.col("_first") + COPY_BLOCK - 1, F.col("_copies"))
+    return blocks.withColumn("copy", F.explode(F.sequence(F.col("_first"), last))).drop(
+        "_all", "cum", "total", "_copies", "_first"
     )

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.functions import inverse_normal_cdf, normal_cdf
+from mirrortab.functions import inverse_normal_cdf, normal_cdf, try_double
 from mirrortab.operators.core import exact_quantiles
 
 RANGE_EPSILON = 1e-8  # fixed value: added to the range by the padded min-max scaler
@@ -35,7 +35,7 @@ def fit_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Moments]:
                 F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
             ).alias(c)
             for c in cols
-            for x in [F.col(f"`{c}`").cast("double")]
+            for x in [try_double(f"`{c}`")]
         ]
     ).first()
     return {c: Moments(row[c]["lo"], row[c]["hi"], row[c]["mean"], row[c]["std"]) for c in cols}

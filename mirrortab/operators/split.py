@@ -78,6 +78,8 @@ class _Ranked:
 
     def __init__(self, df: DataFrame, group: Column, seed: int, key: Sequence[str]) -> None:
         self.columns = df.columns
+        # never null, so that rows without a label are a group of their own in every join
+        group = F.struct(group.isNotNull().alias("known"), group.alias("value"))
         self.rows = df.withColumn("_group", group).withColumn("_hash", row_hash(seed, *key))
         self.narrow = self.rows.select("_group", "_hash")
         self.histogram = hash_histogram(self.narrow, ["_group"], "_hash")
@@ -115,7 +117,7 @@ def stratified_split(
     df: DataFrame, label: str, key: Sequence[str], test_size: float = 0.2, seed: int = 42, out: str = "split"
 ) -> DataFrame:
     """Add ``split`` = ``train`` or ``test``; falls back to an unstratified split when a
-    class has a single row.  ``key`` must be unique (see ``with_row_identity``)."""
+    class has a single row.  Rows without a label are a class.  ``key`` must be unique (see ``with_row_identity``)."""
     ranked = _Ranked(df, F.col(f"`{label}`"), seed, key)
     quota = checkpointed(_quota(ranked.sizes(), test_size))
     total = quota.agg(F.sum("n").alias("n"), F.min("n").alias("least")).first()
@@ -132,7 +134,7 @@ def stratified_split(
 
 def _targets(df: DataFrame, ranks: Sequence[int]) -> DataFrame:
     return df.sparkSession.createDataFrame(
-        [(0, i, r) for i, r in enumerate(ranks)], "_group int, cut int, rank bigint"
+        [((True, 0), i, r) for i, r in enumerate(ranks)], "_group struct<known:boolean,value:int>, cut int, rank bigint"
     )
 
 

@@ -64,7 +64,9 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
     instead, by adding Gumbel noise to the score.
     """
     columns = [*model.features, model.target]
-    rows = coded.select(key, *columns)
+    given = {c: f"_given_{i}" for i, c in enumerate(columns) if f"_given_{i}" in coded.columns}
+    carried = [key, *columns, *given.values()]
+    rows = coded.select(*carried)
     for column in [model.target, *model.order]:
         card = model.cards[column]
         if card == 0:
@@ -72,7 +74,10 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
         children = [c for c in model.order if column == model.target or column in model.parents[c]]
         # rows that have the cell carry no scores, so nothing is computed for them
         zeros = F.array(*[F.lit(0.0)] * card) if card <= 64 else F.array_repeat(F.lit(0.0), card)
-        scored = rows.withColumn("_total", F.when(F.col(column).isNull(), zeros))
+        gap = F.col(column).isNull()
+        if column in given:  # a given value that the model does not know is no gap
+            gap &= F.col(given[column]).isNull()
+        scored = rows.withColumn("_total", F.when(gap, zeros))
         for c in [column, *children]:
             scored = _add_term(scored, model, column, c)
         if seed is None:
@@ -83,19 +88,24 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
         rows = scored.withColumn("_total", final).select(
             *[
                 F.coalesce(F.col(c), argmax_code(F.col("_total"))).alias(c) if c == column else F.col(c)
-                for c in [key, *columns]
+                for c in carried
             ]
         )
     return rows
 
 
 def impute(model: KdbModel, df: DataFrame, key: str, seed: int | None = None) -> DataFrame:
-    """Fill every missing cell of a raw table with the model's columns."""
+    """Fill every missing cell of a raw table with the model's columns.
+
+    Given cells stay as they are.  A given value that the model does not know says nothing about
+    the other cells.
+    """
     columns = [*model.features, model.target]
     if set(df.columns) - {key} != set(columns):
         raise ValueError("the table's columns differ from the model's")
-    coded = encode_known(model, df.select(key, *columns))
-    return decode_rows(model, impute_codes(model, coded, key, seed))
+    known = df.select(key, *columns, *[F.col(f"`{c}`").alias(f"_given_{i}") for i, c in enumerate(columns)])
+    filled = decode_rows(model, impute_codes(model, encode_known(model, known), key, seed))
+    return filled.select(key, *[F.coalesce(F.col(f"_given_{i}"), F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)])
 
 
 def encode_known(model: KdbModel, df: DataFrame) -> DataFrame:

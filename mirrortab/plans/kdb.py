@@ -43,6 +43,14 @@ class KdbModel:
     def cards(self) -> dict[str, int]:
         return {c: self.dictionary.cardinality(c) for c in [*self.features, self.target]}
 
+    @property
+    def row_key(self) -> str:
+        """Name of the sample's row number: ``id``, or a longer name if a column is called so."""
+        name = "id"
+        while name in (*self.features, self.target):
+            name = f"row_{name}"
+        return name
+
     def table(self, feature: str) -> FitTable:
         rows, _ = self.groups.get(feature, (0, 0))
         part = self.cpt.df.where(F.col("feature") == feature).drop("feature")
@@ -96,7 +104,7 @@ def fit_kdb(df: DataFrame, target: str | None = None, k: int = 2, edges: Sequenc
     columns = [*features, target]
     dictionary = fit_dictionary(df, columns)
     counted = compact(encode(df.select(*columns), dictionary, columns), columns)
-    rows = int(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    rows = int(counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     sums = entropy_sums(counted, features, target)
     ranking = mi_ranking(mutual_information(counted, features, target, sums))
     order = [r["column"] for r in ranking.orderBy("rank").collect()]
@@ -137,20 +145,21 @@ def _draw(rows: DataFrame, model: KdbModel, column: str, seed: int) -> DataFrame
     A configuration never seen in training draws uniformly from the column's codes.
     """
     n_rows, configs = model.groups.get(column, (0, 1))
-    keyed = rows.withColumn("config", model.config(column)).withColumn("_u", uniform01(seed, "id", column))
-    dim = FitTable(model.table(column).df.select("config", "value", "lo", "hi"), n_rows, n_rows * 96)
-    drawn = interval_lookup(keyed, dim, ["config"], "_u", groups=configs)
+    keyed = rows.withColumn("_config", model.config(column)).withColumn("_u", uniform01(seed, model.row_key, column))
+    cells = model.table(column).df.select(F.col("config").alias("_config"), F.col("value").alias("_value"), "lo", "hi")
+    drawn = interval_lookup(keyed, FitTable(cells, n_rows, n_rows * 96), ["_config"], "_u", groups=configs)
     card = max(model.cards[column], 1)
     uniform = F.floor(F.col("_u") * card).cast("int")
-    return drawn.withColumn(column, F.coalesce(F.col("value"), uniform)).drop("config", "_u", "value")
+    return drawn.withColumn(column, F.coalesce(F.col("_value"), uniform)).drop("_config", "_u", "_value")
 
 
 def sample_codes(
     model: KdbModel, spark: SparkSession, n: int | None = None, seed: int = 42, fixed: Mapping[str, int] | None = None
 ) -> DataFrame:
-    """``id`` and one code column per table column; ``fixed`` columns are not drawn."""
+    """The row key (``id`` unless a column is called so) and one code column per table column;
+    ``fixed`` columns are not drawn."""
     fixed = dict(fixed or {})
-    rows = spark.range(model.rows if n is None else n)
+    rows = spark.range(model.rows if n is None else n).withColumnRenamed("id", model.row_key)
     for i, column in enumerate([model.target, *model.order]):
         if column in fixed:
             rows = rows.withColumn(column, F.lit(int(fixed[column])))
@@ -158,7 +167,7 @@ def sample_codes(
             rows = _draw(rows, model, column, seed)
         if i and i % CHECKPOINT_EVERY == 0:
             rows = checkpointed(rows)
-    return rows.select("id", *model.features, model.target)
+    return rows.select(model.row_key, *model.features, model.target)
 
 
 def decode_rows(model: KdbModel, coded: DataFrame) -> DataFrame:
@@ -196,11 +205,11 @@ def sample_conditional(
         return decode_rows(model, coded)
     weighed = coded.withColumn("_w", F.lit(1.0))
     for c in features:
-        keyed = weighed.withColumn("config", model.config(c)).withColumn("value", F.col(c))
+        keyed = weighed.withColumn("_config", model.config(c)).withColumn("_value", F.col(f"`{c}`"))
         rows, _ = model.groups.get(c, (0, 0))
-        dim = FitTable(model.table(c).df.select("config", "value", "p"), rows, rows * 96)
-        weighed = lookup(keyed, dim, ["config", "value"], "left").withColumn(
-            "_w", F.col("_w") * F.coalesce("p", F.lit(NEVER_SEEN))
-        ).drop("config", "value", "p")
-    drawn = resample_by_weight(fit_table(weighed), n, "_w", ["id"])
-    return decode_rows(model, drawn.select("id", "copy", *model.features, model.target))
+        cells = model.table(c).df.select(F.col("config").alias("_config"), F.col("value").alias("_value"), F.col("p").alias("_p"))
+        weighed = lookup(keyed, FitTable(cells, rows, rows * 96), ["_config", "_value"], "left").withColumn(
+            "_w", F.col("_w") * F.coalesce("_p", F.lit(NEVER_SEEN))
+        ).drop("_config", "_value", "_p")
+    drawn = resample_by_weight(fit_table(weighed), n, "_w", [model.row_key])
+    return decode_rows(model, drawn.select(model.row_key, "copy", *model.features, model.target))

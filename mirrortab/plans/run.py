@@ -60,7 +60,7 @@ class KdbSynthesizer:
 
     def evaluate(self, spark: SparkSession, real_test: DataFrame, classifiers: Sequence[str] = ("LR",)) -> DataFrame:
         """Quick utility check: sample, fit classifiers on the sample, score real rows."""
-        return tstr_report(self.sample(spark).drop("id"), real_test, self.model.target, classifiers)
+        return tstr_report(self.sample(spark).select(*self.model.features, self.model.target), real_test, self.model.target, classifiers)
 
 
 class MarginalSynthesizer:
@@ -155,7 +155,7 @@ def run_train_test(
     pick = lambda part: marked.where(F.col("split") == part).drop("split", *key)
     train, held_out = pick("train"), pick("test")
     generator.fit(train, target)
-    synth = generator.sample(spark, n, seed).drop("id")
+    synth = generator.sample(spark, n, seed).select(*train.columns)
     run_id = new_run_id("train")
     if paths is not None:
         synth.write.parquet(paths.synthetic(name, run_id))

@@ -27,9 +27,10 @@ from mirrortab.operators.split import partition_disjoint
 CLASSIFIERS = ("LR", "MLP", "RF", "GBT")
 DEEPEST_TREE = 30  # the library's limit; the usual default elsewhere is unlimited
 CLIP = 1e-10
+UTILITY_MODELS = {"lr": "LR", "rf": "RF", "mlp": "MLP", "gbt": "GBT"}
 
 
-def _estimator(name: str, features: int, classes: int, rows: int, weight: str | None, trees: int, max_depth: int, max_iter: int):
+def _estimator(name: str, features: int, classes: int, rows: int, weight: str | None, trees: int, max_depth: int, max_iter: int, rounds: int = 100):
     if name == "LR":
         # penalty 1/rows corresponds to an inverse strength of 1 on the summed loss
         return LogisticRegression(
@@ -44,7 +45,7 @@ def _estimator(name: str, features: int, classes: int, rows: int, weight: str |
             featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth, seed=42
         )
     if name == "GBT":
-        tree = GBTClassifier(featuresCol="features", labelCol="label", maxIter=max(max_iter // 10, 5), seed=42)
+        tree = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, seed=42)
         if classes == 2:
             return tree.setWeightCol(weight) if weight else tree
         return OneVsRest(classifier=tree, featuresCol="features", labelCol="label")
@@ -136,15 +137,18 @@ def utility_check(
 
     Text labels and labels with fewer than 20 values are classes, others numbers.
     """
+    if model not in UTILITY_MODELS:
+        raise ValueError(f"unknown model {model!r}: choose from {sorted(UTILITY_MODELS)}")
     if task is None:
         task = infer_task_ratio(real_test, [target]).first()["task_by_count"]
     if task == "regression":
-        return utility_regression(synth, real_test, target, [model if model == "rf" else "lr"])
-    name = {"rf": "RF", "mlp": "MLP"}.get(model, "LR")
-    return tstr_report(synth, real_test, target, [name])
+        if model not in ("lr", "rf"):
+            raise ValueError(f"no regression with {model!r}: choose lr or rf")
+        return utility_regression(synth, real_test, target, [model])
+    return tstr_report(synth, real_test, target, [UTILITY_MODELS[model]])
 
 
-def detection_score(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_iter: int = 50) -> DataFrame:
+def detection_score(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_iter: int = 100) -> DataFrame:
     """``(metric, value)`` of a classifier telling real (1) from synthetic (0) rows.
 
     ``auc`` near 0.5 means indistinguishable; ``loss`` is the mean of ``-log(1 - p)`` over
@@ -176,6 +180,7 @@ def detection_score(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_
 def teacher_ensemble(
     train: DataFrame, public: DataFrame, features: Sequence[str], label: str, key: Sequence[str],
     teachers: int = 5, epsilon: float = 1.0, delta: float = 1e-5, seed: int = 42, noise_seed: int | str | None = None,
+    max_iter: int = 100,
 ) -> DataFrame:
     """Noisy majority labels for public rows from teachers trained on disjoint parts.
 
@@ -186,6 +191,6 @@ def teacher_ensemble(
     records = checkpointed(assemble.transform(public).select("record", "features"))
     votes = []
     for t in range(teachers):
-        fitted = LogisticRegression(maxIter=20, regParam=1e-3).fit(parts.where(F.col("part") == t))
+        fitted = LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(parts.where(F.col("part") == t))
         votes.append(fitted.transform(records).select("record", F.lit(t).alias("teacher"), F.col("prediction").cast("int").alias("vote")))
     return noisy_vote_aggregate(reduce(DataFrame.unionByName, votes), teachers, epsilon, delta, seed=noise_seed)

@@ -186,9 +186,9 @@ def _labelled(spark, sf):
 @query("teacher_ensemble")
 def teacher_ensemble(spark, sf):
     rows = _labelled(spark, sf)
-    public = read_table(spark, sf, "documents").select(
+    public = read_table(spark, sf, "documents").join(rows.select("doc_id"), "doc_id", "left_anti").select(
         F.col("doc_id").alias("record"), "n_chars", F.size(F.split("text", r"\s+")).alias("n_words")
-    )
+    )  # rows that no teacher has seen
     return utility.teacher_ensemble(rows, public, ["n_chars", "n_words"], "quality", ["doc_id"], teachers=3, noise_seed=42)
 
 

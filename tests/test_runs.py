@@ -173,7 +173,7 @@ def test_fitted_state_round_trips(spark, tmp_path):
 def test_stored_run_is_evaluated_again(spark, tmp_path):
     root = str(tmp_path / "store")
     first, _ = run.run_train_test(_small(spark, 40), "y", ["id"], "kdb", ["fidelity"], dataset="again", root=root)
-    version = os.listdir(f"{root}/datasets/again")[0]
+    version = os.listdir(f"{root}/splits/dataset=again")[0].split("=")[1]
     run_id = os.listdir(f"{root}/models")[0].split("_", 2)[2]
     second = run.evaluate_run(spark, runs.RunPaths(root, "again", version), "kdb", run_id, "y", ["id"])
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
