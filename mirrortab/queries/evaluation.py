@@ -195,21 +195,21 @@ def teacher_ensemble(spark, sf):
 @query("tstr_report")
 def tstr_report(spark, sf):
     train, test = lineitem_split(spark, sf)
-    return utility.tstr_report(train, test, LINE_TARGET, ["LR", "RF"], trees=10, max_depth=6, max_iter=20)
+    return utility.tstr_report(train, test, LINE_TARGET, ["LR", "RF"], trees=20, max_depth=8)
 
 
 @query("tstr_report_binary")
 def tstr_report_binary(spark, sf):
     marked = checkpointed(stratified_split(_labelled(spark, sf), "quality", ["doc_id"]))
     part = lambda p: marked.where(F.col("split") == p).select("n_chars", "n_words", "lang", "quality")
-    return utility.tstr_report(part("train"), part("test"), "quality", ["LR", "MLP", "GBT"], max_iter=30)
+    return utility.tstr_report(part("train"), part("test"), "quality", ["LR", "RF", "MLP", "GBT"])
 
 
 @query("utility_regression")
 def utility_regression(spark, sf):
     marked = checkpointed(stratified_split(lineitem(spark, sf), LINE_TARGET, LINE_KEY))
     part = lambda p: marked.where(F.col("split") == p).select("l_quantity", "l_discount", "l_linestatus", "l_extendedprice")
-    return utility.utility_regression(part("train"), part("test"), "l_extendedprice", trees=5)
+    return utility.utility_regression(part("train"), part("test"), "l_extendedprice")
 
 
 @query("detection_score")

@@ -75,7 +75,7 @@ WITH g AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN lower(o_orderprio
 s AS (SELECT *, trim(raw) AS t FROM g),
 c AS (SELECT *, regexp_replace(trim(CASE WHEN contains(t, ';') THEN split_part(t, ';', 1) WHEN contains(t, ',') THEN split_part(t, ',', 1)
    WHEN contains(t, '.') THEN split_part(t, '.', 1) WHEN contains(t, chr(10)) THEN split_part(t, chr(10), 1)
-   WHEN contains(t, ' ') THEN split_part(t, ' ', 1) ELSE substr(t, 1, 30) END), '[^\p{L}\p{N}.\-]+$', '') AS token FROM s),
+   WHEN contains(t, ' ') THEN split_part(t, ' ', 1) ELSE t END), '[^\p{L}\p{N}.\-]+$', '') AS token FROM s),
 k AS (SELECT DISTINCT o_orderpriority AS cat FROM orders)
 SELECT o_orderkey, coalesce((SELECT min(cat) FROM k WHERE lower(cat) = lower(token)), (SELECT min(cat) FROM k WHERE contains(lower(token), lower(cat))), token) AS category,
        CASE WHEN regexp_matches(token, '-?\d+\.?\d*') THEN regexp_extract(token, '-?\d+\.?\d*') ELSE token END AS number FROM c""")
