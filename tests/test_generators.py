@@ -230,7 +230,9 @@ def test_generated_values_are_cleaned(spark):
     raws = ["Private; more", "private!!", "12.75", "-3 years", "x" * 40, "the SELF-emp person", "  ?? "]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "k int, r string")
     token = [r[0] for r in df.orderBy("k").select(rowtext.cut_generated_value(F.col("r"))).collect()]
-    assert token == ["Private", "private", "12", "-3", "x" * 30, "the", ""]
+    assert token == ["Private", "private", "12", "-3", "x" * 40, "the", ""]
+    limited = df.where("k = 4").select(rowtext.cut_generated_value(F.col("r"), longest=30)).first()[0]
+    assert limited == "x" * 30
     number = [r[0] for r in df.orderBy("k").select(rowtext.clean_generated_number(F.col("r"))).collect()]
     assert number[2:4] == ["12", "-3"] and number[0] == "Private"
     cats = spark.createDataFrame([("Private",), ("Priv",), ("Self",), (None,)], "c string")

@@ -63,9 +63,9 @@ def test_run_with_artifacts(spark, tmp_path):
     state = [d for d, _, _ in os.walk(f"{root}/models") if d.endswith("/state")]
     again = run.KdbSynthesizer().load(spark, state[0])
     assert again.sample(spark, 10).count() == 10
-    split_dir = [d for d, _, _ in os.walk(f"{root}/datasets") if d.endswith("/split")][0]
+    split_dir = [d for d, _, _ in os.walk(f"{root}/splits/dataset=four-classes") if "/version=" in d][0]
     assert tables.read_split(spark, split_dir, "test").count() == 8
-    reports = [f for d, _, fs in os.walk(f"{root}/evaluations") for f in fs if f.endswith(".csv")]
+    reports = [f for d, _, fs in os.walk(f"{root}/reports") for f in fs if f.endswith(".csv")]
     assert reports
 
 
@@ -174,7 +174,7 @@ def test_stored_run_is_evaluated_again(spark, tmp_path):
     root = str(tmp_path / "store")
     first, _ = run.run_train_test(_small(spark, 40), "y", ["id"], "kdb", ["fidelity"], dataset="again", root=root)
     version = os.listdir(f"{root}/splits/dataset=again")[0].split("=")[1]
-    run_id = os.listdir(f"{root}/models")[0].split("_", 2)[2]
+    run_id = os.listdir(f"{root}/models/dataset=again/version={version}/model=kdb")[0].split("=")[1]
     second = run.evaluate_run(spark, runs.RunPaths(root, "again", version), "kdb", run_id, "y", ["id"])
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
 
