@@ -132,3 +132,12 @@ def registry_schema_drift(spark, sf):
     before = orders.select("o_totalprice", "o_orderpriority", "o_orderstatus")
     after = orders.select("o_orderpriority", "o_totalprice", "o_orderstatus")
     return schema_drift(registry_entry(before, "Sales Orders"), registry_entry(after, "sales_orders"))
+
+
+@query("impute_median_nan", """
+WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x FROM orders)
+SELECT o_orderkey, coalesce(x, (SELECT quantile_cont(x, 0.5) FROM s)) AS o_totalprice FROM s""")
+def impute_median_nan(spark, sf):
+    price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).otherwise(F.lit(float("nan")))
+    rows = read_table(spark, sf, "orders").select("o_orderkey", price.alias("o_totalprice"))
+    return clean.impute_median(rows, ["o_totalprice"])

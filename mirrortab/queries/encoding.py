@@ -243,3 +243,10 @@ def encode_flow(spark, sf):
         "o_orderstatus",
     )
     return encode_preprocess(rows)
+
+
+@query("decode_unknown", "SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS c_mktsegment FROM customer")
+def decode_unknown(spark, sf):
+    rows = read_table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    dictionary = enc.fit_dictionary(rows.where("c_mktsegment <> 'BUILDING'"), ["c_mktsegment"])
+    return enc.decode(enc.encode(rows, dictionary, ["c_mktsegment"]), dictionary, ["c_mktsegment"])

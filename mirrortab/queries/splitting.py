@@ -106,3 +106,27 @@ def start_prompts(spark, sf):
     return sampling.start_prompts(
         sampling.ids(spark, rows.count()), "o_totalprice", rows.select("o_totalprice"), rows.columns
     )
+
+
+_NULLED = f"(SELECT * REPLACE (CASE WHEN l_linenumber <> 3 THEN {LINE_TARGET} END AS {LINE_TARGET}) FROM lineitem)"
+_NULL_SPLIT = split_sql(_NULLED, LINE_TARGET, LINE_KEY, f"{_KEYS}, {LINE_TARGET}").replace(
+    f"_r.{LINE_TARGET} = _q.label", f"_r.{LINE_TARGET} IS NOT DISTINCT FROM _q.label"
+).replace("rest DESC, label)", "rest DESC, label NULLS FIRST)")
+
+
+def _without_some_labels(spark, sf):
+    label = F.when(F.col("l_linenumber") != 3, F.col(LINE_TARGET))
+    return lineitem(spark, sf).withColumn(LINE_TARGET, label).select(*LINE_KEY, LINE_TARGET)
+
+
+@query("stratified_split_null_labels", f"WITH {_NULL_SPLIT} SELECT {_KEYS}, split FROM marked")
+def stratified_split_null_labels(spark, sf):
+    return split.stratified_split(_without_some_labels(spark, sf), LINE_TARGET, LINE_KEY).select(*LINE_KEY, "split")
+
+
+@query("stratified_kfold_null_labels", f"""
+WITH r AS (SELECT {_KEYS}, row_number() OVER (PARTITION BY {LINE_TARGET} ORDER BY {hash_sql(*LINE_KEY)}) AS rn,
+           count(*) OVER (PARTITION BY {LINE_TARGET}) AS n FROM {_NULLED})
+SELECT {_KEYS}, len(list_filter(range(1, 5), lambda i: floor(n * i / 5.0::DOUBLE) < rn))::INTEGER AS fold FROM r""")
+def kfold_null_labels(spark, sf):
+    return split.stratified_kfold(_without_some_labels(spark, sf), LINE_TARGET, LINE_KEY, 5).select(*LINE_KEY, "fold")
