@@ -49,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         directory = spark.conf.get("spark.checkpoint.dir", None)
         if not directory:
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             directory = tempfile.mkdtemp(prefix="mirrortab-checkpoint-")
         context.setCheckpointDir(directory)

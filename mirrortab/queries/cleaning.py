@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from mirrortab.operators import clean, repair
+from mirrortab.operators.core import value_counts
 from mirrortab.operators.profile import constant_columns
 from mirrortab.queries import query
 from mirrortab.queries.common import LINE_KEY, lineitem
-from mirrortab.sources.tables import column_roles, read_table
+from mirrortab.sources.tables import column_roles, read_table, role_blocks
 from mirrortab.sources.runs import registry_entry, schema_drift
 
 _KEYS = ", ".join(LINE_KEY)
@@ -141,3 +142,20 @@ def impute_median_nan(spark, sf):
     price = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).otherwise(F.lit(float("nan")))
     rows = read_table(spark, sf, "orders").select("o_orderkey", price.alias("o_totalprice"))
     return clean.impute_median(rows, ["o_totalprice"])
+
+
+_BLOCKS = {"numeric": ["o_orderkey", "o_custkey", "o_totalprice"], "categorical": ["o_orderstatus", "o_orderdate", "o_orderpriority"]}
+
+
+@query("role_block_profile", " UNION ALL ".join(
+    f"SELECT '{block}' AS block, '{c}' AS \"column\", count({c}) AS n, count(DISTINCT {c}) AS n_values FROM orders"
+    for block, columns in _BLOCKS.items() for c in columns))
+def role_block_profile(spark, sf):
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    blocks = role_blocks(read_table(spark, sf, "orders").select(*columns), [0, 1, 3], [4, 5], [2], "multiclass")
+    counted = [
+        value_counts(df, df.columns).groupBy("column").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_values"))
+        .select(F.lit(block).alias("block"), "column", "n", "n_values")
+        for block, df in zip(_BLOCKS, blocks)
+    ]
+    return counted[0].unionByName(counted[1])

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from mirrortab.operators import profile
+from mirrortab.operators.core import checkpointed
 from mirrortab.operators.divergence import empirical_probabilities, label_distribution, label_tv_distance
 from mirrortab.queries import query
 from mirrortab.queries.common import (
     LINE_FEATURES, LINE_SPLIT_SQL, LINE_TARGET, lineitem, lineitem_split, metric_sql,
 )
+from mirrortab.sources.runs import DatasetRegistry, new_run_id
 from mirrortab.sources.tables import read_table
 
 
@@ -30,6 +32,16 @@ def dataset_profile(spark, sf):
     return profile.dataset_profile(read_table(spark, sf, "orders"), "o_orderstatus")
 
 
+@query("registry_profile_reread", _kinds("orders", [
+    ("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "text"), ("o_totalprice", "numeric"),
+    ("o_orderdate", "datetime"), ("o_orderpriority", "text")], "o_orderstatus"))
+def registry_profile_reread(spark, sf):
+    """A dataset is registered under a shared folder, and its stored profile read again."""
+    checkpointed(spark.range(1))  # makes sure that a shared folder is set
+    registry = DatasetRegistry(spark, f"{spark.sparkContext.getCheckpointDir()}/registry-{new_run_id('query')}")
+    return registry.register("Orders", read_table(spark, sf, "orders"), "o_orderstatus").drop("dataset_key", "task", "n_classes")
+
+
 _TARGETS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount"]
 
 
