@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+HASH_HEX_DIGITS = 32  # of a row hash
 HASH_BUCKET_HEX_DIGITS = 4
 HASH_BUCKETS = 16**HASH_BUCKET_HEX_DIGITS
 
@@ -27,9 +28,9 @@ def row_hash(seed: int | str, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def hash_bucket(hashed: Column | str) -> Column:
+def hash_bucket(hashed: Column | str, digits: int = HASH_BUCKET_HEX_DIGITS) -> Column:
     """Leading hex digits of a :func:`row_hash`; as text they keep the hash order."""
-    return F.substring(_col(hashed), 1, HASH_BUCKET_HEX_DIGITS)
+    return F.substring(_col(hashed), 1, digits)
 
 
 def uniform01(seed: int | str, key: Column | str, stream: str = "") -> Column:

@@ -18,11 +18,12 @@ from dataclasses import dataclass
 from functools import reduce
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from mirrortab.functions import hash_bucket
+from mirrortab.functions.random import HASH_BUCKET_HEX_DIGITS, HASH_HEX_DIGITS
 
 #: A fitted table is broadcast only below both limits (measured, not estimated).
 BROADCAST_ROWS = 200_000
@@ -31,10 +32,16 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 #: Largest sorted run one window task may hold.
 WINDOW_ROWS = 1_000_000
 
-#: Keys that may be spread in a shuffled lookup, from this many rows on, over this many salts.
-HOT_KEYS = 1_000
+#: Most range partitions of a running total; beyond ``PARTS * WINDOW_ROWS`` rows its tasks grow and spill.
+PARTS = 20_000
+
+#: Tables broadcast by one chain of lookups hold at most this much together.
+CHAIN_BYTES = 4 * BROADCAST_BYTES
+
+#: Rows of one key that a shuffled lookup leaves together.  Where more than ``HOT_KEYS`` keys
+#: can be larger, a ``HOT_KEYS``-th of their rows instead.
 HOT_ROWS = 1_000_000
-SALTS = 256
+HOT_KEYS = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -69,8 +76,7 @@ class FitTable:
         return self.rows <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
 
-def measure(df: DataFrame) -> FitTable:
-    """Measure a table that is already materialised (checkpointed or read from storage)."""
+def _size(df: DataFrame) -> list[Column]:
     parts = [F.lit(16 * len(df.columns)).cast("bigint")]
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -78,12 +84,24 @@ def measure(df: DataFrame) -> FitTable:
             parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
         elif isinstance(f.dataType, ArrayType):
             parts.append(F.greatest(F.size(c), F.lit(0)) * 40)
-    row = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(lambda a, b: a + b, parts)), F.lit(0))).first()
-    return FitTable(df, int(row[0]), int(row[1]))
+    return [F.count(F.lit(1)).alias("rows"), F.sum(reduce(lambda a, b: a + b, parts)).alias("bytes")]
+
+
+def measure(df: DataFrame) -> FitTable:
+    """Measure a table that is already stored."""
+    row = df.agg(*_size(df)).first()
+    return FitTable(df, int(row["rows"]), int(row["bytes"] or 0))
 
 
 def fit_table(df: DataFrame) -> FitTable:
-    return measure(checkpointed(df))
+    """Store a table and measure it in the same pass.
+
+    A task that is run again may be counted twice: the size decides how a table is joined, never
+    what is computed.
+    """
+    size = Observation()
+    stored = checkpointed(df.observe(size, *_size(df)))
+    return FitTable(stored, int(size.get["rows"] or 0), int(size.get["bytes"] or 0))
 
 
 def sized_broadcast(df: DataFrame, table: FitTable) -> DataFrame:
@@ -91,32 +109,73 @@ def sized_broadcast(df: DataFrame, table: FitTable) -> DataFrame:
     return F.broadcast(df) if table.broadcastable else df
 
 
-def lookup(fact: DataFrame, table: FitTable, on: Sequence[str], how: str = "left") -> DataFrame:
+def _known(on: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in on])
+
+
+def heavy_keys(fact: DataFrame, keys: Sequence[Sequence[str]]) -> list[DataFrame]:
+    """``(_key_hash, _salts)`` of the heavy keys of each key column list, from one pass over ``fact``.
+
+    Counted and named by hash, so a table holds at most ``HOT_KEYS`` rows of two numbers
+    however long the keys are.  Keys that share a hash share their salts, which is harmless.
+    The number of salts follows the key's count: no salted part has over ``HOT_ROWS`` rows, or
+    over a ``HOT_KEYS``-th of all heavy rows where that is more.
+    """
+    hashed = [
+        F.struct(F.lit(i).alias("_key"), F.when(_known(on), F.xxhash64(*[F.col(f"`{c}`") for c in on])).alias("_key_hash"))
+        for i, on in enumerate(keys)
+    ]
+    counts = (
+        fact.select(F.inline(F.array(*hashed))).where(F.col("_key_hash").isNotNull())
+        .groupBy("_key", "_key_hash").agg(F.count(F.lit(1)).alias("_n"))
+    )
+    heavy = checkpointed(counts.where(F.col("_n") > HOT_ROWS))
+    sums = {r["_key"]: r["n"] for r in heavy.groupBy("_key").agg(F.sum("_n").alias("n")).collect()}
+    tables = []
+    for i in range(len(keys)):
+        step = max(HOT_ROWS, sums.get(i, 0) // HOT_KEYS)
+        mine = heavy.where((F.col("_key") == i) & (F.col("_n") > step))
+        tables.append(mine.select("_key_hash", F.ceil(F.col("_n") / step).cast("bigint").alias("_salts")))
+    return tables
+
+
+def within_budget(tables: Sequence[FitTable]) -> list[bool]:
+    """Which tables of a chain of lookups to broadcast: the smallest first, up to ``CHAIN_BYTES``."""
+    chosen, left = [False] * len(tables), CHAIN_BYTES
+    for i in sorted(range(len(tables)), key=lambda i: tables[i].bytes):
+        if tables[i].broadcastable and tables[i].bytes <= left:
+            chosen[i], left = True, left - tables[i].bytes
+    return chosen
+
+
+def lookup(
+    fact: DataFrame, table: FitTable, on: Sequence[str], how: str = "left", heavy: DataFrame | None = None
+) -> DataFrame:
     """Join rows to a fitted table on equal keys.
 
-    Small tables are broadcast.  A larger one is shuffled, and rows of heavy keys are spread:
-    the ``HOT_KEYS`` most frequent keys (any other key has under ``1 / HOT_KEYS`` of the
-    rows) get a salt, and their table rows one copy per salt.  The salt comes from the row
-    and its input partition, so a retried task repeats it.
+    Small tables are broadcast, unless ``heavy`` is given.  Otherwise rows are shuffled and those
+    of heavy keys spread: they get a salt, and their table rows one copy per salt.  The salt comes
+    from the row and its input partition, so a retried task repeats it.  ``heavy`` is a table of
+    :func:`heavy_keys`; a caller with several lookups counts them together beforehand.
     """
     on = list(on)
-    if table.broadcastable:
-        return fact.join(F.broadcast(table.df), on, how)
-    known = reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in on])
-    heavy = checkpointed(
-        fact.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        .orderBy(F.desc("_n")).limit(HOT_KEYS).where(F.col("_n") > HOT_ROWS)
-        .select(*on, F.lit(SALTS).alias("_salts"))
-    )
-    spread = F.coalesce(F.col("_salts"), F.lit(1))
+    if heavy is None:
+        if table.broadcastable:
+            return fact.join(F.broadcast(table.df), on, how)
+        heavy = heavy_keys(fact, [on])[0]
+    known, heavy = _known(on), F.broadcast(heavy)
+    spread = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))
     mixed = F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns], F.spark_partition_id())
-    salted_fact = fact.withColumn("_mix", mixed).join(F.broadcast(heavy), on, "left").withColumn(
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in on])
+    # of the same types, as the hash depends on them
+    table_key = F.xxhash64(*[F.col(f"`{c}`").try_cast(fact.schema[c].dataType) for c in on])
+    salted_fact = fact.withColumns({"_mix": mixed, "_key_hash": key}).join(heavy, "_key_hash", "left").withColumn(
         # rows without a key find nothing wherever they go, so they go everywhere
         "_salt", F.when(known, F.pmod("_mix", spread)).otherwise(F.col("_mix")).cast("bigint")
-    ).drop("_mix", "_salts")
-    salted_table = table.df.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (spread - 1).cast("bigint")))
-    ).drop("_salts")
+    ).drop("_mix", "_salts", "_key_hash")
+    salted_table = table.df.withColumn("_key_hash", table_key).join(heavy, "_key_hash", "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), spread - 1))
+    ).drop("_salts", "_key_hash")
     return salted_fact.join(salted_table, [*on, "_salt"], how).drop("_salt")
 
 
@@ -151,7 +210,7 @@ def running_total(
         run = whole.orderBy(*order_cols).rowsBetween(*upto)
         return df.withColumn(cum, F.sum(value).over(run)).withColumn(total, F.sum(value).over(whole))
 
-    parts = math.ceil(table.rows / WINDOW_ROWS) * 2
+    parts = min(math.ceil(table.rows / WINDOW_ROWS) * 2, PARTS)
     ranged = checkpointed(
         df.repartitionByRange(parts, *[F.col(g) for g in group], *order_cols).withColumn(
             "_part", F.spark_partition_id()
@@ -179,7 +238,7 @@ def hash_histogram(rows: DataFrame, group: Sequence[str], hashed: str) -> DataFr
 
     Also the cheapest source of the group sizes: their counts are sums over its rows.
     """
-    bucketed = rows.withColumn("_bucket", hash_bucket(hashed))
+    bucketed = rows.withColumn("_bucket", hash_bucket(hashed, HASH_BUCKET_HEX_DIGITS))
     return checkpointed(bucketed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n")))
 
 
@@ -192,35 +251,46 @@ def rank_cutoffs(
     columns, ``cut`` (an id) and ``rank``.  Returns ``group..., cut, cut_hash``.
 
     The hash order is uniform, so the histogram on its leading digits tells which bucket
-    holds each rank; only rows of those buckets are ranked exactly.  A group with a third of
-    all rows is therefore spread over ``HASH_BUCKETS`` buckets and only one of them per
-    wanted rank is sorted.
+    holds each rank.  A bucket of more than ``WINDOW_ROWS`` rows is opened by further digits;
+    only rows of the last buckets are ranked exactly.  A group with a third of all rows is
+    therefore spread over its buckets and only one of them per wanted rank is sorted.
     """
     group = list(group)
     hist = hash_histogram(rows, group, hashed) if histogram is None else histogram
-    # At most HASH_BUCKETS rows per group, so the window per group is bounded.
-    run = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    hist = hist.withColumn("_cum", F.sum("_n").over(run)).withColumn("_before", F.col("_cum") - F.col("_n"))
     wanted = targets.where(F.col("rank") >= 1)
-    boundary = hist.join(wanted, group, "inner").where(
-        (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_cum"))
-    )
-    boundary_table = fit_table(boundary.select(*group, "cut", "rank", "_bucket", "_before"))
-    buckets = boundary_table.df.select(*group, "_bucket", "_before").distinct()
-    candidates = rows.withColumn("_bucket", hash_bucket(hashed)).join(
-        sized_broadcast(buckets, boundary_table), [*group, "_bucket"], "inner"
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(hashed)
-    ranked = candidates.select(
+
+    def located(counts: DataFrame, parent: list[str]) -> FitTable:
+        # at most HASH_BUCKETS rows per group and parent, so the window is bounded
+        run = Window.partitionBy(*group, *parent).orderBy("_bucket").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        upto = counts.withColumn("_cum", F.col("_from") + F.sum("_n").over(run))
+        before = upto.withColumn("_before", F.col("_cum") - F.col("_n"))
+        hits = before.join(wanted, group, "inner").where(
+            (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_cum"))
+        )
+        return fit_table(hits.select(*group, "cut", "rank", "_bucket", "_before", "_n"))
+
+    def inside(found: FitTable, digits: int) -> DataFrame:
+        buckets = found.df.select(*group, "_bucket", "_before").distinct()
+        return rows.withColumn("_bucket", hash_bucket(hashed, digits)).join(
+            sized_broadcast(buckets, found), [*group, "_bucket"], "inner"
+        )
+
+    digits = HASH_BUCKET_HEX_DIGITS
+    found = located(hist.withColumn("_from", F.lit(0).cast("bigint")), [])
+    while digits < HASH_HEX_DIGITS and (found.df.agg(F.max("_n")).first()[0] or 0) > WINDOW_ROWS:
+        opened = inside(found, digits).withColumnsRenamed({"_bucket": "_parent", "_before": "_from"})
+        digits += HASH_BUCKET_HEX_DIGITS
+        finer = opened.groupBy(*group, "_parent", "_from", hash_bucket(hashed, digits).alias("_bucket"))
+        found = located(finer.agg(F.count(F.lit(1)).alias("_n")), ["_parent"])
+    order = Window.partitionBy(*group, "_bucket").orderBy(hashed)
+    ranked = inside(found, digits).select(
         *group, F.col(hashed).alias("cut_hash"),
-        (F.row_number().over(inside) + F.col("_before")).alias("rank"),
+        (F.row_number().over(order) + F.col("_before")).alias("rank"),
     )
     return ranked.join(
-        sized_broadcast(boundary_table.df.select(*group, "cut", "rank"), boundary_table),
-        [*group, "rank"],
-        "inner",
+        sized_broadcast(found.df.select(*group, "cut", "rank"), found), [*group, "rank"], "inner"
     ).select(*group, "cut", "cut_hash")
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.operators.clean import MISSING, is_numeric, missing_text, unified_missing
-from mirrortab.operators.core import FitTable, checkpointed, lookup, running_total, unpivot
+from mirrortab.operators.core import (
+    FitTable, checkpointed, heavy_keys, lookup, running_total, unpivot, within_budget,
+)
 
 
 @dataclass(frozen=True)
@@ -79,13 +81,22 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str], missing_first: bool = Fal
     return Dictionary(table, sizes, types, missing_first)
 
 
+def _chain(rows: DataFrame, tables: Sequence[FitTable], keys: Sequence[str]) -> DataFrame:
+    """One lookup a key column, each key column dropped; heavy keys of all are counted in one pass."""
+    small = within_budget(tables)
+    large = [i for i in range(len(keys)) if not small[i]]
+    heavy = dict(zip(large, heavy_keys(rows, [[keys[i]] for i in large]))) if large else {}
+    for i, key in enumerate(keys):
+        rows = lookup(rows, tables[i], [key], heavy=heavy.get(i)).drop(key)
+    return rows
+
+
 def encode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], unknown: int | None = None) -> DataFrame:
     """Replace values by codes; an unknown value becomes ``unknown`` (null by default)."""
     order = df.columns
-    rows = df
-    for i, c in enumerate(cols):
-        keyed = rows.withColumn(f"_v{i}", dictionary.text(c))
-        rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_v{i}"]).drop(f"_v{i}")
+    keyed = df.withColumns({f"_v{i}": dictionary.text(c) for i, c in enumerate(cols)})
+    tables = [dictionary.column(c, f"_v{i}", f"_c{i}") for i, c in enumerate(cols)]
+    rows = _chain(keyed, tables, [f"_v{i}" for i in range(len(cols))])
     codes = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
     if unknown is not None:
         codes = {c: F.coalesce(e, F.lit(unknown)) for c, e in codes.items()}
@@ -98,14 +109,14 @@ def decode(df: DataFrame, dictionary: Dictionary, cols: Sequence[str], keep_miss
     ``Missing`` turns back into null unless ``keep_missing``.
     """
     order = df.columns
-    rows = df
+    keys = {}
     for i, c in enumerate(cols):
         top = max(dictionary.cardinality(c) - 1, 0)
         number = F.col(f"`{c}`").cast("double")
         inside = F.greatest(F.lit(0), F.least(F.rint(number), F.lit(top))).cast("int")
-        code = F.when(number.isNotNull() & ~F.isnan(number), inside)
-        keyed = rows.withColumn(f"_c{i}", code)
-        rows = lookup(keyed, dictionary.column(c, f"_v{i}", f"_c{i}"), [f"_c{i}"]).drop(f"_c{i}")
+        keys[f"_c{i}"] = F.when(number.isNotNull() & ~F.isnan(number), inside)
+    tables = [dictionary.column(c, f"_v{i}", f"_c{i}") for i, c in enumerate(cols)]
+    rows = _chain(df.withColumns(keys), tables, list(keys))
     values = {}
     for i, c in enumerate(cols):
         v = F.col(f"_v{i}")

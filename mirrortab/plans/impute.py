@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,23 +62,28 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
     Every candidate value of a missing cell is scored by the log-likelihood of the row's
     known cells: the cell's own table and those of its children.  The best wins (the
     smallest code on ties); with a seed a candidate is drawn in proportion to its likelihood
-    instead, by adding Gumbel noise to the score.
+    instead, by adding Gumbel noise to the score.  Rows without a gap take no part; the others are
+    spread evenly first, however few partitions the input has.
     """
     columns = [*model.features, model.target]
     given = {c: f"_given_{i}" for i, c in enumerate(columns) if f"_given_{i}" in coded.columns}
     carried = [key, *columns, *given.values()]
+    # a given value that the model does not know is no gap
+    gaps = {
+        c: F.col(c).isNull() & F.col(given[c]).isNull() if c in given else F.col(c).isNull()
+        for c in columns if model.cards[c]
+    }
     rows = coded.select(*carried)
-    for column in [model.target, *model.order]:
+    if not gaps:
+        return rows
+    incomplete = reduce(lambda a, b: a | b, gaps.values())
+    complete, rows = rows.where(~incomplete), rows.where(incomplete).repartition(key)
+    for column in [c for c in [model.target, *model.order] if c in gaps]:
         card = model.cards[column]
-        if card == 0:
-            continue
         children = [c for c in model.order if column == model.target or column in model.parents[c]]
         # rows that have the cell carry no scores, so nothing is computed for them
         zeros = F.array(*[F.lit(0.0)] * card) if card <= 64 else F.array_repeat(F.lit(0.0), card)
-        gap = F.col(column).isNull()
-        if column in given:  # a given value that the model does not know is no gap
-            gap &= F.col(given[column]).isNull()
-        scored = rows.withColumn("_total", F.when(gap, zeros))
+        scored = rows.withColumn("_total", F.when(gaps[column], zeros))
         for c in [column, *children]:
             scored = _add_term(scored, model, column, c)
         if seed is None:
@@ -91,7 +97,7 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
                 for c in carried
             ]
         )
-    return rows
+    return rows.unionByName(complete)
 
 
 def impute(model: KdbModel, df: DataFrame, key: str, seed: int | None = None) -> DataFrame:

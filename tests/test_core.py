@@ -77,14 +77,49 @@ def test_lookup_large_path_equals_broadcast(spark, monkeypatch):
     plain = sorted(map(tuple, core.lookup(fact, dim, ["k"]).select("id", "k", "v").collect()), key=str)
     monkeypatch.setattr(core, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(core, "HOT_ROWS", 100)
-    monkeypatch.setattr(core, "SALTS", 5)
     for how in ("left", "inner"):
         salted = core.lookup(fact, dim, ["k"], how).select("id", "k", "v").collect()
         expected = [r for r in plain if how == "left" or r[2] is not None]
         assert sorted(map(tuple, salted), key=str) == expected
 
 
-def test_rank_cutoffs_are_the_exact_hashes(spark):
+def test_lookup_spreads_heavy_and_missing_keys(spark, monkeypatch):
+    fact = spark.range(0, 20000, 1, 8).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 3).alias("k"))
+    dim = core.fit_table(spark.range(3).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v")))
+    monkeypatch.setattr(core, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(core, "HOT_ROWS", 50)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = core.lookup(fact, dim, ["k"])
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20000 and max(sizes) < 7000  # of 5,000 on average in four partitions
+        assert joined.where("k is null and v is not null or k is not null and v is distinct from 2 * k").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+
+
+def test_salts_follow_the_count_and_the_bound(spark, monkeypatch):
+    fact = spark.range(1000).select(F.when(F.col("id") < 900, 1).otherwise(F.col("id")).alias("k"), (F.col("id") % 2).alias("j"))
+    monkeypatch.setattr(core, "HOT_ROWS", 100)
+    k, j = core.heavy_keys(fact, [["k"], ["j"]])
+    assert [r["_salts"] for r in k.collect()] == [9] and [r["_salts"] for r in j.collect()] == [5, 5]
+    monkeypatch.setattr(core, "HOT_KEYS", 2)
+    k, j = core.heavy_keys(fact, [["k"], ["j"]])
+    assert [r["_salts"] for r in k.collect()] == [2] and j.count() == 0  # no key has over a half of the heavy rows
+
+
+def test_chain_of_broadcasts_has_a_budget(spark, monkeypatch):
+    monkeypatch.setattr(core, "CHAIN_BYTES", 100)
+    tables = [core.FitTable(spark.range(1), 1, size) for size in (60, 30, 50, 20)]
+    assert core.within_budget(tables) == [False, True, True, True]
+
+
+@pytest.mark.parametrize("windows", [None, 1])
+def test_rank_cutoffs_are_the_exact_hashes(spark, monkeypatch, windows):
+    if windows:
+        monkeypatch.setattr(core, "WINDOW_ROWS", windows)
+        monkeypatch.setattr(core, "HASH_BUCKET_HEX_DIGITS", 1)
     rows = spark.range(2000).select(
         F.when(F.col("id") < 1500, "big").otherwise("small").alias("g"), row_hash(1, "id").alias("h")
     )
