@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -94,14 +94,12 @@ def measure(df: DataFrame) -> FitTable:
 
 
 def fit_table(df: DataFrame) -> FitTable:
-    """Store a table and measure it in the same pass.
+    """Store a table, then measure it.
 
-    A task that is run again may be counted twice: the size decides how a table is joined, never
-    what is computed.
+    Not in the same pass: a session that has observed a query can no longer send MLlib's logistic
+    models to tasks.
     """
-    size = Observation()
-    stored = checkpointed(df.observe(size, *_size(df)))
-    return FitTable(stored, int(size.get["rows"] or 0), int(size.get["bytes"] or 0))
+    return measure(checkpointed(df))
 
 
 def sized_broadcast(df: DataFrame, table: FitTable) -> DataFrame:

@@ -11,6 +11,10 @@ from mirrortab.functions import metric
 from mirrortab.operators.core import running_total
 
 
+CLASSIFICATION_METRICS = ("accuracy", "f1_weighted", "f1_macro", "precision_weighted", "recall_weighted")
+REGRESSION_METRICS = ("r2", "mae", "rmse")
+
+
 def class_imbalance(df: DataFrame, label: str) -> DataFrame:
     """Negatives per positive for 0/1 labels; 1 when there is no positive."""
     counts = df.agg(
@@ -50,7 +54,6 @@ def classification_metrics(predictions: DataFrame, label: str, predicted: str, k
         ratio(2 * F.col("tp"), F.col("called") + F.col("support")).alias("f1"),
     )
     weighted = lambda c: metric(F.sum(F.col(c) * F.col("support")) / F.sum("support"))
-    names = ["accuracy", "f1_weighted", "f1_macro", "precision_weighted", "recall_weighted"]
     summed = scored.groupBy(*keep).agg(
         metric(F.sum("tp") / F.sum("support")).alias("accuracy"),
         weighted("f1").alias("f1_weighted"),
@@ -58,7 +61,7 @@ def classification_metrics(predictions: DataFrame, label: str, predicted: str, k
         weighted("precision").alias("precision_weighted"),
         weighted("recall").alias("recall_weighted"),
     )
-    return _long(summed, names, keep)
+    return _long(summed, CLASSIFICATION_METRICS, keep)
 
 
 def roc_auc(predictions: DataFrame, label: str, score: str) -> DataFrame:
@@ -87,4 +90,4 @@ def regression_metrics(predictions: DataFrame, label: str, predicted: str, keep:
         metric(F.avg(F.abs(y - p)), 6).alias("mae"),
         metric(F.sqrt(F.avg((y - p) * (y - p))), 6).alias("rmse"),
     )
-    return _long(summed, ["r2", "mae", "rmse"], keep)
+    return _long(summed, REGRESSION_METRICS, keep)

@@ -12,14 +12,13 @@ from mirrortab.operators.clean import PLACEHOLDER
 from mirrortab.operators.core import fit_table, lookup
 
 
-
 def _sentences(df: DataFrame, cols: Sequence[str], key: str, seed: int | None, float_precision: int | None) -> Column:
     parts = []
     for i, c in enumerate(cols):
         cell = format_cell(F.col(f"`{c}`"), df.schema[c].dataType, float_precision)
         order = row_hash(seed, key, F.lit(c)) if seed is not None else F.lit(f"{i:06d}")
         parts.append(F.struct(order.alias("o"), F.concat(F.lit(f"{c} is "), cell).alias("t")))
-    said = F.filter(F.array_sort(F.array(*parts)), lambda s: s["t"].isNotNull())
+    said = F.filter(F.sort_array(F.array(*parts)), lambda s: s["t"].isNotNull())
     return F.array_join(F.transform(said, lambda s: s["t"]), ", ")
 
 

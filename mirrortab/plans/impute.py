@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mirrortab.functions import uniform01
 from mirrortab.operators.clean import PLACEHOLDER
-from mirrortab.operators.core import FitTable, fit_table, lookup
+from mirrortab.operators.core import FitTable, checkpointed, fit_table, heavy_keys, lookup, within_budget
 from mirrortab.operators.encode import argmax_code, encode
 from mirrortab.operators.rowtext import text_to_row
 from mirrortab.plans.kdb import NEVER_SEEN, KdbModel, decode_rows
@@ -27,8 +27,8 @@ def _scores_by(cells: DataFrame, key: Column, candidate: Column, card: int) -> D
     return packed.groupBy("_key").agg(by_code.alias("_m")).select("_key", dense.alias("_scores"))
 
 
-def _add_term(rows: DataFrame, model: KdbModel, column: str, child: str) -> DataFrame:
-    """Add the term of ``child``'s table to the candidate scores of ``column``.
+def _term(model: KdbModel, column: str, child: str, i: int) -> tuple[FitTable, Column]:
+    """``child``'s table as a term of the candidate scores of ``column``, and the key of a row in it.
 
     The table is regrouped so that one row holds the scores of all candidates: the lookup is
     one to one, rows are neither multiplied nor shuffled, and a row whose other cells are
@@ -51,19 +51,39 @@ def _add_term(rows: DataFrame, model: KdbModel, column: str, child: str) -> Data
     if not sized.broadcastable:
         sized = fit_table(table)
         sized = FitTable(sized.df, sized.rows, sized.rows * card * 8)
-    found = lookup(rows.withColumn("_key", F.when(F.col("_total").isNotNull(), key)), sized, ["_key"], "left")
-    summed = F.zip_with("_total", "_scores", lambda a, b: a + b)
-    return found.withColumn("_total", F.coalesce(summed, F.col("_total"))).drop("_key", "_scores")
-
-
-def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None = None) -> DataFrame:
+    named = sized.df.withColumnsRenamed({"_key": f"_key_{i}", "_scores": f"_scores_{i}"})
+    return FitTable(named, sized.rows, sized.bytes), F.when(F.col("_total").isNotNull(), key)
+
+
+def _add_terms(rows: DataFrame, terms: list[tuple[FitTable, Column]]) -> tuple[DataFrame, bool]:
+    """``_total`` with all terms; heavy keys of all are counted in one pass.  Tells if rows were shuffled."""
+    tables = [table for table, _ in terms]
+    rows = rows.withColumns({f"_key_{i}": key for i, (_, key) in enumerate(terms)})
+    small = within_budget(tables)
+    large = [i for i in range(len(terms)) if not small[i]]
+    heavy = {}
+    if large:
+        rows = checkpointed(rows)  # counted, then joined
+        heavy = dict(zip(large, heavy_keys(rows, [[f"_key_{i}"] for i in large])))
+    for i, table in enumerate(tables):
+        rows = lookup(rows, table, [f"_key_{i}"], "left", heavy.get(i)).drop(f"_key_{i}")
+    total = F.col("_total")
+    for i in range(len(terms)):
+        total = F.coalesce(F.zip_with(total, f"_scores_{i}", lambda a, b: a + b), total)
+    return rows.withColumn("_total", total), bool(large)
+
+
+def impute_codes(
+    model: KdbModel, coded: DataFrame, key: str, seed: int | None = None, set_aside: bool = True
+) -> DataFrame:
     """Fill null codes, one column at a time in topological order.
 
     Every candidate value of a missing cell is scored by the log-likelihood of the row's
     known cells: the cell's own table and those of its children.  The best wins (the
     smallest code on ties); with a seed a candidate is drawn in proportion to its likelihood
-    instead, by adding Gumbel noise to the score.  Rows without a gap take no part; the others are
-    spread evenly first, however few partitions the input has.
+    instead, by adding Gumbel noise to the score.  Rows with gaps are spread evenly first,
+    however few partitions the input has.  Rows without take no part, at the price of a second pass
+    over the input; without ``set_aside`` they go along, for inputs in which nearly all rows have gaps.
     """
     columns = [*model.features, model.target]
     given = {c: f"_given_{i}" for i, c in enumerate(columns) if f"_given_{i}" in coded.columns}
@@ -77,15 +97,15 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
     if not gaps:
         return rows
     incomplete = reduce(lambda a, b: a | b, gaps.values())
-    complete, rows = rows.where(~incomplete), rows.where(incomplete).repartition(key)
+    complete = rows.where(~incomplete)
+    rows = (rows.where(incomplete) if set_aside else rows).repartition(key)
     for column in [c for c in [model.target, *model.order] if c in gaps]:
         card = model.cards[column]
         children = [c for c in model.order if column == model.target or column in model.parents[c]]
         # rows that have the cell carry no scores, so nothing is computed for them
         zeros = F.array(*[F.lit(0.0)] * card) if card <= 64 else F.array_repeat(F.lit(0.0), card)
         scored = rows.withColumn("_total", F.when(gaps[column], zeros))
-        for c in [column, *children]:
-            scored = _add_term(scored, model, column, c)
+        scored, shuffled = _add_terms(scored, [_term(model, column, c, i) for i, c in enumerate([column, *children])])
         if seed is None:
             final = F.transform("_total", lambda s: F.round(s, 9))
         else:
@@ -97,10 +117,12 @@ def impute_codes(model: KdbModel, coded: DataFrame, key: str, seed: int | None =
                 for c in carried
             ]
         )
-    return rows.unionByName(complete)
+        if shuffled:
+            rows = checkpointed(rows)
+    return rows.unionByName(complete) if set_aside else rows
 
 
-def impute(model: KdbModel, df: DataFrame, key: str, seed: int | None = None) -> DataFrame:
+def impute(model: KdbModel, df: DataFrame, key: str, seed: int | None = None, set_aside: bool = True) -> DataFrame:
     """Fill every missing cell of a raw table with the model's columns.
 
     Given cells stay as they are.  A given value that the model does not know says nothing about
@@ -110,7 +132,7 @@ def impute(model: KdbModel, df: DataFrame, key: str, seed: int | None = None) ->
     if set(df.columns) - {key} != set(columns):
         raise ValueError("the table's columns differ from the model's")
     known = df.select(key, *columns, *[F.col(f"`{c}`").alias(f"_given_{i}") for i, c in enumerate(columns)])
-    filled = decode_rows(model, impute_codes(model, encode_known(model, known), key, seed))
+    filled = decode_rows(model, impute_codes(model, encode_known(model, known), key, seed, set_aside))
     return filled.select(key, *[F.coalesce(F.col(f"_given_{i}"), F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)])
 
 
@@ -133,4 +155,4 @@ def complete_partial_rows(model: KdbModel, prompts: DataFrame, text: str, key: s
     typed = cells.withColumns(
         {c: F.col(c).try_cast(model.dictionary.types[c]) for c in columns}
     )
-    return impute(model, typed, key, seed)
+    return impute(model, typed, key, seed, set_aside=False)

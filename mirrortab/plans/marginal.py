@@ -66,9 +66,27 @@ def fit_marginal(df: DataFrame, categorical: Sequence[str] | None = None) -> Mar
     return MarginalModel(tuple(df.columns), types, tuple(categorical), shares, sizes, grids, normal, df.count())
 
 
-def sample_marginal(model: MarginalModel, spark: SparkSession, n: int | None = None, seed: int = 42) -> DataFrame:
+def sample_marginal(
+    model: MarginalModel, spark: SparkSession, n: int | None = None, seed: int = 42,
+    conditional: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """Rows with independent columns; a column in ``conditional`` has its given value in all rows.
+
+    As the columns are independent, the others keep their own distributions.  A category that was
+    not in the fitted table is refused.
+    """
+    fixed = dict(conditional or {})
+    unknown = set(fixed) - set(model.columns)
+    if unknown:
+        raise ValueError(f"the model has no columns {sorted(unknown)}")
+    for c in [c for c in fixed if c in model.categorical]:
+        seen = model.shares.df.where((F.col("column") == c) & (F.col("value") == F.lit(fixed[c]).cast("string")))
+        if seen.isEmpty():
+            raise ValueError(f"{fixed[c]!r} is not a known value of {c!r}")
     rows = spark.range(model.rows if n is None else n)
-    for c in model.categorical:
+    for c, value in fixed.items():
+        rows = rows.withColumn(c, F.lit(value).cast(model.types[c] if c in model.categorical else "double"))
+    for c in [c for c in model.categorical if c not in fixed]:
         size = model.sizes.get(c, 0)
         dim = model.shares.df.where(F.col("column") == c).select(F.col("value").alias("_value"), "lo", "hi")
         keyed = rows.withColumn("_u", uniform01(seed, "id", c))
@@ -78,6 +96,8 @@ def sample_marginal(model: MarginalModel, spark: SparkSession, n: int | None = N
             .withColumn(c, F.col("_value").cast(model.types[c])).drop("_u", "_value")
         )
     for c, grid in model.grids.items():
+        if c in fixed:
+            continue
         mean, deviation = model.normal[c]
         z = F.lit(mean) + F.lit(deviation) * gaussian01(seed, "id", c)
         rows = rows.withColumn(c, from_normal(z, grid))

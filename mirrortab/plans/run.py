@@ -9,14 +9,15 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrortab.functions import metric
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.divergence import fidelity_report
 from mirrortab.operators.nearest import dcr
 from mirrortab.operators.profile import BINARY, MULTICLASS, presplit_check
-from mirrortab.operators.split import stratified_split
+from mirrortab.operators.split import stratified_kfold, stratified_split
 from mirrortab.plans.kdb import fit_kdb, load_kdb, sample_conditional, sample_kdb
 from mirrortab.plans.marginal import fit_marginal, sample_marginal
-from mirrortab.plans.utility import tstr_report
+from mirrortab.plans.utility import tstr_report, utility_check
 from mirrortab.sources.runs import DatasetRegistry, RunPaths, new_run_id, register_dataset
 from mirrortab.sources.state import load_marginal, save_marginal
 from mirrortab.sources.tables import read_split, write_report, write_split
@@ -32,6 +33,13 @@ class Synthesizer(Protocol):
     def sample(self, spark: SparkSession, n: int | None = None, seed: int = 42) -> DataFrame: ...
 
 
+def quick_check(
+    generator: Synthesizer, spark: SparkSession, real_test: DataFrame, target: str, model: str, metrics: Sequence[str] | None
+) -> DataFrame:
+    synth = generator.sample(spark, real_test.count()).select(*real_test.columns)
+    return utility_check(checkpointed(synth), real_test, target, model, metrics=metrics)
+
+
 class KdbSynthesizer:
     """k-dependence Bayes network on discrete columns."""
 
@@ -58,9 +66,9 @@ class KdbSynthesizer:
         self.model = load_kdb(spark, path)
         return self
 
-    def evaluate(self, spark: SparkSession, real_test: DataFrame, classifiers: Sequence[str] = ("LR",)) -> DataFrame:
-        """Quick utility check: sample, fit classifiers on the sample, score real rows."""
-        return tstr_report(self.sample(spark).select(*self.model.features, self.model.target), real_test, self.model.target, classifiers)
+    def evaluate(self, spark: SparkSession, real_test: DataFrame, model: str = "lr", metrics: Sequence[str] | None = None) -> DataFrame:
+        """Utility check on as many sampled rows as there are real ones."""
+        return quick_check(self, spark, real_test, self.model.target, model, metrics)
 
 
 class MarginalSynthesizer:
@@ -69,16 +77,27 @@ class MarginalSynthesizer:
     requirements: Mapping[str, object] = {}
 
     def __init__(self, categorical: Sequence[str] | None = None) -> None:
-        self.categorical, self.model = categorical, None
+        self.categorical, self.model, self.target = categorical, None, None
 
     def fit(self, df: DataFrame, target: str) -> "MarginalSynthesizer":
+        self.target = target
         self.model = fit_marginal(df, self.categorical)
         return self
 
-    def sample(self, spark: SparkSession, n: int | None = None, seed: int = 42) -> DataFrame:
+    def sample(self, spark: SparkSession, n: int | None = None, seed: int = 42, conditional: Mapping[str, object] | None = None) -> DataFrame:
         if self.model is None:
             raise RuntimeError("fit before sample")
-        return sample_marginal(self.model, spark, n, seed)
+        return sample_marginal(self.model, spark, n, seed, conditional)
+
+    def evaluate(
+        self, spark: SparkSession, real_test: DataFrame, model: str = "lr", metrics: Sequence[str] | None = None,
+        target: str | None = None,
+    ) -> DataFrame:
+        """Utility check on as many sampled rows as there are real ones; a loaded model needs ``target``."""
+        target = target or self.target
+        if target is None:
+            raise ValueError("name the target: the stored model has none")
+        return quick_check(self, spark, real_test, target, model, metrics)
 
     def save(self, path: str) -> None:
         save_marginal(SparkSession.active(), self.model, path)
@@ -174,6 +193,38 @@ def run_train_test(
     return reduce(DataFrame.unionByName, reports), generator
 
 
+def run_kfold(
+    df: DataFrame, target: str, key: Sequence[str],
+    synthesizer: str | Callable[[], Synthesizer] = "kdb",
+    evaluations: Mapping[str, Evaluation] | Sequence[str] = ("fidelity",),
+    k: int = 5, seed: int = 42, n: int | None = None,
+    options: Mapping[str, Mapping[str, object]] | None = None,
+) -> DataFrame:
+    """Cross-validation: each fold is held out once while a new generator is fitted on the others.
+
+    Returns ``(evaluation, group, metric, folds, mean, deviation)`` over the folds that have the
+    metric; the deviation is that of the population.
+    """
+    if k < 2:
+        raise ValueError("cross-validation needs at least two folds")
+    folds = checkpointed(stratified_kfold(df, target, key, k, seed))
+    data = [c for c in df.columns if c not in key]
+    reports = []
+    for i in range(k):
+        train, held_out = (folds.where(rows).select(*data) for rows in (F.col("fold") != i, F.col("fold") == i))
+        maker = SYNTHESIZERS[synthesizer] if isinstance(synthesizer, str) else synthesizer
+        generator = maker().fit(train, target)
+        synth = checkpointed(generator.sample(df.sparkSession, n, seed).select(*data))
+        chosen = evaluations if isinstance(evaluations, Mapping) else {e: EVALUATIONS[e] for e in evaluations}
+        for title, evaluation in chosen.items():
+            report = evaluation(train, held_out, synth, target, **dict((options or {}).get(title, {})))
+            reports.append(checkpointed(report.select(F.lit(title).alias("evaluation"), "group", "metric", "value")))
+    return reduce(DataFrame.unionByName, reports).groupBy("evaluation", "group", "metric").agg(
+        F.count("value").alias("folds"), metric(F.avg("value"), 6).alias("mean"),
+        metric(F.stddev_pop("value"), 6).alias("deviation"),
+    )
+
+
 def evaluate_run(
     spark: SparkSession, paths: RunPaths, name: str, run_id: str, target: str, key: Sequence[str],
     evaluations: Mapping[str, Evaluation] | Sequence[str] = ("fidelity",),

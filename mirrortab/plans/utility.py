@@ -19,7 +19,9 @@ from mirrortab.functions import metric
 from mirrortab.operators.clean import numeric_columns
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.encode import encode, fit_dictionary
-from mirrortab.operators.metrics import classification_metrics, regression_metrics, roc_auc
+from mirrortab.operators.metrics import (
+    CLASSIFICATION_METRICS, REGRESSION_METRICS, classification_metrics, regression_metrics, roc_auc,
+)
 from mirrortab.operators.privacy import noisy_vote_aggregate
 from mirrortab.operators.profile import infer_task_ratio
 from mirrortab.operators.split import partition_disjoint
@@ -66,9 +68,16 @@ def _features(synth: DataFrame, real: DataFrame, target: str) -> tuple[DataFrame
 
 def tstr_report(
     synth: DataFrame, real_test: DataFrame, target: str, classifiers: Sequence[str] = CLASSIFIERS,
-    trees: int = 100, max_depth: int = DEEPEST_TREE, max_iter: int = 100,
+    trees: int = 100, max_depth: int = DEEPEST_TREE, max_iter: int = 100, rounds: int = 100,
+    metrics: Sequence[str] = ("accuracy", "f1_weighted", "auc"),
 ) -> DataFrame:
-    """``(model, metric, value)``: each classifier fitted on synthetic, scored on real rows."""
+    """``(model, metric, value)``: each classifier fitted on synthetic, scored on real rows.
+
+    ``metrics`` are those of :func:`classification_metrics` and ``auc``, which only two classes have.
+    """
+    unknown = set(metrics) - {*CLASSIFICATION_METRICS, "auc"}
+    if unknown:
+        raise ValueError(f"unknown metrics {sorted(unknown)}")
     train, test, features, classes = _features(synth, real_test, target)
     assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
@@ -87,15 +96,15 @@ def tstr_report(
     train = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
     reports = []
     for name in classifiers:
-        fitted = _estimator(name, len(features), classes, shape["rows"], "weight", trees, max_depth, max_iter).fit(train)
+        fitted = _estimator(name, len(features), classes, shape["rows"], "weight", trees, max_depth, max_iter, rounds).fit(train)
         scored = fitted.transform(test)
         columns = ["label", "prediction"]
         if classes == 2:
             scored = scored.withColumn("score", vector_to_array("probability")[1])
             columns.append("score")
         scored = checkpointed(scored.select(*columns))
-        part = classification_metrics(scored, "label", "prediction").where(F.col("metric").isin("accuracy", "f1_weighted"))
-        if classes == 2:
+        part = classification_metrics(scored, "label", "prediction").where(F.col("metric").isin(*metrics))
+        if classes == 2 and "auc" in metrics:
             part = part.unionByName(roc_auc(scored, "label", "score").select(F.lit("auc").alias("metric"), F.col("auc").alias("value")))
         reports.append(part.select(F.lit(name).alias("model"), "metric", F.round("value", 4).alias("value")))
     return reduce(DataFrame.unionByName, reports)
@@ -131,11 +140,13 @@ def utility_regression(
 
 
 def utility_check(
-    synth: DataFrame, real_test: DataFrame, target: str, model: str = "lr", task: str | None = None
+    synth: DataFrame, real_test: DataFrame, target: str, model: str = "lr", task: str | None = None,
+    metrics: Sequence[str] | None = None,
 ) -> DataFrame:
     """``(model, metric, value)`` of one model; the task follows from the label when not given.
 
-    Text labels and labels with fewer than 20 values are classes, others numbers.
+    Text labels and labels with fewer than 20 values are classes, others numbers.  ``metrics`` are
+    accuracy, macro F1 and AUC, or all three of the regression, when not given.
     """
     if model not in UTILITY_MODELS:
         raise ValueError(f"unknown model {model!r}: choose from {sorted(UTILITY_MODELS)}")
@@ -144,8 +155,14 @@ def utility_check(
     if task == "regression":
         if model not in ("lr", "rf"):
             raise ValueError(f"no regression with {model!r}: choose lr or rf")
-        return utility_regression(synth, real_test, target, [model])
-    return tstr_report(synth, real_test, target, [UTILITY_MODELS[model]])
+        unknown = set(metrics or ()) - set(REGRESSION_METRICS)
+        if unknown:
+            raise ValueError(f"unknown metrics {sorted(unknown)}")
+        report = utility_regression(synth, real_test, target, [model])
+        return report.where(F.col("metric").isin(*metrics)) if metrics else report
+    return tstr_report(
+        synth, real_test, target, [UTILITY_MODELS[model]], metrics=metrics or ("accuracy", "f1_macro", "auc")
+    )
 
 
 def detection_score(real: DataFrame, synth: DataFrame, cols: Sequence[str], max_iter: int = 100) -> DataFrame:

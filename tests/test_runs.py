@@ -182,6 +182,41 @@ def test_stored_run_is_evaluated_again(spark, tmp_path):
 def test_single_model_check_picks_the_task(spark):
     df = _separable(spark, 120)
     classes = {r["metric"]: r["value"] for r in utility.utility_check(df, df, "y").collect()}
-    assert classes["accuracy"] == 1.0
+    assert classes["accuracy"] == 1.0 and classes["f1_macro"] == 1.0
+    chosen = utility.utility_check(df, df, "y", metrics=["recall_weighted"]).collect()
+    assert [r["metric"] for r in chosen] == ["recall_weighted"]
+    with pytest.raises(ValueError, match="unknown metrics"):
+        utility.utility_check(df, df, "y", metrics=["log_loss"])
     numbers = spark.createDataFrame([(float(i), 2.0 * i) for i in range(60)], "x double, y double")
     assert {r["metric"]: r["value"] for r in utility.utility_check(numbers, numbers, "y").collect()}["r2"] > 0.999
+
+
+def test_cross_validation_averages_over_the_folds(spark):
+    seen = []
+
+    def sizes(train, held_out, synth, target):
+        seen.append((train.count(), held_out.count(), synth.count()))
+        return train.sparkSession.createDataFrame([("all", "held_out", float(seen[-1][1]))], "`group` string, metric string, value double")
+
+    report = run.run_kfold(_small(spark, 41), "y", ["id"], "marginal", {"sizes": sizes}, k=3, n=7)
+    rows = report.collect()
+    assert sum(h for _, h, _ in seen) == 41 and all(t + h == 41 and s == 7 for t, h, s in seen)
+    held = [h for _, h, _ in seen]
+    assert [(r["evaluation"], r["metric"], r["folds"]) for r in rows] == [("sizes", "held_out", 3)]
+    assert rows[0]["mean"] == pytest.approx(sum(held) / 3, abs=1e-5)
+    with pytest.raises(ValueError):
+        run.run_kfold(_small(spark, 10), "y", ["id"], k=1)
+
+
+def test_marginal_generator_takes_conditions_and_is_checked(spark):
+    df = _separable(spark, 120)
+    generator = run.MarginalSynthesizer().fit(df, "y")
+    label = df.first()["y"]
+    fixed = generator.sample(spark, 50, conditional={"y": label})
+    free = generator.sample(spark, 50)
+    others = [c for c in df.columns if c != "y"]
+    assert {r["y"] for r in fixed.collect()} == {label}
+    assert sorted(map(tuple, fixed.select(others).collect())) == sorted(map(tuple, free.select(others).collect()))
+    with pytest.raises(ValueError):
+        generator.sample(spark, 5, conditional={"y": "never seen"})
+    assert {r["metric"] for r in generator.evaluate(spark, df).collect()} >= {"accuracy", "f1_macro"}
