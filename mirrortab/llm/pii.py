@@ -39,8 +39,9 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])" + SECRET_HEAD + r"[A-Za-z0-9_+/.-]{6,80}(?![A-Za-z0-9_+/.-])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])\+(?:1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}"
-    r"|[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])",
+    "phone": r"(?<![0-9+])\+(?:1(?:[ .()/-]{0,3}[0-9]){10}|[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])",
+    "national": r"(?<![0-9])(?<![0-9][.-])(?:(?:1[ .-]?)?\([0-9]{3}\)[ .-]{0,2}[0-9]{3}[ .-]?|(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-])"
+    r"[0-9]{4}(?![0-9]|[.-][0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -78,14 +79,18 @@ def _chars(m: Column) -> Column:
 
 
 def _entry(c: Column, free: Column, low: Column | None = None) -> Column:
-    """``(base, value, radix)`` of a character; a radix of 1 keeps it."""
+    """``(base, value, radix)`` of a character; a radix of 1 keeps it.
+
+    Digits from ``low`` on stay there, and so do those below it.
+    """
     code = F.ascii(c)
     digit, small, large = c.between("0", "9"), c.between("a", "z"), c.between("A", "Z")
     base = F.when(digit, F.lit(48)).when(small, F.lit(97)).otherwise(F.lit(65))
     radix = F.when(digit, F.lit(10)).otherwise(F.lit(26))
-    if low is not None:  # a digit from ``low`` on
-        base, radix = F.when(digit, 48 + low).otherwise(base), F.when(digit, 10 - low).otherwise(radix)
-    moves = free & (digit | small | large) & (code >= base)
+    if low is not None:
+        above, below = digit & (code >= 48 + low), digit & (code < 48 + low)
+        base, radix = F.when(above, 48 + low).otherwise(base), F.when(above, 10 - low).when(below, low).otherwise(radix)
+    moves = free & (digit | small | large)
     return F.struct(
         F.when(moves, base).otherwise(code).cast("bigint").alias("base"),
         F.when(moves, code - base).otherwise(F.lit(0)).cast("bigint").alias("value"),
@@ -156,17 +161,22 @@ def _ipv4(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; in the plan of code 1 area and exchange begin with 2 to 9."""
+    """The country code stays; a number of code 1 has the same pseudonym with and without it.
+
+    In its plan area and exchange begin with 2 to 9.  Numbers outside the plan are as personal: a first
+    digit of 0 or 1 becomes 0 or 1, so that they never share a pseudonym with a number of the plan.
+    """
     n = F.char_length(_digits(m))
-    american = m.rlike(r"^\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}$")
-    code = F.char_length(F.regexp_extract(m, r"^\+(?:1(?![0-9])|[0-9]{1,3}?(?![0-9])|[17]|[0-9]{2})", 0))
+    american = ~m.startswith("+") | m.startswith("+1")
+    code = F.char_length(F.regexp_extract(m, r"^\+(?:[0-9]{1,3}?(?![0-9])|7|[0-9]{2})", 0))
 
     def entries(chars: Column) -> Column:
-        nth = lambda i: F.char_length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", ""))
-        lows = lambda i: F.when(nth(i).isin(2, 5) & american, F.lit(2)).otherwise(F.lit(0))
-        return F.transform(chars, lambda c, i: _entry(c, i + 1 > F.when(american, F.lit(2)).otherwise(code), lows(i)))
+        nth = lambda i: F.char_length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", "")) - n + 10  # in the ten
+        free = lambda i: F.when(american, nth(i) > 0).otherwise(i + 1 > code)
+        lows = lambda i: F.when(american & nth(i).isin(1, 4), F.lit(2)).otherwise(F.lit(0))
+        return F.transform(chars, lambda c, i: _entry(c, free(i), lows(i)))
 
-    return F.when(n.between(8, 15) & (american | ~m.rlike(r"^\+1")), _permuted_text(entries(_chars(m)), "phone", key)).otherwise(m)
+    return F.when(american | n.between(8, 15), _permuted_text(entries(_chars(m)), "phone", key)).otherwise(m)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -210,7 +220,7 @@ def pseudonym(m: Column, key: str) -> Column:
         F.when(m.contains("@"), _by_class(m, F.lit(1), F.instr(m, "@") - 1, "email", key))
         .when(head > 0, _by_class(m, head + 1, whole, "secret", key))
         .when(m.startswith("AKIA"), _by_class(m, F.lit(5), whole, "access_key", key))
-        .when(m.startswith("+"), _phone(m, key))
+        .when(m.startswith("+") | m.rlike("^(?:" + PATTERNS["national"] + ")$"), _phone(m, key))
         .when(m.rlike("^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$"), _ipv4(m, key))
         .when(m.rlike("^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), _date(m, key))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key))

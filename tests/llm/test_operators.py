@@ -237,6 +237,28 @@ def test_pseudonyms(spark):
     assert other[0][0] != got[0]
 
 
+def test_phone_numbers_of_any_area(spark):
+    forms = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1-132-155-1352", "+1.456.055.2186", "+14565552186", "555-123-4567", "(555) 123-4567", "(017)555-7713", "1-555-123-4567", "555.123.4567"]
+    kept = ["12-555-123-4567", "555-123-45678", "+1 (456) 555-21864", "123-45-678", "5551234567"]
+    got = by_id(pii.pseudonymised(docs(spark, [f"call {x}, now" for x in forms + kept]), "k", found="n"), "text", "n")
+    low = lambda x: [c < "2" for c in (x[0], x[3])]
+    new = {}
+    for i, x in enumerate(forms):
+        text, n = got[i]
+        y = text[5:-5]
+        a, b = re.sub(r"\D", "", x)[-10:], re.sub(r"\D", "", y)[-10:]
+        assert n == 1 and text != f"call {x}, now" and re.sub(r"\d", "0", text) == re.sub(r"\d", "0", f"call {x}, now")
+        assert low(a) == low(b) and new.setdefault(a, b) == b and y.startswith(re.match(r"\+1|1-|", x)[0])
+    assert len(set(new.values())) == len(new)
+    assert [got[len(forms) + i] for i in range(len(kept))] == [(f"call {x}, now", 0) for x in kept]
+
+
+def test_phone_numbers_never_share_a_pseudonym(spark):
+    texts = [f"+1 ({a:03d}) {e}55-0000" for a in range(0, 1000, 7) for e in range(10)]
+    out = by_id(pii.pseudonymised(docs(spark, texts), "k"), "text")
+    assert len(set(out.values())) == len(texts) and not set(texts) <= {t for t, in out.values()}
+
+
 def test_feistel_is_a_permutation(spark):
     values = spark.range(27 * 100).select(F.array(F.floor(F.col("id") / 100), F.col("id") % 100).alias("v"))
     radices = F.array(F.lit(27).cast("bigint"), F.lit(100).cast("bigint"))
