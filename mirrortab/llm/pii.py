@@ -34,9 +34,9 @@ EXAMPLE_KEY = "replace-this-key"
 FIRST_DAY, DAYS, DAY_RADIX = "1700-03-01", 146_097, 5_411
 
 #: What candidates look like, in order of preference.
-SECRET_HEAD = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\x22\x27]?"
+SECRET_HEAD = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x22\x27]?[ ]{0,3}[=:][ ]{0,3}[\x22\x27]?"
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])" + SECRET_HEAD + r"[A-Za-z0-9_+/.-]{6,80}(?![A-Za-z0-9_+/.-])",
+    "secret": r"(?<![A-Za-z0-9])" + SECRET_HEAD + r"[A-Za-z0-9_+/.-]{6,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])\+(?:1(?:[ .()/-]{0,3}[0-9]){10}|[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])",
@@ -48,6 +48,8 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Digits that one piece of noise serves: six hex digits each of two 512-bit hashes.
+PIECE = 42
 #: Every candidate holds one of these characters.
 NEEDED = "[0-9@=:]"
 
@@ -56,26 +58,39 @@ def feistel(values: Column, radices: Column, tweak: Column | str, key: str) -> C
     """Permute a vector of digits; each stays below its radix."""
     tweak = F.lit(tweak) if isinstance(tweak, str) else tweak
 
-    def one_round(v: Column, r: Column) -> Column:
+    def one_round(v: Column, r: Column, radices: Column) -> Column:
         cut = F.floor(F.size(v) / 2).cast("int")
         left_turn = r % 2 == 1
         other = F.when(left_turn, F.slice(v, cut + 1, F.size(v) - cut)).otherwise(F.slice(v, F.lit(1), cut))
         said = F.concat_ws("|", F.lit(key), tweak, r.cast("string"), F.array_join(other.cast("array<string>"), ","))
-        noise = F.concat(F.sha2(F.concat(said, F.lit("|0")), 512), F.sha2(F.concat(said, F.lit("|1")), 512))
+        longer = F.size(v) - cut
+        hashed = lambda x, i: F.sha2(F.concat(x, F.lit(f"|{i}")), 512)
+
+        def pieces(x: Column) -> Column:
+            first = F.array(F.concat(hashed(x, 0), hashed(x, 1)))
+            numbered = lambda seed, k: F.concat_ws("|", seed, k.cast("string"))
+            further = lambda seed: F.transform(
+                F.sequence(F.lit(1), F.floor((longer - 1) / PIECE).cast("int")),
+                lambda k: F.concat(hashed(numbered(seed, k), 0), hashed(numbered(seed, k), 1)),
+            )
+            return F.when(longer <= PIECE, first).otherwise(F.concat(first, let(hashed(x, 2), further)))
 
         def step(h: Column) -> Column:
-            add = lambda i: F.conv(F.substr(h, F.when(left_turn, i).otherwise(i - cut) * 6 + 1, F.lit(6)), 16, 10).cast("bigint")
+            nth = lambda i: F.when(left_turn, i).otherwise(i - cut)
+            digits = lambda j: F.substr(F.get(h, F.floor(j / PIECE).cast("int")), j % PIECE * 6 + 1, F.lit(6))
+            add = lambda i: F.conv(digits(nth(i)), 16, 10).cast("bigint")
             return F.transform(
                 v, lambda x, i: F.when((i < cut) == left_turn, F.pmod(x + add(i), F.get(radices, i))).otherwise(x)
             )
 
-        return let(noise, step)
+        return let(let(said, pieces), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), values, one_round)
+    rounds = F.sequence(F.lit(1), F.lit(ROUNDS))
+    return let(radices, lambda m: F.aggregate(rounds, values, lambda v, r: one_round(v, r, m)))
 
 
 def _chars(m: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.char_length(m)), lambda i: F.substr(m, i, F.lit(1)))
+    return F.split(m, "")
 
 
 def _entry(c: Column, free: Column, low: Column | None = None) -> Column:
@@ -102,31 +117,29 @@ def _permuted_text(entries: Column, tweak: str, key: str) -> Column:
     """Permute the characters with a radix above 1 among themselves."""
 
     def rebuilt(e: Column) -> Column:
-        active = F.filter(e, lambda x: x["radix"] > 1)
-        start = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
-
-        def put(new: Column) -> Column:
-            def add(acc: Column, x: Column) -> Column:
-                moves = x["radix"] > 1
-                code = x["base"] + F.when(moves, F.get(new, acc["k"])).otherwise(F.lit(0))
-                return F.struct(
-                    (acc["k"] + moves.cast("int")).alias("k"), F.concat(acc["out"], F.char(code)).alias("out")
-                )
+        placed = F.transform(e, lambda x, i: F.struct(i.alias("at"), x.alias("of")))
+        active = F.filter(placed, lambda x: x["of"]["radix"] > 1)
+        others = F.filter(placed, lambda x: x["of"]["radix"] <= 1)
+        shown = lambda x, new: F.struct(x["at"].alias("at"), F.char(x["of"]["base"] + new).alias("c"))
 
-            return F.aggregate(e, start, add, lambda acc: acc["out"])
+        def put(a: Column) -> Column:
+            new = feistel(F.transform(a, lambda x: x["of"]["value"]), F.transform(a, lambda x: x["of"]["radix"]), tweak, key)
+            moved = let(new, lambda v: F.transform(a, lambda x, k: shown(x, F.get(v, k))))
+            whole = F.array_sort(F.concat(moved, F.transform(others, lambda x: shown(x, F.lit(0)))))
+            return F.array_join(F.transform(whole, lambda x: x["c"]), "")
 
-        permuted = let(
-            active, lambda a: feistel(F.transform(a, lambda x: x["value"]), F.transform(a, lambda x: x["radix"]), tweak, key)
-        )
-        return let(permuted, put)
+        return let(active, put)
 
     return let(entries, rebuilt)
 
 
 def _by_class(m: Column, first: Column, last: Column, tweak: str, key: str) -> Column:
     """Letters stay letters and digits stay digits from character ``first`` to ``last`` (from 1)."""
-    inside = lambda i: (i + 1 >= first) & (i + 1 <= last)
-    return _permuted_text(F.transform(_chars(m), lambda c, i: _entry(c, inside(i))), tweak, key)
+
+    def entries(ends: Column) -> Column:
+        return F.transform(_chars(m), lambda c, i: _entry(c, (i + 1 >= ends["first"]) & (i + 1 <= ends["last"])))
+
+    return _permuted_text(let(F.struct(first.alias("first"), last.alias("last")), entries), tweak, key)
 
 
 def _luhn_sum(digits: Column, doubled_first: bool) -> Column:

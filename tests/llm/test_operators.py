@@ -259,6 +259,27 @@ def test_phone_numbers_never_share_a_pseudonym(spark):
     assert len(set(out.values())) == len(texts) and not set(texts) <= {t for t, in out.values()}
 
 
+def test_secrets_of_any_length_and_quoted_keys(spark):
+    rng = np.random.default_rng(11)
+    secret = lambda n: "".join(rng.choice(list("abcXYZ0189_.-/+"), n))
+    values = [secret(n) for n in (6, 80, 81, 300, 300, 5_000)]
+    values.append(values[3][:-1] + ("a" if values[3][-1] != "a" else "b"))
+    heads = ["token = ", '"api_key": "', "'password':'", 'secret="']
+    texts = [f"so {h}{v} end" for v in values for h in heads]
+    got = by_id(pii.pseudonymised(docs(spark, texts), "k", found="n"), "text", "n")
+    shape = lambda x: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", x)))
+    new = {}
+    for i, text in enumerate(texts):
+        v, h = values[i // len(heads)], heads[i % len(heads)]
+        out, n = got[i]
+        assert n == 1 and out.startswith(f"so {h}") and out.endswith(" end")
+        y = out[len(h) + 3 : -4]
+        assert y != v and shape(y) == shape(v) and new.setdefault(v, y) == y
+        if len(v) > 100:  # no part stays
+            assert not any(v[j : j + 20] in y for j in range(0, len(v), 20) if len(re.findall("[a-zA-Z0-9]", v[j : j + 20])) > 9)
+    assert len(set(new.values())) == len(new)
+
+
 def test_feistel_is_a_permutation(spark):
     values = spark.range(27 * 100).select(F.array(F.floor(F.col("id") / 100), F.col("id") % 100).alias("v"))
     radices = F.array(F.lit(27).cast("bigint"), F.lit(100).cast("bigint"))
