@@ -55,6 +55,9 @@ TEMPLATES = (
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by", "CC BY 4.0"),
+    ("cc-by-sa", "CC BY-SA 4.0"),
+    ("cc-by-nc", "CC BY-NC 4.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 

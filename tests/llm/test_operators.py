@@ -57,6 +57,14 @@ def test_license_spans_bridge_a_changed_word(spark):
     assert [(s.label, s.first) for s in r.spans] == [("mit", 1)]
 
 
+def test_bare_license_names(spark):
+    names = {"CC BY 4.0": "cc-by", "CC BY-SA 4.0": "cc-by-sa", "CC BY-NC 4.0": "cc-by-nc"}
+    texts = [before + name for before in ("License: ", "Licensed under ", "") for name in names] + ["sent cc by mail 4 0"]
+    got = by_id(licenses.license_scan(docs(spark, texts)), "license")
+    assert [got[i][0].labels for i in range(len(texts))] == list(names.values()) * 3 + [""]
+    assert all(r.n_base == 0 for r, in got.values())
+
+
 # near-duplicates
 
 def components_by_brute_force(fps, ids):
