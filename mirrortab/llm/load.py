@@ -7,7 +7,9 @@ from mirrortab.llm import common
 
 
 def load_all() -> tuple[dict, dict]:
-    from mirrortab.llm import bpe, decontaminate, html, licenses, pii, quality, repeats, sharding, simhash, toxicity  # noqa: F401
+    from mirrortab.llm import (  # noqa: F401
+        audit, bpe, decontaminate, html, licenses, periods, pii, quality, repeats, sharding, simhash, topk, toxicity,
+    )
 
     queries, sql = {**common.QUERIES, "pipeline": corpus_pipeline.run}, dict(common.SQL)
     if corpus_pipeline.ORACLE_SQL:
