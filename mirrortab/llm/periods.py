@@ -225,7 +225,7 @@ def _answers(texts: list[list[bytes]]) -> tuple[list[list[dict]], list[bytes]]:
 _RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
 
-def _found(frames):
+def _found(frames, together: int):
     names = ["doc_id", "n_words", "runs", "collapsed"]
     for batch in frames:
         ids, held, words, begin = batch.column(0), [], 0, 0
@@ -233,7 +233,7 @@ def _found(frames):
         for i, text in enumerate(batch.column(1)):
             held.append(text.as_buffer().to_pybytes().split())
             words += len(held[-1])
-            if words >= TOGETHER or i + 1 == rows:
+            if words >= together or i + 1 == rows:
                 found, collapsed = _answers(held)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(begin, len(held)), pa.array([len(t) for t in held], pa.int64()), pa.array(found, _RUNS),
@@ -242,18 +242,19 @@ def _found(frames):
                 held, words, begin = [], 0, i + 1
 
 
-def periodic_runs(docs: DataFrame) -> DataFrame:
+def periodic_runs(docs: DataFrame, together: int = TOGETHER) -> DataFrame:
     """``doc_id, n_words, runs, collapsed`` of every row of ``docs`` (``doc_id, text``).
 
     ``runs`` has ``start, length, period`` by start, then period; ``collapsed`` is the text without the
-    words of a run after its first period, words joined by one space.
+    words of a run after its first period, words joined by one space.  Texts of ``together`` words are
+    sorted together.
     """
     kind = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")])
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("runs", T.ArrayType(kind)), T.StructField("collapsed", T.StringType()),
     ])
-    return docs.select("doc_id", text_or_empty().cast("binary")).mapInArrow(_found, schema)
+    return docs.select("doc_id", text_or_empty().cast("binary")).mapInArrow(lambda frames: _found(frames, together), schema)
 
 
 def with_planted_periods(docs: DataFrame) -> DataFrame:

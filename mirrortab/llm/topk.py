@@ -68,8 +68,8 @@ def statistics(vectors: np.ndarray, length: int) -> np.ndarray:
 class Block:
     """Queries with their statistics and the best candidates seen so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sure: np.ndarray, k: int) -> None:
-        self.ids, self.vectors, self.sure, self.k = ids, vectors, sure, k
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, sure: np.ndarray, k: int, tile: int = TILE) -> None:
+        self.ids, self.vectors, self.sure, self.k, self.tile = ids, vectors, sure, k, tile
         self.lengths = segment_lengths(vectors.shape[1])
         self.levels = [statistics(vectors, n) for n in self.lengths]
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
@@ -79,8 +79,8 @@ class Block:
     def see(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         levels = [statistics(vectors, n) for n in self.lengths]
         largest = np.sqrt((vectors * vectors).sum(axis=1).max())
-        for at in range(0, len(self.ids), TILE):
-            rows = slice(at, at + TILE)
+        for at in range(0, len(self.ids), self.tile):
+            rows = slice(at, at + self.tile)
             least = np.maximum(self.sure[rows], self.scores[rows, -1])
             pairs = ids[None, :] != self.ids[rows, None]
             open_ = least - SLACK * self.norms[rows] * largest
@@ -131,8 +131,8 @@ def _scanned(rows: DataFrame, shared, scale: int) -> DataFrame:
     """``q, query_id, vec_id, score``: the best of each partition of ``rows`` (``id, vector``); ``q`` is a place in the block."""
 
     def scan(frames):
-        ids, vectors, sure, k = shared.value
-        block = Block(ids, vectors, sure, k)
+        ids, vectors, *settings = shared.value
+        block = Block(ids, vectors, *settings)
         for batch in frames:
             right, numbers = whole_numbers(batch.column(1), vectors.shape[1], scale)
             if len(right):
@@ -153,7 +153,9 @@ def _ranked(found: DataFrame, key: str, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", scale: int = 256) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embedding", scale: int = 256, tile: int = TILE
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products of every query row.
 
     ``vectors`` has an integer ``vec_id`` and an array ``vector``; ``is_query`` marks the queries.
@@ -166,7 +168,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     queries = stored(rows.where("asks").select("id", "vector").distinct(), "top-k-queries")
     parts = []
     for size, count in sorted(tuple(r) for r in queries.groupBy(F.size("vector")).count().collect()):
-        limit = max(TILE, BLOCK_VALUES // max(1, size))
+        limit = max(tile, BLOCK_VALUES // max(1, size))
         blocks = 1 if count <= limit else -(-2 * count // limit)  # half full, so that few are cut
         of_size = queries.where(F.size("vector") == size)
         for b in range(blocks):
@@ -177,12 +179,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
                 lists = part.column("vector").combine_chunks()
                 asked = whole_numbers(lists, size, scale)[1]
                 sure = np.full(len(ids), -np.inf)
-                shared = spark.sparkContext.broadcast((ids, asked, sure, k))
+                shared = spark.sparkContext.broadcast((ids, asked, sure, k, tile))
                 first = _ranked(_scanned(of_size, shared, scale), "q", k).where(F.col("rank") == k).select("q", "score")
                 for q, score in first.collect():  # one number a query of the block
                     sure[q] = score
                 shared.unpersist()
-                shared = spark.sparkContext.broadcast((ids, asked, sure, k))
+                shared = spark.sparkContext.broadcast((ids, asked, sure, k, tile))
                 best = _scanned(candidates, shared, scale).drop("q")
                 parts.append(stored(_ranked(best, "query_id", k), "top-k"))
                 shared.unpersist()
