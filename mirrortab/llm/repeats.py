@@ -1,21 +1,25 @@
-"""Removal of passages that occur more than once: windows of ``THRESHOLD`` bytes in sorted order.
+"""Removal of passages that occur more than once: a radix sort of windows of ``THRESHOLD`` bytes.
 
 Ordering all suffixes by their first ``THRESHOLD`` bytes only makes equal windows neighbours; the
 equal groups are exactly the repeated windows.  The order is refined by passes of most significant
 digits, and each pass drops what is already alone, so only repeated text is ever ordered deeply:
 
-1. Digit one of a window is the hash of its least ``GRAM``-byte piece, the *anchor*.  It follows from
+1. The first digit of a window is the hash of its least ``GRAM``-byte piece, the *anchor*.  It follows from
    the window's bytes alone, so equal windows have equal anchors, and neighbouring windows share one:
    a run of windows is one row.  Runs whose anchor occurs once hold no repeated window and are done.
-2. Digit two is the hash of the whole run.  Runs that are equal as a whole are repeated as a whole;
+2. The next digit is the hash of the whole run.  Runs that are equal as a whole are repeated as a whole;
    one of each class goes on as a partner for runs that share only a part.
-3. The last digit is the hash of the window itself, for the windows of what is left, exchanged packed
-   (:mod:`mirrortab.llm.packed`) by ranges of the hash, sorted, and answered.
-
-Hashes are polynomial over random numbers for the bytes, mixed, 64 bits each; runs are compared by two
-of them.  Two different windows of the last pass agree by chance once in 2**64 pairs; that pass sees
-few of all windows, and the expected number of such errors for ``n`` of them is ``n ** 2 / 2 ** 65``
-(below 0.001 for 150 million).
+3. What is left are runs that share an anchor but are not equal.  They travel with their bytes and are
+   ordered by these: from the anchor to the left and from the anchor to the right, digit by digit of
+   eight bytes, the most significant first, only what is not alone yet going into the next pass.  From
+   both orders follows, for each position of the anchor in a window, which windows are equal; equal
+   groups are exactly the repeated windows.  A group of more than ``GROUP`` runs is no task's work: its
+   windows are dealt by the position of the anchor, a quarter of the positions at a time, and grouped
+   anew by the bytes that all windows of a quarter share, until all 400 bytes are the group's key.
+
+Pass one loses nothing and decides nothing.  In pass two runs, and texts as wholes, are told by 128 bits
+of hash; in pass three windows by their bytes alone, so that windows of equal hashes are kept apart.
+Hashes of pieces are polynomial over random numbers for the bytes, mixed.
 
 Texts are known by a 128-bit key of their content, so copies are one text.  They are moved once, with
 copies reduced before the shuffle, and again only if something in them is repeated.
@@ -35,7 +39,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrortab.llm.common import query, stored, table, text_or_empty
-from mirrortab.llm.packed import SENT, Members, gathered, part_bits, repeated_hashes, sent
 
 THRESHOLD, GRAM = 400, 128
 #: Pieces of a window.
@@ -43,8 +46,12 @@ PIECES = THRESHOLD - GRAM + 1
 #: Windows handled at a time in a long text (positions inside fit the low bits of a sort key).
 CHUNK = (1 << 20) - 2 * THRESHOLD
 _LOW = np.uint64((1 << 20) - 1)
-#: Windows and bytes of text of a block in the last pass, on average.
-BLOCK_WINDOWS, BLOCK_BYTES = 2_000_000, 12_000_000
+#: Runs that a task compares with each other; a larger group is split by more of its bytes.
+GROUP = 4_096
+#: Parts that the positions of the anchor are cut into when a group is split.
+QUARTERS = 4
+#: Bytes of groups that a task holds, on average.
+BLOCK_BYTES = 12_000_000
 
 _BASE = 0x9E3779B97F4A7C15  # 5 modulo 8
 _NUMBERS = np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -82,15 +89,6 @@ def _hashes(sums: np.ndarray, size: int) -> np.ndarray:
     return _mixed(h)
 
 
-def window_hashes(data: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Hashes of the windows that start at ``first`` to ``last``."""
-    parts = []
-    for at in range(first, last + 1, CHUNK):
-        end = min(last + 1, at + CHUNK)
-        parts.append(_hashes(_sums(data[at : end + THRESHOLD - 1]), THRESHOLD))
-    return np.concatenate(parts)
-
-
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Least value of every ``width`` neighbours."""
     n = len(values)
@@ -212,60 +210,225 @@ def removed(size: int, intervals: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(texts: DataFrame, width: int = 64) -> DataFrame:
-    """``k1, k2, spans, kept_sha256`` of ``texts`` (``k1, k2, text`` as bytes, ``runs``)."""
-    windows = F.aggregate(
-        "runs", F.lit(0).cast("bigint"), lambda a, r: a + F.when(r["goes"], r["last"] - r["first"] + 1).otherwise(0)
+def _anchor(piece: np.ndarray) -> tuple[int, int]:
+    """Position and hash of the anchor that all windows of a run share."""
+    grams = _hashes(_sums(piece), GRAM)
+    at = int(np.argmin(grams & ~_LOW))  # the leftmost of the least
+    return at, int(grams[at])
+
+
+PIECES_OF_RUNS = "key binary, low int, high int, k1 bigint, k2 bigint, first bigint, at int, piece binary"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    columns = zip(*rows) if rows else ([] for _ in kinds)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in PIECES_OF_RUNS.split(", ")]
     )
-    total, size = texts.agg(F.sum(windows), F.sum(F.octet_length("text"))).first()
-    bits = part_bits(total or 0)
-    blocks = max(1, -(-(total or 0) // BLOCK_WINDOWS), -(-(size or 0) // BLOCK_BYTES))
-    placed = texts.withColumn("block", F.pmod(F.xxhash64("k2", "k1"), F.lit(blocks))).repartition(blocks, "block")
-
-    def send(key, group):
-        found = [window_hashes(data, a, b) for _, _, data, r in _texts(group) for a, b in r[r[:, 3] > 0, :2].tolist()]
-        return sent(key[0].as_py(), np.concatenate([*found, np.empty(0, np.uint64)]), width, bits)
-
-    def judge(group, answers):
-        met = gathered(answers)
-        members = Members(met) if len(met) else None
-        rows: dict[str, list] = {"k1": [], "k2": [], "spans": [], "kept_sha256": []}
-        for k1, k2, data, r in _texts(group):
-            intervals = [r[r[:, 2] > 0, :2]]
-            if members is not None:
-                for a, b in r[(r[:, 2] == 0) & (r[:, 3] > 0), :2].tolist():
-                    hit = np.flatnonzero(members.of(window_hashes(data, a, b))) + a
-                    intervals.append(np.stack([hit, hit], axis=1))
-            spans = removed(len(data), np.concatenate(intervals))
+
+
+def _piece_rows(frames):
+    """Runs that go on, as rows with their bytes; the key of a group is the anchor."""
+    for batch in frames:
+        rows, size = [], 0
+        for k1, k2, data, found in _texts(batch):
+            for first, last in found[found[:, 3] > 0, :2].tolist():
+                piece = data[first : last + THRESHOLD]
+                at, anchor = _anchor(piece)
+                rows.append((anchor.to_bytes(8, "big"), 0, THRESHOLD - GRAM, k1, k2, first, at, piece.tobytes()))
+                size += len(piece)
+                if size > 4_000_000:
+                    yield _piece_batch(rows)
+                    rows, size = [], 0
+        yield _piece_batch(rows)
+
+
+def split_row(low: int, high: int, k1: int, k2: int, first: int, at: int, piece: bytes) -> list[tuple]:
+    """The windows of a row by quarters of the anchor's positions ``low`` to ``high`` in them.
+
+    The key of a quarter is the bytes that all its windows share, whatever run they are from.
+    """
+    rows, step = [], -(-(high - low + 1) // QUARTERS)
+    least = at - (len(piece) - THRESHOLD)
+    for a in range(low, high + 1, step):
+        b = min(a + step - 1, high)
+        mine_a, mine_b = max(a, least), min(b, at)
+        if mine_a <= mine_b:
+            key = a.to_bytes(2, "big") + piece[at - a : at - b + THRESHOLD]
+            rows.append((key, a, b, k1, k2, first + at - mine_b, mine_b, piece[at - mine_b : at - mine_a + THRESHOLD]))
+    return rows
+
+
+def _split(frames):
+    for batch in frames:
+        rows = []
+        for r in zip(*(c.to_pylist() for c in batch.columns[1:8])):
+            rows += split_row(*r)
+            if len(rows) > 4_096:
+                yield _piece_batch(rows)
+                rows = []
+        yield _piece_batch(rows)
+
+
+def sorted_by_digits(rows: np.ndarray) -> np.ndarray:
+    """Order of the rows of a byte matrix, by most-significant-digit passes over eight bytes at a time."""
+    n, width = rows.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = rows
+    digits = padded.view(">u8")
+    order, group = np.arange(n), np.zeros(n, np.int64)
+    for d in range(digits.shape[1]):
+        alone = np.ones(n, bool)
+        alone[1:] &= group[1:] != group[:-1]
+        alone[:-1] &= group[:-1] != group[1:]
+        rest = np.flatnonzero(~alone)
+        if not len(rest):
+            break
+        digit = digits[order[rest], d].astype(np.uint64)
+        turn = np.lexsort((digit, group[rest]))
+        order[rest], digit = order[rest][turn], digit[turn]
+        old = group[rest]  # sorted already, and stays so
+        new = np.concatenate(([True], (old[1:] != old[:-1]) | (digit[1:] != digit[:-1])))
+        group[rest] = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))]
+    return order
+
+
+def _classes(rows: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """For every row and depth a number that rows have in common if their first bytes up to the depth are equal."""
+    order = sorted_by_digits(rows)
+    there = rows[order]
+    differ = there[1:] != there[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1]) if rows.shape[1] else np.zeros(len(rows) - 1, np.int64)
+    out = np.zeros((len(rows), len(depths)), np.int64)
+    out[order[1:]] = np.cumsum(common[:, None] < depths[None, :], axis=0)
+    return out
+
+
+def repeated_windows(pieces: list[bytes], ats: list[int]) -> list[tuple[int, int, int]]:
+    """``(row, first, last)``: windows of the pieces (starts in them) whose bytes another piece has as well.
+
+    ``ats`` are the positions of the anchor, which equal windows hold at the same place.
+    """
+    n = len(pieces)
+    high = np.array(ats)
+    low = high - np.array([len(p) - THRESHOLD for p in pieces])
+    offsets = np.arange(low.min(), high.max() + 1)
+    left = np.zeros((n, int(offsets[-1])), np.uint8)
+    right = np.zeros((n, THRESHOLD - int(offsets[0])), np.uint8)
+    for i, (piece, at) in enumerate(zip(pieces, ats)):
+        data = np.frombuffer(piece, np.uint8)
+        left[i, :at] = data[:at][::-1]
+        right[i, : len(data) - at] = data[at:]
+    key = _classes(left, offsets) * n + _classes(right, THRESHOLD - offsets)
+    there = (offsets >= low[:, None]) & (offsets <= high[:, None])
+    key[~there] = np.broadcast_to(-1 - np.arange(n)[:, None], key.shape)[~there]  # no window there: equal to none
+    by_key = np.argsort(key, axis=0)
+    ordered = np.take_along_axis(key, by_key, axis=0)
+    same = ordered[1:] == ordered[:-1]
+    again = np.zeros(key.shape, bool)
+    again[1:] |= same
+    again[:-1] |= same
+    marked = np.zeros((n, len(offsets) + 2), np.int8)
+    np.put_along_axis(marked[:, 1:-1], by_key, again, axis=0)
+    change = np.diff(marked, axis=1)
+    row, begin = np.nonzero(change == 1)
+    end = np.nonzero(change == -1)[1] - 1
+    return list(zip(row.tolist(), (high[row] - offsets[end]).tolist(), (high[row] - offsets[begin]).tolist()))
+
+
+FOUND = "k1 bigint, k2 bigint, first bigint, last bigint"
+
+
+def _compared(group):
+    """Groups of a task, each by itself."""
+    keys = group.column("key").to_pylist()
+    members: dict[bytes, list[int]] = {}
+    for i, key in enumerate(keys):
+        members.setdefault(key, []).append(i)
+    pieces, ats = group.column("piece").to_pylist(), group.column("at").to_pylist()
+    rows, first, last = [], [], []
+    for of in members.values():
+        for i, a, b in repeated_windows([pieces[i] for i in of], [ats[i] for i in of]):
+            rows.append(of[i])
+            first.append(a)
+            last.append(b)
+    taken = group.select(["k1", "k2", "first"]).take(pa.array(rows, pa.int64()))
+    start = taken.column("first").to_numpy()
+    return pa.table([
+        taken.column("k1"), taken.column("k2"), pa.array(start + np.array(first, np.int64)), pa.array(start + np.array(last, np.int64))
+    ], ["k1", "k2", "first", "last"])
+
+
+def equal_windows(texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """``k1, k2, first, last``: windows (ranges of starts) of runs that go on which occur in another run too.
+
+    ``texts`` is ``k1, k2, text`` (bytes) and ``runs``.
+    """
+    rows = texts.mapInArrow(_piece_rows, PIECES_OF_RUNS)
+    found = None
+    while True:
+        rows = stored(rows, "repeat-pieces")
+        # stored, so that the join is one that Spark can split at a large group
+        sizes = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeat-groups")
+        size, larger = sizes.agg(F.sum("n"), F.max("n")).first()
+        sized = rows.join(sizes, "key")
+        blocks = -(-(size or 0) * (2 * THRESHOLD) // BLOCK_BYTES) or 1
+        few = sized.where(F.col("n") <= group).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        part = few.select("block", "key", "k1", "k2", "first", "at", "piece").groupBy("block").applyInArrow(_compared, FOUND)
+        found = part if found is None else found.unionByName(part)
+        if (larger or 0) <= group:
+            return found
+        many = sized.where(F.col("n") > group)
+        # where one position is left, the key is the whole window
+        whole = many.where("low = high").select("k1", "k2", "first", F.col("first").alias("last"))
+        found = found.unionByName(whole)
+        rows = many.where("low < high").drop("n").mapInArrow(_split, PIECES_OF_RUNS)
+
+
+def _spans(frames):
+    """Spans to remove and the digest of the rest, of each text."""
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+    for batch in frames:
+        spans, digests = [], []
+        pairs = lambda flat: np.stack([flat.values.field(n).to_numpy(zero_copy_only=False) for n in ("first", "last")], axis=1)
+        for (_, _, data, runs_), more in zip(_texts(batch), batch.column("found")):
+            intervals = [runs_[runs_[:, 2] > 0, :2]]
+            if more.is_valid:
+                intervals.append(pairs(more).astype(np.int64))
+            mine = removed(len(data), np.concatenate(intervals))
             digest, at = hashlib.sha256(), 0
-            for a, b in spans:
+            for a, b in mine:
                 digest.update(data[at:a])
                 at = b
             digest.update(data[at:])
-            rows["k1"].append(k1)
-            rows["k2"].append(k2)
-            rows["spans"].append([{"first": a, "end": b} for a, b in spans])
-            rows["kept_sha256"].append(digest.hexdigest())
-        kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        return pa.table([
-            pa.array(rows["k1"], pa.int64()), pa.array(rows["k2"], pa.int64()), pa.array(rows["spans"], kind),
-            pa.array(rows["kept_sha256"], pa.string()),
-        ], list(rows))
-
-    answers = repeated_hashes(placed.groupBy("block").applyInArrow(send, SENT))
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        judge, "k1 bigint, k2 bigint, spans array<struct<first:bigint,end:bigint>>, kept_sha256 string"
+            spans.append([{"first": a, "end": b} for a, b in mine])
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("k1"), batch.column("k2"), pa.array(spans, kind), pa.array(digests, pa.string())],
+            ["k1", "k2", "spans", "kept_sha256"],
+        )
+
+
+def repeated_spans(texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """``k1, k2, spans, kept_sha256`` of ``texts`` (``k1, k2, text`` as bytes, ``runs``)."""
+    found = equal_windows(texts, group).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    return texts.join(stored(found, "repeat-windows"), ["k1", "k2"], "left").mapInArrow(
+        _spans, "k1 bigint, k2 bigint, spans array<struct<first:bigint,end:bigint>>, kept_sha256 string"
     )
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_bytes, spans`` (bytes to remove) and ``kept_sha256``."""
+def repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_bytes, spans`` (bytes to remove) and ``kept_sha256``.
+
+    Groups of more than ``group`` runs are split before a task compares them.
+    """
     docs = keyed(docs)
     found = stored(repeated_runs(docs), "repeat-texts")
     # one row of each text, copies reduced before the shuffle
     texts = docs.groupBy("k1", "k2").agg(F.first(F.col("text").cast("binary")).alias("text"))
     texts = stored(texts.join(found, ["k1", "k2"]), "repeat-candidates")
-    spans = stored(repeated_spans(texts), "repeat-spans")
+    spans = stored(repeated_spans(texts, group), "repeat-spans")
     rows = docs.select(
         "doc_id", "k1", "k2", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256")
     )

@@ -214,9 +214,43 @@ def test_repeated_spans_equal_brute_force(spark):
         "a" * 1000, "a" * 399, "a" * 400, "xy" * 700, base, base[100:600] + "Q" + base[700:1200], base[:450], "é" * 500, "", None,
         base, base[1000:1400], "z" * 401, base[2000:2399], "q" + base[500:1500] + "r" + base[1400:2000],
     ]
-    found = repeats.repeats(docs(spark, texts))
-    got = {r.doc_id: (r.n_bytes, sum(s.end - s.first for s in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()}
-    assert [got[i] for i in range(len(texts))] == spans_by_brute_force(texts)
+    want = spans_by_brute_force(texts)
+    for group in (repeats.GROUP, 2, 1):  # smaller groups are split, down to whole windows
+        found = repeats.repeats(docs(spark, texts), group)
+        got = {r.doc_id: (r.n_bytes, sum(s.end - s.first for s in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repeated_spans_of_a_very_long_text(spark):
+    rng = np.random.default_rng(5)
+    base = "".join(rng.choice(list("abcd "), 900))
+    long = base + "".join(rng.choice(list("xyz "), repeats.CHUNK + 50_000)) + base[100:800]
+    texts = [long, base[200:700], "short"]
+    got = {r.doc_id: [(s.first, s.end) for s in r.spans] for r in repeats.repeats(docs(spark, texts)).collect()}
+    assert got == {0: [(100, 800), (len(long) - 700, len(long))], 1: [(0, 500)], 2: []}
+
+
+def test_windows_are_compared_by_their_bytes():
+    """Groups are formed by hashes; whatever is in a group, only windows of equal bytes are repeated."""
+    rng = np.random.default_rng(7)
+    anchor = bytes(rng.integers(0, 256, repeats.GRAM, dtype=np.uint8))
+    reach = repeats.THRESHOLD - repeats.GRAM
+    for _ in range(150):
+        pool = [bytes(rng.integers(0, 2, reach, dtype=np.uint8)) for _ in range(2)]
+        pieces, ats = [], []
+        for _ in range(int(rng.integers(1, 7))):
+            left, right = bytearray(pool[rng.integers(2)]), bytearray(pool[rng.integers(2)])
+            for side in (left, right):
+                if rng.random() < 0.7:
+                    side[rng.integers(reach)] ^= 1
+            middle = anchor if rng.random() < 0.8 else anchor[:-1] + b"?"  # as if their hashes were equal
+            high = int(rng.integers(0, reach + 1))
+            low = int(rng.integers(0, high + 1))
+            pieces.append(bytes(left[reach - high :]) + middle + bytes(right[: reach - low]))
+            ats.append(high)
+        seen = collections.Counter((at - i, p[i : i + 400]) for p, at in zip(pieces, ats) for i in range(len(p) - 399))
+        want = {(r, i) for r, (p, at) in enumerate(zip(pieces, ats)) for i in range(len(p) - 399) if seen[at - i, p[i : i + 400]] > 1}
+        assert {(r, i) for r, a, b in repeats.repeated_windows(pieces, ats) for i in range(a, b + 1)} == want
 
 
 def test_runs_of_long_texts_join_up():
