@@ -82,7 +82,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`stored` has written, once its successor is written."""
+    path = getattr(df, "stored_at", None)
+    if path:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def without_clash(df: DataFrame, name: str, replaced: str | None = None) -> DataFrame:
+    """``df``, unless a result called ``name`` would overwrite a column (other than ``replaced``)."""
+    if name != replaced and name.lower() in (c.lower() for c in df.columns):
+        raise ValueError(f"there is a column {name!r} already: rename it or choose another name")
+    return df
 
 
 def text_or_empty(column: str = "text"):

@@ -10,7 +10,7 @@ words can hold a window; there the exact tuple of word numbers is looked up, so
 by equality and never rests on a hash alone.
 
 Defined results: null or empty texts have no words and no hits; an item without words has no
-window; repeated documents and items are each judged; several items with the same id count once;
+window; repeated documents are each judged, repeated items are one; items with the same id count once;
 an item id of null is listed as the empty string; other columns, whatever their names, are kept.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mirrortab.llm.common import alnum_words, query, stored, table
+from mirrortab.operators.core import running_total
 
 #: Words of a window.
 WINDOW = 13
@@ -68,17 +69,22 @@ def _pieces(frames):
         )
 
 
-def benchmark_blocks(benchmark: DataFrame):
-    """Broadcasts of ``(item, words)`` pieces, each of about ``BLOCK_BYTES`` at most."""
-    spark = benchmark.sparkSession
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int | None = None):
+    """Broadcasts of distinct ``(item, words)`` pieces, each of ``block_bytes`` and one piece at most.
+
+    Repeated items are one; pieces are cut once and stored, and dealt to blocks by their running size.
+    """
+    spark, block_bytes = benchmark.sparkSession, block_bytes or BLOCK_BYTES
     pieces = benchmark.select(F.col("item_id").cast("string"), F.col("text")).mapInArrow(
         _pieces, "item string, words binary, size bigint"
     )
-    total = pieces.agg(F.sum("size")).first()[0] or 0
-    blocks = -(-total // (BLOCK_BYTES // 2)) if total > BLOCK_BYTES else 1
-    block = F.pmod(F.xxhash64("item", "words"), F.lit(blocks))
-    for b in range(blocks):
-        rows = pieces.where(block == b).select("item", "words").collect()
+    pieces = stored(pieces.distinct().withColumns({"all": F.lit(0), "place": F.sha2("words", 256)}), "benchmark-pieces")
+    run = running_total(pieces.select("all", "place", "item", "size"), ["all"], ["place", "item"], "size")
+    block = F.floor((F.col("cum") - F.col("size")) / block_bytes).cast("bigint")
+    placed = pieces.select("place", "item", "words").join(run.select("place", "item", block.alias("block")), ["place", "item"])
+    placed = stored(placed.select("block", "item", "words"), "benchmark-blocks")
+    for b in range((placed.agg(F.max("block")).first()[0] or 0) + 1):
+        rows = placed.where(F.col("block") == b).select("item", "words").collect()
         yield spark.sparkContext.broadcast([(r[0], bytes(r[1])) for r in rows])
 
 
@@ -141,7 +147,9 @@ def merged(spans: list[int], more: list[int]) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+def scan(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int | None = None
+) -> tuple[DataFrame, str]:
     """``docs`` and a struct column ``(n_words, spans, items)``; returns the column's name too."""
     name = fresh(docs.columns, "contamination")
     found = T.StructType(
@@ -153,7 +161,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> tuple[Dat
     )
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
     out = docs
-    for turn, shared in enumerate(benchmark_blocks(benchmark)):
+    for turn, shared in enumerate(benchmark_blocks(benchmark, block_bytes)):
         if turn:
             out = stored(out, "decontaminate")
         where, later = docs.columns.index(text), turn > 0

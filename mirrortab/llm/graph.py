@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.llm.common import stored
+from mirrortab.llm.common import discard, stored
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round points nodes to the smallest neighbour, first from the larger ends of the edges,
     then from the smaller; the number of rounds grows with the logarithm of the longest path.  Edges
-    are kept in tables, nothing is collected but a count and a checksum to see the end.
+    are kept in tables, each deleted when the next is written; nothing is collected but a count and a
+    checksum to see the end.
     """
     e = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -25,13 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
     before = _digest(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the smallest neighbours are stored, so that Spark can split the edges of a very common node
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = stored(
             both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges"
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        earlier, e = e, stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "edges")
+        for done in (earlier, large, least):
+            discard(done)
         after = _digest(e)
         if after == before:
             break

@@ -10,10 +10,13 @@ The tree is trained by MLlib on a table of fixed size and sent to the tasks as n
 are read where they lie, in one narrow pass, each in time proportional to its length; nothing is
 shuffled and pages do not depend on each other.
 
-Defined results: null and empty pages have an empty text; markup that is never closed ends with the
-page; character references are decoded, unknown ones stay as written; white space, no-break spaces
+Defined results: null and empty pages have an empty text; a head without an end tag ends at the
+first tag that cannot be in it; a skipped element without one ends where a container around it is closed,
+else with the page; other markup that is never closed ends with the page; pages of any length are read
+whole; character references are decoded, unknown ones stay as written; white space, no-break spaces
 included, becomes one blank; a page without a block that is kept has an empty text; repeated pages
-are each extracted; other columns stay.
+are each extracted; other columns stay, and a column that already has the name of the result is
+refused.
 """
 
 from __future__ import annotations
@@ -28,21 +31,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrortab.llm.common import query, table
+from mirrortab.llm.common import query, table, without_clash
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style head noscript template textarea select svg iframe object canvas audio video math".split())
+SKIPPED = frozenset(
+    "title script style noscript template textarea select svg iframe object canvas audio video math".split()
+)
+#: Elements of the head; any other tag ends it, for its own end tag may be left out.
+OF_HEAD = frozenset("head title meta link base script style noscript template".split())
+#: Elements whose content is no markup.
+RAW = frozenset("title script style textarea iframe".split())
 #: Elements that hold furniture.
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset".split())
 MAIN = frozenset(("article", "main"))
-#: Elements that are tracked as containers; only these can carry a mark.
+#: Elements that are tracked as containers; their marks hold for all inside.  A paragraph's mark holds for its own text.
 CONTAINERS = frozenset(
     "html body div section article main nav header footer aside form menu ul ol dl table tr figure details dialog button"
-    " fieldset blockquote".split()
+    " fieldset blockquote li dt dd td th h1 h2 h3 h4 h5 h6 center address hgroup pre summary caption figcaption".split()
 )
+#: Elements that end others which are still open, up to the innermost of the third kind.
+ENDS = {
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl",))), "td": (frozenset(("td", "th")), frozenset(("tr", "table"))),
+    "th": (frozenset(("td", "th")), frozenset(("tr", "table"))), "tr": (frozenset(("tr",)), frozenset(("table",))),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Words that on a heading say what it is, not that it is furniture.
+OF_HEADING = re.compile(r"(?<![a-z])(?:header|masthead|banner)(?![a-z])")
 #: Elements inside a line of text: they do not end a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike"
@@ -62,10 +80,41 @@ SPACE = re.compile(r"\s+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "hinted", "main")
 
 
-def _end_of(page: str, name: str, start: int) -> int:
-    """Where a skipped element ends."""
-    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, start)
-    return close.end() if close else len(page)
+def _end_of(page: str, name: str, start: int, open_: dict[str, int], unclosed: set[str]) -> int:
+    """Where a skipped element ends: behind its end tag, else where a container around it is closed.
+
+    ``unclosed`` keeps the names that have no end tag in the rest of the page.
+    """
+    if name in RAW and name not in unclosed:
+        close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, start)
+        if close:
+            return close.end()
+        unclosed.add(name)
+    inside: dict[str, int] = {}
+    for tag in TAG.finditer(page, start):
+        found = (tag[2] or "").lower()
+        if not found:
+            continue
+        if tag[1]:
+            if found == name and not inside.get(name):
+                return tag.end()
+            if inside.get(found):
+                inside[found] -= 1
+            elif found in CONTAINERS and open_.get(found):
+                return tag.start()
+        elif (found in CONTAINERS or found == name) and not tag[3].endswith("/"):
+            inside[found] = inside.get(found, 0) + 1
+    return len(page)
+
+
+def _marked(name: str, attributes: str) -> bool:
+    """Whether class, id, role or a hidden mark names furniture."""
+    if not attributes or name in ("html", "body"):
+        return False
+    says = " ".join(" ".join(filter(None, m[1:])) for m in MARKS.findall(attributes)).lower().replace("_", "-")
+    if name in HEADINGS:
+        says = OF_HEADING.sub(" ", says)
+    return bool(HINT.search(says)) or bool(HIDDEN.search(attributes))
 
 
 def blocks(page: str | None) -> list[tuple[str, tuple]]:
@@ -77,7 +126,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple]]:
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, hinted, main
     open_: dict[str, int] = {}
     furniture = hinted = main = 0
-    link = False
+    link = own = in_head = False  # own: a mark of the paragraph
 
     def flush() -> None:
         if parts:
@@ -85,14 +134,25 @@ def blocks(page: str | None) -> list[tuple[str, tuple]]:
             if text:
                 linked = sum(len(references.unescape(p).split()) for p, inside in parts if inside)
                 words = text.count(" ") + 1
-                found.append([text, words, min(1.0, linked / words), float(furniture > 0), float(hinted > 0), float(main > 0)])
+                marked = float(hinted > 0 or own)
+                found.append([text, words, min(1.0, linked / words), float(furniture > 0), marked, float(main > 0)])
             parts.clear()
 
-    at = 0
+    def leave(name: str) -> None:
+        """Close the innermost container of that name and all inside it."""
+        nonlocal furniture, hinted, main
+        while True:
+            gone, f, h, m = stack.pop()
+            open_[gone] -= 1
+            furniture, hinted, main = furniture - f, hinted - h, main - m
+            if gone == name:
+                break
+
+    at, unclosed = 0, set()
     while True:
         tag = TAG.search(page, at)
         text = page[at : tag.start()] if tag else page[at:]
-        if text:
+        if text and not in_head:
             parts.append((text, link))
         if tag is None:
             break
@@ -101,34 +161,36 @@ def blocks(page: str | None) -> list[tuple[str, tuple]]:
         if not name:
             continue
         name, closing = name.lower(), bool(tag[1])
+        in_head = not closing if name == "head" else in_head and name in OF_HEAD
         if name == "a":
             link = not closing
         if name in INLINE:
             continue
-        if name in ("br", "img", "hr", "input", "meta", "link") and name == "br":
+        if name == "br":
             parts.append((" ", link))
             continue
         flush()
-        link = False
+        link = own = False
         if name in SKIPPED:
             if not closing and not tag[3].endswith("/"):
-                at = _end_of(page, name, at)
+                at = _end_of(page, name, at, open_, unclosed)
             continue
         if name not in CONTAINERS:
+            own = not closing and _marked(name, tag[3])
             continue
         if closing:
             if open_.get(name):
-                while True:
-                    gone, f, h, m = stack.pop()
-                    open_[gone] -= 1
-                    furniture, hinted, main = furniture - f, hinted - h, main - m
-                    if gone == name:
-                        break
+                leave(name)
             continue
-        says = " ".join(" ".join(filter(None, m[1:])) for m in MARKS.findall(tag[3])).lower() if tag[3] else ""
+        ended, within = ENDS.get(name, ((), ()))
+        for other, *_ in reversed(stack) if any(open_.get(e) for e in ended) else ():
+            if other in ended:
+                leave(other)
+                break
+            if other in within:
+                break
         f = name in FURNITURE or name == "header" and not main
-        h = bool(tag[3]) and (bool(HINT.search(says.replace("_", "-"))) or bool(HIDDEN.search(tag[3])))
-        h = h and name not in ("html", "body")
+        h = _marked(name, tag[3])
         m = name in MAIN
         stack.append((name, f, h, m))
         open_[name] = open_.get(name, 0) + 1
@@ -263,8 +325,8 @@ def main_text(page: str | None, tree) -> str:
 
 def extracted(pages: DataFrame, html: str = "html", to: str = "text", tree=None) -> DataFrame:
     """``pages`` with ``html`` replaced by a column ``to``: the main text."""
+    kept = without_clash(pages, to, html)
     tree = train_tree(pages.sparkSession) if tree is None else tree
-    kept = pages.drop(*([to] if to != html else []))
     where = kept.columns.index(html)
     columns = [c for c in kept.columns if c != html]
     schema = T.StructType(

@@ -194,7 +194,10 @@ _SCANNERS: dict[tuple, Scanner] = {}
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=None, text: str = "text", to: str = "license") -> DataFrame:
-    """``docs`` with a struct column ``to``: counts, labels, score and covered template spans."""
+    """``docs`` with a struct column ``to``: counts, labels, score and covered template spans.
+
+    A column that is called ``to`` already is replaced; texts of any length are scanned whole.
+    """
     phrases = dict(PHRASES if phrases is None else phrases)
     templates = tuple(templates)
     kept = docs.drop(to)

@@ -131,7 +131,10 @@ def compiled(rules, m: Column) -> Column:
 
 
 def judged(docs: DataFrame, rules=RULES, text: str = "text", to: str = "quality_rules") -> DataFrame:
-    """``docs`` with a struct column ``to``: all measures, ``base_failed`` and ``kept``."""
+    """``docs`` with a struct column ``to``: all measures, ``base_failed`` and ``kept``.
+
+    A column that is called ``to`` already is replaced.
+    """
     return docs.withColumn(to, let(measures(text_or_empty(text)), lambda m: F.struct(
         m.alias("measures"), base_failed(m).alias("base_failed"), (~base_failed(m) & compiled(rules, m)).alias("kept")
     )))

@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, fairness: float = FAIRNESS, limit:
 
 
 def scored(docs: DataFrame, model: Classifier, text: str = "text", to: str = "toxicity") -> DataFrame:
-    """``docs`` with a column ``to``: the score from 0 to 1."""
+    """``docs`` with a column ``to``: the score from 0 to 1; a column called so already is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
     kept = docs.drop(to)
     where, columns = kept.columns.index(text), kept.columns

@@ -158,6 +158,15 @@ def test_decontaminate_documents_and_spans(spark):
         decontaminate.decontaminate(docs(spark, texts), bench, "all")
 
 
+def test_repeated_items_are_one_and_blocks_are_bounded(spark):
+    item = " ".join(f"i{j}" for j in range(40))
+    bench = spark.createDataFrame([(7, item)] * 500 + [(i, item + f" x{i}") for i in range(30)], "item_id bigint, text string")
+    blocks = [b.value for b in decontaminate.benchmark_blocks(bench, 500)]
+    assert sum(map(len, blocks)) == 31 and max(sum(len(w) for _, w in b) for b in blocks) <= 500 + len(item) + 4
+    assert [len(b.value) for b in decontaminate.benchmark_blocks(bench)] == [31]
+    assert [b.value for b in decontaminate.benchmark_blocks(bench.where("false"))] == [[]]
+
+
 # toxicity
 
 def test_toxicity_learns_and_leaves_mentions_alone(spark):
@@ -429,3 +438,98 @@ def test_empty_tables(spark):
     ):
         assert df.count() == 0
     assert decontaminate.report(docs(spark, ["a b"]), bench).first().n_hit == 0
+
+
+# pages whose markup leaves out what it may
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html.train_tree(spark)
+
+
+LONG = "The text of the article goes on for a while, with words that say something about the matter."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<html><head><title>x</title><body><article><p>{LONG}</p></article></body></html>", LONG),
+    (f"<html><head><title>x</title><meta charset=utf-8><article><p>{LONG}</p></article>", LONG),
+    (f"<title>x</title><article><p>{LONG}</p></article>", LONG),
+    (f"<head><style>p {{}}</style><script>var a = '<p>'</script></head><article><p>{LONG}</p></article>", LONG),
+    (f"<article><p>{LONG}</p><div><select><option>one<option>two</div><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><div><object data=x></div><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><section><noscript><div>no</div></section><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p><noscript><div>no</div></noscript><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<article><div><script>never closed</div><p>{LONG}</p></article>", LONG),
+    (f'<article><p>{LONG}</p><p class="ad">Buy now and save a lot of money on the thing.</p><p>{LONG}</p></article>', f"{LONG} {LONG}"),
+    (f'<article><p>{LONG}</p><ul><li class="comment">I think so too.<li>{LONG}</ul></article>', f"{LONG} {LONG}"),
+    (f'<article><p>{LONG}</p><h3 class="related">More of this</h3><p>{LONG}</p></article>', f"{LONG} {LONG}"),
+    (f'<article><h1 class="page-header">A title of words</h1><p>{LONG}</p></article>', f"A title of words {LONG}"),
+    (f"<article><table><tr><td class=sidebar>{LONG}<td>{LONG}</table></article>", LONG),
+])
+def test_legal_pages(tree, page, want):
+    assert html.main_text(page, tree) == want
+
+
+def text_by_tokens(tokens):
+    """What a reader of the token list says: text in articles that no mark or skipped element surrounds."""
+    out, open_, line = [], [], []
+    for kind, name, mark in tokens:
+        if kind == "text":
+            if not any(m or n in ("script", "select") for n, m in open_):
+                line.append(name)
+            continue
+        out.append(" ".join(line))
+        line = []
+        if kind == "open":
+            open_.append((name, mark))
+        else:
+            while open_.pop()[0] != name:
+                pass
+    return " ".join(filter(None, out))
+
+
+def test_pages_of_random_tokens(tree):
+    """Well-formed pages; elements that need no end tag lose it at random."""
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        tokens, page, stack, words = [("open", "article", False)], ["<article>"], ["article"], iter(range(1_000))
+        for _ in range(int(rng.integers(1, 30))):
+            turn = rng.random()
+            if turn < 0.4 and stack[-1] not in ("ul", "table", "tr"):
+                text = f"w{next(words)} and some more words of the article here"
+                tokens.append(("text", text, False))
+                page.append(text + " ")
+            elif turn < 0.75 and stack[-1] not in ("script", "select") and len(stack) < 6:
+                name = "li" if stack[-1] == "ul" else str(rng.choice(["div", "section", "ul", "select", "script"]))
+                mark = bool(rng.random() < 0.2)
+                tokens.append(("open", name, mark))
+                page.append(f'<{name} class="sponsored">' if mark else f"<{name}>")
+                stack.append(name)
+            elif len(stack) > 1:
+                name = stack.pop()
+                tokens.append(("close", name, False))
+                if name != "li" or rng.random() < 0.5:
+                    page.append(f"</{name}>")
+                elif stack[-1] == "ul":  # the next tag ends it
+                    stack.pop()
+                    tokens.append(("close", "ul", False))
+                    page.append("</ul>")
+        while stack:
+            name = stack.pop()
+            tokens.append(("close", name, False))
+            page.append(f"</{name}>")
+        got = " ".join(t for t, f in html.blocks("".join(page)) if not f[6] and not f[7])
+        assert got == text_by_tokens(tokens), "".join(page)
+
+
+def test_a_result_overwrites_no_column(spark, tree):
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", "mine")], "page_id bigint, url string, html string, Text string")
+    with pytest.raises(ValueError):
+        html.extracted(pages, tree=tree)
+    assert html.extracted(pages, to="body", tree=tree).columns == ["page_id", "url", "Text", "body"]
+
+
+def test_components_of_a_hub(spark):
+    edges = [(0, i) for i in range(1, 3_000)] + [(5_000 + i, 5_001 + i) for i in range(40)]
+    found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert all(found[i] == 0 for i in range(3_000)) and all(found[5_000 + i] == 5_000 for i in range(41))

@@ -51,3 +51,23 @@ def test_pipeline_equals_its_stages_in_plain_steps(spark):
     assert max(r["count"] for r in near.join(out.select("doc_id"), "doc_id").groupBy("component_id").count().collect()) == 1
     model = bpe.Model(open(bpe.default_path(), encoding="utf-8").read())
     assert all(list(r.ids) == model.encode(r.text) and r.decoded == model.decode(r.ids) for r in rows)
+
+
+def test_stages_on_odd_input(spark):
+    """Null, empty, blank and very long texts, repeated rows, rows without an id, columns with clashing names."""
+    prose = " ".join(f"word{i} follows another" for i in range(200))
+    texts = [None, "", " ", prose, prose, "x " * 200_000, "mail me at a.person@example.com about this", "y" * 300_000]
+    rows = [(i, t, None, 1, "s", True, 0.5) for i, t in enumerate(texts)] + [(3, prose, None, 1, "s", True, 0.5), (None, "no id", "en", 1, "s", True, 0.5)]
+    kind = "doc_id bigint, text string, lang string, n_chars int, kept string, contamination boolean, score double"
+    for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, out = docs.count(), corpus_pipeline.stored(stage(spark, docs, SF_DIR), f"odd-{name}")
+            assert out.columns == docs.columns and out.count() <= before
+            docs = out
+        done = corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).collect()
+        if before:
+            assert sorted((r.doc_id is None, r.doc_id) for r in done if r.doc_id in (0, 3, 5, 6, 7, None)) and {3, 6} <= {r.doc_id for r in done}
+            assert [r.doc_id for r in done].count(3) == 1 and 4 not in {r.doc_id for r in done}
+            assert not any("a.person@" in (r.text or "") for r in done)
+        else:
+            assert done == []
