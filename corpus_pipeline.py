@@ -25,7 +25,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored 0.5 or more go; the classifier learns from those of ``docs`` that have labels."""
+    """Documents scored 0.5 or more go; the classifier learns from those of ``docs`` that have labels.
+
+    Null and empty texts are scored like any other, by the classifier's bias; texts of any length are read
+    whole; repeated rows share a score; without labels of both kinds nothing is learnt; an empty table
+    stays empty; all columns stay, whatever their names.
+    """
     prepare(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     score = "_".join(["score", *sorted(docs.columns)])  # a name no column has
@@ -33,19 +38,33 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays.
+
+    That is the one of the smallest id, then of the smallest text hash; rows without an id come last.
+    Repeated rows are one; null, empty and blank texts are one group, having fingerprint zero; texts of any
+    length are read whole; an empty table stays empty; all columns stay, whatever their names.
+    """
     prepare(spark)
     return simhash.near_deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold too much of the benchmark go."""
+    """Documents of which a twentieth of the words or more is covered by benchmark windows go.
+
+    Null and empty texts stay, they have no words; texts of any length are read whole; repeated rows are
+    judged alike; an empty table stays empty, and an empty benchmark removes nothing; all columns stay,
+    whatever their names.
+    """
     prepare(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; a column ``n_chars`` follows the text."""
+    """Personal data become pseudonyms; a column ``n_chars`` follows the text.
+
+    Null and empty texts stay; texts of any length are read whole; equal values, in repeated rows too, get
+    equal pseudonyms; an empty table stays empty; all other columns stay, whatever their names.
+    """
     prepare(spark)
     done = pii.pseudonymised(docs, pii.EXAMPLE_KEY)
     if "n_chars" in docs.columns:
@@ -54,7 +73,11 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ``ids``, ``n_tokens`` and ``decoded``."""
+    """Adds ``ids``, ``n_tokens`` and ``decoded``.
+
+    Null and empty texts have no ids; texts of any length are coded whole; repeated rows are coded alike; an
+    empty table stays empty; columns that are called like the added ones are replaced, all others stay.
+    """
     prepare(spark)
     coded = bpe.encode(docs, bpe.default_path(), decoded="decoded")
     return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
