@@ -35,13 +35,18 @@ FIRST_DAY, DAYS, DAY_RADIX = "1700-03-01", 146_097, 5_411
 
 #: What candidates look like, in order of preference.
 SECRET_HEAD = r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[\x22\x27]?[ ]{0,3}[=:][ ]{0,3}[\x22\x27]?"
+BEARER_HEAD = r"(?i:bearer)[ ]{1,3}"
 PATTERNS = {
-    "secret": r"(?<![A-Za-z0-9])" + SECRET_HEAD + r"[A-Za-z0-9_+/.-]{6,}+",
+    "secret": r"(?<![A-Za-z0-9])" + SECRET_HEAD + r"[^\s\x22\x27]{6,}+",
+    "bearer": r"(?<![A-Za-z0-9])" + BEARER_HEAD + r"[A-Za-z0-9._~+/=-]{16,}+",
     "access_key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "phone": r"(?<![0-9+])\+(?:1(?:[ .()/-]{0,3}[0-9]){10}|[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5})(?![0-9])",
     "national": r"(?<![0-9])(?<![0-9][.-])(?:(?:1[ .-]?)?\([0-9]{3}\)[ .-]{0,2}[0-9]{3}[ .-]?|(?:1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-])"
     r"[0-9]{4}(?![0-9]|[.-][0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|"
+    r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:]|[.][0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -51,7 +56,7 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Digits that one piece of noise serves: six hex digits each of two 512-bit hashes.
 PIECE = 42
 #: Every candidate holds one of these characters.
-NEEDED = "[0-9@=:]"
+NEEDED = "[0-9@=:]|(?i:bearer )"
 
 
 def feistel(values: Column, radices: Column, tweak: Column | str, key: str) -> Column:
@@ -173,6 +178,49 @@ def _ipv4(m: Column, key: str) -> Column:
     return F.when(valid, F.array_join(new.cast("array<string>"), ".")).otherwise(m)
 
 
+def _ipv6(m: Column, key: str) -> Column:
+    """All eight groups of the address, however it is written; shown in full."""
+    said = lambda part: F.filter(F.split(part, ":"), lambda g: g != "")
+    sides = F.split(m, "::")
+    right = F.when(F.size(sides) > 1, said(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+    def shown(of: Column) -> Column:
+        missing = 8 - F.size(of["left"]) - F.size(of["right"])
+        groups = F.concat(of["left"], F.array_repeat(F.lit("0"), missing), of["right"])
+        values = F.transform(groups, lambda g: F.conv(g, 16, 10).cast("bigint"))
+        new = let(values, lambda v: feistel(v, F.array(*[F.lit(65_536).cast("bigint")] * 8), "ipv6", key))
+        text = F.array_join(F.transform(new, lambda v: F.lower(F.hex(v))), ":")
+        named = F.size(of["left"]) + F.size(of["right"])
+        # fewer or shorter groups are as likely something else
+        short = m.contains("::") & named.between(2, 7) & F.exists(groups, lambda g: F.char_length(g) > 2)
+        return F.when(((missing == 0) & ~m.contains("::")) | short, text).otherwise(m)
+
+    return let(F.struct(said(F.get(sides, F.lit(0))).alias("left"), right.alias("right")), shown)
+
+
+def _mod_97(m: Column) -> Column:
+    """An account number of letters and digits modulo 97, a letter being 10 to 35."""
+    digit = lambda c: c.between("0", "9")
+    return F.aggregate(
+        _chars(m), F.lit(0).cast("bigint"),
+        lambda a, c: F.when(digit(c), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97,
+    )
+
+
+def _iban(m: Column, key: str) -> Column:
+    """Country and layout stay, letters stay letters; the check digits are computed anew."""
+    plain = lambda x: F.regexp_replace(x, " ", "")
+    turned = lambda x, check: F.concat(F.substr(x, F.lit(5), F.char_length(x)), F.substr(x, F.lit(1), F.lit(2)), check)
+    own = lambda x: F.substr(x, F.lit(3), F.lit(2))
+    valid = let(plain(m), lambda x: (_mod_97(turned(x, own(x))) == 1) & own(x).between("02", "98") & (F.char_length(x) >= 15))
+
+    def checked(new: Column) -> Column:
+        check = F.lpad((98 - _mod_97(turned(plain(new), F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(F.substr(new, F.lit(1), F.lit(2)), check, F.substr(new, F.lit(5), F.char_length(new)))
+
+    return F.when(valid, let(_by_class(m, F.lit(5), F.char_length(m), "iban", key), checked)).otherwise(m)
+
+
 def _phone(m: Column, key: str) -> Column:
     """The country code stays; a number of code 1 has the same pseudonym with and without it.
 
@@ -228,12 +276,14 @@ def _date(m: Column, key: str) -> Column:
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one candidate, or the candidate itself if it is not valid."""
     whole = F.char_length(m)
-    head = F.char_length(F.regexp_extract(m, "^" + SECRET_HEAD, 0))
+    head = F.char_length(F.regexp_extract(m, "^(?:" + SECRET_HEAD + "|" + BEARER_HEAD + ")", 0))
     return (
-        F.when(m.contains("@"), _by_class(m, F.lit(1), F.instr(m, "@") - 1, "email", key))
-        .when(head > 0, _by_class(m, head + 1, whole, "secret", key))
+        F.when(head > 0, _by_class(m, head + 1, whole, "secret", key))
+        .when(m.contains("@"), _by_class(m, F.lit(1), F.instr(m, "@") - 1, "email", key))
         .when(m.startswith("AKIA"), _by_class(m, F.lit(5), whole, "access_key", key))
         .when(m.startswith("+") | m.rlike("^(?:" + PATTERNS["national"] + ")$"), _phone(m, key))
+        .when(m.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]{11}"), _iban(m, key))
+        .when(m.rlike("^(?i:[0-9a-f:]*:[0-9a-f:]*)$"), _ipv6(m, key))
         .when(m.rlike("^[0-9]{1,3}(?:[.][0-9]{1,3}){3}$"), _ipv4(m, key))
         .when(m.rlike("^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$"), _date(m, key))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _ssn(m, key))

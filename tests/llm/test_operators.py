@@ -288,6 +288,61 @@ def test_pseudonyms(spark):
     assert other[0][0] != got[0]
 
 
+def feistel(values, radices, tweak, key):
+    """The permutation in plain Python."""
+    v = list(values)
+    cut = len(v) // 2
+    for r in range(1, 9):
+        mine, other = (range(cut), v[cut:]) if r % 2 else (range(cut, len(v)), v[:cut])
+        said = "|".join([key, tweak, str(r), ",".join(map(str, other))])
+        noise = "".join(hashlib.sha512(f"{said}|{i}".encode()).hexdigest() for i in (0, 1))
+        v = [(x + int(noise[6 * (i - mine[0]) : 6 * (i - mine[0]) + 6], 16)) % radices[i] if i in mine else x for i, x in enumerate(v)]
+    return v
+
+
+def permuted_text(text, tweak, key):
+    """Letters and digits of a text among themselves, each kind staying its kind."""
+    at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    base = lambda c: ord("0") if c.isdigit() else ord("a") if c.islower() else ord("A")
+    new = feistel([ord(text[i]) - base(text[i]) for i in at], [10 if text[i].isdigit() else 26 for i in at], tweak, key)
+    out = list(text)
+    for i, v in zip(at, new):
+        out[i] = chr(base(text[i]) + v)
+    return "".join(out)
+
+
+def iban_valid(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def test_pseudonyms_equal_an_independent_feistel(spark):
+    import ipaddress
+
+    secrets = ["p@ssw0rd!x9", "hunter2!zz9", "eyJhbGciOi.J9_x-y==", "Tr0ub4dor&3,x"]
+    texts = [f"password: {secrets[0]} and", f'"token": "{secrets[1]}" and', f"token={secrets[2]}", f"pwd = '{secrets[3]}' and",
+             "Authorization: Bearer abcdefGHIJ0123456789.x-y rest", "from 10.20.30.40 to 255.0.0.1", "ssn 123-45-6789",
+             "2001:db8::8a2e:370:7334 and 2001:0db8:0000:0000:0000:8a2e:0370:7334 at 12:30:45 or std::vector ::1 a::b 2024-02-03",
+             "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432 not DE88370400440532013000"]
+    got = by_id(pii.pseudonymised(docs(spark, texts), "k", found="n"), "text", "n")
+    heads = ["password: ", '"token": "', "token=", "pwd = '", "Authorization: Bearer "]
+    for i, (head, secret) in enumerate(zip(heads, [*secrets, "abcdefGHIJ0123456789.x-y"])):
+        assert got[i] == (texts[i].replace(secret, permuted_text(secret, "secret", "k")), 1)
+        assert got[i][0].startswith(head)
+    address = lambda x: ".".join(map(str, feistel(map(int, x.split(".")), [256] * 4, "ipv4", "k")))
+    assert got[5] == (f"from {address('10.20.30.40')} to {address('255.0.0.1')}", 2)
+    area, group, serial = feistel([122, 44, 6788], [898, 99, 9999], "ssn", "k")
+    assert got[6] == (f"ssn {area + 1 + (area + 1 >= 666):03d}-{group + 1:02d}-{serial + 1:04d}", 1)
+    words = got[7][0].split()
+    whole = [int(g, 16) for g in ipaddress.ip_address("2001:db8::8a2e:370:7334").exploded.split(":")]
+    assert words[0] == words[2] == ":".join(f"{g:x}" for g in feistel(whole, [65_536] * 8, "ipv6", "k"))
+    assert words[3:9] == ["at", "12:30:45", "or", "std::vector", "::1", "a::b"]
+    assert words[-1] != "2024-02-03" and re.fullmatch(r"\d{4}-\d\d-\d\d", words[-1])
+    a, b = got[8][0][4:31], got[8][0].split()[8]
+    assert iban_valid(a) and iban_valid(b) and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", a) and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", b)
+    assert a != texts[8][4:31] and b != "GB82WEST12345698765432" and got[8][0].endswith("not DE88370400440532013000")
+
+
 def test_phone_numbers_of_any_area(spark):
     forms = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1-132-155-1352", "+1.456.055.2186", "+14565552186", "555-123-4567", "(555) 123-4567", "(017)555-7713", "1-555-123-4567", "555.123.4567"]
     kept = ["12-555-123-4567", "555-123-45678", "+1 (456) 555-21864", "123-45-678", "5551234567"]
