@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -44,14 +44,13 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 100_000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of this application in reliable storage.
 
-    The directory is the cluster's ``spark.checkpoint.dir``.  Only a local session without
+    That is the cluster's ``spark.checkpoint.dir``.  Only a local session without
     one gets a temporary directory; on a cluster a machine-local folder would be lost with
     its machine, so there the setting is required.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         directory = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,6 +59,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             directory = tempfile.mkdtemp(prefix="mirrortab-checkpoint-")
         context.setCheckpointDir(directory)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through reliable storage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -6,19 +6,27 @@ whole groups of real rows can be ruled out:
 
 1. equal rows are combined with their multiplicity, and a synthetic row that equals a real
    one is settled by an equi-join;
-2. real rows go to the cell of their nearest pivot (pivots are real rows, a fixed number);
-3. each open synthetic row visits its own cell, which gives an upper bound, and then only
-   the cells whose lower bound does not exceed it.
-
-A visit is a co-grouped block of at most ``BLOCK_ROWS`` x ``BLOCK_ROWS`` rows: large cells
-and popular cells are cut into blocks, and the minimum over blocks is the answer.  Only one
-number per row and block is emitted.
+2. a bounded sample of real rows is made into a tree of pivots: a node deals its points to
+   the nearest of ``FANOUT`` pivots, down to leaves.  Every real row descends to its leaf, and
+   each node knows the least and largest distance of its rows from its pivot;
+3. each open synthetic row visits its own leaf, which gives an upper bound, and then its other
+   leaves best first, in rounds: those with the smallest lower bounds, 4 at first and 4 times
+   more in each round, until no bound is below the best distance.
+
+The tree is broadcast (``MAX_PIVOTS`` points at most); whole branches are ruled out at their
+root, so that a row looks at a few pivots of each level instead of all.  A visit is a co-grouped
+block of at most ``BLOCK_ROWS`` x ``BLOCK_ROWS`` rows: large leaves and popular leaves are cut into
+blocks, and the minimum over blocks is the answer.  Only one number per row and block is emitted.
+In few dimensions the distances per row grow with the logarithm of the rows; in many, bounds rule
+out less and a row visits many leaves.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,6 +41,11 @@ from mirrortab.operators.encode import encode, fit_dictionary
 from mirrortab.operators.scalers import fit_moments, standardize
 
 MAX_PIVOTS = 65_536
+FANOUT = 16
+#: Real rows for each point of the sample, and points of the sample that a leaf holds at most.
+ROWS_PER_POINT, LEAF_POINTS = 64, 4
+#: Leaves that a row visits in the first round after its own; each further round has as many times more.
+FIRST_VISITS = 4
 BLOCK_ROWS = 4096
 _CELLS = 4_000_000  # distances a task holds at a time
 _SLACK = 1e-9
@@ -85,62 +98,138 @@ def _distances(a_num, a_cat, b_num, b_cat) -> np.ndarray:
     return np.sqrt(square)
 
 
-def _to_pivots(points: DataFrame, pivots, extra: str) -> DataFrame:
-    """Add the nearest pivot ``cell`` and its distance ``near``."""
+@dataclass
+class PivotTree:
+    """Nodes in order of their numbers; children of a node are consecutive.  Node 0 is the root."""
+
+    num: np.ndarray  # the nodes' pivots (the root's is not used)
+    cat: np.ndarray
+    first: np.ndarray  # first child, 0 for a leaf
+    count: np.ndarray  # children
+    between: list[np.ndarray]  # distances between the children's pivots, by node
+    low: np.ndarray | None = None  # distances of a node's real rows from its pivot
+    high: np.ndarray | None = None
+
+    def descend(self, num: np.ndarray, cat: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """The leaf of every point, and ``(rows, nodes, distances)`` of each level on the way."""
+        at, path = np.zeros(len(num), np.int64), []
+        rows = np.arange(len(num)) if self.count[0] else np.empty(0, np.int64)
+        while len(rows):
+            near = np.empty(len(rows))
+            for node in np.unique(at[rows]):
+                of = np.flatnonzero(at[rows] == node)
+                kids = slice(self.first[node], self.first[node] + self.count[node])
+                step = _step(self.count[node])
+                for s in range(0, len(of), step):
+                    some = of[s : s + step]
+                    d = _distances(num[rows[some]], cat[rows[some]], self.num[kids], self.cat[kids])
+                    best = d.argmin(axis=1)
+                    near[some] = d[np.arange(len(some)), best]
+                    at[rows[some]] = self.first[node] + best
+            path.append((rows, at[rows].copy(), near))
+            rows = rows[self.count[at[rows]] > 0]
+        return at, path
+
+    def within(self, num: np.ndarray, cat: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, leaf, bound)`` of all leaves that could hold something nearer than ``best``."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        rows, nodes, bounds = np.arange(len(num)), np.zeros(len(num), np.int64), np.zeros(len(num))
+        while len(rows):
+            nexts = []
+            for node in np.unique(nodes):
+                of = np.flatnonzero(nodes == node)
+                if not self.count[node]:
+                    out.append((rows[of], nodes[of], bounds[of]))
+                    continue
+                kids = slice(self.first[node], self.first[node] + self.count[node])
+                step = _step(self.count[node])
+                for s in range(0, len(of), step):
+                    some = of[s : s + step]
+                    r = rows[some]
+                    d = _distances(num[r], cat[r], self.num[kids], self.cat[kids])
+                    nearest = d.argmin(axis=1)
+                    apart = self.between[node][nearest]
+                    near = d[np.arange(len(d)), nearest][:, None]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        plane = np.where(apart > 0, (d**2 - near**2) / (2 * apart), 0.0)
+                    bound = np.maximum(np.maximum(d - self.high[kids], self.low[kids] - d), np.maximum(plane, bounds[some][:, None]))
+                    i, c = np.nonzero(bound * (1 - _SLACK) - _SLACK <= best[r][:, None])
+                    nexts.append((r[i], self.first[node] + c, bound[i, c]))
+            rows, nodes, bounds = (np.concatenate(c) for c in zip(*nexts)) if nexts else (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def pivot_tree(num: np.ndarray, cat: np.ndarray, fanout: int = FANOUT, leaf: int = LEAF_POINTS) -> PivotTree:
+    """A tree over sample points, in order of a hash, whose first points are the pivots of the root's children."""
+    pivots, first, count, between, waiting = [-1], [0], [0], [np.empty((0, 0))], [(0, np.arange(len(num)))]
+    while waiting:
+        node, of = waiting.pop(0)
+        if len(of) <= leaf and node or not len(of):
+            continue
+        chosen = of[:fanout]
+        d = _distances(num[of], cat[of], num[chosen], cat[chosen])
+        to = d.argmin(axis=1)
+        if node and (to == to[0]).all():
+            continue  # all in one place
+        first[node], count[node] = len(pivots), len(chosen)
+        between[node] = d[: len(chosen)]
+        for c, p in enumerate(chosen):
+            waiting.append((len(pivots), of[to == c]))
+            pivots.append(p)
+            first.append(0)
+            count.append(0)
+            between.append(np.empty((0, 0)))
+    at = np.array(pivots)
+    return PivotTree(num[at], cat[at], np.array(first), np.array(count), between)
+
+
+def _to_leaves(points: DataFrame, tree: PivotTree, schema: str) -> DataFrame:
+    """Add the leaf ``cell``, the distance ``near`` from its pivot, and ``path``: all nodes and distances on the way."""
     names = points.columns
-    shared = points.sparkSession.sparkContext.broadcast(pivots)
+    shared = points.sparkSession.sparkContext.broadcast(tree)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p_num, p_cat = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            num, cat = _matrix(pdf["nums"], float), _matrix(pdf["cats"], np.int32)
-            cell, near = [], []
-            step = _step(len(p_num))
-            for at in range(0, len(pdf), step):
-                d = _distances(num[at : at + step], cat[at : at + step], p_num, p_cat)
-                best = d.argmin(axis=1)
-                cell.append(best)
-                near.append(d[np.arange(len(d)), best])
-            yield pdf.assign(cell=np.concatenate(cell).astype(np.int32), near=np.concatenate(near))[names + ["cell", "near"]]
-
-    return points.mapInPandas(assign, extra)
-
-
-def _visits(open_rows: DataFrame, pivots, cells: dict[int, tuple[float, float]], schema: str) -> DataFrame:
-    """One row per open synthetic row and cell that could hold something nearer than ``best``."""
-    context = open_rows.sparkSession.sparkContext
-    p_num, p_cat = pivots
-    ids = np.array(sorted(cells), dtype=np.int32)
-    low = np.array([cells[i][0] for i in ids])
-    high = np.array([cells[i][1] for i in ids])
-    shared = context.broadcast((p_num, p_cat, ids, low, high))
+            cell, path = shared.value.descend(_matrix(pdf["nums"], float), _matrix(pdf["cats"], np.int32))
+            near, way = np.zeros(len(pdf)), [[] for _ in range(len(pdf))]
+            for rows, nodes, distances in path:
+                near[rows] = distances
+                for r, node, d in zip(rows.tolist(), nodes.tolist(), distances.tolist()):
+                    way[r].append({"node": node, "d": d})
+            yield pdf.assign(cell=cell.astype(np.int32), near=near, path=way)[names + ["cell", "near", "path"]]
+
+    return points.mapInPandas(assign, f"{schema}, cell int, near double, path array<struct<node:int,d:double>>")
+
+
+def _next_visits(open_rows: DataFrame, shared, limit: int, schema: str) -> DataFrame:
+    """The ``limit`` leaves of each row with the smallest bounds among those not visited yet.
+
+    Visited are a row's own leaf and all up to ``(seen, seen_cell)`` in order of bound and number.  ``last`` tells
+    that no other leaf is left.
+    """
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p_num, p_cat, ids, low, high = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue
             num, cat = _matrix(pdf["nums"], float), _matrix(pdf["cats"], np.int32)
-            own, best = pdf["cell"].to_numpy(), pdf["best"].to_numpy()
-            step = _step(len(p_num))
-            for at in range(0, len(pdf), step):
-                rows = slice(at, at + step)
-                d = _distances(num[rows], cat[rows], p_num, p_cat)
-                near = d[np.arange(len(d)), own[rows]]
-                between = _distances(p_num[own[rows]], p_cat[own[rows]], p_num, p_cat)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = np.where(between > 0, (d**2 - near[:, None] ** 2) / (2 * between), 0.0)
-                bound = np.maximum(np.maximum(d[:, ids] - high, low - d[:, ids]), plane[:, ids])
-                wanted = bound * (1 - _SLACK) - _SLACK <= best[rows, None]
-                wanted &= ids[None, :] != own[rows][:, None]
-                r, c = np.nonzero(wanted)
-                if len(r):
-                    part = pdf.iloc[rows].iloc[r]
-                    yield part.assign(cell=ids[c])[["sid", "nums", "cats", "cell"]]
-
-    return open_rows.select("sid", "nums", "cats", "cell", "best").mapInPandas(expand, schema)
+            row, leaf, bound = shared.value.within(num, cat, pdf["best"].to_numpy())
+            seen, cell = pdf["seen"].to_numpy()[row], pdf["seen_cell"].to_numpy()[row]
+            new = (leaf != pdf["cell"].to_numpy()[row]) & ((bound > seen) | ((bound == seen) & (leaf > cell)))
+            row, leaf, bound = row[new], leaf[new], bound[new]
+            order = np.lexsort((leaf, bound, row))
+            row, leaf, bound = row[order], leaf[order], bound[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            left = np.bincount(row, minlength=len(pdf))[row]
+            now = place < limit
+            part = pdf.iloc[row[now]]
+            yield part.assign(
+                cell=leaf[now].astype(np.int32), bound=bound[now], last=left[now] <= limit
+            )[["sid", "nums", "cats", "cell", "bound", "last"]]
+
+    return open_rows.select("sid", "nums", "cats", "cell", "best", "seen", "seen_cell").mapInPandas(expand, schema)
 
 
 def _block_minimum(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -156,7 +245,7 @@ def _block_minimum(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sid": left["sid"].to_numpy(), "d": np.concatenate(found)})
 
 
-def _visit_cells(visits: DataFrame, real: DataFrame, real_counts: DataFrame) -> DataFrame:
+def _visit_cells(visits: DataFrame, real: DataFrame, real_counts: DataFrame, distances=None) -> DataFrame:
     """``(sid, d)``: nearest real row inside the visited cells."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
     plan = checkpointed(  # at most MAX_PIVOTS rows
@@ -171,15 +260,23 @@ def _visit_cells(visits: DataFrame, real: DataFrame, real_counts: DataFrame) ->
     right = real.join(sized, "cell").withColumn("rb", (hashed % F.col("_rb")).cast("int")).withColumn("vb", upto("_vb"))
     left = left.select("cell", "vb", "rb", "sid", "nums", "cats")
     right = right.select("cell", "vb", "rb", "nums", "cats")
+
+    def minimum(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if distances is not None:
+            distances.add(len(left) * len(right))
+        return _block_minimum(left, right)
+
     nearest = (
-        left.groupBy("cell", "vb", "rb").cogroup(right.groupBy("cell", "vb", "rb"))
-        .applyInPandas(_block_minimum, "sid string, d double")
+        left.groupBy("cell", "vb", "rb").cogroup(right.groupBy("cell", "vb", "rb")).applyInPandas(minimum, "sid string, d double")
     )
     return nearest.groupBy("sid").agg(F.min("d").alias("d"))
 
 
-def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(d, n)``: distance of each distinct synthetic row to its nearest real row."""
+def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str], distances=None) -> DataFrame:
+    """``(d, n)``: distance of each distinct synthetic row to its nearest real row.
+
+    ``distances`` is an accumulator that counts the distances to real rows.
+    """
     real_points, synth_points = mixed_points(real, synth, cols)
     same = real_points.select("nums", "cats", F.lit(True).alias("_same"))
     sid = F.md5(F.to_json(F.struct("nums", "cats")))
@@ -192,33 +289,50 @@ def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> Da
     if n_real == 0 or open_points.isEmpty():
         return zero
 
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(math.sqrt(n_real))))
+    wanted = min(MAX_PIVOTS, max(1, math.ceil(n_real / ROWS_PER_POINT)))
     order = F.md5(F.to_json(F.struct("nums", "cats")))
     chosen = real_points.orderBy(order).limit(wanted).select("nums", "cats").toPandas()
-    pivots = (_matrix(chosen["nums"], float), _matrix(chosen["cats"], np.int32))
+    tree = pivot_tree(_matrix(chosen["nums"], float), _matrix(chosen["cats"], np.int32))
 
     point = "nums array<double>, cats array<int>"
-    real_cells = checkpointed(
-        _to_pivots(real_points.select("nums", "cats"), pivots, f"{point}, cell int, near double")
+    real_cells = checkpointed(_to_leaves(real_points.select("nums", "cats"), tree, point))
+    radii = (
+        real_cells.select(F.explode("path").alias("p")).groupBy("p.node")
+        .agg(F.min("p.d").alias("low"), F.max("p.d").alias("high")).collect()  # a row for each node of the tree
     )
-    stats = checkpointed(
-        real_cells.groupBy("cell").agg(
-            F.min("near").alias("lo"), F.max("near").alias("hi"), F.count(F.lit(1)).alias("n_real")
+    nodes = len(tree.first)
+    tree.low, tree.high = np.full(nodes, np.inf), np.full(nodes, -np.inf)  # a node without rows is ruled out
+    for r in radii:
+        tree.low[r["node"]], tree.high[r["node"]] = r["low"], r["high"]
+    shared = real.sparkSession.sparkContext.broadcast(tree)
+    real_cells = real_cells.select("nums", "cats", "cell")
+    counts = checkpointed(real_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n_real")))
+    located = checkpointed(_to_leaves(open_points, tree, f"sid string, {point}, n bigint").drop("path"))
+
+    inf = F.lit(float("inf"))
+    first = _visit_cells(located.select("sid", "nums", "cats", "cell"), real_cells, counts, distances)
+    rows = checkpointed(located.join(first, "sid", "left").select(
+        "sid", "nums", "cats", "n", "cell", F.coalesce("d", inf).alias("best"),
+        F.lit(-1.0).alias("seen"), F.lit(-1).alias("seen_cell"),
+    ))
+    settled, limit = [], FIRST_VISITS
+    while True:
+        visits = checkpointed(_next_visits(rows, shared, limit, f"sid string, {point}, cell int, bound double, last boolean"))
+        nearest = _visit_cells(visits.select("sid", "nums", "cats", "cell"), real_cells, counts, distances)
+        upto = visits.groupBy("sid").agg(
+            F.max(F.struct("bound", "cell")).alias("upto"), F.max("last").alias("last")
         )
-    )
-    cells = {r["cell"]: (r["lo"], r["hi"]) for r in stats.collect()}
-    counts = stats.select("cell", "n_real")
-    located = checkpointed(
-        _to_pivots(open_points, pivots, f"sid string, {point}, n bigint, cell int, near double")
-    )
-    first = _visit_cells(located.select("sid", "nums", "cats", "cell"), real_cells, counts)
-    bounded = checkpointed(
-        located.join(first, "sid", "left").withColumn("best", F.least("near", F.coalesce("d", "near"))).drop("d")
-    )
-    more = checkpointed(_visits(bounded, pivots, cells, f"sid string, {point}, cell int"))
-    second = _visit_cells(more, real_cells, counts)
-    settled = bounded.join(second, "sid", "left").select(F.least("best", F.coalesce("d", "best")).alias("d"), "n")
-    return zero.unionByName(settled)
+        rows = checkpointed(rows.join(upto, "sid", "left").join(nearest, "sid", "left").select(
+            "sid", "nums", "cats", "n", "cell", F.least("best", F.coalesce("d", inf)).alias("best"),
+            F.coalesce("upto.bound", "seen").alias("seen"), F.coalesce("upto.cell", "seen_cell").alias("seen_cell"),
+            F.coalesce("last", F.lit(True)).alias("done"),
+        ))
+        settled.append(rows.where("done").select(F.col("best").alias("d"), "n"))
+        rows = rows.where("not done").drop("done")
+        if rows.isEmpty():
+            break
+        limit *= FIRST_VISITS
+    return reduce(DataFrame.unionByName, settled, zero)
 
 
 def dcr(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -14,16 +14,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrortab.functions import uniform01
-from mirrortab.operators.core import FitTable, checkpointed, fit_table, lookup, measure
+from mirrortab.operators.core import FitTable, checkpointed, fit_table, measure
 from mirrortab.operators.cpt import conditional_counts
 from mirrortab.operators.encode import Dictionary, column_sizes, decode, encode, fit_dictionary
 from mirrortab.operators.information import (
     compact, conditional_mutual_information, entropy_sums, feature_parents, kdb_edges, mi_ranking, mutual_information,
 )
-from mirrortab.operators.sampling import interval_lookup, intervals, resample_by_weight
+from mirrortab.operators.sampling import interval_lookup, intervals
+from mirrortab.operators.wide import WIDE, coded_rows, top_parents
+from mirrortab.plans.condition import NEVER_SEEN, Conditional, conditionals, config_of  # noqa: F401
 
 CHECKPOINT_EVERY = 50  # features sampled between lineage cuts
-NEVER_SEEN = 1e-12  # probability of a cell that was not observed, for scoring
 
 
 @dataclass(frozen=True)
@@ -103,13 +104,16 @@ def fit_kdb(df: DataFrame, target: str | None = None, k: int = 2, edges: Sequenc
     features = [c for c in df.columns if c != target]
     columns = [*features, target]
     dictionary = fit_dictionary(df, columns)
-    counted = compact(encode(df.select(*columns), dictionary, columns), columns)
+    coded = encode(df.select(*columns), dictionary, columns)
+    counted = coded_rows(coded, columns) if len(columns) > WIDE else compact(coded, columns)
     rows = int(counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     sums = entropy_sums(counted, features, target)
     ranking = mi_ranking(mutual_information(counted, features, target, sums))
     order = [r["column"] for r in ranking.orderBy("rank").collect()]
     if edges is None:
-        if k > 0:
+        if len(columns) > WIDE:
+            edges = [(parent, child) for parent, child, _ in top_parents(counted, order, target, k, sums)[0]]
+        elif k > 0:
             cmi = conditional_mutual_information(counted, features, target, sums)
             edges = [(r["parent"], r["child"]) for r in kdb_edges(ranking, cmi, target, k).collect()]
         else:
@@ -153,16 +157,26 @@ def _draw(rows: DataFrame, model: KdbModel, column: str, seed: int) -> DataFrame
     return drawn.withColumn(column, F.coalesce(F.col("_value"), uniform)).drop("_config", "_u", "_value")
 
 
+def _draw_given(rows: DataFrame, model: KdbModel, column: str, given: Conditional, seed: int) -> DataFrame:
+    """Add a code of ``column`` drawn from its table under the fixed values."""
+    keyed = rows.withColumn("_config", config_of(given)).withColumn("_u", uniform01(seed, model.row_key, column))
+    drawn = interval_lookup(keyed, given.table, ["_config"], "_u", groups=given.configs)
+    return drawn.withColumn(column, F.col("_value")).drop("_config", "_u", "_value")
+
+
 def sample_codes(
     model: KdbModel, spark: SparkSession, n: int | None = None, seed: int = 42, fixed: Mapping[str, int] | None = None
 ) -> DataFrame:
     """The row key (``id`` unless a column is called so) and one code column per table column;
-    ``fixed`` columns are not drawn."""
+    ``fixed`` columns are not drawn, the others are drawn given them."""
     fixed = dict(fixed or {})
+    given = conditionals(model, fixed) if set(fixed) - {model.target} else {}
     rows = spark.range(model.rows if n is None else n).withColumnRenamed("id", model.row_key)
     for i, column in enumerate([model.target, *model.order]):
         if column in fixed:
             rows = rows.withColumn(column, F.lit(int(fixed[column])))
+        elif column in given:
+            rows = _draw_given(rows, model, column, given[column], seed)
         else:
             rows = _draw(rows, model, column, seed)
         if i and i % CHECKPOINT_EVERY == 0:
@@ -192,24 +206,6 @@ def code_of(model: KdbModel, column: str, value: object) -> int:
 def sample_conditional(
     model: KdbModel, spark: SparkSession, n: int, conditional: Mapping[str, object], seed: int = 42
 ) -> DataFrame:
-    """Rows given fixed column values.
-
-    A fixed label is exact: it has no parents.  Fixed features weigh each candidate by the
-    probability of the fixed value given its sampled parents, and candidates are resampled
-    by that weight.
-    """
+    """Rows given fixed column values, drawn from the network's exact conditional distribution."""
     fixed = {c: code_of(model, c, v) for c, v in conditional.items()}
-    coded = sample_codes(model, spark, n, seed, fixed)
-    features = [c for c in fixed if c != model.target]
-    if not features:
-        return decode_rows(model, coded)
-    weighed = coded.withColumn("_w", F.lit(1.0))
-    for c in features:
-        keyed = weighed.withColumn("_config", model.config(c)).withColumn("_value", F.col(f"`{c}`"))
-        rows, _ = model.groups.get(c, (0, 0))
-        cells = model.table(c).df.select(F.col("config").alias("_config"), F.col("value").alias("_value"), F.col("p").alias("_p"))
-        weighed = lookup(keyed, FitTable(cells, rows, rows * 96), ["_config", "_value"], "left").withColumn(
-            "_w", F.col("_w") * F.coalesce("_p", F.lit(NEVER_SEEN))
-        ).drop("_config", "_value", "_p")
-    drawn = resample_by_weight(fit_table(weighed), n, "_w", [model.row_key])
-    return decode_rows(model, drawn.select(model.row_key, "copy", *model.features, model.target))
+    return decode_rows(model, sample_codes(model, spark, n, seed, fixed))

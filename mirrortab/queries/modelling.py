@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mirrortab.operators import cpt as tables
 from mirrortab.operators import encode as enc
 from mirrortab.operators import information as info
-from mirrortab.operators import repair, rowtext
+from mirrortab.operators import repair, rowtext, wide
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.discretize import discretize, fit_bins
 from mirrortab.operators.divergence import fidelity_report
@@ -28,11 +28,11 @@ def _codes_sql(source: str = "binned", extra: str = "") -> str:
     return f"coded AS (SELECT rid, {codes}{extra} FROM {source})"
 
 
-def _information_sql() -> str:
+def _information_sql(features=LINE_FEATURES) -> str:
     """CTEs ending in ``mi`` (column, mi) and ``cmi`` (a, b, cmi) over ``coded``."""
     s = "sum(n * log2(n))"
     return f"""
-long AS ({unpivot_sql('coded', LINE_FEATURES, f'rid, {LINE_TARGET} AS y')}),
+long AS ({unpivot_sql('coded', features, f'rid, {LINE_TARGET} AS y')}),
 joint AS (SELECT "column", value, y, count(*) AS n FROM long GROUP BY 1, 2, 3),
 sxy AS (SELECT "column", {s} AS s, sum(n)::DOUBLE AS total FROM joint GROUP BY 1),
 sx AS (SELECT "column", {s} AS s FROM (SELECT "column", value, sum(n) AS n FROM joint GROUP BY 1, 2) GROUP BY 1),
@@ -141,6 +141,28 @@ def kdb_edges(spark, sf):
     return info.kdb_edges(ranking, cmi, LINE_TARGET, 2)
 
 
+#: Discrete columns of lineitem: some follow from others, some are nearly constant.
+_WIDE = {
+    **{f"p{i:02d}": f"(l_partkey * {i + 1} + l_suppkey) % {i % 7 + 2}" for i in range(10)},
+    **{f"q{i:02d}": f"CAST(l_quantity AS BIGINT) * {i + 2} % {i % 5 + 3}" for i in range(7)},
+    **{f"r{i:02d}": f"CASE WHEN l_partkey % {40 + i} = 0 THEN l_suppkey % 3 ELSE 0 END" for i in range(7)},
+}
+_WIDE_SQL = ", ".join(f"{e} AS {c}" for c, e in _WIDE.items())
+
+
+@query("kdb_edges_wide", f"""
+WITH coded AS (SELECT row_number() OVER () AS rid, {_WIDE_SQL}, {LINE_TARGET} FROM lineitem),
+{_information_sql(list(_WIDE))}, {_edges_sql(2)} SELECT parent, child, rank FROM edges""")
+def kdb_edges_wide(spark, sf):
+    rows = lineitem(spark, sf).select(*[F.expr(e).alias(c) for c, e in _WIDE.items()], LINE_TARGET)
+    counted = wide.coded_rows(rows, [*_WIDE, LINE_TARGET])
+    sums = info.entropy_sums(counted, list(_WIDE), LINE_TARGET)
+    ranking = info.mi_ranking(info.mutual_information(counted, list(_WIDE), LINE_TARGET, sums))
+    order = [r["column"] for r in ranking.orderBy("rank").collect()]
+    edges, _ = wide.top_parents(counted, order, LINE_TARGET, 2, sums)
+    return spark.createDataFrame(edges, "parent string, child string, rank int")
+
+
 @query("kdb_cpt", f"{_BASE}, {_edges_sql(2)}, {_cpt_sql()} SELECT feature, config, value, n, {metric_sql('hi - lo')} AS p FROM cpt")
 def kdb_cpt(spark, sf):
     model = _fit(spark, sf)
@@ -173,6 +195,39 @@ def sample_conditional_feature(spark, sf):
     return kdb.sample_conditional(model, spark, model.rows, {"l_linestatus": "F"})
 
 
+_CHAIN = "l_linestatus AS a, CAST(round(l_discount * 100) AS INTEGER) % 4 AS b, CAST(round(l_tax * 100) AS INTEGER) % 3 AS c, l_returnflag AS y"
+
+
+def _shares_sql(table: str, group: str, value: str) -> str:
+    """Intervals of a value's weights ``w`` within a group."""
+    return f"""
+SELECT *, (sum(w) OVER o - w) / sum(w) OVER g AS lo, sum(w) OVER o / sum(w) OVER g AS hi FROM {table} WHERE w > 0
+WINDOW o AS ({group} ORDER BY {value}), g AS ({group})"""
+
+
+@query("sample_conditional_exact", f"""
+WITH t AS (SELECT {_CHAIN} FROM lineitem),
+ny AS (SELECT y, count(*)::DOUBLE AS n FROM t GROUP BY ALL), na AS (SELECT y, a, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+nb AS (SELECT y, a, b, count(*)::DOUBLE AS n FROM t GROUP BY ALL), nc AS (SELECT y, a, b, count(*)::DOUBLE AS n FROM t WHERE c = 1 GROUP BY ALL),
+grid AS (SELECT * FROM (SELECT DISTINCT y FROM t), (SELECT DISTINCT a FROM t), (SELECT DISTINCT b FROM t)),
+qb AS (SELECT y, a, b,
+         CASE WHEN na.n IS NULL THEN 1.0::DOUBLE / (SELECT count(DISTINCT b) FROM t) ELSE coalesce(nb.n / na.n, 0) END
+         * CASE WHEN nb.n IS NULL THEN 1.0::DOUBLE / (SELECT count(DISTINCT c) FROM t) ELSE coalesce(nc.n / nb.n, 1e-12) END AS w
+       FROM grid LEFT JOIN na USING (y, a) LEFT JOIN nb USING (y, a, b) LEFT JOIN nc USING (y, a, b)),
+qa AS (SELECT y, a, coalesce(any_value(na.n) / any_value(ny.n), 0) * sum(w) AS w FROM qb JOIN ny USING (y) LEFT JOIN na USING (y, a) GROUP BY y, a),
+qy AS (SELECT y, any_value(ny.n) * sum(w) AS w FROM qa JOIN ny USING (y) GROUP BY y),
+iy AS ({_shares_sql('qy', '', 'y')}), ia AS ({_shares_sql('qa', 'PARTITION BY y', 'a')}), ib AS ({_shares_sql('qb', 'PARTITION BY y, a', 'b')}),
+ids AS (SELECT range AS id FROM range((SELECT count(*) FROM t))),
+u AS (SELECT id, {uniform_sql('id', 'y')} AS uy, {uniform_sql('id', 'a')} AS ua, {uniform_sql('id', 'b')} AS ub FROM ids)
+SELECT u.id, ia.a, ib.b, 1::INTEGER AS c, iy.y FROM u JOIN iy ON uy >= iy.lo AND uy < iy.hi
+JOIN ia ON ia.y = iy.y AND ua >= ia.lo AND ua < ia.hi JOIN ib ON ib.y = iy.y AND ib.a = ia.a AND ub >= ib.lo AND ub < ib.hi""")
+def sample_conditional_exact(spark, sf):
+    rows = lineitem(spark, sf).selectExpr(*_CHAIN.split(", "))
+    edges = [("y", "a"), ("y", "b"), ("y", "c"), ("a", "b"), ("a", "c"), ("b", "c")]
+    model = kdb.fit_kdb(rows, "y", edges=edges)
+    return kdb.sample_conditional(model, spark, model.rows, {"c": 1})
+
+
 _NAMES = ", ".join(_ALL)
 
 
