@@ -11,7 +11,7 @@ METRIC_DECIMALS = 9
 
 # Coefficients of the published rational approximation of the inverse normal
 # distribution function by P. J. Acklam (relative error below 1.2e-9).
-_ACKLAM_A = (
+INVERSE_NORMAL_CENTRE = (
     -3.969683028665376e01,
     2.209460984245205e02,
     -2.759285104469687e02,
@@ -19,14 +19,14 @@ _ACKLAM_A = (
     -3.066479806614716e01,
     2.506628277459239e00,
 )
-_ACKLAM_B = (
+INVERSE_NORMAL_CENTRE_DIVISOR = (
     -5.447609879822406e01,
     1.615858368580409e02,
     -1.556989798598866e02,
     6.680131188771972e01,
     -1.328068155288572e01,
 )
-_ACKLAM_C = (
+INVERSE_NORMAL_TAIL = (
     -7.784894002430293e-03,
     -3.223964580411365e-01,
     -2.400758277161838e00,
@@ -34,18 +34,18 @@ _ACKLAM_C = (
     4.374664141464968e00,
     2.938163982698783e00,
 )
-_ACKLAM_D = (
+INVERSE_NORMAL_TAIL_DIVISOR = (
     7.784695709041462e-03,
     3.224671290700398e-01,
     2.445134137142996e00,
     3.754408661907416e00,
 )
-_ACKLAM_LOW = 0.02425
+INVERSE_NORMAL_LOW = 0.02425
 
 # Abramowitz and Stegun formula 7.1.26 for the error function
 # (absolute error below 1.5e-7).
-_ERF_P = 0.3275911
-_ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+ERF_P = 0.3275911
+ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 
 
 def _polynomial(x: Column, coefficients: tuple[float, ...]) -> Column:
@@ -77,12 +77,12 @@ def inverse_normal_cdf(p: Column) -> Column:
     high = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - p))
     q = p - F.lit(0.5)
     r = q * q
-    lower_tail = _polynomial(low, _ACKLAM_C) / _polynomial(low, _ACKLAM_D + (1.0,))
-    upper_tail = -_polynomial(high, _ACKLAM_C) / _polynomial(high, _ACKLAM_D + (1.0,))
-    centre = _polynomial(r, _ACKLAM_A) * q / _polynomial(r, _ACKLAM_B + (1.0,))
+    lower_tail = _polynomial(low, INVERSE_NORMAL_TAIL) / _polynomial(low, INVERSE_NORMAL_TAIL_DIVISOR + (1.0,))
+    upper_tail = -_polynomial(high, INVERSE_NORMAL_TAIL) / _polynomial(high, INVERSE_NORMAL_TAIL_DIVISOR + (1.0,))
+    centre = _polynomial(r, INVERSE_NORMAL_CENTRE) * q / _polynomial(r, INVERSE_NORMAL_CENTRE_DIVISOR + (1.0,))
     return (
-        F.when(p < _ACKLAM_LOW, lower_tail)
-        .when(p > 1.0 - _ACKLAM_LOW, upper_tail)
+        F.when(p < INVERSE_NORMAL_LOW, lower_tail)
+        .when(p > 1.0 - INVERSE_NORMAL_LOW, upper_tail)
         .otherwise(centre)
     )
 
@@ -90,9 +90,9 @@ def inverse_normal_cdf(p: Column) -> Column:
 def normal_cdf(z: Column) -> Column:
     """Distribution function of the standard normal distribution."""
     x = F.abs(z) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(_ERF_P) * x)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * x)
     series = F.lit(0.0)
-    for a in reversed(_ERF_A):
+    for a in reversed(ERF_A):
         series = (series + F.lit(a)) * t
     erf = F.lit(1.0) - series * F.exp(-x * x)
     return F.when(z >= 0, F.lit(0.5) * (F.lit(1.0) + erf)).otherwise(F.lit(0.5) * (F.lit(1.0) - erf))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +81,6 @@ class QuantileGrid:
 
     values: tuple[float, ...]
 
-    @property
-    def references(self) -> np.ndarray:
-        return np.linspace(0.0, 1.0, len(self.values))
-
 
 def fit_quantile_grids(df: DataFrame, cols: Sequence[str]) -> dict[str, QuantileGrid]:
     n = min(MAX_QUANTILES, max(df.count(), MIN_QUANTILES))
@@ -97,45 +91,72 @@ def fit_quantile_grids(df: DataFrame, cols: Sequence[str]) -> dict[str, Quantile
     return {c: QuantileGrid(tuple(v)) for c, v in found.items()}
 
 
+def _with(x: Column, result) -> Column:
+    """``result`` of a value that is computed once, however often the result names it."""
+    return F.get(F.transform(F.array(x), result), 0)
+
+
+def _literal(grid: QuantileGrid) -> Column:
+    """The grid as one constant array (text of a double reads back as the same double)."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in grid.values)), ",").cast("array<double>")
+
+
+def _passed(x: Column, values: Column, n: int, reached) -> Column:
+    """How many of the ``n`` ascending values are ``reached`` by ``x``: a binary search of fixed steps."""
+    steps = [2**i for i in reversed(range(n.bit_length()))]
+
+    def advance(at: Column, step: Column) -> Column:
+        further = at + step
+        inside = F.get(values, F.least(further, F.lit(n)) - 1)
+        return F.when((further <= n) & reached(inside, x), further).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance)
+
+
 def to_uniform(x: Column, grid: QuantileGrid) -> Column:
-    """Position of the value in the grid, in [0, 1].
+    """Position of the value in the grid, in [0, 1]; null and NaN stay without one.
 
-    A value that fills several grid points gets their middle: the mean of interpolating
-    from the left and from the right.  Interpolation is a binary search per value, which
-    no built-in expression offers, hence the Arrow batch function.
+    A value between two grid points is interpolated; one that fills several gets their middle.
     """
-    q, refs = np.asarray(grid.values), grid.references
+    n, values = len(grid.values), _literal(grid)
+
+    def place(v: Column) -> Column:
+        below = _passed(v, values, n, lambda q, y: q < y)
+        upto = _passed(v, values, n, lambda q, y: q <= y)
+        return _with(F.struct(v.alias("v"), below.alias("below"), upto.alias("upto")), between)
 
-    @F.pandas_udf("double")
-    def position(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            v = s.to_numpy(dtype=float, na_value=np.nan)
-            left = np.interp(v, q, refs)
-            right = -np.interp(-v, -q[::-1], -refs[::-1])
-            u = 0.5 * (left + right)
-            u[v <= q[0]] = 0.0
-            u[v >= q[-1]] = 1.0
-            yield pd.Series(u)
+    def between(hit: Column) -> Column:
+        v, below, upto = hit["v"], hit["below"], hit["upto"]
+        left = F.get(values, below - 1)
+        share = (v - left) / (F.get(values, F.least(below, F.lit(n - 1))) - left)
+        return (
+            F.when(v <= grid.values[0], 0.0)
+            .when(v >= grid.values[-1], 1.0)
+            .when(upto > below, (below + upto - 1) / F.lit(2.0 * (n - 1)))
+            .otherwise((below - 1 + share) / F.lit(float(n - 1)))
+        )
 
-    return F.when(x.isNotNull(), position(x.cast("double")))
+    return _with(x.cast("double"), lambda v: F.when(v.isNotNull() & ~F.isnan(v), place(v)))
 
 
 def from_uniform(u: Column, grid: QuantileGrid) -> Column:
-    """Value at a position of the grid."""
-    q, refs = np.asarray(grid.values), grid.references
+    """Value at a position of the grid; positions outside [0, 1] take the ends, null and NaN give null."""
+    n, values = len(grid.values), _literal(grid)
 
-    @F.pandas_udf("double")
-    def value(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(np.interp(s.to_numpy(dtype=float, na_value=np.nan), refs, q))
+    def at(p: Column) -> Column:
+        left = F.least(F.floor(p), F.lit(n - 2)).cast("int")
+        low, high = F.get(values, left), F.get(values, left + 1)
+        return low + (p - left) * (high - low)
 
-    return F.when(u.isNotNull(), value(u.cast("double")))
+    scaled = lambda p: F.greatest(F.lit(0.0), F.least(p, F.lit(1.0))) * F.lit(float(n - 1))
+    return _with(u.cast("double"), lambda p: F.when(p.isNotNull() & ~F.isnan(p), _with(scaled(p), at)))
 
 
 def to_normal(x: Column, grid: QuantileGrid) -> Column:
-    u = to_uniform(x, grid)
-    return inverse_normal_cdf(F.greatest(F.lit(TAIL), F.least(u, F.lit(1.0 - TAIL))))
+    inner = lambda u: F.greatest(F.lit(TAIL), F.least(u, F.lit(1.0 - TAIL)))
+    # greatest and least skip nulls, hence the condition
+    return _with(to_uniform(x, grid), lambda u: F.when(u.isNotNull(), _with(inner(u), inverse_normal_cdf)))
 
 
 def from_normal(z: Column, grid: QuantileGrid) -> Column:
-    return from_uniform(normal_cdf(z), grid)
+    return from_uniform(_with(z, normal_cdf), grid)

@@ -35,7 +35,10 @@ def preprocess_tabular(
 
 def encode_preprocess(df: DataFrame, target: str | None = None) -> DataFrame:
     """Clean, median-fill numbers, encode categories with ``Missing`` first, encode the
-    target, and number the columns ``0..n-1`` (features first)."""
+    target, and number the columns ``0..n-1`` (features first).
+
+    Features become whole numbers, cut towards zero; an infinite or too large one is an error.
+    """
     target = target or df.columns[-1]
     clean = drop_all_null_columns(null_tokens_to_null(df))
     features = [c for c in clean.columns if c != target]
@@ -43,5 +46,6 @@ def encode_preprocess(df: DataFrame, target: str | None = None) -> DataFrame:
     gaps = clean.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(c) for c in numeric]).first() if numeric else {}
     filled = fill_with(clean, medians(clean, [c for c in numeric if gaps[c]]))
     coded = encode(filled, fit_dictionary(filled, text, missing_first=True), text) if text else filled
-    coded = _encode_target(coded, target).select(*features, target)
+    whole = [F.col(f"`{c}`").cast("bigint" if c in numeric else "int").alias(c) for c in features]
+    coded = _encode_target(coded, target).select(*whole, target)
     return coded.toDF(*[str(i) for i in range(len(coded.columns))])

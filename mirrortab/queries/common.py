@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirrortab.functions.numeric import (
+    ERF_A, ERF_P, INVERSE_NORMAL_CENTRE, INVERSE_NORMAL_CENTRE_DIVISOR, INVERSE_NORMAL_LOW, INVERSE_NORMAL_TAIL,
+    INVERSE_NORMAL_TAIL_DIVISOR,
+)
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.discretize import discretize, fit_bins
 from mirrortab.operators.split import stratified_split
@@ -140,3 +146,63 @@ SELECT "column" AS "group", 'jsd' AS metric, round(jsd, 6) AS value FROM {d}
 UNION ALL SELECT "column", 'kld_sym', round(kld_sym, 6) FROM {d}
 UNION ALL SELECT 'summary', 'mean_jsd', round(sum(jsd) / {n_columns}, 6) FROM {d}
 UNION ALL SELECT 'summary', 'mean_kld_sym', round(sum(kld_sym) / {n_columns}, 6) FROM {d}"""
+
+
+def _polynomial_sql(x: str, coefficients: Sequence[float]) -> str:
+    total = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        total = f"({total} * {x} + {c!r}::DOUBLE)"
+    return total
+
+
+def inverse_normal_sql(p: str) -> str:
+    """Quantile of the standard normal distribution by the rational approximation."""
+    ends = lambda t: f"{_polynomial_sql(t, INVERSE_NORMAL_TAIL)} / {_polynomial_sql(t, (*INVERSE_NORMAL_TAIL_DIVISOR, 1.0))}"
+    q = f"({p} - 0.5::DOUBLE)"
+    centre = (
+        f"{_polynomial_sql(f'({q} * {q})', INVERSE_NORMAL_CENTRE)} * {q} / "
+        f"{_polynomial_sql(f'({q} * {q})', (*INVERSE_NORMAL_CENTRE_DIVISOR, 1.0))}"
+    )
+    low, high = f"sqrt(-2.0::DOUBLE * ln({p}))", f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {p}))"
+    return (
+        f"CASE WHEN {p} < {INVERSE_NORMAL_LOW!r}::DOUBLE THEN {ends(low)} "
+        f"WHEN {p} > 1.0::DOUBLE - {INVERSE_NORMAL_LOW!r}::DOUBLE THEN -({ends(high)}) ELSE {centre} END"
+    )
+
+
+def normal_cdf_sql(z: str) -> str:
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1.0::DOUBLE / (1.0::DOUBLE + {ERF_P!r}::DOUBLE * {x}))"
+    series = "0.0::DOUBLE"
+    for a in reversed(ERF_A):
+        series = f"(({series} + {a!r}::DOUBLE) * {t})"
+    return f"(0.5::DOUBLE + (CASE WHEN {z} >= 0 THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END) * (1.0::DOUBLE - {series} * exp(-{x} * {x})))"
+
+
+def quantile_grid_sql(table: str, x: str) -> str:
+    """CTEs ending in ``arrays``: the values of a column at up to 1,000 even probabilities, as one list."""
+    return f"""
+_k AS (SELECT least(1000, greatest(count(*), 10)) AS k, count({x}) AS rows FROM {table}),
+_s AS (SELECT {x} AS x, row_number() OVER (ORDER BY {x}) - 1 AS pos FROM {table} WHERE {x} IS NOT NULL),
+_g AS (SELECT i, i / (k - 1)::DOUBLE * (rows - 1) AS pt FROM _k, range(_k.k) t(i)),
+arrays AS (SELECT list(a.x + (b.x - a.x) * (pt - floor(pt)) ORDER BY i) AS q, count(*) AS k
+           FROM _g JOIN _s a ON a.pos = floor(pt) JOIN _s b ON b.pos = ceil(pt))"""
+
+
+def to_normal_sql(table: str, x: str, keep: Sequence[str]) -> str:
+    """CTEs ending in ``normals`` (keep..., z) after :func:`quantile_grid_sql`; counts per distinct value."""
+    return f"""
+_d AS (SELECT DISTINCT {x} AS x FROM {table}),
+_n AS (SELECT x, q, k, len(list_filter(q, lambda e: e < x)) AS below, len(list_filter(q, lambda e: e <= x)) AS upto FROM _d, arrays),
+_u AS (SELECT x, greatest(1e-7::DOUBLE, least(1.0::DOUBLE - 1e-7::DOUBLE, CASE WHEN x <= q[1] THEN 0.0::DOUBLE WHEN x >= q[k] THEN 1.0::DOUBLE
+       WHEN upto > below THEN (below + upto - 1) / (2.0::DOUBLE * (k - 1))
+       ELSE (below - 1 + (x - q[below]) / (q[below + 1] - q[below])) / (k - 1)::DOUBLE END)) AS u FROM _n),
+_z AS (SELECT x, {inverse_normal_sql('u')} AS z FROM _u),
+normals AS (SELECT {', '.join(f't.{c}' for c in keep)}{', ' if keep else ''}z FROM {table} t JOIN _z ON t.{x} = _z.x)"""
+
+
+def from_normal_sql(z: str) -> str:
+    """Value of the list ``q`` (``k`` entries) at a standard normal number."""
+    at = f"({normal_cdf_sql(z)} * (k - 1))"
+    left = f"least(floor({at}), k - 2)::BIGINT"
+    return f"(q[{left} + 1] + ({at} - {left}) * (q[{left} + 2] - q[{left} + 1]))"

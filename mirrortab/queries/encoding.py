@@ -8,7 +8,9 @@ from mirrortab.operators import scalers
 from mirrortab.operators.discretize import discretize, fit_bins
 from mirrortab.plans.preprocess import encode_preprocess, preprocess_tabular
 from mirrortab.queries import query
-from mirrortab.queries.common import LINE_KEY, LINE_NUMERIC, bin_sql, lineitem, metric_sql
+from mirrortab.queries.common import (
+    LINE_KEY, LINE_NUMERIC, bin_sql, from_normal_sql, lineitem, metric_sql, quantile_grid_sql, to_normal_sql,
+)
 from mirrortab.sources.tables import read_table
 
 _KEYS = ", ".join(LINE_KEY)
@@ -205,12 +207,15 @@ def quantile_transform(spark, sf):
     return rows.select("c_custkey", metric(scalers.to_uniform(F.col("c_acctbal"), grid), 8).alias("u"))
 
 
-@query("quantile_normal_roundtrip")
+@query("quantile_normal_roundtrip", f"""
+WITH r AS (SELECT {', '.join(LINE_KEY)}, l_extendedprice AS x FROM lineitem), {quantile_grid_sql('r', 'x')}, {to_normal_sql('r', 'x', LINE_KEY)}
+SELECT {', '.join(LINE_KEY)}, {metric_sql('z', 6)} AS z, {metric_sql(from_normal_sql('z'), 4)} AS back FROM normals, arrays""")
 def quantile_normal(spark, sf):
     rows = lineitem(spark, sf).select(*LINE_KEY, "l_extendedprice")
     grid = scalers.fit_quantile_grids(rows, ["l_extendedprice"])["l_extendedprice"]
     z = scalers.to_normal(F.col("l_extendedprice"), grid)
-    return rows.select(*LINE_KEY, z.alias("z")).withColumn("back", scalers.from_normal(F.col("z"), grid))
+    placed = rows.select(*LINE_KEY, z.alias("z"))
+    return placed.select(*LINE_KEY, metric(F.col("z"), 6).alias("z"), metric(scalers.from_normal(F.col("z"), grid), 4).alias("back"))
 
 
 _PRE_SQL = f"""
@@ -234,7 +239,7 @@ WITH m AS (SELECT *, CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '2-HIGH' T
 t AS (SELECT price, coalesce(CASE WHEN raw = 'missing' THEN 'Missing' ELSE raw END, 'Missing') AS p, o_orderstatus AS s FROM m),
 d AS (SELECT p, (row_number() OVER (ORDER BY p <> 'Missing', p) - 1)::INTEGER AS code FROM (SELECT DISTINCT p FROM t)),
 e AS (SELECT s, (row_number() OVER (ORDER BY s) - 1)::INTEGER AS code FROM (SELECT DISTINCT s FROM t))
-SELECT coalesce(price, (SELECT quantile_cont(price, 0.5) FROM t)) AS "0", d.code AS "1", e.code AS "2" FROM t JOIN d USING (p) JOIN e USING (s)""")
+SELECT trunc(coalesce(price, (SELECT quantile_cont(price, 0.5) FROM t)))::BIGINT AS "0", d.code AS "1", e.code AS "2" FROM t JOIN d USING (p) JOIN e USING (s)""")
 def encode_flow(spark, sf):
     p = F.col("o_orderpriority")
     rows = read_table(spark, sf, "orders").select(

@@ -14,8 +14,8 @@ from mirrortab.plans import kdb, marginal
 from mirrortab.plans.run import run_train_test
 from mirrortab.queries import query
 from mirrortab.queries.common import (
-    LINE_FEATURES, LINE_KEY, LINE_NUMERIC, LINE_TARGET, bin_sql, binned_sql, divergence_sql, lineitem, lineitem_binned,
-    metric_sql, report_sql, split_sql, uniform_sql, unpivot_sql,
+    LINE_FEATURES, LINE_KEY, LINE_NUMERIC, LINE_TARGET, bin_sql, binned_sql, divergence_sql, from_normal_sql, lineitem,
+    lineitem_binned, metric_sql, quantile_grid_sql, report_sql, split_sql, to_normal_sql, uniform_sql, unpivot_sql,
 )
 from mirrortab.sources.runs import new_run_id
 from mirrortab.sources.tables import read_table
@@ -261,7 +261,17 @@ def synthesize_marginal(spark, sf):
     return marginal.sample_marginal(marginal.fit_marginal(rows), spark)
 
 
-@query("synthesize_marginal_numeric")
+_PRICE_U = uniform_sql("range", "o_totalprice#r"), uniform_sql("range", "o_totalprice#a")
+
+
+@query("synthesize_marginal_numeric", f"""
+WITH _real AS (SELECT o_totalprice, o_orderpriority, o_orderstatus FROM orders),
+{quantile_grid_sql('_real', 'o_totalprice')}, {to_normal_sql('_real', 'o_totalprice', [])},
+_m AS (SELECT avg(z) AS mean, stddev_pop(z) + {marginal.SIGMA_PADDING!r}::DOUBLE AS deviation FROM normals),
+_price AS (SELECT range AS id, mean + deviation * (sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_PRICE_U[0]})) * cos(2.0::DOUBLE * pi() * {_PRICE_U[1]})) AS z
+           FROM _m, range((SELECT count(*) FROM orders))),
+_synth AS (SELECT {from_normal_sql('z')} AS o_totalprice, c.* EXCLUDE (id) FROM arrays, _price JOIN ({_marginal_sql()}) c USING (id)),
+{divergence_sql('_real', '_synth', ['o_totalprice'], ['o_orderpriority', 'o_orderstatus'])} {report_sql('', 3)}""")
 def synthesize_marginal_numeric(spark, sf):
     real = read_table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", "o_orderstatus")
     synth = checkpointed(marginal.sample_marginal(marginal.fit_marginal(real), spark).drop("id"))

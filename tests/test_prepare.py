@@ -36,8 +36,15 @@ def test_encode_preprocess_puts_missing_first_and_fills_the_median(spark):
     rows = [(1.0, "b", "n"), (None, None, "y"), (3.0, " b ", "n"), (8.0, "missing", None), (2.0, "A", "y")]
     out = encode_preprocess(spark.createDataFrame(rows, "x double, c string, y string"))
     assert out.columns == ["0", "1", "2"]
-    # target text sorts as Missing < n < y; median of 1, 2, 3, 8 is 2.5
-    assert sorted(map(tuple, out.collect())) == [(1.0, 2, 1), (2.0, 1, 2), (2.5, 0, 2), (3.0, 2, 1), (8.0, 0, 0)]
+    # target text sorts as Missing < n < y; the median of 1, 2, 3, 8 is 2.5, cut to 2 like all features
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1), (2, 0, 2), (2, 1, 2), (3, 2, 1), (8, 0, 0)]
+    assert [t for _, t in out.dtypes] == ["bigint", "int", "int"]
+
+
+def test_encode_preprocess_cuts_features_towards_zero(spark):
+    rows = [(-1.9, "a"), (1.9, "b"), (3e10, "a")]
+    out = encode_preprocess(spark.createDataFrame(rows, "x double, y string"))
+    assert sorted(r[0] for r in out.collect()) == [-1, 1, 30_000_000_000]
 
 
 @pytest.mark.parametrize("strategy", ["uniform", "quantile", "kmeans"])
@@ -134,6 +141,23 @@ def test_quantile_transform_handles_ties_and_inverts(spark):
     assert back == pytest.approx(values, abs=1e-4)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quantile_transform_equals_interpolation_from_both_sides(spark, seed):
+    rng = np.random.default_rng(seed)
+    q = np.sort(rng.integers(0, [5, 40, 10**6][seed], 57).astype(float))
+    refs = np.linspace(0.0, 1.0, len(q))
+    x = np.concatenate([q, rng.uniform(q[0] - 1, q[-1] + 1, 200)])
+    expected = 0.5 * (np.interp(x, q, refs) - np.interp(-x, -q[::-1], -refs[::-1]))
+    expected[x <= q[0]], expected[x >= q[-1]] = 0.0, 1.0
+    grid = scalers.QuantileGrid(tuple(q))
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None), (-2, float("nan"))], "i int, x double")
+    u = scalers.to_uniform(F.col("x"), grid)
+    out = {r[0]: r for r in df.select("i", u.alias("u"), scalers.from_uniform(u, grid).alias("b")).collect()}
+    assert [out[-1]["u"], out[-1]["b"], out[-2]["u"]] == [None] * 3
+    assert [out[i]["u"] for i in range(len(x))] == pytest.approx(list(expected), abs=1e-12)
+    assert [out[i]["b"] for i in range(len(x))] == pytest.approx(list(np.interp(expected, refs, q)), rel=1e-9, abs=1e-9)
+
+
 def test_generated_rows_are_filtered(spark):
     rows = [("1.5", "a"), ("x", "a"), (None, "b"), ("2", "placeholder"), (None, None), ("3", None)]
     df = spark.createDataFrame(rows, "n string, c string")
