@@ -7,6 +7,9 @@ the same under any partitioning and after any executor loss.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +48,15 @@ def gaussian01(seed: int | str, key: Column | str, stream: str = "") -> Column:
     u1 = F.lit(1.0) - uniform01(seed, key, f"{stream}#r")
     u2 = uniform01(seed, key, f"{stream}#a")
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0) * F.pi() * u2)
+
+
+def uniform_number(seed: int | str, key: object, stream: str = "") -> float:
+    """:func:`uniform01` of one key, computed on the spot."""
+    digest = hashlib.md5(f"{seed}:{key}:{stream}".encode()).hexdigest()
+    return int(digest[:_UNIFORM_HEX_DIGITS], 16) / _UNIFORM_RANGE
+
+
+def gaussian_number(seed: int | str, key: object, stream: str = "") -> float:
+    """:func:`gaussian01` of one key, computed on the spot."""
+    u1, u2 = 1.0 - uniform_number(seed, key, f"{stream}#r"), uniform_number(seed, key, f"{stream}#a")
+    return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.functions import metric
+from mirrortab.functions.random import gaussian_number, uniform_number
 from mirrortab.operators.core import checkpointed
 
 BLOCK_ROWS = 1024
+FOURIER_FEATURES = 256
 
 
 def mmd_linear(x: DataFrame, y: DataFrame, vector: str) -> DataFrame:
@@ -85,3 +87,57 @@ def mmd_rbf(x: DataFrame, y: DataFrame, vector: str, bandwidth: float = 1.0) ->
     m, n = float(max(rows_x, 1)), float(max(rows_y, 1))
     value = part("xx") / (m * m) + part("yy") / (n * n) - 2.0 * part("xy") / (m * n)
     return sums.agg(metric(value).alias("mmd"))
+
+
+def _waves(dims: int, features: int, bandwidth: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies (features x dims) and phases of the random cosines."""
+    w = [gaussian_number(seed, i, "frequency") / bandwidth for i in range(features * dims)]
+    b = [2.0 * math.pi * uniform_number(seed, j, "phase") for j in range(features)]
+    return np.array(w).reshape(features, dims), np.array(b)
+
+
+def _cosine_sums(w: np.ndarray, b: np.ndarray):
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros((2, len(b))), np.zeros(2, dtype=np.int64)
+        for pdf in batches:
+            for side, part in pdf.groupby("side")["v"]:
+                total[side] += np.cos(np.stack(part.to_list()) @ w.T + b).sum(0)
+                rows[side] += len(part)
+        yield pd.DataFrame({"side": [0, 1], "n": rows, "sums": list(total)})
+
+    return sums
+
+
+def mmd_fourier(
+    x: DataFrame, y: DataFrame, vector: str, bandwidth: float = 1.0, features: int = FOURIER_FEATURES, seed: int = 42
+) -> DataFrame:
+    """Gaussian kernel in linear time: ``(mmd, std_error, bound)``.
+
+    The kernel is the mean product of random cosines, so the discrepancy is the mean over features of
+    the squared gap of two averages.  One pass; a task emits two rows of ``features`` sums.  The
+    estimate has no bias; it is within ``bound`` of :func:`mmd_rbf` with probability 0.95 (Hoeffding,
+    each feature's term lies in [0, 8]), and ``std_error`` is the spread of the terms over the root of
+    their number.  Null vectors are left out, an empty side counts as zeros; vectors need one length.
+    The waves, 8 bytes a feature and dimension, go to every task.
+    """
+    side = lambda df, s: df.select(F.lit(s).alias("side"), F.col(vector).cast("array<double>").alias("v"))
+    both = side(x, 0).unionByName(side(y, 1)).where(F.col("v").isNotNull())
+    sizes = both.agg(F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("high")).first()
+    if sizes["low"] != sizes["high"]:
+        raise ValueError(f"vectors of {sizes['low']} to {sizes['high']} components")
+    partial = both.mapInPandas(
+        _cosine_sums(*_waves(sizes["low"] or 0, features, bandwidth, seed)), "side int, n bigint, sums array<double>"
+    )
+    totals = partial.groupBy("side").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"), F.sum("n").alias("n")
+    )
+    zeros = F.array_repeat(F.lit(0.0), features)
+    average = lambda s: F.coalesce(
+        F.max(F.when((F.col("side") == s) & (F.col("n") > 0), F.transform("sums", lambda t: t / F.col("n")))), zeros
+    )
+    averages = totals.agg(average(0).alias("a"), average(1).alias("b"))
+    terms = averages.select(F.explode(F.zip_with("a", "b", lambda p, q: F.lit(2.0) * (p - q) * (p - q))).alias("t"))
+    return terms.agg(
+        metric(F.avg("t")).alias("mmd"), metric(F.stddev_samp("t") / math.sqrt(features)).alias("std_error"),
+        F.lit(8.0 * math.sqrt(math.log(2.0 / 0.05) / (2.0 * features))).alias("bound"),
+    ).select("mmd", "std_error", metric(F.col("bound")).alias("bound"))

@@ -160,11 +160,15 @@ def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
 def check_compatibility(
     profile: DataFrame, task: DataFrame, requirements: Mapping[str, Mapping[str, object]]
 ) -> DataFrame:
-    """``(model, ok, message)`` for every model's declared requirements."""
+    """``(model, ok, message)`` for every model's declared requirements.
+
+    With several targets in ``task`` every model is judged for each, and ``target`` comes first.
+    """
+    named = [c for c in task.columns if c == "target"] if len(task.take(2)) > 1 else []
     features = profile.where(F.col("role") == "feature").agg(
         F.sum(F.when(F.col("kind") == "numeric", 0).otherwise(1)).alias("not_numeric")
     )
-    one = with_scalars(task.limit(1), features)
+    one = with_scalars(task, features)
     checks = []
     for model, need in requirements.items():
         message = F.lit("ok")
@@ -180,8 +184,8 @@ def check_compatibility(
         if not need:
             message = F.lit("no requirements declared")
         checks.append(F.struct(F.lit(model).alias("model"), message.alias("message")))
-    rows = one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
-    return rows.select("model", F.col("message").isin("ok", "no requirements declared").alias("ok"), "message")
+    rows = one.select(*named, F.explode(F.array(*checks)).alias("c")).select(*named, "c.*")
+    return rows.select(*named, "model", F.col("message").isin("ok", "no requirements declared").alias("ok"), "message")
 
 
 def presplit_check(train: DataFrame, test: DataFrame, target: str | None = None) -> float:

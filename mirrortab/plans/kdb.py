@@ -22,6 +22,7 @@ from mirrortab.operators.information import (
 )
 from mirrortab.operators.sampling import interval_lookup, intervals
 from mirrortab.operators.wide import WIDE, coded_rows, top_parents
+from mirrortab.plans.backoff import Contexts, draw_backoff, fit_contexts
 from mirrortab.plans.condition import NEVER_SEEN, Conditional, conditionals, config_of  # noqa: F401
 
 CHECKPOINT_EVERY = 50  # features sampled between lineage cuts
@@ -165,11 +166,18 @@ def _draw_given(rows: DataFrame, model: KdbModel, column: str, given: Conditiona
 
 
 def sample_codes(
-    model: KdbModel, spark: SparkSession, n: int | None = None, seed: int = 42, fixed: Mapping[str, int] | None = None
+    model: KdbModel, spark: SparkSession, n: int | None = None, seed: int = 42, fixed: Mapping[str, int] | None = None,
+    contexts: Contexts | None = None,
 ) -> DataFrame:
     """The row key (``id`` unless a column is called so) and one code column per table column;
-    ``fixed`` columns are not drawn, the others are drawn given them."""
+    ``fixed`` columns are not drawn, the others are drawn given them.
+
+    With ``contexts`` a configuration never seen draws from its longest part that was seen, the last
+    parent dropped first and the label last; without, uniformly from the column's codes.
+    """
     fixed = dict(fixed or {})
+    if contexts is not None and set(fixed) - {model.target}:
+        raise ValueError("the exact conditional tables have no back-off: fix the label only")
     given = conditionals(model, fixed) if set(fixed) - {model.target} else {}
     rows = spark.range(model.rows if n is None else n).withColumnRenamed("id", model.row_key)
     for i, column in enumerate([model.target, *model.order]):
@@ -177,6 +185,10 @@ def sample_codes(
             rows = rows.withColumn(column, F.lit(int(fixed[column])))
         elif column in given:
             rows = _draw_given(rows, model, column, given[column], seed)
+        elif contexts is not None:
+            cards = [] if column == model.target else [model.cards[c] for c in [model.target, *model.parents[column]]]
+            keyed = rows.withColumn("_config", model.config(column))
+            rows = draw_backoff(keyed, contexts, column, "_config", model.row_key, cards, seed)
         else:
             rows = _draw(rows, model, column, seed)
         if i and i % CHECKPOINT_EVERY == 0:
@@ -188,9 +200,10 @@ def decode_rows(model: KdbModel, coded: DataFrame) -> DataFrame:
     return decode(coded, model.dictionary, [*model.features, model.target])
 
 
-def sample_kdb(model: KdbModel, spark: SparkSession, n: int | None = None, seed: int = 42) -> DataFrame:
+def sample_kdb(model: KdbModel, spark: SparkSession, n: int | None = None, seed: int = 42, backoff: bool = False) -> DataFrame:
     """Synthetic rows with original values, and their ``id``."""
-    return decode_rows(model, sample_codes(model, spark, n, seed))
+    contexts = fit_contexts(model.cpt.df) if backoff else None
+    return decode_rows(model, sample_codes(model, spark, n, seed, contexts=contexts))
 
 
 def code_of(model: KdbModel, column: str, value: object) -> int:

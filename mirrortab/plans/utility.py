@@ -220,13 +220,21 @@ def teacher_ensemble(
 ) -> DataFrame:
     """Noisy majority labels for public rows from teachers trained on disjoint parts.
 
-    ``public`` needs a unique column ``record``; the label is 0/1.
+    ``public`` needs a unique column ``record``; the label is 0/1.  A teacher whose part holds one
+    class votes that class; one without rows does not vote, and the majority is of those who do.
     """
     assemble = VectorAssembler(inputCols=list(features), outputCol="features")
     parts = checkpointed(assemble.transform(partition_disjoint(train, key, teachers, seed)).select("part", "features", F.col(label).cast("double").alias("label")))
     records = checkpointed(assemble.transform(public).select("record", "features"))
+    held = parts.groupBy("part").agg(F.min("label").alias("low"), F.max("label").alias("high")).collect()  # a row a teacher
+    classes = {r["part"]: (r["low"], r["high"]) for r in held if r["low"] is not None}
+    if not classes:
+        raise ValueError("no teacher has a labelled row")
     votes = []
-    for t in range(teachers):
+    for t, (low, high) in sorted(classes.items()):
+        if low == high:
+            votes.append(records.select("record", F.lit(t).alias("teacher"), F.lit(int(low)).alias("vote")))
+            continue
         fitted = LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(parts.where(F.col("part") == t))
         votes.append(fitted.transform(records).select("record", F.lit(t).alias("teacher"), F.col("prediction").cast("int").alias("vote")))
-    return noisy_vote_aggregate(reduce(DataFrame.unionByName, votes), teachers, epsilon, delta, seed=noise_seed)
+    return noisy_vote_aggregate(reduce(DataFrame.unionByName, votes), len(classes), epsilon, delta, seed=noise_seed)

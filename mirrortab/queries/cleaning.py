@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from mirrortab.operators import clean, repair
-from mirrortab.operators.core import value_counts
-from mirrortab.operators.profile import constant_columns
+from mirrortab.operators.core import checkpointed, value_counts
+from mirrortab.operators.profile import constant_columns, distinct_counts
 from mirrortab.queries import query
 from mirrortab.queries.common import LINE_KEY, lineitem
 from mirrortab.sources.tables import column_roles, read_table, role_blocks
@@ -117,22 +117,37 @@ def round_clip_codes(spark, sf):
     return lineitem(spark, sf).select(*LINE_KEY, clean.round_clip(F.col("l_quantity") * 0.5 - 3, 20).alias("code"))
 
 
-@query("column_roles", """
-SELECT r.*, n_rows FROM (SELECT count(*) AS n_rows FROM orders), (VALUES
-  ('o_orderkey', 0, 'numeric'), ('o_custkey', 1, 'numeric'), ('o_orderstatus', 2, 'categorical'),
-  ('o_totalprice', 3, 'numeric'), ('o_orderdate', 4, 'categorical'), ('o_orderpriority', 5, 'categorical')) r("column", pos, block)""")
+_ROLES = [
+    ("o_orderkey", "numeric"), ("o_custkey", "numeric"), ("o_orderstatus", "categorical"), ("o_totalprice", "numeric"),
+    ("o_orderdate", "categorical"), ("o_orderpriority", "categorical"),
+]
+
+
+@query("column_roles", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {i} AS pos, '{block}' AS block, count(*) AS n_rows, count(DISTINCT {c}) AS n_unique FROM orders"
+    for i, (c, block) in enumerate(_ROLES)))
 def roles(spark, sf):
-    return column_roles(read_table(spark, sf, "orders"), "o_orderstatus", "multiclass")
+    orders = read_table(spark, sf, "orders")
+    found = distinct_counts(orders).select("column", "n_unique")
+    return column_roles(orders, "o_orderstatus", "multiclass").join(found, "column")
 
 
-@query("registry_schema_drift", """
-SELECT 'sales-orders' AS dataset_key, 'o_totalprice,o_orderpriority,o_orderstatus' AS registered_columns,
-       'o_orderpriority,o_totalprice,o_orderstatus' AS fresh_columns, count(*) > 0 AS drifted FROM orders""")
+_REGISTERED = ["o_totalprice", "o_orderpriority", "o_orderstatus"]
+_FRESH = ["o_orderpriority", "o_totalprice", "o_orderstatus"]
+
+
+@query("registry_schema_drift", " UNION ALL ".join(
+    f"SELECT 'sales-orders' AS dataset_key, true AS drifted, '{c}' AS \"column\", {_REGISTERED.index(c)} AS registered_pos, {_FRESH.index(c)} AS fresh_pos, "
+    f"count(DISTINCT {c}) AS registered_unique, count(DISTINCT {c}) FILTER (o_orderstatus <> 'P') AS fresh_unique FROM orders" for c in _REGISTERED))
 def registry_schema_drift(spark, sf):
     orders = read_table(spark, sf, "orders")
-    before = orders.select("o_totalprice", "o_orderpriority", "o_orderstatus")
-    after = orders.select("o_orderpriority", "o_totalprice", "o_orderstatus")
-    return schema_drift(registry_entry(before, "Sales Orders"), registry_entry(after, "sales_orders"))
+    before = checkpointed(registry_entry(orders.select(*_REGISTERED), "Sales Orders"))
+    after = checkpointed(registry_entry(orders.where("o_orderstatus <> 'P'").select(*_FRESH), "sales_orders"))
+    part = lambda entry, name: entry.select(
+        "dataset_key", "column", F.col("pos").alias(f"{name}_pos"), F.col("n_unique").alias(f"{name}_unique")
+    )
+    drift = schema_drift(before, after).select("dataset_key", "drifted")
+    return part(before, "registered").join(part(after, "fresh"), ["dataset_key", "column"]).join(drift, "dataset_key")
 
 
 @query("impute_median_nan", """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from mirrortab.functions import metric
 from mirrortab.operators import divergence, metrics, mmd, nearest, privacy
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.split import stratified_kfold, stratified_split
@@ -117,6 +118,21 @@ def mmd_rbf(spark, sf):
     return mmd.mmd_rbf(rows.where("label < 5"), rows.where("label >= 5"), "embedding")
 
 
+_FREQUENCY = uniform_sql("k", "frequency#r"), uniform_sql("k", "frequency#a")
+
+
+@query("mmd_fourier", f"""
+WITH e AS (SELECT CASE WHEN label < 5 THEN 'x' ELSE 'y' END AS side, embedding::DOUBLE[] AS v FROM embeddings),
+d AS (SELECT max(len(v)) AS d FROM e), k AS (SELECT j, i, j * d + i AS k FROM d, range(256) a(j), range(d.d) b(i)),
+g AS (SELECT j, list(sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {_FREQUENCY[0]})) * cos(2.0::DOUBLE * pi() * {_FREQUENCY[1]}) ORDER BY i) AS w FROM k GROUP BY 1),
+c AS (SELECT side, j, avg(cos(list_inner_product(v, w) + 2.0::DOUBLE * pi() * {uniform_sql('j', 'phase')})) AS m FROM e, g GROUP BY 1, 2),
+t AS (SELECT 2.0::DOUBLE * (max(m) FILTER (side = 'x') - max(m) FILTER (side = 'y')) ** 2 AS t FROM c GROUP BY j)
+SELECT {metric_sql('avg(t)')} AS mmd, {metric_sql('stddev_samp(t) / 16')} AS std_error, {metric_sql('8 * sqrt(ln(2 / 0.05::DOUBLE) / 512)')} AS bound FROM t""")
+def mmd_fourier(spark, sf):
+    rows = read_table(spark, sf, "embeddings")
+    return mmd.mmd_fourier(rows.where("label < 5"), rows.where("label >= 5"), "embedding")
+
+
 @query("class_imbalance", f"""
 SELECT count(*) FILTER (toxic = 0) AS n_neg, count(*) FILTER (toxic = 1) AS n_pos,
        {metric_sql('count(*) FILTER (toxic = 0) / count(*) FILTER (toxic = 1)::DOUBLE')} AS scale_pos_weight FROM labels""")
@@ -178,6 +194,17 @@ def noisy_votes(spark, sf):
     return noisy.withColumn("noisy_votes", F.round("noisy_votes", 9) + F.lit(0.0))
 
 
+@query("privacy_spent", f"""
+WITH r AS (SELECT l_linestatus, l_orderkey, {_SIGMA!r}::DOUBLE * max(l_linenumber) AS sigma FROM lineitem GROUP BY 1, 2),
+g AS (SELECT l_linestatus, count(*) AS n_released, sum(1 / (2 * sigma * sigma)) AS rho FROM r GROUP BY 1)
+SELECT l_linestatus, n_released, {metric_sql('rho', 6)} AS rho, {metric_sql('1 + sqrt(ln(1e5::DOUBLE) / rho)', 6)} AS best_order,
+       {metric_sql('rho + 2 * sqrt(rho * ln(1e5::DOUBLE))', 6)} AS epsilon FROM g""")
+def privacy_spent(spark, sf):
+    answered = lineitem(spark, sf).groupBy("l_linestatus", "l_orderkey").agg((F.lit(_SIGMA) * F.max("l_linenumber")).alias("sigma"))
+    spent = privacy.privacy_spent(answered, ["l_linestatus"])
+    return spent.select("l_linestatus", "n_released", *[metric(F.col(c), 6).alias(c) for c in ("rho", "best_order", "epsilon")])
+
+
 def _labelled(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source", F.size(F.split("text", r"\s+")).alias("n_words"))
     return read_table(spark, sf, "labels").join(docs, "doc_id")

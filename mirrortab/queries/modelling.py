@@ -228,6 +228,29 @@ def sample_conditional_exact(spark, sf):
     return kdb.sample_conditional(model, spark, model.rows, {"c": 1})
 
 
+_THIN = "l_partkey % 61 + 100 AS a, l_orderkey % 53 + 100 AS b, CAST(floor(l_quantity) AS INTEGER) % 7 AS c, l_returnflag AS y"
+
+
+@query("kdb_sample_backoff", f"""
+WITH t AS (SELECT {_THIN} FROM lineitem),
+ny AS (SELECT y, count(*)::DOUBLE AS w FROM t GROUP BY ALL), na AS (SELECT y, a, count(*)::DOUBLE AS w FROM t GROUP BY ALL),
+nb AS (SELECT y, b, count(*)::DOUBLE AS w FROM t GROUP BY ALL), c1 AS (SELECT y, c, count(*)::DOUBLE AS w FROM t GROUP BY ALL),
+c2 AS (SELECT y, a, c, count(*)::DOUBLE AS w FROM t GROUP BY ALL), c3 AS (SELECT y, a, b, c, count(*)::DOUBLE AS w FROM t GROUP BY ALL),
+iy AS ({_shares_sql('ny', '', 'y')}), ia AS ({_shares_sql('na', 'PARTITION BY y', 'a')}), ib AS ({_shares_sql('nb', 'PARTITION BY y', 'b')}),
+i1 AS ({_shares_sql('c1', 'PARTITION BY y', 'c')}), i2 AS ({_shares_sql('c2', 'PARTITION BY y, a', 'c')}), i3 AS ({_shares_sql('c3', 'PARTITION BY y, a, b', 'c')}),
+u AS (SELECT range AS id, {', '.join(f"{uniform_sql('range', c)} AS u{c}" for c in 'abcy')} FROM range((SELECT count(*) FROM t))),
+r AS (SELECT u.id, uc, iy.y, ia.a, ib.b FROM u JOIN iy ON uy >= iy.lo AND uy < iy.hi JOIN ia ON ia.y = iy.y AND ua >= ia.lo AND ua < ia.hi
+      JOIN ib ON ib.y = iy.y AND ub >= ib.lo AND ub < ib.hi),
+d AS (SELECT r.*, CASE WHEN (y, a, b) IN (SELECT (y, a, b) FROM c3) THEN 3 WHEN (y, a) IN (SELECT (y, a) FROM c2) THEN 2 ELSE 1 END AS seen FROM r)
+SELECT id, d.a, d.b, i.c, d.y FROM d JOIN i3 i ON seen = 3 AND i.y = d.y AND i.a = d.a AND i.b = d.b AND uc >= lo AND uc < hi
+UNION ALL SELECT id, d.a, d.b, i.c, d.y FROM d JOIN i2 i ON seen = 2 AND i.y = d.y AND i.a = d.a AND uc >= lo AND uc < hi
+UNION ALL SELECT id, d.a, d.b, i.c, d.y FROM d JOIN i1 i ON seen = 1 AND i.y = d.y AND uc >= lo AND uc < hi""")
+def kdb_sample_backoff(spark, sf):
+    rows = lineitem(spark, sf).selectExpr(*_THIN.split(", "))
+    model = kdb.fit_kdb(rows, "y", edges=[("y", "a"), ("y", "b"), ("y", "c"), ("a", "c"), ("b", "c")])
+    return kdb.sample_kdb(model, spark, backoff=True)
+
+
 _NAMES = ", ".join(_ALL)
 
 
