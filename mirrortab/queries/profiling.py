@@ -1,8 +1,12 @@
 """Profiles, inference rules, compatibility, presplit checks."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrortab.operators import profile
+from mirrortab.functions import metric
+from mirrortab.operators import profile, sketch
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.divergence import empirical_probabilities, label_distribution, label_tv_distance
 from mirrortab.queries import query
@@ -42,6 +46,25 @@ def registry_profile_reread(spark, sf):
     return registry.register("Orders", read_table(spark, sf, "orders"), "o_orderstatus").drop("dataset_key", "task", "n_classes")
 
 
+_LIMITS = {"l_returnflag": 3, "l_linestatus": 1, "l_quantity": 49, "l_discount": 12, "l_orderkey": 32, "l_partkey": 10}
+
+
+@query("profile_merged", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS n_rows, count(x) AS n_values, "
+    + (f"min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, {metric_sql(f'sum({c}) / count(*)::DOUBLE', 4)} AS mean, "
+       if not c.startswith(("l_r", "l_lines")) else "NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, NULL::DOUBLE AS mean, ")
+    + f"count(DISTINCT {c}) <= {limit} AS at_most FROM (SELECT *, {c} AS x FROM lineitem)" for c, limit in _LIMITS.items()))
+def profile_merged(spark, sf):
+    """Each return flag is a part with a profile of its own; the merged profile decides the rules."""
+    rows = lineitem(spark, sf)
+    parts = rows.select("l_returnflag").distinct().collect()  # the names of the parts
+    stored = [checkpointed(sketch.fit_sketches(rows.where(F.col("l_returnflag") == p[0]), list(_LIMITS))) for p in parts]
+    merged = checkpointed(sketch.merge_sketches(reduce(DataFrame.unionByName, stored)))
+    rules = sketch.distinct_at_most(rows, merged, _LIMITS).select("column", "at_most")
+    mean = metric(F.col("total") / F.col("n_values"), 4).alias("mean")
+    return merged.select("column", "n_rows", "n_values", "lo", "hi", mean).join(rules, "column")
+
+
 _TARGETS = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_discount"]
 
 
