@@ -13,6 +13,7 @@ from mirrortab.operators.clean import PLACEHOLDER
 from mirrortab.operators.core import FitTable, checkpointed, fit_table, heavy_keys, lookup, within_budget
 from mirrortab.operators.encode import argmax_code, encode
 from mirrortab.operators.rowtext import text_to_row
+from mirrortab.plans.completion import complete_codes
 from mirrortab.plans.kdb import NEVER_SEEN, KdbModel, decode_rows
 
 
@@ -122,17 +123,22 @@ def impute_codes(
     return rows.unionByName(complete) if set_aside else rows
 
 
-def impute(model: KdbModel, df: DataFrame, key: str, seed: int | None = None, set_aside: bool = True) -> DataFrame:
+def impute(
+    model: KdbModel, df: DataFrame, key: str, seed: int | None = None, set_aside: bool = True, joint: bool = False
+) -> DataFrame:
     """Fill every missing cell of a raw table with the model's columns.
 
     Given cells stay as they are.  A given value that the model does not know says nothing about
-    the other cells.
+    the other cells.  Cells are filled one column after the other, or with ``joint`` all cells of a row
+    together (:mod:`mirrortab.plans.completion`).
     """
     columns = [*model.features, model.target]
     if set(df.columns) - {key} != set(columns):
         raise ValueError("the table's columns differ from the model's")
     known = df.select(key, *columns, *[F.col(f"`{c}`").alias(f"_given_{i}") for i, c in enumerate(columns)])
-    filled = decode_rows(model, impute_codes(model, encode_known(model, known), key, seed, set_aside))
+    codes = encode_known(model, known)
+    codes = complete_codes(model, codes, key, seed) if joint else impute_codes(model, codes, key, seed, set_aside)
+    filled = decode_rows(model, codes)
     return filled.select(key, *[F.coalesce(F.col(f"_given_{i}"), F.col(f"`{c}`")).alias(c) for i, c in enumerate(columns)])
 
 
@@ -148,11 +154,11 @@ def encode_known(model: KdbModel, df: DataFrame) -> DataFrame:
 
 
 def complete_partial_rows(model: KdbModel, prompts: DataFrame, text: str, key: str, seed: int = 42) -> DataFrame:
-    """Rows from prompts such as ``a is 1, b is x``: given cells stay, the others are drawn."""
+    """Rows from prompts such as ``a is 1, b is x``: given cells stay, the others are drawn together."""
     columns = [*model.features, model.target]
     parsed = text_to_row(prompts.select(key, text), text, columns).drop(text)
     cells = parsed.withColumns({c: F.when(F.col(c) != PLACEHOLDER, F.col(c)) for c in columns})
     typed = cells.withColumns(
         {c: F.col(c).try_cast(model.dictionary.types[c]) for c in columns}
     )
-    return impute(model, typed, key, seed, set_aside=False)
+    return impute(model, typed, key, seed, joint=True)

@@ -380,6 +380,41 @@ def complete_partial_row(spark, sf):
     return _unkeyed(imp.complete_partial_rows(model, prompts, "prompt", "k"))
 
 
+_HOLES = {"a": (1, 3, 5), "b": (1, 2), "c": (2, 3, 4), "y": (1, 4)}
+
+
+def _joint_sql() -> str:
+    """The best of all completions of a row, in the network y -> a, b, c; a -> b; b -> c."""
+    hole = lambda c: f"CASE WHEN l_linenumber IN {_HOLES[c]} THEN NULL ELSE {c} END AS h{c}"
+    counts = lambda keys: f"SELECT {keys}, count(*)::DOUBLE AS n FROM t GROUP BY ALL"
+    p = lambda c, n, whole: (
+        f"CASE WHEN {whole}.n IS NULL THEN 1.0::DOUBLE / (SELECT count(DISTINCT {c}) FROM t) "
+        f"ELSE coalesce({n}.n / {whole}.n, CASE WHEN h{c} IS NULL THEN 0 ELSE 1e-12 END) END AS p{c}"
+    )
+    return f"""
+WITH t AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_linenumber, {_CHAIN} FROM lineitem),
+h AS (SELECT k, {', '.join(hole(c) for c in 'abcy')} FROM t),
+e AS (SELECT DISTINCT ha, hb, hc, hy FROM h),
+ny AS ({counts('y')}), na AS ({counts('y, a')}), nb AS ({counts('y, a, b')}), n2 AS ({counts('y, b')}), nc AS ({counts('y, b, c')}),
+grid AS (SELECT * FROM e, (SELECT DISTINCT y FROM t) ty, (SELECT DISTINCT a FROM t) ta, (SELECT DISTINCT b FROM t) tb, (SELECT DISTINCT c FROM t) tc
+         WHERE coalesce(hy, y) = y AND coalesce(ha, a) = a AND coalesce(hb, b) = b AND coalesce(hc, c) = c),
+w AS (SELECT ha, hb, hc, hy, y, a, b, c, ny.n AS py, {p('a', 'na', 'ny')}, {p('b', 'nb', 'na')}, {p('c', 'nc', 'n2')} FROM grid
+      JOIN ny USING (y) LEFT JOIN na USING (y, a) LEFT JOIN nb USING (y, a, b) LEFT JOIN n2 USING (y, b) LEFT JOIN nc USING (y, b, c)),
+best AS (SELECT * FROM w WHERE pa > 0 AND pb > 0 AND pc > 0 QUALIFY row_number() OVER
+         (PARTITION BY ha, hb, hc, hy ORDER BY round(ln(py) + ln(pa) + ln(pb) + ln(pc), 9) DESC, y, a, b, c) = 1)
+SELECT k, a, b, c, y FROM h JOIN best ON h.ha IS NOT DISTINCT FROM best.ha AND h.hb IS NOT DISTINCT FROM best.hb
+AND h.hc IS NOT DISTINCT FROM best.hc AND h.hy IS NOT DISTINCT FROM best.hy"""
+
+
+@query("impute_joint", _joint_sql())
+def impute_joint(spark, sf):
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k")
+    rows = lineitem(spark, sf).select(key, "l_linenumber", *[F.expr(e) for e in _CHAIN.split(", ")])
+    model = kdb.fit_kdb(rows.select("a", "b", "c", "y"), "y", edges=[("y", "a"), ("y", "b"), ("y", "c"), ("a", "b"), ("b", "c")])
+    gaps = rows.withColumns({c: F.when(~F.col("l_linenumber").isin(*at), F.col(c)) for c, at in _HOLES.items()})
+    return imp.impute(model, gaps.drop("l_linenumber"), "k", joint=True)
+
+
 # ---------------------------------------------------------------- tables of counts
 
 @query("cross_table", f"WITH {binned_sql()} SELECT l_quantity, l_linestatus, l_returnflag, count(*) AS n FROM binned GROUP BY 1, 2, 3")
