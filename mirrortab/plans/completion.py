@@ -208,12 +208,12 @@ def complete_codes(model, coded: DataFrame, key: str, seed: int | None = None) -
     else:
         rows = lookup(rows, fit_table(problems), ["_problem"], "left")
         for step, (open_, closed, shares) in reversed(list(enumerate(merges))):
-            u = uniform01(seed, key, f"completion {step}")
-            rows = lookup(rows, shares, ["pid", *[f"x{j}" for j in open_]], "left")
+            # drawn before the join, or the number would be computed for every share it is compared with
+            rows = lookup(rows.withColumn("_u", uniform01(seed, key, f"completion {step}")), shares, ["pid", *[f"x{j}" for j in open_]], "left")
             run = F.col("_shares")
-            drawn = F.coalesce(F.try_element_at(F.filter(run, lambda e: e["hi"] > u), F.lit(1)), F.element_at(run, -1))["codes"]
+            drawn = F.coalesce(F.try_element_at(F.filter(run, lambda e: e["hi"] > F.col("_u")), F.lit(1)), F.element_at(run, -1))["codes"]
             rows = rows.withColumn("_drawn", drawn).withColumns({f"x{j}": F.element_at("_drawn", n + 1) for n, j in enumerate(closed)})
-            rows = rows.drop("_shares", "_drawn")
+            rows = rows.drop("_shares", "_drawn", "_u")
             if not shares.broadcastable:
                 rows = checkpointed(rows)
         code = {i: F.col(f"x{i}") for i in gaps}
