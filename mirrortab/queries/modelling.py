@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from mirrortab.operators import cpt as tables
 from mirrortab.operators import encode as enc
 from mirrortab.operators import information as info
-from mirrortab.operators import repair, rowtext, wide
+from mirrortab.operators import alias, repair, rowtext, wide
 from mirrortab.operators.core import checkpointed
 from mirrortab.operators.discretize import discretize, fit_bins
 from mirrortab.operators.divergence import fidelity_report
@@ -380,6 +380,25 @@ def complete_partial_row(spark, sf):
     return _unkeyed(imp.complete_partial_rows(model, prompts, "prompt", "k"))
 
 
+@query("sample_alias", f"""
+WITH w AS (SELECT l_returnflag AS g, CAST(l_quantity AS INTEGER) AS v, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT g, v, row_number() OVER p - 1 AS slot, count(*) OVER q AS m, sum(n) OVER q AS total, n * count(*) OVER q - sum(n) OVER q AS surplus
+      FROM w WINDOW p AS (PARTITION BY g ORDER BY v), q AS (PARTITION BY g)),
+l AS (SELECT *, -surplus AS need, sum(-surplus) OVER (PARTITION BY g ORDER BY slot) AS hi FROM s WHERE surplus < 0),
+h AS (SELECT *, sum(surplus) OVER (PARTITION BY g ORDER BY slot) AS hi, lead(v) OVER (PARTITION BY g ORDER BY slot) AS heir FROM s WHERE surplus > 0),
+a AS (SELECT l.g, l.slot, l.v, h.v AS other, l.total - l.need AS keep FROM l JOIN h ON l.g = h.g AND l.hi - l.need >= h.hi - h.surplus AND l.hi - l.need < h.hi
+      UNION ALL SELECT h.g, h.slot, h.v, h.heir, h.total - (l.hi - h.hi) FROM h JOIN l ON l.g = h.g AND h.hi > l.hi - l.need AND h.hi <= l.hi
+      UNION ALL SELECT g, slot, v, v, total FROM s WHERE surplus = 0),
+d AS (SELECT l_orderkey || '-' || l_linenumber AS k, l_returnflag AS g FROM lineitem),
+u AS (SELECT k, d.g, m, total, {uniform_sql('k', 'alias')} * m AS pos FROM d JOIN (SELECT DISTINCT g, m, total FROM s) USING (g))
+SELECT k, u.g, CASE WHEN (pos - floor(pos)) * total < keep THEN v ELSE other END AS value FROM u JOIN a ON a.g = u.g AND a.slot = floor(pos)""")
+def sample_alias(spark, sf):
+    rows = lineitem(spark, sf)
+    weights = rows.groupBy(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    draws = rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), F.col("l_returnflag").alias("g"))
+    return alias.alias_draw(draws, alias.fit_alias(weights, ["g"], "v", "n"), "k", stream="alias")
+
+
 _HOLES = {"a": (1, 3, 5), "b": (1, 2), "c": (2, 3, 4), "y": (1, 4)}
 
 
