@@ -4,22 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrortab.functions import metric
 from mirrortab.operators.clean import numeric_columns
-from mirrortab.operators.core import checkpointed
+from mirrortab.operators.core import checkpointed, fit_table, lookup
 from mirrortab.operators.encode import encode, fit_dictionary
 from mirrortab.operators.metrics import (
     CLASSIFICATION_METRICS, REGRESSION_METRICS, classification_metrics, regression_metrics, roc_auc,
@@ -27,45 +23,34 @@ from mirrortab.operators.metrics import (
 from mirrortab.operators.privacy import noisy_vote_aggregate
 from mirrortab.operators.profile import infer_task_ratio
 from mirrortab.operators.split import partition_disjoint
+from mirrortab.plans.forest import SIDE_BY_SIDE, classified, label_points, parts_of, regressed, side_by_side
+from mirrortab.plans.perceptron import fit_perceptron, perceived
 
 CLASSIFIERS = ("LR", "MLP", "RF", "GBT")
 DEEPEST_TREE = 30  # the library's limit; the usual default elsewhere is unlimited
-#: Every row keeps the node it stands in, so that no round sends the whole forest to the tasks.
-GROWN = {"seed": 42, "cacheNodeIds": True, "checkpointInterval": 10, "maxMemoryInMB": 1024}
-SIDE_BY_SIDE = 8
+GROWN = {"seed": 42, "checkpointInterval": 10, "maxMemoryInMB": 1024}
+#: How often a distinct row stands, and that times its class's weight.
+N, WEIGHT = "_n", "_weight"
 CLIP = 1e-10
 UTILITY_MODELS = {"lr": "LR", "rf": "RF", "mlp": "MLP", "gbt": "GBT"}
 
 
-def _estimator(name: str, features: int, classes: int, rows: int, weight: str | None, trees: int, max_depth: int, max_iter: int, rounds: int = 100):
+def _estimator(name: str, classes: int, rows: int, max_iter: int, rounds: int = 100):
+    """Rows are counted in ``N``; with two classes the boosted trees weigh them evenly."""
     if name == "LR":
         # penalty 1/rows corresponds to an inverse strength of 1 on the summed loss
         return LogisticRegression(
-            featuresCol="scaled", labelCol="label", maxIter=max_iter, regParam=1.0 / max(rows, 1), standardization=False
-        )
-    if name == "MLP":
-        return MultilayerPerceptronClassifier(
-            featuresCol="scaled", labelCol="label", layers=[features, 100, classes], maxIter=max_iter, seed=42
+            featuresCol="scaled", labelCol="label", maxIter=max_iter, regParam=1.0 / max(rows, 1), standardization=False, weightCol=N
         )
-    if name == "RF":
-        return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=max_depth, **GROWN)
     if name == "GBT":
         tree = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, **GROWN)
         if classes == 2:
-            return tree.setWeightCol(weight) if weight else tree
+            return tree.setWeightCol(WEIGHT)
         # rounds follow each other, so classes are boosted side by side
-        return OneVsRest(classifier=tree, featuresCol="features", labelCol="label", parallelism=min(classes, SIDE_BY_SIDE))
+        return OneVsRest(classifier=tree, featuresCol="features", labelCol="label", weightCol=N, parallelism=min(classes, SIDE_BY_SIDE))
     raise ValueError(f"unknown classifier {name!r}")
 
 
-def _side_by_side(df: DataFrame, work, items: Sequence) -> list:
-    """``work`` of each item, in threads of the driver: rounds of one fit leave cores to the others."""
-    if not items:
-        return []
-    with ThreadPool(min(len(items), SIDE_BY_SIDE)) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(work), items, chunksize=1)
-
-
 def _features(synth: DataFrame, real: DataFrame, target: str) -> tuple[DataFrame, DataFrame, list[str], int]:
     """Numbers as they are, categories coded by one dictionary; classes from both tables."""
     features = [c for c in real.columns if c != target]
@@ -94,33 +79,40 @@ def tstr_report(
     assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     scale = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     prepared = Pipeline(stages=[assemble, scale]).fit(train)
-    train, test = checkpointed(prepared.transform(train)), checkpointed(prepared.transform(test))
-    shape = train.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("label").alias("labels"),
-        F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("neg"),
-        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"),
+    counted = lambda df: checkpointed(df.groupBy(*[F.col(f"`{c}`") for c in features], "label").agg(F.count(F.lit(1)).alias(N)))
+    train_counts, test_counts = counted(train), counted(test)
+    shape = train_counts.agg(
+        F.count(F.lit(1)).alias("distinct"), F.coalesce(F.sum(N), F.lit(0)).alias("rows"), F.count_distinct("label").alias("labels"),
+        F.sum(F.when(F.col("label") == 0, F.col(N)).otherwise(0)).alias("neg"),
+        F.sum(F.when(F.col("label") == 1, F.col(N)).otherwise(0)).alias("pos"),
     ).first()
     if shape["labels"] < 2:
         return train.sparkSession.createDataFrame(
             [(m, "one synthetic class", None) for m in classifiers], "model string, metric string, value double"
         )
     ratio = shape["neg"] / shape["pos"] if shape["pos"] else 1.0
-    train = train.withColumn("weight", F.when(F.col("label") == 1, F.lit(ratio)).otherwise(F.lit(1.0)))
+    points = checkpointed(prepared.transform(train_counts.coalesce(parts_of(shape["distinct"]))).withColumn(
+        WEIGHT, F.when(F.col("label") == 1, F.lit(ratio)).otherwise(F.lit(1.0)) * F.col(N)
+    ))
+    asked = checkpointed(prepared.transform(test_counts.coalesce(parts_of(test_counts.count()))))
 
     def scores(name: str) -> DataFrame:
-        fitted = _estimator(name, len(features), classes, shape["rows"], "weight", trees, max_depth, max_iter, rounds).fit(train)
-        scored = fitted.transform(test)
-        columns = ["label", "prediction"]
-        if classes == 2:
-            scored = scored.withColumn("score", vector_to_array("probability")[1])
-            columns.append("score")
-        return checkpointed(scored.select(*columns))
+        if name == "RF":
+            scored = classified(points, asked, features, N, classes, trees, max_depth).withColumn("score", F.get("votes", F.lit(1)))
+        elif name == "MLP":
+            weights = fit_perceptron(points, len(features), classes, N, max_iter)
+            scored = perceived(asked, weights, classes, ["label", N]).withColumn("score", F.get("votes", F.lit(1)))
+        else:
+            scored = _estimator(name, classes, shape["rows"], max_iter, rounds).fit(points).transform(asked)
+            if classes == 2:
+                scored = scored.withColumn("score", vector_to_array("probability")[1])
+        return checkpointed(scored.select("label", "prediction", N, *(["score"] if classes == 2 else [])))
 
     reports = []
-    for name, scored in zip(classifiers, _side_by_side(train, scores, classifiers)):
-        part = classification_metrics(scored, "label", "prediction").where(F.col("metric").isin(*metrics))
+    for name, scored in zip(classifiers, side_by_side(train, scores, classifiers)):
+        part = classification_metrics(scored, "label", "prediction", counted=N).where(F.col("metric").isin(*metrics))
         if classes == 2 and "auc" in metrics:
-            part = part.unionByName(roc_auc(scored, "label", "score").select(F.lit("auc").alias("metric"), F.col("auc").alias("value")))
+            part = part.unionByName(roc_auc(scored, "label", "score", N).select(F.lit("auc").alias("metric"), F.col("auc").alias("value")))
         reports.append(part.select(F.lit(name).alias("model"), "metric", F.round("value", 4).alias("value")))
     return reduce(DataFrame.unionByName, reports)
 
@@ -131,29 +123,48 @@ def utility_regression(
 ) -> DataFrame:
     """``(model, metric, value)``: regressors fitted on synthetic, scored on real rows.
 
-    Categories are one-hot with the values of both tables.
+    Categories are one-hot with the values of both tables.  Equal rows are counted, and models are fitted on
+    and applied to distinct feature vectors.
     """
+    unknown = set(models) - {"lr", "rf"}
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}")
     features = [c for c in real_test.columns if c != target]
     numeric = numeric_columns(real_test, features)
     text = [c for c in features if c not in numeric]
     both = synth.select(*features).unionByName(real_test.select(*features))
     dictionary = fit_dictionary(both, text) if text else None
-    coded = lambda df: encode(df, dictionary, text) if text else df
-    train, test = coded(synth.select(*features, target)), coded(real_test.select(*features, target))
+    # own names, as columns may be called anything
+    names = {c: f"_x{i}" for i, c in enumerate(features)}
+    inputs = list(names.values())
+    coded = lambda df: (encode(df.select(*features, target), dictionary, text) if text else df).select(
+        *[F.col(f"`{c}`").alias(x) for c, x in names.items()], F.col(f"`{target}`").cast("double").alias("y")
+    )
+    train, test = coded(synth), coded(real_test)
     stages = []
     if text:
-        stages.append(OneHotEncoder(inputCols=text, outputCols=[f"_oh_{c}" for c in text], handleInvalid="keep"))
-    stages.append(VectorAssembler(inputCols=[*numeric, *[f"_oh_{c}" for c in text]], outputCol="features"))
+        stages.append(OneHotEncoder(inputCols=[names[c] for c in text], outputCols=[f"_oh{names[c]}" for c in text], handleInvalid="keep"))
+    stages.append(VectorAssembler(inputCols=[*[names[c] for c in numeric], *[f"_oh{names[c]}" for c in text]], outputCol="features"))
     prepared = Pipeline(stages=stages).fit(train)
-    train = checkpointed(prepared.transform(train).select("features", F.col(target).cast("double").alias("y")))
-    test = checkpointed(prepared.transform(test).select("features", F.col(target).cast("double").alias("y")))
-    kinds = {
-        "lr": LinearRegression(labelCol="y"),
-        "rf": RandomForestRegressor(labelCol="y", numTrees=trees, maxDepth=max_depth, **GROWN),
-    }
-    scores = lambda name: checkpointed(kinds[name].fit(train).transform(test).select("y", "prediction"))
+    counted = checkpointed(train.groupBy(*inputs, "y").agg(F.count(F.lit(1)).alias("n")))
+    vectors = checkpointed(test.select(*inputs).distinct())
+    points = prepared.transform(vectors.coalesce(parts_of(vectors.count()))).select(*inputs, "features")
+
+    def predictions(name: str) -> DataFrame:
+        if name == "rf":
+            return regressed(counted, points, inputs, "n", prepared, trees, max_depth)
+        mean = F.sum(F.col("n") * F.col("y")) / F.sum("n")
+        stats = counted.groupBy(*inputs).agg(
+            F.sum("n").cast("double").alias("_n"), mean.alias("_mean"),
+            (F.sum(F.col("n") * F.col("y") * F.col("y")) / F.sum("n") - mean * mean).alias("_variance"),
+        )
+        rows = prepared.transform(label_points(stats, "_n", "_mean", "_variance")).select("features", "y", "w")
+        return LinearRegression(labelCol="y", weightCol="w").fit(rows).transform(points).select(*inputs, "prediction")
+
+    key = F.struct(*inputs).alias("_key")  # never null
     reports = []
-    for name, scored in zip(models, _side_by_side(train, scores, models)):
+    for name, found in zip(models, side_by_side(train, lambda m: fit_table(predictions(m).select(key, "prediction")), models)):
+        scored = lookup(test.select(key, "y"), found, ["_key"])
         reports.append(regression_metrics(scored, "y", "prediction").select(F.lit(name).alias("model"), "metric", "value"))
     return reduce(DataFrame.unionByName, reports)
 
