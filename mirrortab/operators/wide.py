@@ -2,8 +2,9 @@
 
 Grouping by all columns (as :func:`mirrortab.operators.information.compact` does) moves whole rows, and
 combines nothing when there are many columns.  Here the coded rows are stored once, column by column,
-and every pass reads the columns of its pairs and shuffles nothing but their counts, combined
-map-side.
+and every pass reads the columns of its pairs and shuffles nothing but their counts.  Pairs of few
+cells are counted in arrays inside the tasks, so that no row is multiplied by the pairs; the others are
+combined map-side.
 
 A pass is not made for every pair.  What two features say about each other given the label is at most
 what either of them says at all: ``I(X; Z | Y) <= min(H(X | Y), H(Z | Y))``.  So the candidate parents of a
@@ -14,8 +15,11 @@ the bound of all that are left.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,8 @@ PAIRS, ROUND = 1024, 8
 MARGIN = 1e-6
 NOTHING = 1e-12
 FILE_ROWS = 100_000
+#: A task counts pairs in arrays of at most so many cells each, and so many together; the others are counted as rows.
+PAIR_CELLS, TASK_CELLS = 16_384, 4_000_000
 
 
 def coded_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,26 +48,87 @@ def coded_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return spark.read.parquet(path).select(*[F.col(n).alias(c) for c, n in zip(cols, names)], F.lit(1).cast("bigint").alias("_n"))
 
 
-def pair_information(
-    counted: DataFrame, pairs: Sequence[tuple[str, str]], label: str, sums: dict[str, tuple[float, float, float]]
-) -> dict[tuple[str, str], float]:
-    """Conditional mutual information of some pairs given the label; one pass, a number for each pair comes back.
+def _spans(counted: DataFrame, cols: Sequence[str], label: str) -> dict:
+    """Least code and number of cells of each column (one for null), and the label's values unless they are many."""
+    code = lambda c: F.col(f"`{c}`").cast("bigint")
+    row = counted.agg(*[F.struct(F.min(code(c)), F.max(code(c))) for c in cols]).first()
+    spans = {c: (low or 0, (high - low if low is not None else -1) + 2) for c, (low, high) in zip(cols, row)}
+    values = [r[0] for r in counted.select(F.col(f"`{label}`").cast("string")).distinct().limit(PAIR_CELLS + 1).collect()]
+    return {**spans, label: values} if len(values) <= PAIR_CELLS else spans
 
-    ``sums`` has ``(s_xy, s_y, total)`` of every column, as :func:`information.entropy_sums` gives them.
-    """
+
+def _counted_as_rows(counted: DataFrame, pairs: Sequence[tuple[str, str]], some: Sequence[int], label: str) -> DataFrame:
+    """``(i, n)``: the count of every cell of some pairs."""
     code = lambda c: F.col(f"`{c}`").cast("bigint")
-    used = sorted({c for pair in pairs for c in pair})
+    used = sorted({c for i in some for c in pairs[i]})
     at = {c: i for i, c in enumerate(used)}
     # one constant lists all pairs: the plan does not grow with them, and no exploded row holds a whole one
-    places = ", ".join(f"named_struct('i', {i}, 'a', {at[a]}, 'b', {at[b]})" for i, (a, b) in enumerate(pairs))
+    places = ", ".join(f"named_struct('i', {i}, 'a', {at[pairs[i][0]]}, 'b', {at[pairs[i][1]]})" for i in some)
     rows = counted.select(F.col(f"`{label}`").alias("_y"), F.col("_n").alias("n"), F.array(*map(code, used)).alias("_v"))
     cells = F.transform(F.expr(f"array({places})"), lambda p: F.struct(
         p["i"].alias("i"), F.get("_v", p["a"]).alias("va"), F.get("_v", p["b"]).alias("vb")
     ))
-    triple = (
+    return (
         rows.select("_y", "n", F.explode(cells).alias("_p")).groupBy("_p.i", "_p.va", "_p.vb", "_y")
-        .agg(F.sum("n").alias("n")).groupBy("i").agg(F.sum(xlog2(F.col("n"))).alias("s"))
+        .agg(F.sum("n").alias("n")).select("i", "n")
     )
+
+
+def _counted_in_arrays(
+    counted: DataFrame, pairs: Sequence[tuple[str, str]], some: Sequence[int], label: str, spans: dict
+) -> DataFrame:
+    """The same from an array of counts a pair and task; only cells that occur are shuffled."""
+    used = sorted({c for i in some for c in pairs[i]})
+    values = spans[label]
+    # null is cell 0 of a column
+    place = lambda c: F.coalesce(F.col(f"`{c}`").cast("bigint") - F.lit(spans[c][0]) + 1, F.lit(0)).cast("int")
+    known = F.array(*[F.lit(v) for v in values if v is not None]).cast("array<string>")
+    y = F.coalesce(F.array_position(known, F.col(f"`{label}`").cast("string")), F.lit(0))  # null is 0 here too
+    classes = len(values) + 1
+    rows = counted.select(*[place(c).alias(f"c{i}") for i, c in enumerate(used)], y.cast("int").alias("y"), F.col("_n").cast("double").alias("n"))
+    at = {c: i for i, c in enumerate(used)}
+    shapes = [(i, at[pairs[i][0]], at[pairs[i][1]], spans[pairs[i][0]][1], spans[pairs[i][1]][1]) for i in some]
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals = {i: np.zeros(wa * wb * classes, dtype=np.int64) for i, _, _, wa, wb in shapes}
+        for pdf in batches:
+            codes = [pdf[f"c{j}"].to_numpy(np.int64) for j in range(len(used))]
+            last, n = pdf["y"].to_numpy(np.int64), pdf["n"].to_numpy()
+            alone = (n == 1).all()
+            with_label = {}
+            for i, a, b, wa, wb in shapes:
+                if b not in with_label:
+                    with_label[b] = codes[b] * classes + last
+                cell = codes[a] * (wb * classes) + with_label[b]
+                found = np.bincount(cell, minlength=wa * wb * classes) if alone else np.bincount(cell, n, wa * wb * classes)
+                totals[i] += found.astype(np.int64)
+        for i, total in totals.items():
+            cell = np.flatnonzero(total)
+            yield pd.DataFrame({"i": np.full(len(cell), i, np.int32), "cell": cell.astype(np.int32), "n": total[cell]})
+
+    return rows.mapInPandas(counts, "i int, cell int, n bigint").groupBy("i", "cell").agg(F.sum("n").alias("n")).select("i", "n")
+
+
+def pair_information(
+    counted: DataFrame, pairs: Sequence[tuple[str, str]], label: str, sums: dict[str, tuple[float, float, float]]
+) -> dict[tuple[str, str], float]:
+    """Conditional mutual information of some pairs given the label; one pass, a number for each pair comes back.
+
+    ``sums`` has ``(s_xy, s_y, total)`` of every column, as :func:`information.entropy_sums` gives them.
+    """
+    spans = _spans(counted, sorted({c for pair in pairs for c in pair}), label)
+    cells = lambda pair: spans[pair[0]][1] * spans[pair[1]][1] * (len(spans[label]) + 1)
+    dense = [i for i, pair in enumerate(pairs) if label in spans and cells(pair) <= PAIR_CELLS]
+    long = [i for i in range(len(pairs)) if i not in set(dense)]
+    parts, held = [_counted_as_rows(counted, pairs, long, label)] if long else [], []
+    for i in dense:
+        if held and sum(cells(pairs[j]) for j in held) + cells(pairs[i]) > TASK_CELLS:
+            parts.append(_counted_in_arrays(counted, pairs, held, label, spans))
+            held = []
+        held.append(i)
+    if held:
+        parts.append(_counted_in_arrays(counted, pairs, held, label, spans))
+    triple = reduce(DataFrame.unionByName, parts).groupBy("i").agg(F.sum(xlog2(F.col("n"))).alias("s"))
     known = [(i, *sums[a], sums[b][0]) for i, (a, b) in enumerate(pairs)]
     spark = counted.sparkSession
     of = F.broadcast(spark.createDataFrame(known, "i int, s_ay double, s_y double, total double, s_by double"))  # PAIRS rows

@@ -152,3 +152,22 @@ def test_fixed_values_hold_and_nothing_is_drawn_twice(spark):
     assert len(out) == 4_000 == len({r.id for r in out}) and {r.b for r in out} == {1}
     share = sum(r[0] for r in rows if r[1] == 1) / sum(r[1] == 1 for r in rows)
     assert abs(sum(r.a for r in out) / 4_000 - share) < 0.03
+
+
+def test_pairs_in_arrays_and_as_rows_are_the_same(spark, monkeypatch):
+    from mirrortab.operators import information as info
+    from mirrortab.operators import wide
+
+    rows = [(None if i % 11 == 0 else i % 4 - 1, i % 5 * 7, i * i % 3, None if i % 13 == 0 else "xyz"[i % 7 % 3], 1 + i % 2) for i in range(700)]
+    counted = spark.createDataFrame(rows, "a int, b bigint, c int, y string, _n bigint").repartition(3)
+    sums = {r["column"]: (r["s_xy"], r["s_y"], float(r["total"])) for r in info.entropy_sums(counted, ["a", "b", "c"], "y").collect()}
+    pairs = [("a", "b"), ("a", "c"), ("b", "c")]
+    found = []
+    for cells in (wide.PAIR_CELLS, 60, 0):  # all in arrays, some, none
+        monkeypatch.setattr(wide, "PAIR_CELLS", cells)
+        found.append(wide.pair_information(counted, pairs, "y", sums))
+    assert found[0] == found[1] == found[2] and all(v > 0 for v in found[0].values())
+    monkeypatch.undo()
+    made = wide._counted_in_arrays(counted, pairs, [0, 1, 2], "y", wide._spans(counted, ["a", "b", "c"], "y"))
+    plan = made._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan  # no row is multiplied by the pairs
