@@ -17,6 +17,8 @@ from mirrortab.functions.random import gaussian_number, uniform_number
 from mirrortab.operators.core import checkpointed
 
 BLOCK_ROWS = 1024
+#: Partitions of the blocks (every pair of them is a task), and blocks that one holds at most.
+BLOCK_PARTS, PART_BLOCKS = 8, 64
 FOURIER_FEATURES = 256
 
 
@@ -40,7 +42,9 @@ def _blocks(df: DataFrame, vector: str, name: str) -> tuple[DataFrame, int, int]
     )
     row = points.agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("rows")).first()
     blocks = max(1, math.ceil(row["points"] / BLOCK_ROWS))
-    packed = points.groupBy((F.abs(F.xxhash64("v")) % blocks).cast("int").alias("b")).agg(
+    parts = min(blocks, max(BLOCK_PARTS, math.ceil(blocks / PART_BLOCKS)))
+    numbered = points.withColumn("b", (F.abs(F.xxhash64("v")) % blocks).cast("int")).repartition(parts, "b")
+    packed = numbered.groupBy("b").agg(
         F.collect_list("v").alias("vs"), F.collect_list(F.col("n").cast("double")).alias("ns")
     )
     return checkpointed(packed.select(F.lit(name).alias("side"), "b", "vs", "ns")), blocks, int(row["rows"] or 0)
@@ -66,21 +70,23 @@ def mmd_rbf(x: DataFrame, y: DataFrame, vector: str, bandwidth: float = 1.0) ->
     Every pair of vectors contributes, so the work is quadratic in the distinct vectors by
     definition.  Vectors meet as blocks: a block pair is one row, its kernel matrix is
     summed inside the task and only that sum is emitted.  Symmetric pairs are computed once.
+    Stored partitions of blocks meet as they are read again, so that what is shuffled and
+    written grows with the vectors, not with their pairs.
     """
-    xb, nx, rows_x = _blocks(x, vector, "x")
-    yb, ny, rows_y = _blocks(y, vector, "y")
+    xb, _, rows_x = _blocks(x, vector, "x")
+    yb, _, rows_y = _blocks(y, vector, "y")
 
-    def paired(left: DataFrame, right: DataFrame, blocks: int, term: str, symmetric: bool) -> DataFrame:
-        start = F.col("b") if symmetric else F.lit(0)
-        mates = left.select("b", "vs", "ns", F.explode(F.sequence(start, F.lit(blocks - 1))).alias("c"))
-        other = right.select(F.col("b").alias("c"), F.col("vs").alias("ws"), F.col("ns").alias("ms"))
+    def paired(left: DataFrame, right: DataFrame, term: str, symmetric: bool) -> DataFrame:
+        # never a broadcast of one side as a whole
+        other = right.select(F.col("b").alias("c"), F.col("vs").alias("ws"), F.col("ns").alias("ms")).hint("shuffle_replicate_nl")
+        met = left.join(other, F.col("b") <= F.col("c")) if symmetric else left.crossJoin(other)
         twice = F.when(F.col("b") == F.col("c"), 1.0).otherwise(2.0) if symmetric else F.lit(1.0)
-        return mates.join(other, "c").select(F.lit(term).alias("term"), "vs", "ns", "ws", "ms", twice.alias("f"))
+        return met.select(F.lit(term).alias("term"), "vs", "ns", "ws", "ms", twice.alias("f"))
 
     pairs = (
-        paired(xb, xb, nx, "xx", True)
-        .unionByName(paired(yb, yb, ny, "yy", True))
-        .unionByName(paired(xb, yb, ny, "xy", False))
+        paired(xb, xb, "xx", True)
+        .unionByName(paired(yb, yb, "yy", True))
+        .unionByName(paired(xb, yb, "xy", False))
     )
     sums = pairs.mapInPandas(_kernel_sums(bandwidth), "term string, s double")
     part = lambda t: F.coalesce(F.sum(F.when(F.col("term") == t, F.col("s"))), F.lit(0.0))

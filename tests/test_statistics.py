@@ -240,3 +240,20 @@ def test_noise_scale_and_votes(spark):
     assert {r["record"]: r["noisy_votes"] for r in out.collect()} == {r["record"]: r["noisy_votes"] for r in rows}
     fresh = privacy.noisy_vote_aggregate(votes, 200)
     assert {r["record"]: r["noisy_votes"] for r in fresh.collect()} != {r["record"]: r["noisy_votes"] for r in rows}
+
+
+def test_kernel_blocks_meet_without_a_shuffle_of_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from mirrortab.operators import mmd
+
+    monkeypatch.setattr(mmd, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(mmd, "BLOCK_PARTS", 3)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(30, 3)), rng.normal(size=(41, 3)) + 0.5
+    table = lambda m: spark.createDataFrame([(v.tolist(),) for v in m], "v array<double>")
+    got = mmd.mmd_rbf(table(a), table(b), "v")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoop" not in plan and "hashpartitioning" not in plan
+    k = lambda p, q: np.exp(-((p[:, None] - q[None]) ** 2).sum(-1) / 2).mean()
+    assert abs(got.first()["mmd"] - (k(a, a) + k(b, b) - 2 * k(a, b))) < 1e-8
