@@ -38,9 +38,23 @@ def hash_bucket(hashed: Column | str, digits: int = HASH_BUCKET_HEX_DIGITS) -> C
 
 def uniform01(seed: int | str, key: Column | str, stream: str = "") -> Column:
     """Uniform number in [0, 1) for a row key; ``stream`` separates independent draws."""
-    text = F.concat(F.lit(f"{seed}:"), _col(key).cast("string"), F.lit(f":{stream}"))
-    digits = F.substring(F.md5(text), 1, _UNIFORM_HEX_DIGITS)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(_UNIFORM_RANGE)
+    return number_of(uniform_digits(seed, key, stream))
+
+
+def uniform_digits(seed: int | str, key: Column | str, stream: str = "") -> Column:
+    """The hex digits that :func:`uniform01` is made of, leading digit first; as text they keep its order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), _col(key).cast("string"), F.lit(f":{stream}")))
+
+
+def number_of(digits: Column) -> Column:
+    leading = F.substring(digits, 1, _UNIFORM_HEX_DIGITS)
+    return F.conv(leading, 16, 10).cast("bigint").cast("double") / F.lit(_UNIFORM_RANGE)
+
+
+def digits_from(x: Column) -> Column:
+    """Hex digits at or above which a uniform number is at least ``x`` (0 to 1); ``g`` is above all of them."""
+    least = F.ceil(x * F.lit(_UNIFORM_RANGE)).cast("bigint")  # exact, as the range is a power of two
+    return F.when(least < int(_UNIFORM_RANGE), F.lpad(F.lower(F.hex(least)), _UNIFORM_HEX_DIGITS, "0")).otherwise("g")
 
 
 def gaussian01(seed: int | str, key: Column | str, stream: str = "") -> Column:

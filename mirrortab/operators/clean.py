@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType
 
 from mirrortab.functions import try_double
-from mirrortab.operators.core import exact_quantiles
+from mirrortab.operators.core import exact_quantiles, value_counts
 
 # Texts that mean "no value" in a delimited file.
 NULL_TOKENS = (
@@ -56,11 +56,12 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: try_double(c) for c in cols})
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+def medians(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> dict[str, float]:
     """Exact medians of all columns: one row per column reaches the driver."""
     if not cols:
         return {}
-    return {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5]).collect()}
+    counts = value_counts(df, cols, as_type="double", weight=weight)
+    return {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5], counts).collect()}
 
 
 def fill_with(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

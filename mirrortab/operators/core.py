@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from collections.abc import Sequence
@@ -43,6 +44,9 @@ CHAIN_BYTES = 4 * BROADCAST_BYTES
 HOT_ROWS = 1_000_000
 HOT_KEYS = 100_000
 
+#: Rows of one file of a stored table, so that few input files do not make few tasks.
+STORED_FILE_ROWS = 1_000_000
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder of this application in reliable storage.
@@ -68,6 +72,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through reliable storage, column by column: later passes read the columns they need.
+
+    Types that such files cannot hold are checkpointed as rows.
+    """
+    if any(t in df.schema.simpleString() for t in ("void", "interval")):
+        return checkpointed(df)
+    path = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    names = [f"c{i}" for i in range(len(df.columns))]  # columns may have any name
+    named = df.toDF(*names)
+    named.write.option("maxRecordsPerFile", STORED_FILE_ROWS).parquet(path)
+    return df.sparkSession.read.schema(named.schema).parquet(path).toDF(*df.columns)
+
+
+def free_name(name: str, columns: Sequence[str]) -> str:
+    """``name``, longer if a column is called so."""
+    while name.lower() in (c.lower() for c in columns):
+        name = f"_{name}"
+    return name
+
+
 @dataclass(frozen=True)
 class FitTable:
     """Fitted state: a checkpointed DataFrame and its measured size."""
@@ -304,12 +329,18 @@ def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_typ
     return narrow.unpivot(list(keep), [F.col(f"`{c}`") for c in cols], "column", "value")
 
 
+def row_count(weight: str | None = None) -> Column:
+    """Number of rows; with ``weight`` each stands for as many as that column says."""
+    return F.count(F.lit(1)) if weight is None else F.sum(f"`{weight}`")
+
+
 def value_counts(
-    df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type: str = "string"
+    df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), as_type: str = "string", weight: str | None = None
 ) -> DataFrame:
     """``(keep..., column, value, n)``, combined map-side; nulls are left out."""
-    long = unpivot(df, cols, keep, as_type).where(F.col("value").isNotNull())
-    return long.groupBy(*keep, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    weights = [weight] if weight else []
+    long = unpivot(df, cols, [*keep, *weights], as_type).where(F.col("value").isNotNull())
+    return long.groupBy(*keep, "column", "value").agg(row_count(weight).alias("n"))
 
 
 def exact_quantiles(

@@ -125,21 +125,26 @@ def histogram_shared(real: DataFrame, synth: DataFrame, cols: Sequence[str], n_b
     return cells.groupBy("column", F.col("value").cast("int").alias("bin")).agg(*_side_counts())
 
 
-def _side_counts() -> list[Column]:
+def _side_counts(weight: str | None = None) -> list[Column]:
+    rows = F.lit(1) if weight is None else F.col(f"`{weight}`")
     return [
-        F.sum(F.when(F.col("side") == s, 1).otherwise(0)).alias(f"{s}_n") for s in ("real", "synth")
+        F.sum(F.when(F.col("side") == s, rows).otherwise(0)).alias(f"{s}_n") for s in ("real", "synth")
     ]
 
 
-def _cells(real: DataFrame, synth: DataFrame, edges: dict[str, list[float]], categorical: Sequence[str]) -> DataFrame:
-    """``(side, column, value)``: bins of numeric columns, text of categorical ones."""
+def _cells(
+    real: DataFrame, synth: DataFrame, edges: dict[str, list[float]], categorical: Sequence[str], weight: str | None = None
+) -> DataFrame:
+    """``(side, column, value)`` and the weight: bins of numeric columns, text of categorical ones."""
     cols = list(edges) + [c for c in categorical if c not in edges]
-    both = sides(real, synth, cols, ("real", "synth"))
+    weights = [weight] if weight else []
+    both = sides(real, synth, [*cols, *weights], ("real", "synth"))
     picked = [
         F.when(try_double(f"`{c}`").isNotNull(), bin_of(try_double(f"`{c}`"), e).cast("string")).alias(c)
         for c, e in edges.items()
     ] + [missing_text(F.col(f"`{c}`")).alias(c) for c in categorical]
-    return unpivot(both.select("side", *picked), cols, ["side"]).where(F.col("value").isNotNull())
+    keep = ["side", *weights]
+    return unpivot(both.select(*keep, *picked), cols, keep).where(F.col("value").isNotNull())
 
 
 def divergence_by_column(
@@ -148,15 +153,16 @@ def divergence_by_column(
     numeric: Sequence[str],
     categorical: Sequence[str],
     n_bins: int = 10,
+    weight: str | None = None,
 ) -> DataFrame:
     """``(column, jsd, kld_sym)`` for every column in one pass over both tables.
 
     Unpivot, one combined count per ``(column, value)``, one sum per column.  Bins empty on
     both sides add nothing to the sums, so they only enter the normaliser.  A column
-    without values on one side gets 0.
+    without values on one side gets 0.  ``weight`` names a column of both tables that says how often a row stands.
     """
     edges = shared_edges(real, synth, numeric, n_bins)
-    counts = _cells(real, synth, edges, categorical).groupBy("column", "value").agg(*_side_counts())
+    counts = _cells(real, synth, edges, categorical, weight).groupBy("column", "value").agg(*_side_counts(weight))
     totals = counts.groupBy("column").agg(
         F.sum("real_n").alias("_nr"), F.sum("synth_n").alias("_ns"), F.count(F.lit(1)).alias("_cats")
     )
@@ -180,16 +186,16 @@ def divergence_by_column(
 
 
 def fidelity_report(
-    real: DataFrame, synth: DataFrame, target: str, n_bins: int = 10
+    real: DataFrame, synth: DataFrame, target: str, n_bins: int = 10, weight: str | None = None
 ) -> DataFrame:
     """Long report ``(group, metric, value)``: every column, and the means as ``summary``."""
-    features = [c for c in real.columns if c != target]
+    features = [c for c in real.columns if c not in (target, weight)]
     for c in features:
         if c not in synth.columns:
             raise ValueError(f"the synthetic table has no column {c!r}")
     numeric = [c for c in features if is_numeric(real.schema[c].dataType)]
     categorical = [c for c in features if c not in numeric] + [target]
-    by_column = divergence_by_column(real, synth, numeric, categorical, n_bins)
+    by_column = divergence_by_column(real, synth, numeric, categorical, n_bins, weight)
     cells = F.array(
         F.struct(F.lit("jsd").alias("metric"), F.col("jsd").alias("value")),
         F.struct(F.lit("kld_sym").alias("metric"), F.col("kld_sym").alias("value")),

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from mirrortab.operators.clean import MISSING, is_numeric, missing_text, unified_missing
 from mirrortab.operators.core import (
-    FitTable, checkpointed, heavy_keys, lookup, running_total, unpivot, within_budget,
+    FitTable, checkpointed, heavy_keys, lookup, row_count, running_total, unpivot, within_budget,
 )
 
 
@@ -49,19 +50,25 @@ def column_sizes(table: DataFrame) -> dict[str, tuple[int, int]]:
     return {r["column"]: (r["rows"], r["bytes"]) for r in sized.collect()}
 
 
-def fit_dictionary(df: DataFrame, cols: Sequence[str], missing_first: bool = False) -> Dictionary:
+def fit_dictionary(
+    df: DataFrame, cols: Sequence[str], missing_first: bool = False, weight: str | None = None,
+    types: Mapping[str, DataType] | None = None,
+) -> Dictionary:
     """Codes of all columns in one pass: combined counts, then a running count per column.
 
     Nulls become ``Missing``.  Text sorts by its bytes, numbers by value; with
-    ``missing_first`` values are trimmed and ``Missing`` gets code 0.
+    ``missing_first`` values are trimmed and ``Missing`` gets code 0.  ``weight`` names a column that says how
+    often a row stands; ``types`` are those of the values where ``df`` holds their text.
     """
     cols = list(cols)
-    numeric = [c for c in cols if is_numeric(df.schema[c].dataType)]
+    types = {c: df.schema[c].dataType for c in cols} if types is None else types
+    numeric = [c for c in cols if is_numeric(types[c])]
     text = lambda c: unified_missing(F.col(f"`{c}`")) if missing_first else missing_text(F.col(f"`{c}`"))
+    weights = [weight] if weight else []
     counts = (
-        unpivot(df.select(*[text(c).alias(c) for c in cols]), cols)
+        unpivot(df.select(*weights, *[text(c).alias(c) for c in cols]), cols, weights)
         .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(row_count(weight).alias("n"))
         .withColumn("_one", F.lit(1).cast("bigint"))
     )
     first = (F.col("value") != MISSING).cast("int") if missing_first else F.lit(0)
@@ -77,8 +84,7 @@ def fit_dictionary(df: DataFrame, cols: Sequence[str], missing_first: bool = Fal
     table = checkpointed(
         coded.select("column", "value", (F.col("_code") - 1).cast("int").alias("code"), "n")
     )
-    types = {c: df.schema[c].dataType.simpleString() for c in cols}
-    return Dictionary(table, sizes, types, missing_first)
+    return Dictionary(table, sizes, {c: types[c].simpleString() for c in cols}, missing_first)
 
 
 def _chain(rows: DataFrame, tables: Sequence[FitTable], keys: Sequence[str]) -> DataFrame:

@@ -15,14 +15,14 @@ from mirrortab.functions import metric, xlog2
 from mirrortab.operators.core import checkpointed, unpivot
 
 
-def compact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct rows of discrete columns with their count ``_n``, checkpointed.
+def compact(df: DataFrame, cols: Sequence[str], n: str = "_n") -> DataFrame:
+    """Distinct rows of discrete columns with their count ``n``, checkpointed.
 
     One shuffle with map-side combining; every later statistic reads this table, which for
     discretised data is bounded by the combinations that occur, not by the rows.
     """
     named = [F.col(f"`{c}`") for c in cols]
-    return checkpointed(df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n")))
+    return checkpointed(df.groupBy(*named).agg(F.count(F.lit(1)).alias(n)))
 
 
 def entropy_sums(counted: DataFrame, features: Sequence[str], label: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from mirrortab.functions import metric, try_double
 from mirrortab.operators.clean import is_numeric, medians
-from mirrortab.operators.core import checkpointed, exact_quantiles
+from mirrortab.operators.core import checkpointed, exact_quantiles, free_name, row_count
 from mirrortab.operators.divergence import sides
 from mirrortab.operators.encode import encode, fit_dictionary
 from mirrortab.operators.scalers import fit_moments, standardize
@@ -51,28 +51,36 @@ _CELLS = 4_000_000  # distances a task holds at a time
 _SLACK = 1e-9
 
 
-def mixed_points(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Distinct points ``(nums, cats, n)`` of both tables in the space fitted on the real one."""
+def mixed_points(
+    real: DataFrame, synth: DataFrame, cols: Sequence[str], weight: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Distinct points ``(nums, cats, n)`` of both tables in the space fitted on the real one.
+
+    Rows are read once: equal ones are combined before anything is fitted.
+    """
     cols = list(cols)
     numeric = [c for c in cols if is_numeric(real.schema[c].dataType)]
     categorical = [c for c in cols if c not in numeric]
-    both = sides(real, synth, cols, ("real", "synth"))
+    n = free_name("_n", cols)
+    both = sides(real, synth, [*cols, *([weight] if weight else [])], ("real", "synth"))
+    both = checkpointed(both.groupBy("side", *[F.col(f"`{c}`") for c in cols]).agg(row_count(weight).alias(n)))
+    real_rows = both.where(F.col("side") == "real")
     if categorical:
         both = encode(both, fit_dictionary(both, categorical), categorical)
     if numeric:
         both = both.withColumns({c: try_double(f"`{c}`") for c in numeric})
         gaps = both.agg(*[F.max(F.col(f"`{c}`").isNull()).alias(c) for c in numeric]).first()
-        fills = medians(real, [c for c in numeric if gaps[c]])
+        fills = medians(real_rows, [c for c in numeric if gaps[c]], n)
         # a column without any real number has no scale and no fill: it says nothing about distance
         numeric = [c for c in numeric if not gaps[c] or fills.get(c) is not None]
         both = both.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(v)) for c, v in fills.items() if v is not None})
-        moments = fit_moments(both.where(F.col("side") == "real"), numeric) if numeric else {}
+        moments = fit_moments(both.where(F.col("side") == "real"), numeric, n) if numeric else {}
         both = both.withColumns({c: standardize(F.col(f"`{c}`"), moments[c]) for c in numeric})
     nums = F.array(*[F.col(f"`{c}`") for c in numeric]).cast("array<double>")
     cats = F.array(*[F.col(f"`{c}`") for c in categorical]).cast("array<int>")
     points = checkpointed(
-        both.select("side", nums.alias("nums"), cats.alias("cats"))
-        .groupBy("side", "nums", "cats").agg(F.count(F.lit(1)).alias("n"))
+        both.select("side", nums.alias("nums"), cats.alias("cats"), F.col(f"`{n}`").alias("n"))
+        .groupBy("side", "nums", "cats").agg(F.sum("n").alias("n"))
     )
     side = lambda s: points.where(F.col("side") == s).drop("side")
     return side("real"), side("synth")
@@ -272,12 +280,15 @@ def _visit_cells(visits: DataFrame, real: DataFrame, real_counts: DataFrame, dis
     return nearest.groupBy("sid").agg(F.min("d").alias("d"))
 
 
-def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str], distances=None) -> DataFrame:
+def closest_record(
+    real: DataFrame, synth: DataFrame, cols: Sequence[str], distances=None, weight: str | None = None
+) -> DataFrame:
     """``(d, n)``: distance of each distinct synthetic row to its nearest real row.
 
-    ``distances`` is an accumulator that counts the distances to real rows.
+    ``distances`` is an accumulator that counts the distances to real rows; ``weight`` names a column
+    of both tables that says how often a row stands.
     """
-    real_points, synth_points = mixed_points(real, synth, cols)
+    real_points, synth_points = mixed_points(real, synth, cols, weight)
     same = real_points.select("nums", "cats", F.lit(True).alias("_same"))
     sid = F.md5(F.to_json(F.struct("nums", "cats")))
     matched = checkpointed(
@@ -335,9 +346,9 @@ def closest_record(real: DataFrame, synth: DataFrame, cols: Sequence[str], dista
     return reduce(DataFrame.unionByName, settled, zero)
 
 
-def dcr(real: DataFrame, synth: DataFrame, cols: Sequence[str]) -> DataFrame:
+def dcr(real: DataFrame, synth: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
     """``(metric, value)``: mean and 5th percentile of the distance to the closest record."""
-    distances = checkpointed(closest_record(real, synth, cols).groupBy("d").agg(F.sum("n").alias("n")))
+    distances = checkpointed(closest_record(real, synth, cols, weight=weight).groupBy("d").agg(F.sum("n").alias("n")))
     mean = distances.agg(metric(F.sum(F.col("d") * F.col("n")) / F.sum("n"), 6).alias("value"))
     low = exact_quantiles(
         distances, ["d"], [0.05], counts=distances.select(F.lit("d").alias("column"), F.col("d").alias("value"), "n")

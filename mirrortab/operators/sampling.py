@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType
 
 from mirrortab.functions import uniform01
+from mirrortab.functions.random import digits_from
 from mirrortab.operators.core import (
     BROADCAST_BYTES, BROADCAST_ROWS, FitTable, fit_table, running_total, value_counts,
 )
@@ -69,6 +70,35 @@ def interval_lookup(
     return joined.drop("_ub", "_bucket", "_lo", "_hi", *[f"_g_{g}" for g in group])
 
 
+def digits_depth(table: FitTable, groups: int) -> int | None:
+    """Leading hex digits that tell the bucket in :func:`digits_lookup`, or None for a table too large to broadcast."""
+    per_group = max(table.rows / max(groups, 1), 1.0)
+    depth = max(0, math.ceil(math.log(per_group / INTERVALS_PER_BUCKET, 16)))
+    expanded = table.rows + 16**depth * groups
+    small = expanded <= BROADCAST_ROWS and table.bytes * (expanded / max(table.rows, 1)) <= BROADCAST_BYTES
+    return depth if small else None
+
+
+def digits_lookup(draws: DataFrame, table: FitTable, group: str, digits: str, depth: int) -> DataFrame:
+    """:func:`interval_lookup` for a table that is broadcast and one whole number as group.
+
+    The draw stays the hex digits of its hash, and the interval ends become such digits, so that a draw is
+    compared as text and never turned into a number.
+    """
+    dim = table.df.withColumnsRenamed({group: "_group"})
+    on = F.col(group) == F.col("_group")
+    if depth:
+        buckets = 16**depth
+        first, last = F.floor(F.col("lo") * buckets), F.least(F.floor(F.col("hi") * buckets), F.lit(buckets - 1))
+        dim = dim.withColumn("_bucket", F.explode(F.sequence(first, last)))
+        dim = dim.withColumn("_bucket", F.lpad(F.lower(F.hex("_bucket")), depth, "0"))
+        draws = draws.withColumn("_ub", F.substring(digits, 1, depth))
+        on &= F.col("_ub") == F.col("_bucket")
+    dim = dim.withColumns({"_lo": digits_from(F.col("lo")), "_hi": digits_from(F.col("hi"))}).drop("lo", "hi")
+    on &= (F.col(digits) >= F.col("_lo")) & (F.col(digits) < F.col("_hi"))
+    return draws.join(F.broadcast(dim), on, "left").drop("_ub", "_bucket", "_lo", "_hi", "_group")
+
+
 def ids(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -25,7 +26,9 @@ class Moments:
     std: float  # population
 
 
-def fit_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Moments]:
+def fit_moments(df: DataFrame, cols: Sequence[str], weight: str | None = None) -> dict[str, Moments]:
+    if weight is not None:
+        return _weighted_moments(df, cols, weight)
     row = df.agg(
         *[
             F.struct(
@@ -39,6 +42,27 @@ def fit_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Moments]:
     return {c: Moments(row[c]["lo"], row[c]["hi"], row[c]["mean"], row[c]["std"]) for c in cols}
 
 
+def _weighted_moments(df: DataFrame, cols: Sequence[str], weight: str) -> dict[str, Moments]:
+    """Moments of counted rows: squares are taken from the mean, in a second pass."""
+    n, numbers = F.col(f"`{weight}`"), {c: try_double(f"`{c}`") for c in cols}
+    total = lambda x: F.sum(F.when(x.isNotNull(), n))
+    row = df.agg(*[
+        F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.try_divide(F.sum(x * n), total(x)).alias("mean")).alias(c)
+        for c, x in numbers.items()
+    ]).first()
+    known = [c for c in cols if row[c]["mean"] is not None]
+    spread = df.agg(*[
+        F.sqrt(F.sum((numbers[c] - F.lit(row[c]["mean"])) ** 2 * n) / total(numbers[c])).alias(c) for c in known
+    ]).first() if known else {}
+    moments = {}
+    for c in cols:
+        lo, hi, mean = row[c]
+        # one value only: no spread, whatever the mean was rounded to
+        std = 0.0 if c in known and lo == hi and math.isfinite(lo) else spread[c] if c in known else None
+        moments[c] = Moments(lo, hi, mean, std)
+    return moments
+
+
 def minmax_padded(x: Column, m: Moments) -> Column:
     return (x - F.lit(m.lo)) / F.lit(m.hi - m.lo + RANGE_EPSILON)
 

@@ -1,6 +1,6 @@
 """k-dependence Bayes network: fit, sample, conditional sample, save and load.
 
-Fitting is: encode once, compact to distinct code rows, and read every statistic from that
+Fitting is: compact to distinct rows in one pass, encode these, and read every statistic from that
 compacted table.  Sampling is ``spark.range(n)`` and one interval lookup per feature in
 topological order; while the probability tables are broadcastable there is no shuffle.
 """
@@ -9,18 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DateType, IntegralType, StringType
 
 from mirrortab.functions import uniform01
+from mirrortab.functions.random import number_of, uniform_digits
+from mirrortab.operators.clean import missing_text
 from mirrortab.operators.core import FitTable, checkpointed, fit_table, measure
 from mirrortab.operators.cpt import conditional_counts
 from mirrortab.operators.encode import Dictionary, column_sizes, decode, encode, fit_dictionary
 from mirrortab.operators.information import (
     compact, conditional_mutual_information, entropy_sums, feature_parents, kdb_edges, mi_ranking, mutual_information,
 )
-from mirrortab.operators.sampling import interval_lookup, intervals
+from mirrortab.operators.sampling import digits_depth, digits_lookup, interval_lookup, intervals
 from mirrortab.operators.wide import WIDE, coded_rows, top_parents
 from mirrortab.plans.backoff import Contexts, draw_backoff, fit_contexts
 from mirrortab.plans.condition import NEVER_SEEN, Conditional, conditionals, config_of  # noqa: F401
@@ -99,14 +104,25 @@ def load_kdb(spark: SparkSession, path: str) -> KdbModel:
     )
 
 
+def _as_grouped(column: str, kind: DataType) -> Column:
+    """A column by which rows are grouped: values that can be equal but have different texts go by their text."""
+    c = F.col(f"`{column}`")
+    return c if isinstance(kind, (IntegralType, StringType, BooleanType, DateType)) else missing_text(c)
+
+
 def fit_kdb(df: DataFrame, target: str | None = None, k: int = 2, edges: Sequence[tuple[str, str]] | None = None) -> KdbModel:
     """Fit on a table of discrete columns; ``edges`` replaces the learned structure."""
     target = target or df.columns[-1]
     features = [c for c in df.columns if c != target]
     columns = [*features, target]
-    dictionary = fit_dictionary(df, columns)
-    coded = encode(df.select(*columns), dictionary, columns)
-    counted = coded_rows(coded, columns) if len(columns) > WIDE else compact(coded, columns)
+    if len(columns) > WIDE:
+        dictionary = fit_dictionary(df, columns)
+        counted = coded_rows(encode(df.select(*columns), dictionary, columns), columns)
+    else:
+        types = {c: df.schema[c].dataType for c in columns}
+        distinct = compact(df.select(*[_as_grouped(c, t).alias(c) for c, t in types.items()]), columns)
+        dictionary = fit_dictionary(distinct, columns, weight="_n", types=types)
+        counted = checkpointed(encode(distinct, dictionary, columns))
     rows = int(counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     sums = entropy_sums(counted, features, target)
     ranking = mi_ranking(mutual_information(counted, features, target, sums))
@@ -144,16 +160,37 @@ def _topological(edges, features, order, target) -> list[str]:
     return placed
 
 
-def _draw(rows: DataFrame, model: KdbModel, column: str, seed: int) -> DataFrame:
+#: Configurations are numbered in a signed 64-bit number.
+NUMBERED = 2**62
+
+
+def _draw(rows: DataFrame, model: KdbModel, column: str, seed: int, known: bool = True) -> DataFrame:
     """Add a sampled code of ``column`` given its parents' codes on the row.
 
-    A configuration never seen in training draws uniformly from the column's codes.
+    A configuration never seen in training draws uniformly from the column's codes.  ``known`` says that
+    the parents' codes are the dictionary's, so that a configuration can go by one number.
     """
     n_rows, configs = model.groups.get(column, (0, 1))
+    card = max(model.cards[column], 1)
+    names = [] if column == model.target else [model.target, *model.parents[column]]
+    depth = digits_depth(FitTable(model.cpt.df, n_rows, n_rows * 96), configs)
+    if known and depth is not None and prod(max(model.cards[c], 1) for c in names) < NUMBERED:
+        number = lambda code: reduce(
+            lambda total, c: total * F.lit(max(model.cards[c], 1)) + code(c), names, F.lit(0).cast("bigint")
+        )
+        cells = model.table(column).df.select(
+            number(lambda c: F.element_at("config", names.index(c) + 1)).alias("_config"), F.col("value").alias("_value"), "lo", "hi"
+        )
+        keyed = rows.withColumns({
+            "_config": number(lambda c: F.col(f"`{c}`")), "_digits": uniform_digits(seed, model.row_key, column)
+        })
+        # without parents the digits are all there is to join on
+        drawn = digits_lookup(keyed, FitTable(cells, n_rows, n_rows * 96), "_config", "_digits", depth if names else max(depth, 1))
+        uniform = F.floor(number_of(F.col("_digits")) * card).cast("int")
+        return drawn.withColumn(column, F.coalesce(F.col("_value"), uniform)).drop("_config", "_digits", "_value")
     keyed = rows.withColumn("_config", model.config(column)).withColumn("_u", uniform01(seed, model.row_key, column))
     cells = model.table(column).df.select(F.col("config").alias("_config"), F.col("value").alias("_value"), "lo", "hi")
     drawn = interval_lookup(keyed, FitTable(cells, n_rows, n_rows * 96), ["_config"], "_u", groups=configs)
-    card = max(model.cards[column], 1)
     uniform = F.floor(F.col("_u") * card).cast("int")
     return drawn.withColumn(column, F.coalesce(F.col("_value"), uniform)).drop("_config", "_u", "_value")
 
@@ -179,6 +216,7 @@ def sample_codes(
     if contexts is not None and set(fixed) - {model.target}:
         raise ValueError("the exact conditional tables have no back-off: fix the label only")
     given = conditionals(model, fixed) if set(fixed) - {model.target} else {}
+    known = all(0 <= int(v) < model.cards[c] for c, v in fixed.items())
     rows = spark.range(model.rows if n is None else n).withColumnRenamed("id", model.row_key)
     for i, column in enumerate([model.target, *model.order]):
         if column in fixed:
@@ -190,7 +228,7 @@ def sample_codes(
             keyed = rows.withColumn("_config", model.config(column))
             rows = draw_backoff(keyed, contexts, column, "_config", model.row_key, cards, seed)
         else:
-            rows = _draw(rows, model, column, seed)
+            rows = _draw(rows, model, column, seed, known)
         if i and i % CHECKPOINT_EVERY == 0:
             rows = checkpointed(rows)
     return rows.select(model.row_key, *model.features, model.target)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrortab.functions import metric
-from mirrortab.operators.core import checkpointed
+from mirrortab.operators.core import checkpointed, free_name, stored
 from mirrortab.operators.divergence import fidelity_report
+from mirrortab.operators.information import compact
 from mirrortab.operators.nearest import dcr
 from mirrortab.operators.profile import BINARY, MULTICLASS, presplit_check
 from mirrortab.operators.split import stratified_kfold, stratified_split
@@ -113,10 +114,15 @@ Evaluation = Callable[..., DataFrame]
 
 
 def evaluate_fidelity(real_train: DataFrame, real_test: DataFrame, synth: DataFrame, target: str, **options) -> DataFrame:
-    """Marginal divergences and distance to the closest record, against the train rows."""
-    features = [c for c in real_train.columns if c != target]
-    near = dcr(real_train, synth, features).select(F.lit("summary").alias("group"), "metric", "value")
-    return fidelity_report(real_train, synth, target, **options).unionByName(near)
+    """Marginal divergences and distance to the closest record, against the train rows.
+
+    Each table is read once, for its distinct rows with their counts; everything follows from these.
+    """
+    columns = real_train.columns
+    features, n = [c for c in columns if c != target], free_name("_n", columns)
+    real, drawn = (compact(rows, columns, n) for rows in (real_train, synth))
+    near = dcr(real, drawn, features, n).select(F.lit("summary").alias("group"), "metric", "value")
+    return fidelity_report(real, drawn, target, weight=n, **options).unionByName(near)
 
 
 def evaluate_utility(real_train: DataFrame, real_test: DataFrame, synth: DataFrame, target: str, **options) -> DataFrame:
@@ -170,7 +176,7 @@ def run_train_test(
         write_split(marked, paths.split)
         marked = spark.read.parquet(paths.split)
     else:
-        marked = checkpointed(marked)
+        marked = stored(marked.drop(*key))
     pick = lambda part: marked.where(F.col("split") == part).drop("split", *key)
     train, held_out = pick("train"), pick("test")
     generator.fit(train, target)
@@ -182,7 +188,7 @@ def run_train_test(
         if hasattr(generator, "save"):
             generator.save(paths.state(name, run_id))
     else:
-        synth = checkpointed(synth)
+        synth = stored(synth)
     chosen = evaluations if isinstance(evaluations, Mapping) else {e: EVALUATIONS[e] for e in evaluations}
     reports = []
     for title, evaluation in chosen.items():
