@@ -15,8 +15,8 @@ first tag that cannot be in it; a skipped element without one ends where a conta
 else with the page; other markup that is never closed ends with the page; pages of any length are read
 whole; character references are decoded, unknown ones stay as written; white space, no-break spaces
 included, becomes one blank; a page without a block that is kept has an empty text; repeated pages
-are each extracted; other columns stay, and a column that already has the name of the result is
-refused.
+are each extracted; other columns stay; the result takes the place of a column that has its name, and
+one that differs from that name in case only is refused.
 """
 
 from __future__ import annotations
@@ -324,7 +324,7 @@ def main_text(page: str | None, tree) -> str:
 
 
 def extracted(pages: DataFrame, html: str = "html", to: str = "text", tree=None) -> DataFrame:
-    """``pages`` with ``html`` replaced by a column ``to``: the main text."""
+    """``pages`` with ``html``, and a column ``to`` if there is one, replaced by a column ``to``: the main text."""
     kept = without_clash(pages, to, html)
     tree = train_tree(pages.sparkSession) if tree is None else tree
     where = kept.columns.index(html)

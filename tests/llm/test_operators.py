@@ -584,6 +584,16 @@ def test_a_result_overwrites_no_column(spark, tree):
     assert html.extracted(pages, to="body", tree=tree).columns == ["page_id", "url", "Text", "body"]
 
 
+def test_a_result_takes_the_place_of_its_own_name(spark, tree):
+    pages = spark.createDataFrame([(1, "old", "<article><p>new</p></article>", 7)], "page_id bigint, text string, html string, n int")
+    found = html.extracted(pages, tree=tree)
+    assert found.columns == ["page_id", "n", "text"] and found.first() == (1, 7, "new")
+    found = html.extracted(pages, to="html", tree=tree)
+    assert found.columns == ["page_id", "text", "n", "html"] and found.first() == (1, "old", 7, "new")
+    with pytest.raises(ValueError):
+        html.extracted(pages.withColumnRenamed("n", "TEXT"), tree=tree)
+
+
 def test_components_of_a_hub(spark):
     edges = [(0, i) for i in range(1, 3_000)] + [(5_000 + i, 5_001 + i) for i in range(40)]
     found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
